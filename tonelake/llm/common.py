@@ -8,6 +8,8 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tonelake.session import ready
+
 #: What separates words: space and the ASCII controls tab, line feed, vertical tab, form feed, carriage return.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -73,3 +75,9 @@ def bucket_of(key: str, cuts: list[int]) -> Column:
         return F.lit(0)
     below = F.filter(F.array(*[F.lit(c).cast("long") for c in cuts]), lambda c: c < F.col(key))
     return F.coalesce(F.size(below), F.lit(0))
+
+
+def in_arrow(df: DataFrame, fn, schema: str) -> DataFrame:
+    """mapInArrow over batches of few rows, since texts can be very long."""
+    ready(df.sparkSession).conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "500")
+    return df.mapInArrow(fn, schema)

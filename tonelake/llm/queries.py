@@ -1,9 +1,11 @@
 """The queries of the subpackage, and DuckDB SQL where it can express them."""
 
 from tonelake.llm.fingerprints import op1_fingerprints
+from tonelake.llm.neardup import op3_minhash_neardup
 
 QUERIES = {
     "op1_fingerprints": op1_fingerprints,
+    "op3_minhash_neardup": op3_minhash_neardup,
 }
 
 ORACLE_SQL: dict[str, str] = {}
