@@ -41,7 +41,7 @@ def written(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     """``df`` as a table in the shared folder, read again: cuts lineage, and survives lost executors."""
     spark = df.sparkSession
     path = fresh_path(spark, name)
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path), path
 
 

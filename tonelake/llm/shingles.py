@@ -17,7 +17,7 @@ class _Hashes(dict):
     """Word hashes, kept for the most part; emptied when there are too many."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 300_000:
+        if len(self) > 100_000:
             self.clear()
         h = self[word] = xxhash.xxh3_64_intdigest(word)
         return h
