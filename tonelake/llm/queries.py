@@ -2,10 +2,14 @@
 
 from tonelake.llm.fingerprints import op1_fingerprints
 from tonelake.llm.neardup import op3_minhash_neardup
+from tonelake.llm.packing import op2_best_fit_packing
+from tonelake.llm.tokenfiles import op8_token_files
 
 QUERIES = {
     "op1_fingerprints": op1_fingerprints,
+    "op2_best_fit_packing": op2_best_fit_packing,
     "op3_minhash_neardup": op3_minhash_neardup,
+    "op8_token_files": op8_token_files,
 }
 
 ORACLE_SQL: dict[str, str] = {}
