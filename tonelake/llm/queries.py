@@ -1,6 +1,8 @@
 """The queries of the subpackage, and DuckDB SQL where it can express them."""
 
 from tonelake.llm.fingerprints import op1_fingerprints
+from tonelake.llm.langid import op6_language_id
+from tonelake.llm.mixing import op10_mixing
 from tonelake.llm.neardup import op3_minhash_neardup
 from tonelake.llm.packing import op2_best_fit_packing
 from tonelake.llm.tokenfiles import op8_token_files
@@ -9,7 +11,9 @@ QUERIES = {
     "op1_fingerprints": op1_fingerprints,
     "op2_best_fit_packing": op2_best_fit_packing,
     "op3_minhash_neardup": op3_minhash_neardup,
+    "op6_language_id": op6_language_id,
     "op8_token_files": op8_token_files,
+    "op10_mixing": op10_mixing,
 }
 
 ORACLE_SQL: dict[str, str] = {}
