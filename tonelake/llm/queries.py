@@ -3,17 +3,22 @@
 from tonelake.llm.fingerprints import op1_fingerprints
 from tonelake.llm.langid import op6_language_id
 from tonelake.llm.mixing import op10_mixing
+from tonelake.llm.media import op9_media_columns
 from tonelake.llm.neardup import op3_minhash_neardup
 from tonelake.llm.packing import op2_best_fit_packing
 from tonelake.llm.tokenfiles import op8_token_files
+from tonelake.llm import urlrules, warc
 
 QUERIES = {
     "op1_fingerprints": op1_fingerprints,
     "op2_best_fit_packing": op2_best_fit_packing,
     "op3_minhash_neardup": op3_minhash_neardup,
+    "op4_warc": warc.op4_warc,
     "op6_language_id": op6_language_id,
+    "op7_url_filters": urlrules.op7_url_filters,
     "op8_token_files": op8_token_files,
+    "op9_media_columns": op9_media_columns,
     "op10_mixing": op10_mixing,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op4_warc": warc.ORACLE, "op7_url_filters": urlrules.ORACLE}

@@ -176,7 +176,7 @@ def write_files(docs: DataFrame, folder: str, tokenizer: str, end_id: int) -> Da
         of, number, path = encoder(tokenizer), TaskContext.get().partitionId(), f"{folder}/{uuid.uuid4().hex}.s8b"
         fs, local = FileSystem.from_uri(path)
         fs.create_dir(local.rpartition("/")[0], recursive=True)
-        with fs.open_output_stream(local) as out:
+        with fs.open_output_stream(local, compression=None) as out:
             writer = Writer(out)
             for batch in itertools.chain([first], batches):
                 for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist()):
