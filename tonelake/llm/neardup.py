@@ -1,10 +1,11 @@
 """MinHash near-dedup: universal hash minima, banding, signature check, exact check, star components.
 
 Texts with equal shingle sets form a class, whose smallest id stands for it. Only these representatives are
-banded. A band's bucket is never expanded into its pairs: in round one each member is checked against the smallest
-id it shares any bucket with, in round two against the smallest id of each of its buckets. Links between
-texts that are already connected are not looked for. Round three takes the buckets in which separate components
-remain and checks all that is left between them, so that no candidate link that would connect something is lost.
+banded. Each bucket's smallest id is its first. In round one each member is checked against that first with which it
+shares the most buckets, in round two against the firsts of all its buckets. Links between texts that are already
+connected are not looked for. Round three takes the buckets in which separate components remain and checks all
+that is left between them, pair by pair in small buckets, in blocks of whole texts in large ones, so that no candidate
+link that would connect something is lost.
 
 A check first compares 128 bits of the two signatures (an estimate that a pair of likeness 0.75 fails less than
 once in 10^8), then the whole sets, recomputed from the whole texts.
@@ -19,6 +20,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -26,11 +28,16 @@ from pyspark.sql import functions as F
 from tonelake.llm import shingles as sh
 from tonelake.llm.common import in_arrow, remove, table, written
 from tonelake.llm.components import components
+from tonelake.session import ready
 
 #: A link: 100 * intersection >= LINK * union.
 LINK = 75
 #: Of 128 signature bits, as many may differ; a pair of likeness 0.75 differs in 16 on average, deviation 3.7.
-MOST_BITS = 38
+MOST_BITS = 36
+#: Members of a bucket up to which what is left of it is checked pair by pair, beyond in blocks.
+HOT = 32
+#: Shingles that a block compares at a time.
+COLUMNS = 4096
 #: Pairs whose ids may be broadcast: 32 MB of ids at most.
 MOST_BROADCAST = 2_000_000
 
@@ -112,7 +119,7 @@ def grouped(docs: DataFrame) -> DataFrame:
     flat = nodes.select("id", F.explode("bands").alias("bucket"))
     shared = flat.groupBy("bucket").agg(F.min("id").alias("first"), F.count("*").alias("size")).where("size > 1")
     members, members_at = written(flat.join(shared, "bucket"), "buckets")
-    stars, stars_at = written(members.where("id != first").select(F.col("id").alias("a"), F.col("first").alias("b")).distinct(), "stars")
+    stars, stars_at = written(members.where("id != first").select(F.col("id").alias("a"), F.col("first").alias("b")).groupBy("a", "b").agg(F.count("*").alias("shared")), "stars")
     ids = nodes.select("id", "n", "s1", "s2")
     links: list[str] = []
 
@@ -123,12 +130,15 @@ def grouped(docs: DataFrame) -> DataFrame:
         remove(spark, likely_at)
         return made
 
-    made = link(stars.groupBy("a").agg(F.min("b").alias("b")))
+    likeliest = F.max_by("b", F.struct("shared", -F.col("b")))
+    made = link(stars.groupBy("a").agg(likeliest.alias("b")))
     found, found_at = components(made)
     made = made.union(link(_placed(_placed(stars, found, "a", "ca"), found, "b", "cb").where("ca != cb").select("a", "b")))
     remove(spark, found_at)
     found, found_at = components(made)
-    made = made.union(link(_left(members.where("size > 2"), found, ids)))
+    made = made.union(link(_left(members.where(F.col("size").between(3, HOT)), found, ids)))
+    hot, hot_at = written(_hot_links(members.where(F.col("size") > HOT), found, docs), "linked")
+    made, links = made.union(hot), [*links, hot_at]
     remove(spark, found_at)
     found, found_at = components(made)
     remove(spark, nodes_at, members_at, stars_at, *links)
@@ -153,6 +163,59 @@ def _left(members: DataFrame, found: DataFrame, nodes: DataFrame) -> DataFrame:
     return pairs.select(F.greatest("x.id", "y.id").alias("a"), F.least("x.id", "y.id").alias("b")).distinct()
 
 
+def _block(rows: pd.DataFrame) -> pd.DataFrame:
+    """Links between the members of one block outside the main component and the others: one per component they reach."""
+    left, right = rows[rows["side"] == 0], rows[rows["side"] == 1]
+    if left.empty or right.empty:
+        return pd.DataFrame({"a": [], "b": []}).astype("int64")
+    sets = [[sh.shingle_set(t) for t in side["text"]] for side in (left, right)]
+    known = np.unique(np.concatenate(sets[0]))
+    sizes = [np.array([len(x) for x in side]) for side in sets]
+    rows_of = [np.repeat(np.arange(len(side)), n) for side, n in zip(sets, sizes)]
+    all_of = [np.concatenate(side) for side in sets]
+    places = [np.minimum(np.searchsorted(known, x), len(known) - 1) for x in all_of]
+    have = [known[at] == x for at, x in zip(places, all_of)]
+    both = np.zeros((len(left), len(right)), np.float32)
+    for at in range(0, len(known), COLUMNS):
+        part = []
+        for k in range(2):
+            own = have[k] & (places[k] >= at) & (places[k] < at + COLUMNS)
+            part.append(np.zeros((len(sizes[k]), COLUMNS), np.float32))
+            part[k][rows_of[k][own], places[k][own] - at] = 1
+        both += part[0] @ part[1].T
+    union = sizes[0][:, None] + sizes[1][None, :] - both
+    apart = left["c"].to_numpy()[:, None] != right["c"].to_numpy()[None, :]
+    i, j = np.nonzero(apart & (both > 0) & (100 * both >= LINK * union))
+    out = pd.DataFrame({"a": left["id"].to_numpy()[i], "b": right["id"].to_numpy()[j], "c": right["c"].to_numpy()[j]})
+    return out.drop_duplicates(["a", "c"])[["a", "b"]].astype("int64")
+
+
+def _hot_links(members: DataFrame, found: DataFrame, docs: DataFrame) -> DataFrame:
+    """Links (a, b) still missing among the members of large buckets: exact, and without a row per pair.
+
+    Members that buckets lead from one to another are a family. Those outside a family's largest component are
+    compared with all of its members, in blocks of about 256 by 1024 whole texts, which give their links only.
+    """
+    families, _ = components(members.select("id", "first"))
+    placed = _placed(families.withColumnRenamed("component", "family"), found)
+    sizes = placed.groupBy("family", "c").agg(F.count("*").alias("n"))
+    shape = sizes.groupBy("family").agg(F.max_by("c", F.struct("n", "c")).alias("main"), F.sum("n").alias("all"), F.max("n").alias("most"), F.count("*").alias("parts")).where("parts > 1")
+    shape = shape.select("family", "main", F.ceil(F.col("all") / 1024).cast("int").alias("across"), F.ceil((F.col("all") - F.col("most")) / 256).cast("int").alias("down"))
+    open_, open_at = written(placed.join(shape, "family"), "open")
+    ids = open_.select("id").distinct()
+    ids = F.broadcast(ids) if open_.count() <= MOST_BROADCAST else ids
+    texts = docs.join(ids, "id", "left_semi").select("id", F.encode("text", "UTF-8").alias("text"))
+
+    def spread(rows: DataFrame, side: int, own: str, other: str) -> DataFrame:
+        rows = rows.withColumn("side", F.lit(side)).withColumn(own, F.pmod(F.xxhash64("id"), F.col(f"n_{own}")).cast("int"))
+        return rows.withColumn(other, F.explode(F.sequence(F.lit(0), F.col(f"n_{other}") - 1))).select("id", "family", "c", "side", "down", "across")
+
+    open_ = open_.withColumnsRenamed({"down": "n_down", "across": "n_across"})
+    blocks = spread(open_.where("c != main"), 0, "down", "across").union(spread(open_, 1, "across", "down"))
+    ready(docs.sparkSession)
+    return blocks.join(texts, "id").groupBy("family", "down", "across").applyInPandas(_block, "a long, b long")
+
+
 def op3_minhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
     return grouped(docs).select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"), F.coalesce(F.col("id") == F.col("component"), F.lit(True)).alias("kept"))
