@@ -1,8 +1,50 @@
-"""Corpus preparation in stages, each read from the table that the one before it wrote."""
+"""Corpus preparation in five stages, each reading the table that the one before it wrote.
 
-STAGES: list = []
+Language ID drops documents unlike every learned language; near-dedup keeps one document of each group of near copies;
+substring dedup cuts out repeated passages; mixing repeats or drops documents to meet the sources' target weights;
+packing cuts what is left into token pieces and assigns them to sequences. All but the last return the columns
+of documents. Documents with a null doc_id pass near-dedup; texts that substring dedup leaves empty go.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tonelake.llm import langid, mixing, neardup, packing, passages
+from tonelake.llm.common import table, written
+
+#: The tokenizer, the packing and the seeded choices are beyond SQL; tests compare with a brute-force version.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    model = langid.fit(docs.where(~langid.held_out()))
+    return langid.identified(docs, model).where("NOT rejected").select(*docs.columns)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return neardup.deduplicated(docs)
+
+
+def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return passages.without_repeats(docs)
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return mixing.mixed(docs)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return packing.packed_documents(docs, keep_ids=False)
+
+
+STAGES = [("language ID", language_id), ("near-dedup", near_dedup), ("substring dedup", substring_dedup), ("mixing", mix), ("packing", pack)]
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over documents; every stage but the last is written to the shared folder and read again."""
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs, _ = written(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -122,5 +122,24 @@ def decided(docs: DataFrame, weights: tuple = WEIGHTS, total: float = TOTAL, see
     return settled.select(*out, F.when(F.col("size") > 0, F.col("copies")).otherwise(0).alias("copies")).unionByName(ranked.select(*out, "copies"))
 
 
+def mixed(docs: DataFrame, **how) -> DataFrame:
+    """The rows of documents (doc_id, text, source, ..) as often as the mix takes each."""
+    choice, _ = written(decided(docs, **how), "mix")
+    names = docs.columns
+    if choice.groupBy("doc_id").count().where("count > 1").isEmpty():
+        key, choice = [], choice.select(F.col("doc_id").alias("_id"), "copies")
+    else:  # rows that share an id are told apart by their order
+        order = Window.partitionBy("doc_id").orderBy("source", "size")
+        key, choice = ["_row"], choice.select(F.col("doc_id").alias("_id"), F.row_number().over(order).alias("_n"), "copies")
+        size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
+        docs = docs.withColumn("size", size).withColumn("_row", F.row_number().over(order)).select(*names, "_row")
+    choice = choice.where("copies > 0")
+    on = docs["doc_id"].eqNullSafe(choice["_id"])
+    for k in key:
+        on &= docs[k] == choice["_n"]
+    few = choice.count() <= MOST_BROADCAST * 4
+    return docs.join(F.broadcast(choice) if few else choice, on).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*names)
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decided(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))

@@ -30,10 +30,12 @@ from tonelake.llm.common import in_arrow, remove, table, written
 from tonelake.llm.components import components
 from tonelake.session import ready
 
+#: Bands of rows: a pair of likeness 0.75 shares no band once in 190,000 pairs, one of 0.5 shares one in 7 of 8.
+BANDS, ROWS = 32, 4
 #: A link: 100 * intersection >= LINK * union.
 LINK = 75
-#: Of 128 signature bits, as many may differ; a pair of likeness 0.75 differs in 16 on average, deviation 3.7.
-MOST_BITS = 36
+#: Of 128 signature bits, as many may differ; a pair of likeness 0.75 differs in 16 on average, deviation 3.7; with fewer hashes and more bits of each, in 14, deviation 4.7.
+MOST_BITS = 37
 #: Members of a bucket up to which what is left of it is checked pair by pair, beyond in blocks.
 HOT = 32
 #: Shingles that a block compares at a time.
@@ -44,24 +46,24 @@ MOST_BROADCAST = 2_000_000
 _SIGNED = pa.schema([("id", pa.int64()), ("n", pa.int64()), ("k1", pa.int64()), ("k2", pa.int64()), ("s1", pa.int64()), ("s2", pa.int64()), ("bands", pa.list_(pa.int64()))])
 
 
-def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        cols: list[list] = [[] for _ in _SIGNED]
-        for id_, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist()):
-            s = sh.shingle_set(text)
-            row = [id_, len(s), 0, 0, 0, 0, None]
-            if len(s):
-                least = sh.minima(s)
-                key = np.array([sh.mixed(s).sum(dtype=np.uint64), np.bitwise_xor.reduce(sh.mixed(s + np.uint64(1)))], np.uint64).view(np.int64)
-                row[2:] = [int(key[0]), int(key[1]), *map(int, sh.bits(least)), sh.bands(least).tolist()]
-            for c, v in zip(cols, row):
-                c.append(v)
-        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, _SIGNED)], schema=_SIGNED)
-
-
-def signed(docs: DataFrame) -> DataFrame:
+def signed(docs: DataFrame, bands: int, rows: int) -> DataFrame:
     """(id, n, k1, k2, s1, s2, bands) of (id, text): set size, 128-bit hash of the set, signature bits, band hashes."""
-    return in_arrow(docs.select("id", "text"), _sign, "id long, n long, k1 long, k2 long, s1 long, s2 long, bands array<long>")
+
+    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            cols: list[list] = [[] for _ in _SIGNED]
+            for id_, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist()):
+                s = sh.shingle_set(text)
+                row = [id_, len(s), 0, 0, 0, 0, None]
+                if len(s):
+                    least = sh.minima(s, bands * rows)
+                    key = np.array([sh.mixed(s).sum(dtype=np.uint64), np.bitwise_xor.reduce(sh.mixed(s + np.uint64(1)))], np.uint64).view(np.int64)
+                    row[2:] = [int(key[0]), int(key[1]), *map(int, sh.bits(least)), sh.bands(least, rows).tolist()]
+                for c, v in zip(cols, row):
+                    c.append(v)
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, _SIGNED)], schema=_SIGNED)
+
+    return in_arrow(docs.select("id", "text"), sign, "id long, n long, k1 long, k2 long, s1 long, s2 long, bands array<long>")
 
 
 def _check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -85,7 +87,7 @@ def checked(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     """
     ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
     ids = F.broadcast(ids) if pairs.count() <= MOST_BROADCAST else ids
-    t = docs.join(ids, "id", "left_semi").select("id", F.encode("text", "UTF-8").alias("text"))
+    t = docs.join(ids, "id", "left_semi").select("id", F.encode("text", "UTF-8").alias("text")).dropDuplicates(["id"])
     both = pairs.join(t.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a").join(t.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b")
     return in_arrow(both.select("a", "b", "text_a", "text_b"), _check, "a long, b long")
 
@@ -109,11 +111,11 @@ def _placed(rows: DataFrame, found: DataFrame, id_col: str = "id", out: str = "c
     return rows.join(at, id_col, "left").withColumn(out, F.coalesce(out, id_col))
 
 
-def grouped(docs: DataFrame) -> DataFrame:
-    """(id, n, component) for each row of (id long, text string)."""
+def grouped(docs: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+    """(id, n, component) for each row of (id long, text string). ``docs`` is read several times."""
     spark = docs.sparkSession
-    rows, rows_at = written(signed(docs), "signed")
-    some = rows.where("n > 0 AND id IS NOT NULL")
+    all_, all_at = written(signed(docs, bands, rows), "signed")
+    some = all_.where("n > 0 AND id IS NOT NULL")
     classes, classes_at = written(some.groupBy("k1", "k2").agg(F.min("id").alias("rep")), "classes")
     nodes, nodes_at = written(some.join(classes, ["k1", "k2"]).where("id = rep").select("id", "n", "s1", "s2", "k1", "k2", "bands").dropDuplicates(["id"]), "nodes")
     flat = nodes.select("id", F.explode("bands").alias("bucket"))
@@ -142,7 +144,7 @@ def grouped(docs: DataFrame) -> DataFrame:
     remove(spark, found_at)
     found, found_at = components(made)
     remove(spark, nodes_at, members_at, stars_at, *links)
-    out = rows.join(classes, ["k1", "k2"], "left")
+    out = all_.select("id", "n", "k1", "k2").join(classes, ["k1", "k2"], "left")
     return _placed(out.withColumn("rep", F.coalesce("rep", "id")), found, "rep", "component").select("id", "n", "component")
 
 
@@ -204,7 +206,7 @@ def _hot_links(members: DataFrame, found: DataFrame, docs: DataFrame) -> DataFra
     open_, open_at = written(placed.join(shape, "family"), "open")
     ids = open_.select("id").distinct()
     ids = F.broadcast(ids) if open_.count() <= MOST_BROADCAST else ids
-    texts = docs.join(ids, "id", "left_semi").select("id", F.encode("text", "UTF-8").alias("text"))
+    texts = docs.join(ids, "id", "left_semi").select("id", F.encode("text", "UTF-8").alias("text")).dropDuplicates(["id"])
 
     def spread(rows: DataFrame, side: int, own: str, other: str) -> DataFrame:
         rows = rows.withColumn("side", F.lit(side)).withColumn(own, F.pmod(F.xxhash64("id"), F.col(f"n_{own}")).cast("int"))
@@ -216,6 +218,17 @@ def _hot_links(members: DataFrame, found: DataFrame, docs: DataFrame) -> DataFra
     return blocks.join(texts, "id").groupBy("family", "down", "across").applyInPandas(_block, "a long, b long")
 
 
+def deduplicated(docs: DataFrame) -> DataFrame:
+    """The documents (doc_id, text, ..) without the near copies of a smaller doc_id, and without repeats of a doc_id."""
+    found = grouped(docs.select(F.col("doc_id").alias("id"), "text"))
+    gone, _ = written(found.where("id != component").select(F.col("id").alias("doc_id")).distinct(), "gone")
+    few = gone.count() <= MOST_BROADCAST
+    left = docs.join(F.broadcast(gone) if few else gone, "doc_id", "left_anti")
+    if docs.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").isEmpty():
+        return left.select(*docs.columns)
+    return left.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"]).unionByName(left.where("doc_id IS NULL")).select(*docs.columns)
+
+
 def op3_minhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
     return grouped(docs).select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"), F.coalesce(F.col("id") == F.col("component"), F.lit(True)).alias("kept"))

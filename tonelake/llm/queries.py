@@ -6,6 +6,7 @@ from tonelake.llm.mixing import op10_mixing
 from tonelake.llm.media import op9_media_columns
 from tonelake.llm.neardup import op3_minhash_neardup
 from tonelake.llm.packing import op2_best_fit_packing
+from tonelake.llm.passages import op5_substring_dedup
 from tonelake.llm.tokenfiles import op8_token_files
 from tonelake.llm import urlrules, warc
 
@@ -14,6 +15,7 @@ QUERIES = {
     "op2_best_fit_packing": op2_best_fit_packing,
     "op3_minhash_neardup": op3_minhash_neardup,
     "op4_warc": warc.op4_warc,
+    "op5_substring_dedup": op5_substring_dedup,
     "op6_language_id": op6_language_id,
     "op7_url_filters": urlrules.op7_url_filters,
     "op8_token_files": op8_token_files,

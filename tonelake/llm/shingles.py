@@ -6,9 +6,9 @@ import numpy as np
 import xxhash
 
 SHINGLE = 5
-#: Bands of rows: a pair of likeness 0.75 shares no band once in 190,000 pairs, one of 0.5 shares one in 7 of 8.
-BANDS, ROWS = 32, 4
-_MULTIPLIERS = np.random.default_rng(20_250_101).integers(0, 2**32, (2, BANDS * ROWS), dtype=np.uint64).astype(np.uint32)
+#: Hash functions there are, and so bands times rows at most.
+HASHES = 128
+_MULTIPLIERS = np.random.default_rng(20_250_101).integers(0, 2**32, (2, HASHES), dtype=np.uint64).astype(np.uint32)
 _A, _B = _MULTIPLIERS[0] | np.uint32(1), _MULTIPLIERS[1]
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], dtype=np.uint64)
 
@@ -54,24 +54,28 @@ def shingle_set(text: bytes | None) -> np.ndarray:
     return np.unique(shingles(word_hashes(words(text))))
 
 
-def minima(s: np.ndarray) -> np.ndarray:
-    """The least value of each universal hash function over the set."""
+def minima(s: np.ndarray, n: int = HASHES) -> np.ndarray:
+    """The least value of each of ``n`` universal hash functions over the set."""
     x = (s >> np.uint64(32)).astype(np.uint32)
-    least = np.full(BANDS * ROWS, 2**32 - 1, np.uint32)
+    least = np.full(n, 2**32 - 1, np.uint32)
     for i in range(0, len(x), 2048):
-        least = np.minimum(least, (x[i : i + 2048, None] * _A + _B).min(axis=0))
+        least = np.minimum(least, (x[i : i + 2048, None] * _A[:n] + _B[:n]).min(axis=0))
     return least
 
 
-def bands(least: np.ndarray) -> np.ndarray:
-    """A hash for each band, its number included."""
-    rows = least.reshape(BANDS, ROWS).astype(np.uint64)
-    return mixed((rows * _ODD[:ROWS]).sum(axis=1, dtype=np.uint64) + np.arange(1, BANDS + 1, dtype=np.uint64) * _ODD[4]).view(np.int64)
+def bands(least: np.ndarray, rows: int) -> np.ndarray:
+    """A hash for each band of ``rows`` minima, its number included."""
+    part = least.reshape(-1, rows).astype(np.uint64)
+    return mixed((part * _ODD[:rows]).sum(axis=1, dtype=np.uint64) + np.arange(1, len(part) + 1, dtype=np.uint64) * _ODD[4]).view(np.int64)
 
 
 def bits(least: np.ndarray) -> np.ndarray:
-    """One mixed bit of each minimum, 64 in a long: bits that two sets share estimate their likeness."""
-    return np.packbits(((mixed(least.astype(np.uint64)) >> np.uint64(17)) & np.uint64(1)).astype(np.uint8)).view(np.int64)
+    """128 mixed bits of the minima, as many of each, in two longs: bits that two sets share estimate their likeness."""
+    each = 128 // len(least)
+    own = (mixed(least.astype(np.uint64))[:, None] >> (np.arange(17, 17 + each, dtype=np.uint64))) & np.uint64(1)
+    out = np.zeros(128, np.uint8)
+    out[: each * len(least)] = own.ravel()
+    return np.packbits(out).view(np.int64)
 
 
 def likeness(a: np.ndarray, b: np.ndarray) -> tuple[int, int]:
