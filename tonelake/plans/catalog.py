@@ -1,4 +1,6 @@
 """All queries of the signal and media operators, with their DuckDB SQL."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from tonelake.plans import signal_queries, text_queries
+
+QUERIES = signal_queries.QUERIES | text_queries.QUERIES
+ORACLE_SQL = signal_queries.ORACLE_SQL | text_queries.ORACLE_SQL
