@@ -140,7 +140,9 @@ def repeats(docs: DataFrame) -> DataFrame:
     remove(spark, again_at)
 
     lines = cut.where("kind = 1").select("id", "start", "stop", "n_words", "key")
-    groups, _ = written(neardup.grouped(in_arrow(docs, _lines, "id long, text string"), BANDS, ROWS).select(F.col("id").alias("key"), F.col("component").alias("group")).distinct(), "groups")
+    told, told_at = written(in_arrow(docs, _lines, "id long, text string"), "paragraphs")
+    groups, _ = written(neardup.grouped(told, BANDS, ROWS).select(F.col("id").alias("key"), F.col("component").alias("group")).distinct(), "groups")
+    remove(spark, told_at)
     named = lines.join(groups, "key")
     held = _shared(named, "group")
     lines = named.join(held, "group").select(F.col("id").alias("doc_id"), F.lit("paragraph").alias("kind"), "start", "stop", F.col("n_words").cast("long").alias("n_words"), F.col("first").alias("component_id"), (F.col("first") == F.col("id")).alias("kept"))
