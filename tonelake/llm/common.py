@@ -79,5 +79,5 @@ def bucket_of(key: str, cuts: list[int]) -> Column:
 
 def in_arrow(df: DataFrame, fn, schema: str) -> DataFrame:
     """mapInArrow over batches of few rows, since texts can be very long."""
-    ready(df.sparkSession).conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "500")
+    ready(df.sparkSession).conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "128")
     return df.mapInArrow(fn, schema)

@@ -31,7 +31,7 @@ from tonelake.llm.common import in_arrow, table
 
 DIM = 4096
 CENTROIDS = 4
-FIT_ROWS = 2000
+FIT_ROWS = 1200
 #: Share of the least cosine seen in fitting below which a text is rejected.
 SLACK = 0.5
 UNKNOWN = "und"

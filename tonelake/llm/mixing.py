@@ -15,7 +15,7 @@ many each part gives; a part's documents are ranked in one task. One row per sou
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -81,16 +81,15 @@ def fitted(lengths: np.ndarray, have: np.ndarray, budget: int) -> np.ndarray:
     return take
 
 
-def _plan(rows: pd.DataFrame) -> pd.DataFrame:
+def _plan(rows: pa.Table) -> pa.Table:
     """For the lengths of one source: how many documents get a copy more than ``full``."""
-    size, n = rows["size"].to_numpy(np.int64), rows["n"].to_numpy(np.int64)
-    whole, budget = int((size * n).sum()), round(float(rows["target"].iloc[0]))
+    size, n = rows["size"].to_numpy(), rows["n"].to_numpy()
+    whole, budget = int((size * n).sum()), round(rows["target"][0].as_py())
     full = min(MOST_COPIES, budget // whole) if whole else 0
-    quota = np.where(size > 0, n, 0) * 0
-    some = size > 0
+    quota, some = np.zeros(len(size), np.int64), size > 0
     if whole and full < MOST_COPIES:
         quota[some] = fitted(size[some], n[some], budget - full * whole)
-    return rows.assign(full=full, quota=quota)
+    return rows.append_column("full", pa.array(np.full(len(size), full, np.int64))).append_column("quota", pa.array(quota))
 
 
 def decided(docs: DataFrame, weights: tuple = WEIGHTS, total: float = TOTAL, seed: int = 17) -> DataFrame:
@@ -103,7 +102,7 @@ def decided(docs: DataFrame, weights: tuple = WEIGHTS, total: float = TOTAL, see
     targets = shared_out([s for _, s in sources], [weights[i % len(weights)] for i in range(len(sources))], total * sum(s for _, s in sources))
     known = spark.createDataFrame([(k, s, t) for (k, s), t in zip(sources, targets)], "k string, source_size long, target double")
     rows = by_length.join(known, F.col("source").eqNullSafe(F.col("k"))).drop("k")
-    plan, _ = written(rows.groupBy("source").applyInPandas(_plan, "source string, size long, n long, source_size long, target double, full long, quota long"), "plan")
+    plan, _ = written(rows.select("source", "size", "n", "source_size", "target").groupBy("source").applyInArrow(_plan, "source string, size long, n long, source_size long, target double, full long, quota long"), "plan")
     small = plan.count() <= MOST_BROADCAST
     named = plan.withColumnsRenamed({"source": "p_source", "size": "p_size"})
     at = sized.join(F.broadcast(named) if small else named, F.col("source").eqNullSafe(F.col("p_source")) & (F.col("size") == F.col("p_size"))).drop("p_source", "p_size")

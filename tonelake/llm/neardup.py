@@ -20,7 +20,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -165,19 +164,21 @@ def _left(members: DataFrame, found: DataFrame, nodes: DataFrame) -> DataFrame:
     return pairs.select(F.greatest("x.id", "y.id").alias("a"), F.least("x.id", "y.id").alias("b")).distinct()
 
 
-def _block(rows: pd.DataFrame) -> pd.DataFrame:
+def _block(rows: pa.Table) -> pa.Table:
     """Links between the members of one block outside the main component and the others: one per component they reach."""
-    left, right = rows[rows["side"] == 0], rows[rows["side"] == 1]
-    if left.empty or right.empty:
-        return pd.DataFrame({"a": [], "b": []}).astype("int64")
-    sets = [[sh.shingle_set(t) for t in side["text"]] for side in (left, right)]
+    side = rows["side"].to_numpy()
+    ids, comps = ([rows[c].to_numpy()[side == k] for k in (0, 1)] for c in ("id", "c"))
+    if not len(ids[0]) or not len(ids[1]):
+        return pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
+    texts = rows["text"].to_pylist()
+    sets = [[sh.shingle_set(texts[i]) for i in np.flatnonzero(side == k)] for k in (0, 1)]
     known = np.unique(np.concatenate(sets[0]))
     sizes = [np.array([len(x) for x in side]) for side in sets]
     rows_of = [np.repeat(np.arange(len(side)), n) for side, n in zip(sets, sizes)]
     all_of = [np.concatenate(side) for side in sets]
     places = [np.minimum(np.searchsorted(known, x), len(known) - 1) for x in all_of]
     have = [known[at] == x for at, x in zip(places, all_of)]
-    both = np.zeros((len(left), len(right)), np.float32)
+    both = np.zeros((len(ids[0]), len(ids[1])), np.float32)
     for at in range(0, len(known), COLUMNS):
         part = []
         for k in range(2):
@@ -186,10 +187,10 @@ def _block(rows: pd.DataFrame) -> pd.DataFrame:
             part[k][rows_of[k][own], places[k][own] - at] = 1
         both += part[0] @ part[1].T
     union = sizes[0][:, None] + sizes[1][None, :] - both
-    apart = left["c"].to_numpy()[:, None] != right["c"].to_numpy()[None, :]
+    apart = comps[0][:, None] != comps[1][None, :]
     i, j = np.nonzero(apart & (both > 0) & (100 * both >= LINK * union))
-    out = pd.DataFrame({"a": left["id"].to_numpy()[i], "b": right["id"].to_numpy()[j], "c": right["c"].to_numpy()[j]})
-    return out.drop_duplicates(["a", "c"])[["a", "b"]].astype("int64")
+    first = {(a, c): b for a, c, b in zip(ids[0][i].tolist(), comps[1][j].tolist(), ids[1][j].tolist())}
+    return pa.table({"a": pa.array([a for a, _ in first], pa.int64()), "b": pa.array(list(first.values()), pa.int64())})
 
 
 def _hot_links(members: DataFrame, found: DataFrame, docs: DataFrame) -> DataFrame:
@@ -215,7 +216,7 @@ def _hot_links(members: DataFrame, found: DataFrame, docs: DataFrame) -> DataFra
     open_ = open_.withColumnsRenamed({"down": "n_down", "across": "n_across"})
     blocks = spread(open_.where("c != main"), 0, "down", "across").union(spread(open_, 1, "across", "down"))
     ready(docs.sparkSession)
-    return blocks.join(texts, "id").groupBy("family", "down", "across").applyInPandas(_block, "a long, b long")
+    return blocks.join(texts, "id").groupBy("family", "down", "across").applyInArrow(_block, "a long, b long")
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:

@@ -16,7 +16,7 @@ empty result. Columns other than those named are dropped.
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -73,12 +73,13 @@ def packed(cut: DataFrame, most_tokens: int = MOST_TOKENS, most_docs: int | None
     groups = max(1, -(-cut.count() // GROUP))
     schema = T.StructType([*cut.schema.fields, T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())])
 
-    def pack(rows: pd.DataFrame) -> pd.DataFrame:
-        bins, offsets = best_fit(rows["length"].to_numpy(np.int64), *limits)
-        group = rows.pop("_group").iloc[0]
-        return rows.assign(sequence_id=group * 2**32 + bins, offset=offsets)
+    def pack(rows: pa.Table) -> pa.Table:
+        bins, offsets = best_fit(rows["length"].to_numpy(), *limits)
+        group = rows["_group"][0].as_py()
+        return rows.drop_columns("_group").append_column("sequence_id", pa.array(group * 2**32 + bins)).append_column("offset", pa.array(offsets))
 
-    return cut.withColumn("_group", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(groups)).cast("long")).groupBy("_group").applyInPandas(pack, schema)
+    dealt = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(groups)).cast("long")
+    return cut.withColumn("_group", dealt).groupBy("_group").applyInArrow(pack, schema)
 
 
 def packed_documents(docs: DataFrame, tokenizer: str | None = None, end_id: int = 1, most_tokens: int = MOST_TOKENS, keep_ids: bool = True, **limits) -> DataFrame:
