@@ -9,7 +9,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 
 from tonelake.session import ready
@@ -35,6 +34,8 @@ def per_stream(pcm: DataFrame, sections: list[tuple], pre_gain: float) -> DataFr
     ready(pcm.sparkSession)
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import pandas as pd
+
         stream, z = object(), None
         for part in parts:
             ids = part["stream_id"].to_numpy()

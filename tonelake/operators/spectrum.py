@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -79,6 +78,8 @@ def band_levels(pcm: DataFrame, size: int = SIZE, hop: int = HOP, every: int = 2
     window = 0.5 * (1 - np.cos(2 * np.pi * np.arange(size) / (size - 1)))
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import pandas as pd
+
         for part in parts:
             if part.empty:
                 continue
