@@ -95,7 +95,7 @@ def wav_samples(files: DataFrame) -> DataFrame:
     def value(channel: int) -> Column:
         offset = F.col("frame_no") * F.col("width") + F.when(F.col("channels") == 2, one * channel).otherwise(0)
         raw = text.little_endian(F.substring("data", offset.cast("int") + 1, one))
-        half = F.shiftleft(F.lit(1).cast("bigint"), F.col("bits") - 1)
+        half = F.expr("shiftleft(1L, bits - 1)")
         signed = F.when(raw >= half, raw - half * 2).otherwise(raw)
         return F.when(F.col("bits") == 8, signal.widen(raw, 8)).when(F.col("bits") == 16, signal.widen(signed, 16)).when(F.col("bits") == 24, signal.widen(signed, 24)).otherwise(signed).cast("int")
 
