@@ -74,7 +74,9 @@ def test_low_pass_has_unit_gain_at_zero():
     assert abs((b0 + b1 + b2) / (1 + a1 + a2) - 1) < 1e-12
 
 
-def test_resample_loop_model(spark):
+@pytest.mark.parametrize("chunk", [1 << 16, 16])
+def test_resample_loop_model(spark, chunk, monkeypatch):
+    monkeypatch.setattr(resample, "CHUNK", chunk)
     rng = np.random.default_rng(2)
     x = [(int(a), int(b)) for a, b in rng.integers(-(2**31), 2**31, (200, 2))]
     step = resample.step_of(22_050, 48_000)

@@ -11,18 +11,23 @@ from pyspark.sql import functions as F
 from tonelake.operators.recurrence import per_stream
 
 _Q = 1 << 32
+#: Frames of a stream that one task handles together.
+CHUNK = 1 << 16
 
 
 def _indexed(pcm: DataFrame, step: int, taps: range, point: Callable[[list[Column], Column], Column]) -> DataFrame:
     """For each input frame i, the outputs k whose position k * step lies in [i, i + 1), in 32-bit fixed point.
 
-    Neighbours come from lead and lag over the stream; the outputs of a frame are a short sequence, so there is one
-    shuffle by stream and no join.
+    Neighbours come from lead and lag over chunks of a stream, each with the few frames beyond its ends that it needs,
+    so that a long stream spreads over tasks; the outputs of a frame are a short sequence. One shuffle, no join.
+    Frames must be numbered without gaps.
     """
-    order = Window.partitionBy("stream_id").orderBy("frame_no")
+    ends = [F.expr(f"(frame_no - {t}) div {CHUNK}") for t in (taps[0], taps[-1])]
+    pcm = pcm.withColumn("_chunk", F.explode(F.array_distinct(F.array(*ends))))
+    order = Window.partitionBy("stream_id", "_chunk").orderBy("frame_no")
     near = {(c, t): F.lead(c, t).over(order) if t > 0 else F.lag(c, -t).over(order) if t < 0 else F.col(c) for c in ("left", "right") for t in taps}
-    at = pcm.select("stream_id", "frame_no", *[v.cast("bigint").alias(f"{c}_{t + 9}") for (c, t), v in near.items()])
-    at = at.where(" AND ".join(f"{c}_{t + 9} IS NOT NULL" for c, t in near))
+    at = pcm.select("stream_id", "frame_no", "_chunk", *[v.cast("bigint").alias(f"{c}_{t + 9}") for (c, t), v in near.items()])
+    at = at.where(" AND ".join(f"{c}_{t + 9} IS NOT NULL" for c, t in near)).where(F.expr(f"frame_no div {CHUNK}") == F.col("_chunk"))
     first = F.expr(f"(frame_no * {_Q} + {step - 1}) div {step}")
     after = F.expr(f"((frame_no + 1) * {_Q} + {step - 1}) div {step}")
     ks = at.withColumn("_a", first).withColumn("_b", after).where("_b > _a").withColumn("k", F.explode(F.sequence(F.col("_a"), F.col("_b") - 1)))
