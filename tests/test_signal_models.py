@@ -36,6 +36,8 @@ def test_envelope(spark, e, cap):
     rows = spark.createDataFrame([("s", i, v) for i, v in enumerate(values)], "stream_id string, window_no long, v int")
     got = [r.display for r in meters.enveloped(rows, "v", e, cap).orderBy("window_no").collect()]
     assert got == model(values, e, cap)
+    one = spark.createDataFrame([(values,)], "v array<int>").select(meters.envelope(F.col("v"), e, cap).alias("d")).first().d
+    assert one == got
 
 
 def test_fade_out_reaches_zero(spark):

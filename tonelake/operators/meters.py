@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tonelake.functions import signal
 from tonelake.plans.settings import Envelope, Settings
+from tonelake.session import ready
 
 
 def vu_windows(pcm: DataFrame, frames: int | None = None) -> DataFrame:
@@ -24,7 +29,7 @@ def vu_windows(pcm: DataFrame, frames: int | None = None) -> DataFrame:
 
 
 def envelope(values: Column, e: Envelope, cap: int | None = None) -> Column:
-    """Display values for an ordered array of measured ones.
+    """Display values for a short ordered array of measured ones, as an expression; ``enveloped`` serves long streams.
 
     A louder value starts the hold and raises the display by ``attack`` up to ``cap`` (or the value itself without
     one); otherwise the hold runs down and then the display falls by ``release`` at most.
@@ -43,12 +48,32 @@ def envelope(values: Column, e: Envelope, cap: int | None = None) -> Column:
 
 
 def enveloped(windows: DataFrame, value: str, e: Envelope, cap: int | None = None, keys: tuple[str, ...] = ("stream_id",), order: str = "window_no", out: str = "display") -> DataFrame:
-    """(keys, order, value, out): folds each stream's windows in order; only windows, never samples, are gathered."""
-    rows = F.array_sort(F.collect_list(F.struct(order, value)))
-    folded = windows.groupBy(*keys).agg(rows.alias("_rows"))
-    shown = envelope(F.transform("_rows", lambda r: r[value].cast("int")), e, cap)
-    zipped = F.explode(F.arrays_zip(F.col("_rows").alias("r"), shown.alias("d")))
-    return folded.select(*keys, zipped.alias("z")).select(*keys, F.col(f"z.r.{order}").alias(order), F.col(f"z.r.{value}").alias(value), F.col("z.d").alias(out))
+    """(keys, order, value, out): the envelope over each stream's windows in order.
+
+    Windows (never samples) are hashed by stream and sorted; a display and its hold are carried from row to row, so time
+    grows with the windows and a task holds a batch.
+    """
+    rows = windows.select(*keys, order, F.col(value).cast("int").alias(value)).repartition(*keys).sortWithinPartitions(*keys, order)
+    ready(windows.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, display, hold = None, 0, 0
+        for batch in batches:
+            shown = []
+            for own in zip(*(batch.column(k).to_pylist() for k in keys), batch.column(value).to_pylist()):
+                if own[:-1] != last:
+                    last, display, hold = own[:-1], 0, 0
+                x = own[-1]
+                if x > display:
+                    display, hold = min(display + e.attack, x if cap is None else cap), e.hold
+                elif hold == 0:
+                    display -= min(display - x, e.release)
+                else:
+                    hold -= 1
+                shown.append(display)
+            yield batch.append_column(out, pa.array(shown, pa.int32()))
+
+    return rows.mapInArrow(run, T.StructType([*rows.schema.fields, T.StructField(out, T.IntegerType())]))
 
 
 def with_fade_out(windows: DataFrame, value: str, e: Envelope, order: str = "window_no", keys: tuple[str, ...] = ("stream_id",)) -> DataFrame:
