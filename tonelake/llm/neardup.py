@@ -42,25 +42,23 @@ COLUMNS = 4096
 #: Pairs whose ids may be broadcast: 32 MB of ids at most.
 MOST_BROADCAST = 2_000_000
 
-_SIGNED = pa.schema([("id", pa.int64()), ("n", pa.int64()), ("k1", pa.int64()), ("k2", pa.int64()), ("s1", pa.int64()), ("s2", pa.int64()), ("bands", pa.list_(pa.int64()))])
-
-
 def signed(docs: DataFrame, bands: int, rows: int) -> DataFrame:
     """(id, n, k1, k2, s1, s2, bands) of (id, text): set size, 128-bit hash of the set, signature bits, band hashes."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            cols: list[list] = [[] for _ in _SIGNED]
-            for id_, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist()):
-                s = sh.shingle_set(text)
-                row = [id_, len(s), 0, 0, 0, 0, None]
-                if len(s):
-                    least = sh.minima(s, bands * rows)
-                    key = np.array([sh.mixed(s).sum(dtype=np.uint64), np.bitwise_xor.reduce(sh.mixed(s + np.uint64(1)))], np.uint64).view(np.int64)
-                    row[2:] = [int(key[0]), int(key[1]), *map(int, sh.bits(least)), sh.bands(least, rows).tolist()]
-                for c, v in zip(cols, row):
-                    c.append(v)
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, _SIGNED)], schema=_SIGNED)
+            values, sizes = sh.sets_of(batch.column(1).cast(pa.binary()).to_pylist())
+            some = sizes > 0
+            keys, marks = np.zeros((2, len(sizes)), np.uint64), np.zeros((len(sizes), 2), np.int64)
+            found = np.empty((0, bands), np.int64)
+            if some.any():
+                starts = (np.cumsum(sizes) - sizes)[some]
+                keys[0, some] = np.add.reduceat(sh.mixed(values), starts)
+                keys[1, some] = np.bitwise_xor.reduceat(sh.mixed(values + np.uint64(1)), starts)
+                least = sh.minima_of(values, sizes[some], bands * rows)
+                marks[some], found = sh.bits(least), sh.bands(least, rows)
+            lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(some) * bands]), pa.int32()), pa.array(found.ravel()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), *map(pa.array, (sizes, keys[0].view(np.int64), keys[1].view(np.int64), marks[:, 0].copy(), marks[:, 1].copy())), lists], names=["id", "n", "k1", "k2", "s1", "s2", "bands"])
 
     return in_arrow(docs.select("id", "text"), sign, "id long, n long, k1 long, k2 long, s1 long, s2 long, bands array<long>")
 
@@ -144,7 +142,8 @@ def grouped(docs: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     found, found_at = components(made)
     remove(spark, nodes_at, members_at, stars_at, *links)
     out = all_.select("id", "n", "k1", "k2").join(classes, ["k1", "k2"], "left")
-    return _placed(out.withColumn("rep", F.coalesce("rep", "id")), found, "rep", "component").select("id", "n", "component")
+    out = out.withColumn("rep", F.when(F.col("id").isNotNull(), F.coalesce("rep", "id")))
+    return _placed(out, found, "rep", "component").select("id", "n", "component")
 
 
 def _left(members: DataFrame, found: DataFrame, nodes: DataFrame) -> DataFrame:

@@ -17,6 +17,7 @@ An empty table gives an empty result.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -58,13 +59,29 @@ def cuts(h: np.ndarray) -> np.ndarray:
     return np.flatnonzero(least) + REACH
 
 
-_UNITS = "id long, kind int, no int, n_words int, start long, stop long, key long"
+#: The base of the words' rolling hash and its inverse, both modulo 2 to the 64.
+_BASE = np.uint64(0x9E3779B97F4A7C15)
+_INVERSE = np.uint64(pow(int(_BASE), -1, 2**64))
+
+
+@functools.lru_cache(8)
+def _many_powers(base: np.uint64, n: int) -> np.ndarray:
+    return np.cumprod(np.concatenate([[np.uint64(1)], np.full(n - 1, base)]))
+
+
+def _powers(base: np.uint64, n: int) -> np.ndarray:
+    """The first ``n`` powers of a base."""
+    return _many_powers(base, max(4096, 1 << n.bit_length()))[:n]
+
+
+_UNITS = "id long, kind int, no int, n_words int, start long, stop long, key long, text string"
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Blocks (kind 0) and long paragraphs (kind 1) of each text: place, words, code points, hash of their words."""
+    """Blocks (kind 0) and long paragraphs (kind 1) of each text: place, words, code points, hash of their words, a paragraph's text."""
     for batch in batches:
         out: list[list[np.ndarray]] = [[] for _ in range(7)]
+        said: list[pa.Array] = []
         for id_, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist()):
             text = text or b""
             starts, ends = word_spans(text)
@@ -77,35 +94,20 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             line = np.searchsorted(np.flatnonzero(np.frombuffer(text, np.uint8) == 10), starts)
             turn = np.concatenate([[0], np.flatnonzero(np.diff(line)) + 1, [len(h)]])
             own = turn[1:] - turn[:-1] >= MIN_WORDS
-            sums = np.concatenate([[np.uint64(0)], np.cumsum(h * np.cumprod(np.full(len(h), _BASE)))])
-            shift = np.cumprod(np.concatenate([[np.uint64(1)], np.full(len(h), _INVERSE)]))
+            sums = np.concatenate([[np.uint64(0)], np.cumsum(h * _powers(_BASE, len(h)))])
+            shift = _powers(_INVERSE, len(h) + 1)
             for kind, a, b in ((0, first, last), (1, turn[:-1][own], turn[1:][own])):
                 if not len(a):
                     continue
                 keys = sh.mixed((sums[b] - sums[a]) * shift[a] + (b - a).astype(np.uint64)).view(np.int64)
                 for c, v in zip(out, (np.full(len(a), id_), np.full(len(a), kind), np.arange(len(a)), b - a, before[starts[a]], before[ends[b - 1]], keys)):
                     c.append(v)
+                lines = [text[i:j] for i, j in zip(starts[a].tolist(), ends[b - 1].tolist())] if kind else [None] * len(a)
+                said.append(pa.array(lines, pa.binary()))
         types = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c) if c else [], t) for c, t in zip(out, types)], names=["id", "kind", "no", "n_words", "start", "stop", "key"])
-
-
-#: The base of the words' rolling hash and its inverse, both modulo 2 to the 64.
-_BASE = np.uint64(0x9E3779B97F4A7C15)
-_INVERSE = np.uint64(pow(int(_BASE), -1, 2**64))
-
-
-def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(id, text): the long paragraphs, named by the hash of their words as in _cut."""
-    for batch in batches:
-        names, texts = [], []
-        for text in batch.column(1).cast(pa.binary()).to_pylist():
-            for line in (text or b"").split(b"\n"):
-                if len(found := sh.words(line)) >= MIN_WORDS:
-                    h = sh.word_hashes(found)
-                    key = (h * np.cumprod(np.full(len(h), _BASE))).sum(dtype=np.uint64) + np.uint64(len(h))
-                    names.append(int(sh.mixed(np.array([key])).view(np.int64)[0]))
-                    texts.append(line)
-        yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(texts, pa.binary()).cast(pa.string())], names=["id", "text"])
+        cols = [pa.array(np.concatenate(c) if c else [], t) for c, t in zip(out, types)]
+        texts = pa.concat_arrays(said).cast(pa.string()) if said else pa.array([], pa.string())
+        yield pa.RecordBatch.from_arrays([*cols, texts], names=["id", "kind", "no", "n_words", "start", "stop", "key", "text"])
 
 
 def _shared(of: DataFrame, by: str) -> DataFrame:
@@ -121,7 +123,7 @@ def repeats(docs: DataFrame) -> DataFrame:
     docs = docs.where("id IS NOT NULL").select("id", "text")
     spark = docs.sparkSession
     cut, _ = written(in_arrow(docs, _cut, _UNITS), "units")
-    blocks = cut.where("kind = 0").drop("kind")
+    blocks = cut.where("kind = 0").drop("kind", "text")
     again, again_at = written(_shared(blocks, "key"), "again")
     order = Window.partitionBy("id").orderBy("no", "start")
     twice = (F.col("no") == F.lag("no").over(order)) & (F.col("start") == F.lag("start").over(order))  # of a repeated row
@@ -140,9 +142,8 @@ def repeats(docs: DataFrame) -> DataFrame:
     remove(spark, again_at)
 
     lines = cut.where("kind = 1").select("id", "start", "stop", "n_words", "key")
-    told, told_at = written(in_arrow(docs, _lines, "id long, text string"), "paragraphs")
+    told = cut.where("kind = 1").select(F.col("key").alias("id"), "text")
     groups, _ = written(neardup.grouped(told, BANDS, ROWS).select(F.col("id").alias("key"), F.col("component").alias("group")).distinct(), "groups")
-    remove(spark, told_at)
     named = lines.join(groups, "key")
     held = _shared(named, "group")
     lines = named.join(held, "group").select(F.col("id").alias("doc_id"), F.lit("paragraph").alias("kind"), "start", "stop", F.col("n_words").cast("long").alias("n_words"), F.col("first").alias("component_id"), (F.col("first") == F.col("id")).alias("kept"))

@@ -64,18 +64,61 @@ def minima(s: np.ndarray, n: int = HASHES) -> np.ndarray:
 
 
 def bands(least: np.ndarray, rows: int) -> np.ndarray:
-    """A hash for each band of ``rows`` minima, its number included."""
-    part = least.reshape(-1, rows).astype(np.uint64)
-    return mixed((part * _ODD[:rows]).sum(axis=1, dtype=np.uint64) + np.arange(1, len(part) + 1, dtype=np.uint64) * _ODD[4]).view(np.int64)
+    """For each row of minima a hash of each band of ``rows`` of them, its number included."""
+    part = least.reshape(len(least), -1, rows).astype(np.uint64)
+    return mixed((part * _ODD[:rows]).sum(axis=2, dtype=np.uint64) + np.arange(1, part.shape[1] + 1, dtype=np.uint64) * _ODD[4]).view(np.int64)
 
 
 def bits(least: np.ndarray) -> np.ndarray:
-    """128 mixed bits of the minima, as many of each, in two longs: bits that two sets share estimate their likeness."""
-    each = 128 // len(least)
-    own = (mixed(least.astype(np.uint64))[:, None] >> (np.arange(17, 17 + each, dtype=np.uint64))) & np.uint64(1)
-    out = np.zeros(128, np.uint8)
-    out[: each * len(least)] = own.ravel()
-    return np.packbits(out).view(np.int64)
+    """For each row of minima 128 mixed bits, as many of each, in two longs: bits that two sets share estimate their likeness."""
+    each = 128 // least.shape[1]
+    own = (mixed(least.astype(np.uint64))[:, :, None] >> (np.arange(17, 17 + each, dtype=np.uint64))) & np.uint64(1)
+    out = np.zeros((len(least), 128), np.uint8)
+    out[:, : each * least.shape[1]] = own.reshape(len(least), -1)
+    return np.packbits(out, axis=1).view(np.int64)
+
+
+#: Shingles hashed at a time, and the size from which a set is hashed by itself.
+PART, LONG = 8192, 250
+
+
+def sets_of(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
+    """The shingle sets of several texts in a row, each sorted, and how many shingles each has."""
+    found = [word_hashes(words(t)) for t in texts]
+    h = np.concatenate([*found, np.empty(0, np.uint64)])
+    of = np.repeat(np.arange(len(found)), [len(f) for f in found])
+    n = max(0, len(h) - SHINGLE + 1)
+    whole = of[:n] == of[len(of) - n :]
+    values, of = (shingles(h)[whole], of[:n][whole]) if n else (h[:0], of[:0])
+    ends = np.searchsorted(of, np.arange(len(found)), side="right").tolist()
+    sets, at = [], 0
+    for f, end in zip(found, ends):
+        part = np.sort(values[at:end] if end > at else shingles(f))
+        if len(part) > 1:
+            part = part[np.concatenate([[True], part[1:] != part[:-1]])]
+        sets.append(part)
+        at = end
+    return np.concatenate([*sets, values[:0]]), np.array([len(x) for x in sets])
+
+
+def minima_of(values: np.ndarray, sizes: np.ndarray, n: int = HASHES) -> np.ndarray:
+    """Minima of several non-empty sets that lie in a row; PART values or one set are hashed at a time."""
+    ends = np.cumsum(sizes)
+    starts, out, i = ends - sizes, np.empty((len(sizes), n), np.uint32), 0
+    while i < len(sizes):
+        j = i + 1
+        if n < 64 and sizes[i] < LONG:
+            far = int(np.searchsorted(ends, starts[i] + PART, side="right"))
+            long = np.flatnonzero(sizes[i:far] >= LONG)
+            j = max(j, i + int(long[0]) if len(long) else far)
+        part = values[starts[i] : ends[j - 1]]
+        if j == i + 1:
+            out[i] = minima(part, n)
+        else:
+            x = (part >> np.uint64(32)).astype(np.uint32)
+            out[i:j] = np.minimum.reduceat(x[:, None] * _A[:n] + _B[:n], starts[i:j] - starts[i], axis=0)
+        i = j
+    return out
 
 
 def likeness(a: np.ndarray, b: np.ndarray) -> tuple[int, int]:
