@@ -142,3 +142,39 @@ def test_http_stream(spark, server):
     finally:
         q.stop()
     assert joined(rows) == data
+
+
+def test_hls_over_http(spark):
+    """Variants, then segments in MPEG-TS and raw, fetched and unframed in order."""
+    from tonelake.sources import web
+
+    parts = {
+        "/live/master.m3u8": b'#EXTM3U\n#EXT-X-STREAM-INF:CODECS="mp4a.40.5"\nlow.m3u8\n#EXT-X-STREAM-INF:CODECS="mp4a.40.2"\nhigh.m3u8\n',
+        "/live/high.m3u8": b"#EXTM3U\n#EXTINF:4,a\n0.ts\n#EXTINF:4,b\n1.ts\n#EXTINF:4,c\n/raw/2.aac\n",
+        "/live/0.ts": fixtures.transport_stream([b"old"]), "/live/1.ts": fixtures.transport_stream([b"x" * 150, b"y" * 20]), "/raw/2.aac": b"raw bytes",
+    }
+
+    class Handler(http.server.BaseHTTPRequestHandler):
+        def do_HEAD(self):
+            self.send_response(200)
+            self.send_header("Content-Length", str(len(parts[self.path])))
+            self.end_headers()
+
+        def do_GET(self):
+            self.do_HEAD()
+            self.wfile.write(parts[self.path])
+
+        def log_message(self, *a):
+            pass
+
+    s = http.server.ThreadingHTTPServer(("127.0.0.1", 0), Handler)
+    threading.Thread(target=s.serve_forever, daemon=True).start()
+    root = f"http://127.0.0.1:{s.server_port}"
+    try:
+        segments = web.hls_segments(spark, f"{root}/live/master.m3u8", last_url=f"{root}/live/0.ts")
+        assert [r.url for r in segments.orderBy("line_no").collect()] == [f"{root}/live/1.ts", f"{root}/raw/2.aac"]
+        data = [bytes(r.data) for r in web.hls_audio(spark, segments).orderBy("line_no", "packet_no").collect()]
+        assert data == [b"x" * 150, b"y" * 20, b"raw bytes"]
+        assert web.web_file(spark, f"{root}/raw/2.aac").first().content == b"raw bytes"
+    finally:
+        s.shutdown()

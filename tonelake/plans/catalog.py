@@ -1,6 +1,6 @@
 """All queries of the signal and media operators, with their DuckDB SQL."""
 
-from tonelake.plans import media_queries, signal_queries, text_queries
+from tonelake.plans import media_queries, signal_queries, stream_queries, text_queries
 
-QUERIES = signal_queries.QUERIES | text_queries.QUERIES | media_queries.QUERIES
-ORACLE_SQL = signal_queries.ORACLE_SQL | text_queries.ORACLE_SQL | media_queries.ORACLE_SQL
+QUERIES = signal_queries.QUERIES | text_queries.QUERIES | media_queries.QUERIES | stream_queries.QUERIES
+ORACLE_SQL = signal_queries.ORACLE_SQL | text_queries.ORACLE_SQL | media_queries.ORACLE_SQL | stream_queries.ORACLE_SQL

@@ -1,8 +1,10 @@
-"""What a session needs before Python tasks run."""
+"""What a session needs before Python tasks run, and the folder that all its executors share."""
 
 from __future__ import annotations
 
 import os
+import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -13,3 +15,22 @@ def ready(spark: SparkSession) -> SparkSession:
     if home not in env.get("PYTHONPATH", "").split(os.pathsep):
         env["PYTHONPATH"] = os.pathsep.join(filter(None, [env.get("PYTHONPATH"), home]))
     return spark
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that the driver and all executors see: spark.checkpoint.dir of the session.
+
+    Where it is unset, a local session (tests) gets a temporary folder; a cluster must name one.
+    """
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if root:
+        return root.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    root = f"file://{tempfile.mkdtemp(prefix='tonelake-')}"
+    spark.conf.set("spark.checkpoint.dir", root)
+    return root
+
+
+def fresh_path(spark: SparkSession, name: str) -> str:
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
