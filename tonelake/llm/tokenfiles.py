@@ -17,7 +17,6 @@ from __future__ import annotations
 import io
 import itertools
 import uuid
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tonelake.llm.common import fresh_path, in_arrow, partitions, table, written
-from tonelake.llm.tokens import default_path, encoder
+from tonelake.llm.tokens import KEPT, default_path, encoder
 
 # Values in a word and bits of each, by selector; 0 is the escape.
 COUNTS = [1, 120, 60, 30, 20, 15, 12, 10, 8, 7, 6, 5, 4, 3, 2, 1]
@@ -37,36 +36,43 @@ BITS = [64, 0, 1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 15, 20, 30, 60]
 MAGIC = b"S8B1"
 BLOCK = 16_384
 _POWERS = np.uint64(1) << np.arange(61, dtype=np.uint64)
+#: Bit lengths of the values that token ids have.
+_LENGTHS = np.searchsorted(_POWERS, np.arange(1 << 17, dtype=np.uint64), side="right")
 
 
 def encode_block(values: np.ndarray) -> np.ndarray:
     """uint64 values as Simple-8b words; at each place the selector that takes the most values."""
     n = len(values)
-    bits = np.searchsorted(_POWERS, values, side="right")  # bit lengths; 61 stands for more than 60
-    places, rest = np.arange(n), n - np.arange(n)
+    bits = _LENGTHS[values] if values.max(initial=0) < len(_LENGTHS) else np.searchsorted(_POWERS, values, side="right")  # 61 stands for more than 60
+    rest = np.arange(n, 0, -1)
     selector, taken = np.zeros(n, np.int64), np.ones(n, np.int64)
+    small = np.arange(n)
     for s in range(15, 0, -1):  # the later, denser ones win
-        end = np.where(bits > BITS[s], places, n)
-        run = np.minimum.accumulate(end[::-1])[::-1] - places
-        fits = run >= np.minimum(COUNTS[s], rest)
-        selector[fits], taken[fits] = s, np.minimum(COUNTS[s], rest)[fits]
+        small = small[bits[small] <= BITS[s]]
+        if not len(small):
+            break
+        # places from which COUNTS[s] small values follow; past the end all counts as small, so the last word may be short
+        run = np.concatenate([small, np.arange(n, n + COUNTS[s] - 1)])
+        fits = small[run[COUNTS[s] - 1 :] - small == COUNTS[s] - 1]
+        selector[fits], taken[fits] = s, np.minimum(COUNTS[s], rest[fits])
     starts, at, step = [], 0, taken.tolist()
     while at < n:
         starts.append(at)
         at += step[at]
     starts = np.array(starts, np.int64)
-    chosen, got = selector[starts], taken[starts]
+    chosen = selector[starts]
     wide = chosen == 0
     where = np.cumsum(1 + wide) - 1 - wide  # an escape takes two words
     words = np.zeros(int((1 + wide).sum()), np.uint64)
     words[where[wide] + 1] = values[starts[wide]]
-    padded = np.concatenate([values, np.zeros(120, np.uint64)])
-    for s in range(1, 16):
-        own = chosen == s
-        if own.any():
-            k = np.arange(COUNTS[s])
-            part = np.where(k < got[own, None], padded[starts[own, None] + k], np.uint64(0))
-            words[where[own]] = np.bitwise_or.reduce(part << (k * BITS[s]).astype(np.uint64), axis=1) | (np.uint64(s) << np.uint64(60)) if BITS[s] else np.uint64(s) << np.uint64(60)
+    padded = np.concatenate([values, np.zeros(120, np.uint64)])  # what a short last word lacks is zero
+    for s in np.unique(chosen[~wide]).tolist():
+        own = np.flatnonzero(chosen == s)
+        word = np.full(len(own), s << 60, np.uint64)
+        if BITS[s]:
+            for k in range(COUNTS[s]):
+                word |= padded[starts[own] + k] << np.uint64(k * BITS[s])
+        words[where[own]] = word
     return words
 
 
@@ -165,7 +171,7 @@ class Reader:
             have = have[n:]
 
 
-def write_files(docs: DataFrame, folder: str, tokenizer: str, end_id: int) -> DataFrame:
+def write_files(docs: DataFrame, folder: str, tokenizer: str, end_id: int, kept: int = KEPT) -> DataFrame:
     """Writes (doc_id, text) into files below ``folder``; returns (file, path, n_ids), numbered in order."""
     end = end_id.to_bytes(4, "little")
 
@@ -173,7 +179,7 @@ def write_files(docs: DataFrame, folder: str, tokenizer: str, end_id: int) -> Da
         first = next(batches, None)
         if first is None:
             return
-        of, number, path = encoder(tokenizer), TaskContext.get().partitionId(), f"{folder}/{uuid.uuid4().hex}.s8b"
+        of, number, path = encoder(tokenizer, kept), TaskContext.get().partitionId(), f"{folder}/{uuid.uuid4().hex}.s8b"
         fs, local = FileSystem.from_uri(path)
         fs.create_dir(local.rpartition("/")[0], recursive=True)
         with fs.open_output_stream(local, compression=None) as out:
@@ -212,5 +218,5 @@ def read_files(files: DataFrame) -> DataFrame:
 
 
 def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    files = write_files(table(spark, sf_dir, "documents"), fresh_path(spark, "tokens"), default_path(), 2)
+    files = write_files(table(spark, sf_dir, "documents"), fresh_path(spark, "tokens"), default_path(), 2, kept=500_000)
     return read_files(files).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))

@@ -1,7 +1,9 @@
 """Token ids of whole texts by the tokenizers library, white-space chunk by chunk.
 
-The tokenizer named in the contracts drops white space and never joins what it parts, so a text's ids are those of
-its chunks in turn. Each worker keeps the ids of chunks it has met, in two generations of bounded size.
+The tokenizer named in the contracts (word_bpe_49k) drops white space and never joins what it parts, so a text's ids are
+those of its chunks in turn. It parts letter runs from all else, lower-cases, maps bytes to letters and merges; a chunk of
+plain letters therefore goes to its merges alone. Another tokenizer must part text likewise. Each worker keeps the
+ids of chunks it has met, in two generations of bounded size.
 """
 
 from __future__ import annotations
@@ -9,6 +11,7 @@ from __future__ import annotations
 import functools
 import os
 import struct
+from array import array
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -18,8 +21,14 @@ from pyspark.sql import types as T
 
 from tonelake.llm.common import in_arrow
 
-#: Chunks in a generation.
-KEPT = 250_000
+#: Chunks in a generation, of which there are two: 160 bytes each or so, in every worker.
+KEPT = 200_000
+#: Below this character, letters are composed and have one simple lower case.
+FIRST_BEYOND = "\u0130"
+
+# The byte-level alphabet by its rule: printable bytes stand for themselves, the others follow from U+0100 on, in order.
+_PRINTABLE = {*range(33, 127), *range(161, 173), *range(174, 256)}
+_BYTE_LEVEL = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in _PRINTABLE)}
 
 
 def default_path() -> str:
@@ -31,24 +40,29 @@ def default_path() -> str:
 class Encoder(dict):
     """Maps a chunk to its ids as little-endian unsigned 32-bit integers."""
 
-    def __init__(self, path: str) -> None:
+    def __init__(self, path: str, kept: int) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         super().__init__()
-        self.of, self.last = Tokenizer.from_file(path), {}
+        self.of, self.last, self.kept = Tokenizer.from_file(path), {}, kept
+        self.merge = self.of.model.tokenize
 
     def __missing__(self, chunk: bytes) -> bytes:
-        if len(self) >= KEPT:
+        if len(self) >= self.kept:
             self.last = dict(self)
             self.clear()
         ids = self.last.get(chunk)
         if ids is None:
-            if chunk[-1:] in (b".", b",") and chunk[:-1].decode().isalpha():  # a letter run and a mark are apart
+            plain = chunk.decode()
+            if plain.isalpha() and (plain.isascii() or max(plain) < FIRST_BEYOND):  # one letter run: only the merges are left to do
+                if not plain.isascii():
+                    plain = plain.lower().encode().decode("latin-1").translate(_BYTE_LEVEL)
+                ids = array("I", [t.id for t in self.merge(plain)]).tobytes()
+            elif chunk[-1:] in (b".", b",") and plain[:-1].isalpha():  # a letter run and a mark are apart
                 ids = self[chunk[:-1]] + self[chunk[-1:]]
             else:
-                found = self.of.encode(chunk.decode(), add_special_tokens=False).ids
-                ids = struct.pack(f"<{len(found)}I", *found)
+                ids = array("I", self.of.encode(plain, add_special_tokens=False).ids).tobytes()
         self[chunk] = ids
         return ids
 
@@ -60,17 +74,17 @@ class Encoder(dict):
 
 
 @functools.lru_cache(2)
-def encoder(path: str) -> Encoder:
-    return Encoder(path)
+def encoder(path: str, kept: int = KEPT) -> Encoder:
+    return Encoder(path, kept)
 
 
-def with_ids(df: DataFrame, path: str, end_id: int, text: str = "text", out: str = "ids") -> DataFrame:
+def with_ids(df: DataFrame, path: str, end_id: int, text: str = "text", out: str = "ids", kept: int = KEPT) -> DataFrame:
     """Adds the ids of a text (null: none) and then ``end_id``, 4 bytes each, little-endian."""
     end = struct.pack("<I", end_id)
     schema = T.StructType([*df.schema.fields, T.StructField(out, T.BinaryType())])
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        of = encoder(path)
+        of = encoder(path, kept)
         for batch in batches:
             texts = batch.column(text).cast(pa.binary()).to_pylist()
             yield batch.append_column(out, pa.array([of.ids(t) + end for t in texts], pa.binary()))
