@@ -10,13 +10,14 @@ def due(lines: DataFrame, blocks: DataFrame) -> DataFrame:
     """(stream_id, line_no, ts_ms, text, block_no): the first block whose time is strictly past the line's.
 
     ``lines`` has (stream_id, line_no, ts_ms, text), ``blocks`` (stream_id, block_no, time_ms), times rising with
-    block_no. A union sorted by time and a look-ahead over the stream stand for the missing as-of join.
+    block_no. A union sorted by time, read backwards, stands for the missing as-of join.
     """
     t = "bigint"
     a = lines.select("stream_id", F.col("ts_ms").cast(t).alias("at"), F.lit(1).alias("kind"), "line_no", "ts_ms", "text", F.lit(None).cast(t).alias("block_no"))
     b = blocks.select("stream_id", F.col("time_ms").cast(t).alias("at"), F.lit(0).alias("kind"), *[F.lit(None).cast(c).alias(n) for n, c in lines.select("line_no", "ts_ms", "text").dtypes], F.col("block_no").cast(t).alias("block_no"))
-    after = Window.partitionBy("stream_id").orderBy("at", "kind", F.col("block_no")).rowsBetween(Window.currentRow, Window.unboundedFollowing)
-    return a.unionByName(b).withColumn("block_no", F.first("block_no", ignorenulls=True).over(after)).where("kind = 1").select("stream_id", "line_no", "ts_ms", "text", "block_no")
+    # backwards, so that the running value is carried along instead of looked up from every row
+    back = Window.partitionBy("stream_id").orderBy(F.desc("at"), F.desc("kind"), F.desc("block_no")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return a.unionByName(b).withColumn("block_no", F.last("block_no", ignorenulls=True).over(back)).where("kind = 1").select("stream_id", "line_no", "ts_ms", "text", "block_no")
 
 
 def shown(lines: DataFrame, blocks: DataFrame) -> DataFrame:

@@ -58,11 +58,11 @@ def moved(position: Column, seconds: Column, bitrate: Column, start: Column, end
 def next_frame(frames: DataFrame, targets: DataFrame) -> DataFrame:
     """(stream_id, target, offset): the first frame of (stream_id, offset) at or past each (stream_id, target).
 
-    A union of both sorted by place and a running minimum from behind: no pairs are formed.
+    A union of both sorted by place and read backwards: no pairs are formed.
     """
     both = frames.select("stream_id", F.col("offset").alias("at"), F.col("offset"), F.lit(None).cast("bigint").alias("target")).unionByName(targets.select("stream_id", F.col("target").alias("at"), F.lit(None).cast("bigint").alias("offset"), "target"))
-    after = Window.partitionBy("stream_id").orderBy("at", F.col("target").isNull()).rowsBetween(Window.currentRow, Window.unboundedFollowing)
-    return both.withColumn("offset", F.first("offset", ignorenulls=True).over(after)).where("target IS NOT NULL").select("stream_id", "target", "offset")
+    back = Window.partitionBy("stream_id").orderBy(F.desc("at"), F.col("target").isNull().desc()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return both.withColumn("offset", F.last("offset", ignorenulls=True).over(back)).where("target IS NOT NULL").select("stream_id", "target", "offset")
 
 
 def stream_info(streams: DataFrame) -> DataFrame:
