@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tonelake.operators import equalizer, meters, resample, spectrum
+from tonelake.operators import equalizer, meters, resample, running, spectrum
 from tonelake.plans import playback
 from tonelake.plans.settings import Envelope, Settings
 
@@ -119,3 +119,14 @@ def test_plans_stay_native(spark):
     assert "Python" not in p and "MapIn" not in p
     rows = pcm(spark, [(1, 1)]).where(F.lit(True))
     assert meters.vu_windows(rows, 4)._jdf.queryExecution().toString().count("Exchange hashpartitioning") <= 1
+
+
+@pytest.mark.parametrize("chunk", [1, 7, 1 << 16])
+def test_running_sums_over_chunks(spark, chunk):
+    rng = np.random.default_rng(3)
+    rows = [(s, i * 3, int(rng.integers(0, 100))) for s in "ab" for i in range(50)]
+    got = running.running_sums(spark.createDataFrame(rows, "stream_id string, n long, v long"), {"total": "v"}, "n", chunk=chunk).collect()
+    assert len(got) == 100
+    for s in "ab":
+        own = sorted((r for r in got if r.stream_id == s), key=lambda r: r.n)
+        assert [r.total for r in own] == np.cumsum([r.v for r in own]).tolist()

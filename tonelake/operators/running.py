@@ -6,17 +6,40 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def average_bitrate(blocks: DataFrame, rate: int, channels: int = 2) -> DataFrame:
+#: Numbers of a stream that one task adds up.
+CHUNK = 1 << 16
+
+
+def running_sums(rows: DataFrame, sums: dict[str, str], order: str, key: str = "stream_id", chunk: int | None = None) -> DataFrame:
+    """Adds for each (name: column) the sum up to and including the row, in ``order`` (a number) within ``key``.
+
+    A stream is cut into chunks by that number. Chunks are summed, their sums added up (a row per chunk), and each chunk
+    goes on from what came before it, so a long stream spreads over tasks. The rows are shuffled once.
+    """
+    rows = rows.withColumn("_chunk", F.expr(f"{order} div {chunk or CHUNK}"))
+    before = Window.partitionBy(key).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
+    whole = rows.groupBy(key, "_chunk").agg(*[F.sum(c).alias(f"_{n}") for n, c in sums.items()])
+    base = whole.select(key, "_chunk", *[F.coalesce(F.sum(f"_{n}").over(before), F.lit(0)).alias(f"_{n}") for n in sums])
+    upto = Window.partitionBy(key, "_chunk").orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    joined = rows.join(base, [key, "_chunk"])
+    return joined.withColumns({n: F.sum(c).over(upto) + F.col(f"_{n}") for n, c in sums.items()}).drop("_chunk", *[f"_{n}" for n in sums])
+
+
+def average_bitrate(blocks: DataFrame, rate: int) -> DataFrame:
     """Adds sum_bytes, sum_samples, average and bitrate to (stream_id, block_no, bytes_in, samples_out).
 
     ``average`` is bits per second so far; ``bitrate`` is 0 until it has moved by less than 100 for eleven blocks.
+    The average one block ago follows from the sums without this block.
     """
-    order = Window.partitionBy("stream_id").orderBy("block_no")
-    sofar = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    rows = blocks.withColumns({"sum_bytes": F.sum("bytes_in").over(sofar), "sum_samples": F.sum("samples_out").over(sofar)})
-    rows = rows.withColumn("average", F.when(F.col("sum_samples") > 0, F.expr(f"sum_bytes * 8 * {rate} div sum_samples")).otherwise(0))
-    rows = rows.withColumn("_still", (F.abs(F.col("average") - F.lag("average", 1, 0).over(order)) < 100).cast("int"))
-    return rows.withColumn("bitrate", F.when(F.sum("_still").over(sofar) > 10, F.col("average")).otherwise(0)).drop("_still")
+    rows = running_sums(blocks, {"sum_bytes": "bytes_in", "sum_samples": "samples_out"}, "block_no")
+
+    def average(size: str, samples: str) -> Column:
+        return F.expr(f"CASE WHEN {samples} > 0 THEN {size} * 8 * {rate} div {samples} ELSE 0 END")
+
+    rows = rows.withColumn("average", average("sum_bytes", "sum_samples"))
+    moved_by = F.col("average") - average("(sum_bytes - bytes_in)", "(sum_samples - samples_out)")
+    rows = running_sums(rows.withColumn("_still", (F.abs(moved_by) < 100).cast("int")), {"_calm": "_still"}, "block_no")
+    return rows.withColumn("bitrate", F.when(F.col("_calm") > 10, F.col("average")).otherwise(0)).drop("_still", "_calm")
 
 
 def audio_time(rated: DataFrame, rate: int, data_size: Column | int) -> DataFrame:
@@ -34,8 +57,7 @@ def frame_averages(frames: DataFrame, rate: int) -> DataFrame:
 
 def sample_offset(sizes: DataFrame, target: str = "target") -> DataFrame:
     """(stream_id, sample_no, offset): the first cumulative offset at or past ``target``, from a table of sample sizes."""
-    before = Window.partitionBy("stream_id").orderBy("sample_no").rowsBetween(Window.unboundedPreceding, -1)
-    placed = sizes.withColumn("offset", F.coalesce(F.sum("size").over(before), F.lit(0))).where(F.col("offset") >= F.col(target))
+    placed = running_sums(sizes, {"_end": "size"}, "sample_no").withColumn("offset", F.col("_end") - F.col("size")).where(F.col("offset") >= F.col(target))
     return placed.groupBy("stream_id").agg(F.min(F.struct("sample_no", "offset")).alias("m")).select("stream_id", "m.sample_no", "m.offset")
 
 
