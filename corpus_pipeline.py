@@ -8,29 +8,52 @@ of documents. Documents with a null doc_id pass near-dedup; texts that substring
 
 from __future__ import annotations
 
+import functools
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from tonelake.llm import langid, mixing, neardup, packing, passages
-from tonelake.llm.common import table, written
+from tonelake.llm.common import noted, remove, table, tidy, written
 
 #: The tokenizer, the packing and the seeded choices are beyond SQL; tests compare with a brute-force version.
 ORACLE_SQL = None
 
+#: Tables behind the result of the stage that ran last. The next stage reads a table of that result, so they can go.
+_behind: list[str] = []
+
+
+def _stage(f: Callable) -> Callable:
+    @functools.wraps(f)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        remove(spark, *_behind)
+        tidy(spark)
+        with noted() as made:
+            out = f(spark, docs, sf_dir)
+        _behind[:] = made
+        return out
+
+    return run_stage
+
 
+@_stage
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = langid.fit(docs.where(~langid.held_out()))
-    return langid.identified(docs, model).where("NOT rejected").select(*docs.columns)
+    found = langid.identified(docs, model, out=("_lang", "_score", "_rejected"))
+    return found.where("NOT _rejected").select(*docs.columns)
 
 
+@_stage
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return neardup.deduplicated(docs)
 
 
+@_stage
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return passages.without_repeats(docs)
 
 
+@_stage
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return mixing.mixed(docs)
 

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+import gc
+from collections.abc import Iterator
+from contextlib import contextmanager
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-from tonelake.session import ready
+from tonelake.session import fresh_path, ready, shared_dir
 
 #: What separates words: space and the ASCII controls tab, line feed, vertical tab, form feed, carriage return.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -18,23 +19,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors see: spark.checkpoint.dir of the session.
+#: Lists that take down the paths of tables written meanwhile.
+_noting: list[list[str]] = []
 
-    Where it is unset, a local session (tests) gets a temporary folder; a cluster must name one.
-    """
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if root:
-        return root.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-    root = f"file://{tempfile.mkdtemp(prefix='tonelake-')}"
-    spark.conf.set("spark.checkpoint.dir", root)
-    return root
 
-
-def fresh_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+@contextmanager
+def noted() -> Iterator[list[str]]:
+    """The paths of the tables that the block writes and doesn't remove."""
+    paths: list[str] = []
+    _noting.append(paths)
+    try:
+        yield paths
+    finally:
+        _noting.remove(paths)
 
 
 def written(df: DataFrame, name: str) -> tuple[DataFrame, str]:
@@ -42,14 +39,32 @@ def written(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     spark = df.sparkSession
     path = fresh_path(spark, name)
     df.write.parquet(path)
+    for paths in _noting:
+        paths.append(path)
     return spark.read.schema(df.schema).parquet(path), path
 
 
+def counted(df: DataFrame, name: str, **sums: Column) -> tuple[DataFrame, str, dict]:
+    """As ``written``, with the number of rows ``n`` and other aggregates, taken down while writing."""
+    seen = Observation()
+    table, path = written(df.observe(seen, F.count(F.lit(1)).alias("n"), *[c.alias(k) for k, c in sums.items()]), name)
+    return table, path, seen.get
+
+
 def remove(spark: SparkSession, *paths: str) -> None:
     """Deletes tables that nothing reads any more."""
     for p in paths:
         path = spark._jvm.org.apache.hadoop.fs.Path(p)
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        for own in _noting:
+            if p in own:
+                own.remove(p)
+
+
+def tidy(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files of finished rounds: it does once the driver collects what referred to them."""
+    gc.collect()
+    spark._jvm.System.gc()
 
 
 def chars(text: Column | str) -> Column:

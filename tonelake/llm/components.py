@@ -2,27 +2,39 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tonelake.llm.common import remove, written
+from tonelake.llm.common import counted, remove, tidy, written
 
 
-def _large_star(e: DataFrame) -> DataFrame:
+#: Links up to which the nodes' minima are broadcast, and links that one task then writes.
+MOST_BROADCAST, ROWS = 200_000, 100_000
+
+
+def _least(e: DataFrame, m: Column, few: bool) -> DataFrame:
+    """(u, m): one row per node. Few are broadcast; many are dealt anew by m, so that the join with all links of a hub
+    shuffles both sides itself and Spark can split the hub, which in the aggregate's own partitions would stay in one task.
+    """
+    least = e.groupBy("u").agg(m.alias("m"))
+    return F.broadcast(least) if few else least.repartition("m")
+
+
+def _large_star(e: DataFrame, few: bool) -> DataFrame:
     both = e.union(e.select("v", "u"))
-    least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+    least = _least(both, F.least(F.min("v"), F.min("u")), few)
     return both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
 
 
-def _small_star(e: DataFrame) -> DataFrame:
+def _small_star(e: DataFrame, few: bool) -> DataFrame:
     down = e.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    least = down.groupBy("u").agg(F.min("v").alias("m"))
+    least = _least(down, F.min("v"), few)
     moved = down.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v")
     return moved.union(least.select("u", F.col("m").alias("v"))).distinct()
 
 
 def components(links: DataFrame) -> tuple[DataFrame, str]:
-    """(id, component): each linked id and the smallest id that links lead to; also the path of that table.
+    """(id, component): each linked id and the smallest id that links lead to, a table; also its path.
 
     ``links`` has two long columns, in any order and direction; loops and repeats are harmless, rows with a null
     are left out, and ids without a link have no row. Each round is written to the shared folder. It ends when a
@@ -30,13 +42,16 @@ def components(links: DataFrame) -> tuple[DataFrame, str]:
     """
     a, b = links.columns
     spark = links.sparkSession
-    e, path = written(links.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u != v").distinct(), "links")
+    mark = {"h": F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))}
+    e, path, now = counted(links.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u != v").distinct(), "links", **mark)
     seen = None
-    while True:
-        now = tuple(e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
-        if now == seen or not now[0]:
-            break
-        seen, last = now, path
-        e, path = written(_small_star(_large_star(e)), "links")
+    while now != seen and now["n"]:
+        seen, last, few = now, path, now["n"] <= MOST_BROADCAST
+        shrunk = _small_star(_large_star(e, few), few)
+        e, path, now = counted(shrunk.coalesce(-(-now["n"] // ROWS)) if few else shrunk, "links", **mark)
         remove(spark, last)
-    return e.select(F.col("u").alias("id"), F.col("v").alias("component")).union(e.select("v", "v").distinct()), path
+        tidy(spark)
+    nodes = e.select(F.col("u").alias("id"), F.col("v").alias("component")).union(e.select("v", "v").distinct())
+    out, out_path = written(nodes.coalesce(max(1, -(-now["n"] // ROWS))) if now["n"] <= MOST_BROADCAST else nodes, "components")
+    remove(spark, path)
+    return out, out_path

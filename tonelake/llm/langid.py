@@ -125,9 +125,13 @@ def fit(labelled: DataFrame, rows: int = FIT_ROWS, centroids: int = CENTROIDS) -
     return Model(languages, c.astype(np.float32), of, idf, float(own.min()) * SLACK)
 
 
-def identified(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """Adds lang_pred, score and rejected to every row; reads nothing but the text."""
-    schema = T.StructType([*docs.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("rejected", T.BooleanType())])
+def identified(docs: DataFrame, model: Model, text: str = "text", out: tuple[str, str, str] = ("lang_pred", "score", "rejected")) -> DataFrame:
+    """Adds the predicted language, score and rejection, under the names ``out``, to every row; reads nothing but the text.
+
+    Columns that already have one of these names are replaced.
+    """
+    docs = docs.drop(*out)
+    schema = T.StructType([*docs.schema.fields, T.StructField(out[0], T.StringType()), T.StructField(out[1], T.DoubleType()), T.StructField(out[2], T.BooleanType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -126,18 +126,17 @@ def mixed(docs: DataFrame, **how) -> DataFrame:
     choice, _ = written(decided(docs, **how), "mix")
     names = docs.columns
     if choice.groupBy("doc_id").count().where("count > 1").isEmpty():
-        key, choice = [], choice.select(F.col("doc_id").alias("_id"), "copies")
+        key, choice = [], choice.select(F.col("doc_id").alias("_id"), F.col("copies").alias("_copies"))
     else:  # rows that share an id are told apart by their order
-        order = Window.partitionBy("doc_id").orderBy("source", "size")
-        key, choice = ["_row"], choice.select(F.col("doc_id").alias("_id"), F.row_number().over(order).alias("_n"), "copies")
-        size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
-        docs = docs.withColumn("size", size).withColumn("_row", F.row_number().over(order)).select(*names, "_row")
-    choice = choice.where("copies > 0")
+        key, choice = ["_row"], choice.select(F.col("doc_id").alias("_id"), F.row_number().over(Window.partitionBy("doc_id").orderBy("source", "size")).alias("_n"), F.col("copies").alias("_copies"))
+        docs = docs.withColumn("_size", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long"))
+        docs = docs.withColumn("_row", F.row_number().over(Window.partitionBy("doc_id").orderBy("source", "_size"))).select(*names, "_row")
+    choice = choice.where("_copies > 0")
     on = docs["doc_id"].eqNullSafe(choice["_id"])
     for k in key:
         on &= docs[k] == choice["_n"]
     few = choice.count() <= MOST_BROADCAST * 4
-    return docs.join(F.broadcast(choice) if few else choice, on).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*names)
+    return docs.join(F.broadcast(choice) if few else choice, on).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))).select(*names)
 
 
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

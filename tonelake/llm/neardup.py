@@ -17,6 +17,7 @@ an empty result. Columns besides id and text are ignored.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,7 +26,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tonelake.llm import shingles as sh
-from tonelake.llm.common import in_arrow, remove, table, written
+from tonelake.llm.common import counted, in_arrow, remove, table, written
 from tonelake.llm.components import components
 from tonelake.session import ready
 
@@ -77,13 +78,13 @@ def _check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
 
-def checked(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose whole texts link. Only texts that some pair names are shuffled.
+def checked(pairs: DataFrame, n: int, docs: DataFrame) -> DataFrame:
+    """Of ``n`` pairs (a, b) those whose whole texts link. Only texts that some pair names are shuffled.
 
     The ids that choose them are broadcast if there are MOST_BROADCAST at most, else joined by shuffle.
     """
     ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
-    ids = F.broadcast(ids) if pairs.count() <= MOST_BROADCAST else ids
+    ids = F.broadcast(ids) if n <= MOST_BROADCAST else ids
     t = docs.join(ids, "id", "left_semi").select("id", F.encode("text", "UTF-8").alias("text")).dropDuplicates(["id"])
     both = pairs.join(t.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a").join(t.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b")
     return in_arrow(both.select("a", "b", "text_a", "text_b"), _check, "a long, b long")
@@ -120,27 +121,38 @@ def grouped(docs: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     members, members_at = written(flat.join(shared, "bucket"), "buckets")
     stars, stars_at = written(members.where("id != first").select(F.col("id").alias("a"), F.col("first").alias("b")).groupBy("a", "b").agg(F.count("*").alias("shared")), "stars")
     ids = nodes.select("id", "n", "s1", "s2")
-    links: list[str] = []
-
-    def link(pairs: DataFrame) -> DataFrame:
-        likely, likely_at = written(_could_link(pairs, ids), "likely")
-        made, at = written(checked(likely, docs.select("id", "text")), "linked")
-        links.append(at)
+    links: list[tuple[DataFrame, str]] = []
+
+    def link(pairs: DataFrame) -> int:
+        """Checks pairs; adds what links to ``links`` and says how many did."""
+        likely, likely_at, seen = counted(_could_link(pairs, ids), "likely")
+        if seen["n"]:
+            made, at, seen = counted(checked(likely, seen["n"], docs.select("id", "text")), "linked")
+            links.append((made, at))
         remove(spark, likely_at)
-        return made
+        return seen["n"]
+
+    def grown(found: DataFrame, found_at: str) -> tuple[DataFrame, str]:
+        """The components of all links so far, in place of ``found``."""
+        remove(spark, found_at)
+        return components(functools.reduce(DataFrame.union, [made for made, _ in links]))
 
     likeliest = F.max_by("b", F.struct("shared", -F.col("b")))
-    made = link(stars.groupBy("a").agg(likeliest.alias("b")))
-    found, found_at = components(made)
-    made = made.union(link(_placed(_placed(stars, found, "a", "ca"), found, "b", "cb").where("ca != cb").select("a", "b")))
-    remove(spark, found_at)
-    found, found_at = components(made)
-    made = made.union(link(_left(members.where(F.col("size").between(3, HOT)), found, ids)))
-    hot, hot_at = written(_hot_links(members.where(F.col("size") > HOT), found, docs), "linked")
-    made, links = made.union(hot), [*links, hot_at]
-    remove(spark, found_at)
-    found, found_at = components(made)
-    remove(spark, nodes_at, members_at, stars_at, *links)
+    none = spark.createDataFrame([], "id long, component long")
+    found, found_at = written(none, "components")
+    if link(stars.groupBy("a").agg(likeliest.alias("b"))):
+        found, found_at = grown(found, found_at)
+    if link(_placed(_placed(stars, found, "a", "ca"), found, "b", "cb").where("ca != cb").select("a", "b")):
+        found, found_at = grown(found, found_at)
+    late = link(_left(members.where(F.col("size").between(3, HOT)), found, ids))
+    hot = members.where(F.col("size") > HOT)
+    if not hot.isEmpty():
+        made, at, seen = counted(_hot_links(hot, found, docs), "linked")
+        links.append((made, at))
+        late += seen["n"]
+    if late:
+        found, found_at = grown(found, found_at)
+    remove(spark, nodes_at, members_at, stars_at, *[at for _, at in links])
     out = all_.select("id", "n", "k1", "k2").join(classes, ["k1", "k2"], "left")
     out = out.withColumn("rep", F.when(F.col("id").isNotNull(), F.coalesce("rep", "id")))
     return _placed(out, found, "rep", "component").select("id", "n", "component")
@@ -203,9 +215,9 @@ def _hot_links(members: DataFrame, found: DataFrame, docs: DataFrame) -> DataFra
     sizes = placed.groupBy("family", "c").agg(F.count("*").alias("n"))
     shape = sizes.groupBy("family").agg(F.max_by("c", F.struct("n", "c")).alias("main"), F.sum("n").alias("all"), F.max("n").alias("most"), F.count("*").alias("parts")).where("parts > 1")
     shape = shape.select("family", "main", F.ceil(F.col("all") / 1024).cast("int").alias("across"), F.ceil((F.col("all") - F.col("most")) / 256).cast("int").alias("down"))
-    open_, open_at = written(placed.join(shape, "family"), "open")
+    open_, _, seen = counted(placed.join(shape, "family"), "open")
     ids = open_.select("id").distinct()
-    ids = F.broadcast(ids) if open_.count() <= MOST_BROADCAST else ids
+    ids = F.broadcast(ids) if seen["n"] <= MOST_BROADCAST else ids
     texts = docs.join(ids, "id", "left_semi").select("id", F.encode("text", "UTF-8").alias("text")).dropDuplicates(["id"])
 
     def spread(rows: DataFrame, side: int, own: str, other: str) -> DataFrame:
@@ -221,8 +233,8 @@ def _hot_links(members: DataFrame, found: DataFrame, docs: DataFrame) -> DataFra
 def deduplicated(docs: DataFrame) -> DataFrame:
     """The documents (doc_id, text, ..) without the near copies of a smaller doc_id, and without repeats of a doc_id."""
     found = grouped(docs.select(F.col("doc_id").alias("id"), "text"))
-    gone, _ = written(found.where("id != component").select(F.col("id").alias("doc_id")).distinct(), "gone")
-    few = gone.count() <= MOST_BROADCAST
+    gone, _, seen = counted(found.where("id != component").select(F.col("id").alias("doc_id")).distinct(), "gone")
+    few = seen["n"] <= MOST_BROADCAST
     left = docs.join(F.broadcast(gone) if few else gone, "doc_id", "left_anti")
     if docs.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").isEmpty():
         return left.select(*docs.columns)

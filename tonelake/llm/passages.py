@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from tonelake.llm import neardup
 from tonelake.llm import shingles as sh
-from tonelake.llm.common import in_arrow, remove, table, written
+from tonelake.llm.common import counted, in_arrow, remove, table, written
 
 MIN_WORDS = 50
 #: Bands of rows for paragraphs: a pair of likeness 0.75 shares no band once in 700 pairs, one of 0.9 once in 6 million.
@@ -145,16 +145,16 @@ def repeats(docs: DataFrame) -> DataFrame:
     told = cut.where("kind = 1").select(F.col("key").alias("id"), "text")
     groups, _ = written(neardup.grouped(told, BANDS, ROWS).select(F.col("id").alias("key"), F.col("component").alias("group")).distinct(), "groups")
     named = lines.join(groups, "key")
-    held = _shared(named, "group")
+    held, _ = written(_shared(named, "group"), "held")
     lines = named.join(held, "group").select(F.col("id").alias("doc_id"), F.lit("paragraph").alias("kind"), "start", "stop", F.col("n_words").cast("long").alias("n_words"), F.col("first").alias("component_id"), (F.col("first") == F.col("id")).alias("kept"))
     return runs.unionByName(lines)
 
 
 def without_repeats(docs: DataFrame) -> DataFrame:
     """All columns of documents (doc_id, text, ..) with the spans that aren't kept cut out; texts left empty go."""
-    found, _ = written(repeats(docs.select(F.col("doc_id").alias("id"), "text")).where("NOT kept"), "spans")
+    found, _, seen = counted(repeats(docs.select(F.col("doc_id").alias("id"), "text")).where("NOT kept"), "spans")
     spans = found.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("start", "stop"))).alias("_spans"))
-    few = found.count() <= MOST_BROADCAST
+    few = seen["n"] <= MOST_BROADCAST
     df = docs.join(F.broadcast(spans) if few else spans, "doc_id", "left")
     schema = docs.schema
     names = docs.columns
