@@ -207,6 +207,17 @@ def test_repeats_find_every_long_passage(spark):
     assert got <= set(range(80)) and len(got) >= 78
 
 
+def test_repeats_find_all_long_passages(spark):
+    rng = random.Random(10)
+    turns = [["ka", "lo"], words(rng, 5), words(rng, 13)]  # words that repeat with a period have no strict minima
+    passages_ = [words(rng, 50 + k % 3) for k in range(120)] + [(t * 30)[: 51 + 2 * k] for k, t in enumerate(turns)]
+    rows = [(2 * k + j, " ".join(words(rng, rng.randrange(10, 60)) + p + words(rng, rng.randrange(0, 60)))) for k, p in enumerate(passages_) for j in range(2)]
+    rows += [(1000 + i, " ".join(words(rng, 150))) for i in range(40)]
+    rows += [(2000 + j, " ".join(words(rng, 60) + [f"one{k}" for k in range(49)] + words(rng, 60))) for j in range(2)]  # a word too short
+    got = {r.doc_id for r in passages.repeats(spark.createDataFrame(rows, "id long, text string")).collect()}
+    assert got == set(range(2 * len(passages_)))
+
+
 def ids_of(text):
     return tokens.encoder(tokens.default_path()).of.encode(text or "", add_special_tokens=False).ids
 

@@ -2,14 +2,16 @@
 
 Paragraphs (lines) of MIN_WORDS words and more are compared by MinHash banding tuned for high recall, exact Jaccard of
 5-word shingles and components, as documents are in ``neardup``, once per distinct paragraph. A passage pasted into the
-middle of a line shares too little of that line, so each text is also cut, line ends ignored, into blocks at
-content-defined places: a word ends a block where the hash of its 3 words is the strict minimum among REACH neighbours
-on either side. A copied passage is cut alike wherever it stands, so its inner blocks recur as they are; these group by the
-hash of their words, and blocks in a row join into runs. A run counts from RUN words and two blocks on, which any passage of 50
-shared words has but for rare cuts and which no short license line has.
+middle of a line shares too little of that line, so each text, line ends ignored, is also searched for windows of
+MIN_WORDS words that another document holds word for word, in two steps. First, of every window the least hash of its
+GRAM-word grams (the rightmost of equal ones) is an anchor: equal windows have equal anchors, so a window can only recur
+if its anchor does. Then all windows that pass are compared by the 64-bit hash of their words. Both steps miss nothing:
+every verbatim passage of MIN_WORDS words and more is found, from its first to its last equal word; shorter ones are
+left alone. Windows in a row join into runs. A run that lies inside a paragraph's span of the same fate adds nothing and is left out.
 
-A component (of paragraphs, or of equal blocks) counts if several documents hold it. Its occurrence in the smallest
-doc_id stays, the others are removed. Spans give code points, the end excluded.
+A component (of paragraphs, or of equal windows) counts if several documents hold it. Its occurrence in the smallest
+doc_id stays, the others are removed. Spans give code points, the end excluded. A kept run may overlap a removed one,
+since another passage can begin inside a passage that a smaller id holds.
 
 Null and empty texts have no spans; null ids are left out; rows that repeat an id count as one document.
 An empty table gives an empty result.
@@ -27,13 +29,13 @@ from pyspark.sql import functions as F
 
 from tonelake.llm import neardup
 from tonelake.llm import shingles as sh
-from tonelake.llm.common import counted, in_arrow, remove, table, written
+from tonelake.llm.common import counted, in_arrow, remove, table, tidy, written
 
 MIN_WORDS = 50
 #: Bands of rows for paragraphs: a pair of likeness 0.75 shares no band once in 700 pairs, one of 0.9 once in 6 million.
 BANDS, ROWS = 12, 3
-REACH = 4
-RUN, LEAST_BLOCKS = 18, 2
+#: Words of a gram. Consecutive anchors are at most MIN_WORDS - GRAM + 1 words apart.
+GRAM = 25
 #: Rows of spans that may be broadcast.
 MOST_BROADCAST = 500_000
 
@@ -46,19 +48,6 @@ def word_spans(text: bytes) -> tuple[np.ndarray, np.ndarray]:
     return edge[::2], edge[1::2]
 
 
-def cuts(h: np.ndarray) -> np.ndarray:
-    """Where blocks begin: places of strict minima among the hashes of three words, REACH to either side."""
-    if len(h) < 3 + 2 * REACH:
-        return np.empty(0, np.int64)
-    g = sh.mixed(h[:-2] * np.uint64(3) + h[1:-1] * np.uint64(0x9E3779B97F4A7C15) + h[2:] * np.uint64(0xC2B2AE3D27D4EB4F))
-    n = len(g)
-    least = np.ones(n - 2 * REACH, bool)
-    mid = g[REACH : n - REACH]
-    for d in range(1, REACH + 1):
-        least &= (mid < g[REACH - d : n - REACH - d]) & (mid < g[REACH + d : n - REACH + d])
-    return np.flatnonzero(least) + REACH
-
-
 #: The base of the words' rolling hash and its inverse, both modulo 2 to the 64.
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(int(_BASE), -1, 2**64))
@@ -74,40 +63,83 @@ def _powers(base: np.uint64, n: int) -> np.ndarray:
     return _many_powers(base, max(4096, 1 << n.bit_length()))[:n]
 
 
-_UNITS = "id long, kind int, no int, n_words int, start long, stop long, key long, text string"
+def _grams(sums: np.ndarray, n: int) -> np.ndarray:
+    """The hash of each run of ``n`` words, from the running sums of the words' hashes."""
+    many = max(0, len(sums) - n)
+    return sh.mixed((sums[n:] - sums[:many]) * _powers(_INVERSE, many) + np.uint64(n)).view(np.int64)
+
+
+def _sums(h: np.ndarray) -> np.ndarray:
+    return np.concatenate([[np.uint64(0)], np.cumsum(h * _powers(_BASE, len(h)))])
+
+
+def anchors(grams: np.ndarray) -> np.ndarray:
+    """For each window of MIN_WORDS words the place of its least gram, of equal ones the rightmost."""
+    width, have = MIN_WORDS - GRAM + 1, 1
+    least, at = grams, np.arange(len(grams))
+    while have < width and len(least):
+        step = min(have, width - have)
+        n = max(0, len(least) - step)
+        right = least[step:] <= least[:n]
+        least, at = np.where(right, least[step:], least[:n]), np.where(right, at[step:], at[:n])
+        have += step
+    return at
+
+
+_UNITS = "id long, kind int, n_words int, start long, stop long, key long, text string, anchors array<long>"
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Blocks (kind 0) and long paragraphs (kind 1) of each text: place, words, code points, hash of their words, a paragraph's text."""
+    """The distinct anchors of each text (kind 0) and its long paragraphs (kind 1): words, code points, hash of their words, text."""
     for batch in batches:
-        out: list[list[np.ndarray]] = [[] for _ in range(7)]
+        out: list[list[np.ndarray]] = [[] for _ in range(6)]
         said: list[pa.Array] = []
+        keys_of: list[np.ndarray] = []
         for id_, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist()):
             text = text or b""
             starts, ends = word_spans(text)
-            if not len(starts):
+            if len(starts) < MIN_WORDS:
                 continue
-            h = sh.word_hashes(sh.words(text))
-            before = np.concatenate([[0], np.cumsum((np.frombuffer(text, np.uint8) & 0xC0) != 0x80)])
-            at = cuts(h)
-            first, last = at[:-1], at[1:]
+            sums = _sums(sh.word_hashes(sh.words(text)))
+            before = _points(text)
+            grams = _grams(sums, GRAM)
+            found = np.unique(grams[np.unique(anchors(grams))])
             line = np.searchsorted(np.flatnonzero(np.frombuffer(text, np.uint8) == 10), starts)
-            turn = np.concatenate([[0], np.flatnonzero(np.diff(line)) + 1, [len(h)]])
+            turn = np.concatenate([[0], np.flatnonzero(np.diff(line)) + 1, [len(starts)]])
             own = turn[1:] - turn[:-1] >= MIN_WORDS
-            sums = np.concatenate([[np.uint64(0)], np.cumsum(h * _powers(_BASE, len(h)))])
-            shift = _powers(_INVERSE, len(h) + 1)
-            for kind, a, b in ((0, first, last), (1, turn[:-1][own], turn[1:][own])):
-                if not len(a):
-                    continue
-                keys = sh.mixed((sums[b] - sums[a]) * shift[a] + (b - a).astype(np.uint64)).view(np.int64)
-                for c, v in zip(out, (np.full(len(a), id_), np.full(len(a), kind), np.arange(len(a)), b - a, before[starts[a]], before[ends[b - 1]], keys)):
-                    c.append(v)
-                lines = [text[i:j] for i, j in zip(starts[a].tolist(), ends[b - 1].tolist())] if kind else [None] * len(a)
-                said.append(pa.array(lines, pa.binary()))
-        types = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
+            a, b = turn[:-1][own], turn[1:][own]
+            keys = sh.mixed((sums[b] - sums[a]) * _powers(_INVERSE, len(sums))[a] + (b - a).astype(np.uint64)).view(np.int64)
+            kind = np.concatenate([[0], np.ones(len(a), np.int64)])
+            for c, v in zip(out, (np.full(len(kind), id_), kind, *(np.concatenate([[0], v]) for v in (b - a, before[starts[a]], before[ends[b - 1]], keys)))):
+                c.append(v)
+            said.append(pa.array([None, *(text[i:j] for i, j in zip(starts[a].tolist(), ends[b - 1].tolist()))], pa.binary()))
+            keys_of += [found, *[found[:0]] * len(a)]
+        types = [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
         cols = [pa.array(np.concatenate(c) if c else [], t) for c, t in zip(out, types)]
         texts = pa.concat_arrays(said).cast(pa.string()) if said else pa.array([], pa.string())
-        yield pa.RecordBatch.from_arrays([*cols, texts], names=["id", "kind", "no", "n_words", "start", "stop", "key", "text"])
+        lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, keys_of)]), pa.int32()), pa.array(np.concatenate([*keys_of, np.empty(0, np.int64)]), pa.int64()))
+        yield pa.RecordBatch.from_arrays([*cols, texts, lists], names=["id", "kind", "n_words", "start", "stop", "key", "text", "anchors"])
+
+
+def _points(text: bytes) -> np.ndarray:
+    """Code points before each byte."""
+    return np.concatenate([[0], np.cumsum((np.frombuffer(text, np.uint8) & 0xC0) != 0x80)])
+
+
+def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of (id, text, keys) the windows whose anchor is among the keys: first word, code points, hash of the words."""
+    for batch in batches:
+        out: list[list[np.ndarray]] = [[] for _ in range(5)]
+        for id_, text, keys in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist(), batch.column(2)):
+            starts, ends = word_spans(text)
+            sums = _sums(sh.word_hashes(sh.words(text)))
+            grams = _grams(sums, GRAM)
+            good = np.flatnonzero(np.isin(grams[anchors(grams)], keys.values.to_numpy()))
+            before = _points(text)
+            for c, v in zip(out, (np.full(len(good), id_), good, before[starts[good]], before[ends[good + MIN_WORDS - 1]], _grams(sums, MIN_WORDS)[good])):
+                c.append(v)
+        types = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64()]
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c) if c else [], t) for c, t in zip(out, types)], names=["id", "at", "start", "stop", "key"])
 
 
 def _shared(of: DataFrame, by: str) -> DataFrame:
@@ -118,28 +150,27 @@ def _shared(of: DataFrame, by: str) -> DataFrame:
 def repeats(docs: DataFrame) -> DataFrame:
     """(doc_id, kind, start, stop, n_words, component_id, kept): spans of (id, text) that several documents hold.
 
-    ``component_id`` is the smallest doc_id that holds the paragraph's component or the run's first block.
+    ``component_id`` is the smallest doc_id that holds the paragraph's component or a window of the run.
     """
     docs = docs.where("id IS NOT NULL").select("id", "text")
     spark = docs.sparkSession
     cut, _ = written(in_arrow(docs, _cut, _UNITS), "units")
-    blocks = cut.where("kind = 0").drop("kind", "text")
-    again, again_at = written(_shared(blocks, "key"), "again")
-    order = Window.partitionBy("id").orderBy("no", "start")
-    twice = (F.col("no") == F.lag("no").over(order)) & (F.col("start") == F.lag("start").over(order))  # of a repeated row
-    gap = F.coalesce(F.col("no") - F.lag("no").over(order) > 1, F.lit(True))
-    mine = F.col("first") == F.col("id")
-    turn = gap | (mine != F.lag(mine).over(order))
-    blocks = blocks.join(again, "key").select("*", mine.alias("kept"), gap.cast("int").alias("_gap"), turn.cast("int").alias("_turn"), F.coalesce(twice, F.lit(False)).alias("_twice")).where("NOT _twice")
-    upto = order.rowsBetween(Window.unboundedPreceding, 0)
-    blocks = blocks.withColumn("_run", F.sum("_gap").over(upto)).withColumn("_part", F.sum("_turn").over(upto))
-    # a run counts as a whole; what is removed of it are the blocks that some smaller id holds
-    run = Window.partitionBy("id", "_run")
-    blocks = blocks.withColumns({"_words": F.sum("n_words").over(run), "_blocks": F.count("*").over(run), "_keys": F.size(F.collect_set("key").over(run))})
-    blocks = blocks.where((F.col("_words") >= RUN) & (F.col("_blocks") >= LEAST_BLOCKS) & (F.col("_keys") >= LEAST_BLOCKS))
-    runs = blocks.groupBy("id", "_run", "_part", "kept").agg(F.min("start").alias("start"), F.max("stop").alias("stop"), F.sum("n_words").alias("n_words"), F.min("first").alias("component_id"))
-    runs, _ = written(runs.select(F.col("id").alias("doc_id"), F.lit("run").alias("kind"), "start", "stop", F.col("n_words").cast("long").alias("n_words"), "component_id", "kept"), "runs")
+    blocks = cut.where("kind = 0").select("id", F.explode("anchors").alias("key"))
+    again, again_at = written(_shared(blocks, "key").select("key"), "again")
+    keys = blocks.join(again, "key").groupBy("id").agg(F.collect_set("key").alias("keys"))
+    windows, windows_at = written(in_arrow(docs.join(keys, "id").select("id", "text", "keys"), _windows, "id long, at int, start int, stop int, key long"), "windows")
     remove(spark, again_at)
+    tidy(spark)
+    first, first_at = written(_shared(windows, "key"), "first")
+    mine = F.col("first") == F.col("id")
+    windows = windows.join(first, "key").select("id", "at", "start", "stop", "first", mine.alias("kept"))
+    # windows in a row have the same difference of place and rank; rows of one id may repeat a place
+    rank = F.dense_rank().over(Window.partitionBy("id", "kept").orderBy("at"))
+    runs = windows.withColumn("_run", F.col("at") - rank).groupBy("id", "kept", "_run").agg(*(f("at").alias(n) for f, n in ((F.min, "_a"), (F.max, "_b"))), F.min("start").alias("start"), F.max("stop").alias("stop"), F.min("first").alias("component_id"))
+    runs = runs.withColumn("n_words", F.col("_b") - F.col("_a") + MIN_WORDS)
+    runs, _ = written(runs.select(F.col("id").alias("doc_id"), F.lit("run").alias("kind"), *(F.col(c).cast("long").alias(c) for c in ("start", "stop", "n_words")), "component_id", "kept"), "runs")
+    remove(spark, windows_at, first_at)
+    tidy(spark)
 
     lines = cut.where("kind = 1").select("id", "start", "stop", "n_words", "key")
     told = cut.where("kind = 1").select(F.col("key").alias("id"), "text")
@@ -147,7 +178,9 @@ def repeats(docs: DataFrame) -> DataFrame:
     named = lines.join(groups, "key")
     held, _ = written(_shared(named, "group"), "held")
     lines = named.join(held, "group").select(F.col("id").alias("doc_id"), F.lit("paragraph").alias("kind"), "start", "stop", F.col("n_words").cast("long").alias("n_words"), F.col("first").alias("component_id"), (F.col("first") == F.col("id")).alias("kept"))
-    return runs.unionByName(lines)
+    told = lines.select(F.col("doc_id").alias("_id"), F.col("kept").alias("_kept"), F.col("start").alias("_from"), F.col("stop").alias("_to"))
+    inside = (F.col("doc_id") == F.col("_id")) & (F.col("kept") == F.col("_kept")) & (F.col("start") >= F.col("_from")) & (F.col("stop") <= F.col("_to"))
+    return runs.join(told, inside, "left_anti").unionByName(lines)
 
 
 def without_repeats(docs: DataFrame) -> DataFrame:
