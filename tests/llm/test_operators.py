@@ -218,6 +218,28 @@ def test_repeats_find_all_long_passages(spark):
     assert got == set(range(2 * len(passages_)))
 
 
+def test_runs_reach_the_ends_of_passages(spark):
+    rng = random.Random(11)
+    rows, want = [], {}
+    for k in range(30):
+        p = words(rng, 51 + 3 * k)
+        for j in range(3):
+            before, after = words(rng, rng.randrange(10, 45)) + [f"b{k}x{j}"], [f"a{k}x{j}"] + words(rng, 40)
+            rows.append((3 * k + j, " ".join(before) + "\n é " + " ".join(p) + " " + " ".join(after)))
+            start = len(" ".join(before)) + 2
+            want[3 * k + j] = (start, start + 2 + len(" ".join(p)), len(p) + 1, 3 * k, j == 0)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {}
+    for r in passages.repeats(docs.withColumnRenamed("doc_id", "id")).where("kind = 'run'").collect():
+        assert r.doc_id not in got
+        got[r.doc_id] = (r.start, r.stop, r.n_words, r.component_id, r.kept)
+    by = dict(rows)
+    lines = {i for i, t in by.items() if len(t.split("\n")[1].split()) >= 50}
+    assert got == want and lines
+    left = {r.doc_id: r.text for r in passages.without_repeats(docs).collect()}
+    assert all(left[i] == (by[i] if w[4] else by[i][: w[0]] + by[i][w[1] :]) for i, w in want.items())
+
+
 def ids_of(text):
     return tokens.encoder(tokens.default_path()).of.encode(text or "", add_special_tokens=False).ids
 
