@@ -240,6 +240,26 @@ def test_runs_reach_the_ends_of_passages(spark):
     assert all(left[i] == (by[i] if w[4] else by[i][: w[0]] + by[i][w[1] :]) for i, w in want.items())
 
 
+def test_wrapped_paragraphs(spark):
+    rng = random.Random(12)
+
+    def wrap(w, n):
+        return "\n".join(" ".join(w[i : i + n]) for i in range(0, len(w), n))
+
+    plain = [words(rng, 130) for _ in range(3)]
+    edits = [[x if i % 45 != 20 else f"new{i}" for i, x in enumerate(p)] for p in plain]
+    own = [wrap(words(rng, 60), 11) for _ in range(6)]
+    rows = [(1, own[0] + "\n\n" + wrap(plain[0], 9) + "\n \n" + own[1]), (2, own[2] + "\n\n" + wrap(edits[0], 12)), (3, " ".join(plain[1])), (4, wrap(edits[1], 10) + "\r\n\r\n" + own[3])]
+    rows += [(5, wrap(plain[2], 8)), (6, wrap(edits[2], 14)), (7, "\n".join(" ".join(words(rng, 12)) + "." for _ in range(9)))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = passages.repeats(docs.withColumnRenamed("doc_id", "id")).collect()
+    assert {(r.doc_id, r.kind, r.component_id, r.kept) for r in found} == {(i, "paragraph", i - (i + 1) % 2, i % 2 == 1) for i in range(1, 7)}
+    by = dict(rows)
+    assert all(by[r.doc_id][r.start : r.stop].split() == (plain if r.kept else edits)[(r.doc_id - 1) // 2] for r in found)
+    left = {r.doc_id: r.text.strip() for r in passages.without_repeats(docs).collect()}
+    assert left == {**{i: by[i] for i in (1, 3, 5, 7)}, 2: own[2], 4: own[3]}
+
+
 def ids_of(text):
     return tokens.encoder(tokens.default_path()).of.encode(text or "", add_special_tokens=False).ids
 

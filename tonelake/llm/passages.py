@@ -1,6 +1,6 @@
 """Substring dedup: paragraphs, and passages inside them, that repeat across documents.
 
-Paragraphs (lines) of MIN_WORDS words and more are compared by MinHash banding tuned for high recall, exact Jaccard of
+Paragraphs of MIN_WORDS words and more are single lines, and lines joined as ``_joined`` says. They are compared by MinHash banding tuned for high recall, exact Jaccard of
 5-word shingles and components, as documents are in ``neardup``, once per distinct paragraph. A passage pasted into the
 middle of a line shares too little of that line, so each text, line ends ignored, is also searched for windows of
 MIN_WORDS words that another document holds word for word, in two steps. First, of every window the least hash of its
@@ -20,6 +20,7 @@ An empty table gives an empty result.
 from __future__ import annotations
 
 import functools
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,6 +37,8 @@ MIN_WORDS = 50
 BANDS, ROWS = 12, 3
 #: Words of a gram. Consecutive anchors are at most MIN_WORDS - GRAM + 1 words apart.
 GRAM = 25
+#: What ends a sentence at the end of a line, with closing quotes and brackets behind it.
+_SENTENCE_END = re.compile("(?:[.!?:;]|…|。|！|？)(?:[\"')\\]]|”|’|»)*$".encode())
 #: Rows of spans that may be broadcast.
 MOST_BROADCAST = 500_000
 
@@ -86,6 +89,28 @@ def anchors(grams: np.ndarray) -> np.ndarray:
     return at
 
 
+def _joined(text: bytes, ends: np.ndarray, line: np.ndarray, turn: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First words and ends of the paragraphs of several lines.
+
+    Lines under MIN_WORDS words in a row are one where the text has blank lines, which then part paragraphs, or where
+    a line ends inside a sentence. Longer lines stand for themselves.
+    """
+    breaks = turn[1:-1]
+    blank = line[breaks] - line[breaks - 1] > 1
+    long = turn[1:] - turn[:-1] >= MIN_WORDS
+    apart = blank | long[1:] | long[:-1]
+    edge = np.concatenate([[0], breaks[apart], turn[-1:]])
+    wrapped = np.zeros(len(line) + 1, bool)
+    if blank.any():
+        wrapped[breaks[~apart]] = True
+    else:
+        inner = breaks[~apart]
+        wrapped[inner] = [not _SENTENCE_END.search(text[max(0, i - 32) : i]) for i in ends[inner - 1].tolist()]
+    some = np.add.reduceat(wrapped, edge[:-1]) > 0
+    own = some & (edge[1:] - edge[:-1] >= MIN_WORDS)
+    return edge[:-1][own], edge[1:][own]
+
+
 _UNITS = "id long, kind int, n_words int, start long, stop long, key long, text string, anchors array<long>"
 
 
@@ -107,7 +132,7 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             line = np.searchsorted(np.flatnonzero(np.frombuffer(text, np.uint8) == 10), starts)
             turn = np.concatenate([[0], np.flatnonzero(np.diff(line)) + 1, [len(starts)]])
             own = turn[1:] - turn[:-1] >= MIN_WORDS
-            a, b = turn[:-1][own], turn[1:][own]
+            a, b = (np.concatenate(x) for x in zip((turn[:-1][own], turn[1:][own]), _joined(text, ends, line, turn)))
             keys = sh.mixed((sums[b] - sums[a]) * _powers(_INVERSE, len(sums))[a] + (b - a).astype(np.uint64)).view(np.int64)
             kind = np.concatenate([[0], np.ones(len(a), np.int64)])
             for c, v in zip(out, (np.full(len(kind), id_), kind, *(np.concatenate([[0], v]) for v in (b - a, before[starts[a]], before[ends[b - 1]], keys)))):
