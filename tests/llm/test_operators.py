@@ -362,6 +362,21 @@ def test_shares_and_fits():
         assert best - (take * lengths).sum() <= 2
 
 
+@pytest.mark.parametrize("n", [200, 3000, 20_000])
+def test_every_range_of_lengths_gives_its_share(n):
+    rng = np.random.default_rng(n)
+    lengths, have = np.unique(np.minimum(rng.lognormal(5, 1, n).astype(np.int64) + 1, 20_000), return_counts=True)
+    whole = int((lengths * have).sum())
+    for share in (0.21, 0.54, 0.81):
+        budget = int(whole * share)
+        picks = [mixing.fitted(lengths, have, budget, start) for start in (0.1, 0.6)]
+        for take in picks:
+            assert ((take >= 0) & (take <= have)).all() and (take * lengths).sum() == budget
+            for part in np.array_split(np.arange(len(lengths)), 5):
+                assert abs(take[part].sum() - share * have[part].sum()) <= 6 + 0.02 * have[part].sum()
+        assert (picks[0] != picks[1]).any()
+
+
 def test_mixing_hot_length(spark):
     rows = [(i, "a b c", "s", ) for i in range(5000)] + [(9000 + i, "x " * (i + 1), "t") for i in range(50)]
     got = mixing.decided(spark.createDataFrame(rows, "doc_id long, text string, source string"), total=0.5).collect()

@@ -1,9 +1,11 @@
 """Mixing sources to target weights: subset-sum budget fitting.
 
 A source's budget is its target in words. Whole copies of the source are taken while they fit. For the rest, documents
-are counted by exact length; every length gives the same share of its documents, rounded down, and bounded-knapsack
-dynamic programming over the counts left fits what remains of the budget, to the word where any choice does. Which
-documents of a length are taken follows a seeded hash of doc_id, so reruns agree.
+are counted by exact length; every length gives the same share of its documents, what rounding leaves being carried on
+from each length to the next from a seeded start, so that every range of lengths gives that share at any size of the
+source. Bounded-knapsack dynamic programming then takes or gives back a few documents, of lengths spread over all, to
+fit the budget, to the word where a choice does; it gets more documents only while none does. Which documents of a
+length are taken follows a seeded hash of doc_id, so reruns agree.
 
 A document is taken 0, 1 or 2 times. Texts without a word, null included, have size 0 and are taken 0 times. Null is a
 source of its own, the last. Rows that repeat count each. An empty table gives an empty result.
@@ -28,8 +30,10 @@ MOST_COPIES = 2
 PART = 1000
 #: Lengths of a source (rows of the plan) that may be broadcast: about 60 bytes each.
 MOST_BROADCAST = 200_000
-#: The dynamic programme's table has this many sums at most; a larger remainder is first reduced from the longest on.
-MOST_SUMS = 60_000
+#: Lengths that the dynamic programme may change at first.
+FEW = 4
+#: Its table gets no larger than this many sums once some choice keeps within the budget.
+MOST_SUMS = 2**24
 
 
 def shared_out(sizes: list[int], weights: list[float], total: float, most: float = MOST_COPIES) -> list[float]:
@@ -50,28 +54,15 @@ def shared_out(sizes: list[int], weights: list[float], total: float, most: float
     return out
 
 
-def fitted(lengths: np.ndarray, have: np.ndarray, budget: int) -> np.ndarray:
-    """How many documents of each length to take, so that their lengths sum to ``budget`` or just below."""
-    lengths, have = lengths.astype(np.int64), have.astype(np.int64)
-    whole = int((lengths * have).sum())
-    if budget >= whole:
-        return have
-    take = np.array([int(h) * budget // whole for h in have], np.int64)
-    rest = budget - int((take * lengths).sum())
-    order = np.argsort(-lengths, kind="stable")
-    for i in order:  # keeps the table small; what is left is fitted exactly
-        if rest <= MOST_SUMS:
-            break
-        n = min(int(have[i] - take[i]), (rest - MOST_SUMS // 2) // int(lengths[i]))
-        take[i] += n
-        rest -= n * int(lengths[i])
-    reach, steps = 1, []
-    for i in order[::-1]:  # binary parts of each count: every number of them can be had
-        spare, part = min(int(have[i] - take[i]), rest // max(1, int(lengths[i]))), 1
-        while spare > 0 and not reach >> rest & 1:
+def _knapsack(lengths: np.ndarray, have: np.ndarray, most: int) -> np.ndarray:
+    """How many of each length to take so that they sum to ``most`` or as little below as can be."""
+    take, reach, steps = np.zeros(len(lengths), np.int64), 1, []
+    for i in range(len(lengths)):  # binary parts of each count: every number of them can be had
+        spare, part = min(int(have[i]), most // int(lengths[i])), 1
+        while spare > 0 and not reach >> most & 1:
             n = min(part, spare)
             steps.append((i, n, reach))
-            reach |= (reach << n * int(lengths[i])) & ((1 << rest + 1) - 1)
+            reach |= (reach << n * int(lengths[i])) & ((1 << most + 1) - 1)
             spare, part = spare - n, part * 2
     at = reach.bit_length() - 1
     for i, n, before in reversed(steps):
@@ -81,14 +72,44 @@ def fitted(lengths: np.ndarray, have: np.ndarray, budget: int) -> np.ndarray:
     return take
 
 
-def _plan(rows: pa.Table) -> pa.Table:
+def fitted(lengths: np.ndarray, have: np.ndarray, budget: int, start: float = 0.5) -> np.ndarray:
+    """How many documents of each length to take, so that their lengths sum to ``budget`` or just below.
+
+    ``start``, from 0 to below 1, is what the first length is handed on by rounding.
+    """
+    order = np.argsort(lengths, kind="stable")
+    size, n = lengths.astype(np.int64)[order], have.astype(np.int64)[order]
+    whole = int((size * n).sum())
+    if budget >= whole:
+        return have.astype(np.int64)
+    handed = int(start * whole)
+    upto = [0, *((c * budget + handed) // whole for c in np.cumsum(n).tolist())]
+    take = np.diff(np.array(upto, np.int64))
+    few, each = FEW, 1
+    while True:
+        at = np.unique(np.linspace(0, len(size) - 1, few).round().astype(np.int64))
+        back, more = np.minimum(take[at], each), np.minimum(n[at] - take[at], each)
+        rest = budget - int((take * size).sum() - (back * size[at]).sum())
+        whole_pool = len(at) == len(size) and each >= int(n.max())
+        if rest >= 0:
+            changed = _knapsack(size[at][::-1], (back + more)[::-1], rest)[::-1]
+            if int((changed * size[at]).sum()) == rest or whole_pool or rest > MOST_SUMS:
+                break
+        few, each = few * 2, each + (few >= len(size)) * each
+    take[at] += changed - back
+    out = np.empty_like(take)
+    out[order] = take
+    return out
+
+
+def _plan(rows: pa.Table, seed: int) -> pa.Table:
     """For the lengths of one source: how many documents get a copy more than ``full``."""
     size, n = rows["size"].to_numpy(), rows["n"].to_numpy()
     whole, budget = int((size * n).sum()), round(rows["target"][0].as_py())
     full = min(MOST_COPIES, budget // whole) if whole else 0
     quota, some = np.zeros(len(size), np.int64), size > 0
     if whole and full < MOST_COPIES:
-        quota[some] = fitted(size[some], n[some], budget - full * whole)
+        quota[some] = fitted(size[some], n[some], budget - full * whole, np.random.default_rng([seed, whole]).random())
     return rows.append_column("full", pa.array(np.full(len(size), full, np.int64))).append_column("quota", pa.array(quota))
 
 
@@ -102,7 +123,7 @@ def decided(docs: DataFrame, weights: tuple = WEIGHTS, total: float = TOTAL, see
     targets = shared_out([s for _, s in sources], [weights[i % len(weights)] for i in range(len(sources))], total * sum(s for _, s in sources))
     known = spark.createDataFrame([(k, s, t) for (k, s), t in zip(sources, targets)], "k string, source_size long, target double")
     rows = by_length.join(known, F.col("source").eqNullSafe(F.col("k"))).drop("k")
-    plan, _ = written(rows.select("source", "size", "n", "source_size", "target").groupBy("source").applyInArrow(_plan, "source string, size long, n long, source_size long, target double, full long, quota long"), "plan")
+    plan, _ = written(rows.select("source", "size", "n", "source_size", "target").groupBy("source").applyInArrow(lambda rows: _plan(rows, seed), "source string, size long, n long, source_size long, target double, full long, quota long"), "plan")
     small = plan.count() <= MOST_BROADCAST
     named = plan.withColumnsRenamed({"source": "p_source", "size": "p_size"})
     at = sized.join(F.broadcast(named) if small else named, F.col("source").eqNullSafe(F.col("p_source")) & (F.col("size") == F.col("p_size"))).drop("p_source", "p_size")
