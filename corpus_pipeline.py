@@ -3,57 +3,37 @@
 Language ID drops documents unlike every learned language; near-dedup keeps one document of each group of near copies;
 substring dedup cuts out repeated passages; mixing repeats or drops documents to meet the sources' target weights;
 packing cuts what is left into token pieces and assigns them to sequences. All but the last return the columns
-of documents. Documents with a null doc_id pass near-dedup; texts that substring dedup leaves empty go.
+of documents, and any others that the table has. Documents with a null or empty text have no letter, so language ID drops
+them. Of rows that repeat a doc_id near-dedup keeps one; rows with a null doc_id pass near-dedup and substring dedup. Texts
+that substring dedup leaves without a word go. Very long texts are handled whole. An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
-import functools
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 
 from tonelake.llm import langid, mixing, neardup, packing, passages
-from tonelake.llm.common import noted, remove, table, tidy, written
+from tonelake.llm.common import table, unused, written
 
 #: The tokenizer, the packing and the seeded choices are beyond SQL; tests compare with a brute-force version.
 ORACLE_SQL = None
 
-#: Tables behind the result of the stage that ran last. The next stage reads a table of that result, so they can go.
-_behind: list[str] = []
-
-
-def _stage(f: Callable) -> Callable:
-    @functools.wraps(f)
-    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-        remove(spark, *_behind)
-        tidy(spark)
-        with noted() as made:
-            out = f(spark, docs, sf_dir)
-        _behind[:] = made
-        return out
-
-    return run_stage
-
 
-@_stage
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = langid.fit(docs.where(~langid.held_out()))
-    found = langid.identified(docs, model, out=("_lang", "_score", "_rejected"))
-    return found.where("NOT _rejected").select(*docs.columns)
+    names = unused(docs.columns, "_lang", "_score", "_rejected")
+    found = langid.identified(docs, model, out=tuple(names))
+    return found.where(f"NOT {names[2]}").select(*docs.columns)
 
 
-@_stage
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return neardup.deduplicated(docs)
 
 
-@_stage
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return passages.without_repeats(docs)
 
 
-@_stage
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return mixing.mixed(docs)
 

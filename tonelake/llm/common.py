@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 import gc
-from collections.abc import Iterator
-from contextlib import contextmanager
+from collections.abc import Callable, Iterable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,28 +19,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-#: Lists that take down the paths of tables written meanwhile.
-_noting: list[list[str]] = []
-
-
-@contextmanager
-def noted() -> Iterator[list[str]]:
-    """The paths of the tables that the block writes and doesn't remove."""
-    paths: list[str] = []
-    _noting.append(paths)
-    try:
-        yield paths
-    finally:
-        _noting.remove(paths)
-
-
 def written(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     """``df`` as a table in the shared folder, read again: cuts lineage, and survives lost executors."""
     spark = df.sparkSession
     path = fresh_path(spark, name)
     df.write.parquet(path)
-    for paths in _noting:
-        paths.append(path)
     return spark.read.schema(df.schema).parquet(path), path
 
 
@@ -56,9 +39,6 @@ def remove(spark: SparkSession, *paths: str) -> None:
     for p in paths:
         path = spark._jvm.org.apache.hadoop.fs.Path(p)
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-        for own in _noting:
-            if p in own:
-                own.remove(p)
 
 
 def tidy(spark: SparkSession) -> None:
@@ -92,7 +72,31 @@ def bucket_of(key: str, cuts: list[int]) -> Column:
     return F.coalesce(F.size(below), F.lit(0))
 
 
-def in_arrow(df: DataFrame, fn, schema: str) -> DataFrame:
-    """mapInArrow over batches of few rows, since texts can be very long."""
-    ready(df.sparkSession).conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "128")
-    return df.mapInArrow(fn, schema)
+#: Rows and bytes of a batch that a function gets at a time, one row at least.
+BATCH_ROWS, BATCH_BYTES = 128, 16 << 20
+
+
+def sliced(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of few rows and bytes, since texts can be very long."""
+    for batch in batches:
+        size = batch.nbytes / max(1, len(batch))
+        step = max(1, min(BATCH_ROWS, int(BATCH_BYTES / max(1.0, size))))
+        for i in range(0, len(batch), step):
+            yield batch.slice(i, step)
+
+
+def in_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
+    """mapInArrow whose function gets small slices; Spark bounds the batches themselves by rows and bytes."""
+    ready(df.sparkSession)
+    return df.mapInArrow(lambda batches: fn(sliced(batches)), schema)
+
+
+def unused(columns: Iterable[str], *names: str) -> list[str]:
+    """The names, lengthened where a column already has one; Spark's names ignore case."""
+    taken, out = {c.lower() for c in columns}, []
+    for n in names:
+        while n.lower() in taken:
+            n += "_"
+        taken.add(n.lower())
+        out.append(n)
+    return out

@@ -133,9 +133,11 @@ def identified(docs: DataFrame, model: Model, text: str = "text", out: tuple[str
     docs = docs.drop(*out)
     schema = T.StructType([*docs.schema.fields, T.StructField(out[0], T.StringType()), T.StructField(out[1], T.DoubleType()), T.StructField(out[2], T.BooleanType())])
 
+    at = docs.columns.index(text)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            langs, scores = model.predict(batch.column(text).to_pylist())
+            langs, scores = model.predict(batch.column(at).to_pylist())
             gone = [lang == UNKNOWN or s < model.floor for lang, s in zip(langs, scores)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(langs, pa.string()), pa.array(scores, pa.float64()), pa.array(gone, pa.bool_())], names=schema.names)
 

@@ -5,31 +5,34 @@ are counted by exact length; every length gives the same share of its documents,
 from each length to the next from a seeded start, so that every range of lengths gives that share at any size of the
 source. Bounded-knapsack dynamic programming then takes or gives back a few documents, of lengths spread over all, to
 fit the budget, to the word where a choice does; it gets more documents only while none does. Which documents of a
-length are taken follows a seeded hash of doc_id, so reruns agree.
+length are taken follows a seeded hash of doc_id and text, so reruns agree.
 
 A document is taken 0, 1 or 2 times. Texts without a word, null included, have size 0 and are taken 0 times. Null is a
-source of its own, the last. Rows that repeat count each. An empty table gives an empty result.
+source of its own, the last. Rows that repeat count each; where a length's quota ends among rows with equal id and text,
+about the right share of these is taken. An empty table gives an empty result. Other columns are kept, whatever their names.
 
-A length that very many documents of a source share is split by hash into parts of about PART, whose counts decide how
-many each part gives; a part's documents are ranked in one task. One row per source reaches the driver.
+A length that very many documents of a source share is split by hash into parts of about PART, whose counts decide in
+which part the quota ends; only there hashes are ranked. One row per source reaches the driver.
 """
 
 from __future__ import annotations
 
+import functools
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tonelake.llm.common import WORD, table, written
+from tonelake.llm.common import WORD, counted, remove, table, unused, written
 from tonelake.session import ready
 
 WEIGHTS = (5.0, 2.0, 1.0)
 TOTAL = 1.5
 MOST_COPIES = 2
 PART = 1000
-#: Lengths of a source (rows of the plan) that may be broadcast: about 60 bytes each.
-MOST_BROADCAST = 200_000
+#: Lengths of a source (rows of the plan) that may be broadcast: about 100 bytes each.
+MOST_BROADCAST = 100_000
 #: Lengths that the dynamic programme may change at first.
 FEW = 4
 #: Its table gets no larger than this many sums once some choice keeps within the budget.
@@ -113,51 +116,83 @@ def _plan(rows: pa.Table, seed: int) -> pa.Table:
     return rows.append_column("full", pa.array(np.full(len(size), full, np.int64))).append_column("quota", pa.array(quota))
 
 
-def decided(docs: DataFrame, weights: tuple = WEIGHTS, total: float = TOTAL, seed: int = 17) -> DataFrame:
-    """(doc_id, source, size, source_size, target, copies) for each row of (doc_id, text, source)."""
-    spark = ready(docs.sparkSession)
-    sized, _ = written(docs.select("doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size")), "sizes")
+def _sized(docs: DataFrame, seed: int, size: str, mark: str) -> DataFrame:
+    """Adds a text's words and the seeded hash of its row, which decides whether the row is taken."""
+    words = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
+    return docs.withColumns({size: words, mark: F.xxhash64(F.lit(seed), "doc_id", F.xxhash64("text"))})
+
+
+def planned(sized: DataFrame, weights: tuple, total: float, seed: int) -> DataFrame:
+    """(source, size, n, source_size, target, full, last_part, last, share) of (source, size, mark), a row per length of a source.
+
+    Of the rows of a length those are taken once more than ``full`` whose part is below ``last_part`` or whose mark in that
+    part is below ``last``, and of those with that very mark (rows that repeat) a share.
+    """
+    spark = ready(sized.sparkSession)
     by_length, _ = written(sized.groupBy("source", "size").agg(F.count("*").alias("n")), "lengths")
     sources = [tuple(r) for r in by_length.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("s")).collect()]
     sources.sort(key=lambda r: (r[0] is None, r[0] or ""))
     targets = shared_out([s for _, s in sources], [weights[i % len(weights)] for i in range(len(sources))], total * sum(s for _, s in sources))
     known = spark.createDataFrame([(k, s, t) for (k, s), t in zip(sources, targets)], "k string, source_size long, target double")
     rows = by_length.join(known, F.col("source").eqNullSafe(F.col("k"))).drop("k")
-    plan, _ = written(rows.select("source", "size", "n", "source_size", "target").groupBy("source").applyInArrow(lambda rows: _plan(rows, seed), "source string, size long, n long, source_size long, target double, full long, quota long"), "plan")
-    small = plan.count() <= MOST_BROADCAST
-    named = plan.withColumnsRenamed({"source": "p_source", "size": "p_size"})
-    at = sized.join(F.broadcast(named) if small else named, F.col("source").eqNullSafe(F.col("p_source")) & (F.col("size") == F.col("p_size"))).drop("p_source", "p_size")
-    at = at.withColumn("_h", F.xxhash64(F.lit(seed), "doc_id"))
-    at = at.withColumn("_part", F.pmod(F.xxhash64("_h"), F.ceil(F.col("n") / PART)))
-    open_ = (F.col("quota") > 0) & (F.col("quota") < F.col("n"))
-    key = ["source", "size", "_part"]
-    parts = at.where(open_).groupBy(*key).agg(F.count("*").alias("_in"))
-    before = Window.partitionBy("source", "size").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    parts = parts.withColumn("_before", F.coalesce(F.sum("_in").over(before), F.lit(0))).withColumnsRenamed({k: f"p_{k}" for k in key}).drop("_in")
-    ranked = at.where(open_).withColumn("_rank", F.row_number().over(Window.partitionBy(*key).orderBy("_h", "doc_id")))
-    ranked = ranked.join(parts, F.col("source").eqNullSafe(F.col("p_source")) & (F.col("size") == F.col("p_size")) & (F.col("_part") == F.col("p__part")))
-    ranked = ranked.withColumn("copies", F.col("full") + F.when(F.col("_before") + F.col("_rank") <= F.col("quota"), 1).otherwise(0))
-    settled = at.where(~open_).withColumn("copies", F.col("full") + F.when((F.col("quota") == F.col("n")) & (F.col("n") > 0) & (F.col("size") > 0), 1).otherwise(0))
-    out = ["doc_id", "source", "size", "source_size", "target"]
-    return settled.select(*out, F.when(F.col("size") > 0, F.col("copies")).otherwise(0).alias("copies")).unionByName(ranked.select(*out, "copies"))
-
-
-def mixed(docs: DataFrame, **how) -> DataFrame:
-    """The rows of documents (doc_id, text, source, ..) as often as the mix takes each."""
-    choice, _ = written(decided(docs, **how), "mix")
-    names = docs.columns
-    if choice.groupBy("doc_id").count().where("count > 1").isEmpty():
-        key, choice = [], choice.select(F.col("doc_id").alias("_id"), F.col("copies").alias("_copies"))
-    else:  # rows that share an id are told apart by their order
-        key, choice = ["_row"], choice.select(F.col("doc_id").alias("_id"), F.row_number().over(Window.partitionBy("doc_id").orderBy("source", "size")).alias("_n"), F.col("copies").alias("_copies"))
-        docs = docs.withColumn("_size", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long"))
-        docs = docs.withColumn("_row", F.row_number().over(Window.partitionBy("doc_id").orderBy("source", "_size"))).select(*names, "_row")
-    choice = choice.where("_copies > 0")
-    on = docs["doc_id"].eqNullSafe(choice["_id"])
-    for k in key:
-        on &= docs[k] == choice["_n"]
-    few = choice.count() <= MOST_BROADCAST * 4
-    return docs.join(F.broadcast(choice) if few else choice, on).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))).select(*names)
+    plan, _, seen = counted(rows.select("source", "size", "n", "source_size", "target").groupBy("source").applyInArrow(lambda rows: _plan(rows, seed), "source string, size long, n long, source_size long, target double, full long, quota long"), "plan")
+    open_ = plan.where("quota > 0 AND quota < n").select("source", "size", "n", "quota")
+    at = _joined(sized, open_, seen["n"], ["source", "size"]).withColumn("part", _part())
+    key = ["source", "size", "part"]
+    parts = at.groupBy(*key, "quota").agg(F.count("*").alias("in"))
+    before = Window.partitionBy("source", "size").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = parts.withColumn("before", F.coalesce(F.sum("in").over(before), F.lit(0))).where("before < quota AND before + in >= quota").drop("in")
+    cells = _joined(at.drop("quota", "n"), parts, seen["n"], key).groupBy(*key, "quota", "before", "mark").agg(F.count("*").alias("in"))
+    upto = F.col("before") + F.sum("in").over(Window.partitionBy(*key).orderBy("mark"))
+    cells = cells.withColumn("upto", upto).where("upto >= quota AND upto - in < quota")
+    last = cells.select("source", "size", F.col("part").alias("last_part"), F.col("mark").alias("last"), ((F.col("quota") - F.col("upto") + F.col("in")) / F.col("in")).alias("share"))
+    named = last.withColumnsRenamed({"source": "p_source", "size": "p_size"})
+    plan = plan.join(named, F.col("source").eqNullSafe(F.col("p_source")) & (F.col("size") == F.col("p_size")), "left").drop("p_source", "p_size")
+    plan = plan.withColumn("full", F.col("full") + ((F.col("quota") == F.col("n")) & (F.col("n") > 0) & (F.col("size") > 0)).cast("long"))
+    return written(plan.drop("quota"), "mix")[0]
+
+
+def _part(mark: str = "mark", n: str = "n") -> Column:
+    return F.pmod(F.xxhash64(mark, F.lit("part")), F.ceil(F.col(n) / PART))
+
+
+def _joined(rows: DataFrame, plan: DataFrame, n: int, key: list[str]) -> DataFrame:
+    """Rows with what the plan says of their key; sources may be null."""
+    named = plan.withColumnsRenamed({k: f"p_{k}" for k in key})
+    on = functools.reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"p_{k}")) for k in key])
+    return rows.join(F.broadcast(named) if n <= MOST_BROADCAST else named, on).drop(*[f"p_{k}" for k in key])
+
+
+def _copies(mark: str, plan: str) -> Column:
+    """How often a row is taken, by the plan's columns, whose names begin with ``plan``."""
+    part, last_part, last = _part(mark, f"{plan}n"), F.col(f"{plan}last_part"), F.col(f"{plan}last")
+    tie = (F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(1 << 30)) < F.col(f"{plan}share") * (1 << 30)) | (F.col(f"{plan}share") >= 1)
+    more = (part < last_part) | ((part == last_part) & ((F.col(mark) < last) | ((F.col(mark) == last) & tie)))
+    return F.when(F.col(f"{plan}size") > 0, F.col(f"{plan}full") + F.coalesce(more, F.lit(False)).cast("long")).otherwise(0)
+
+
+def decided(docs: DataFrame, weights: tuple = WEIGHTS, total: float = TOTAL, seed: int = 17) -> DataFrame:
+    """(doc_id, source, size, source_size, target, copies) for each row of (doc_id, text, source)."""
+    sized, _ = written(_sized(docs.select("doc_id", "source", "text"), seed, "size", "mark").drop("text"), "sizes")
+    plan = planned(sized, weights, total, seed)
+    plan = plan.withColumnsRenamed({c: f"p_{c}" for c in plan.columns})
+    at = sized.join(F.broadcast(plan) if plan.count() <= MOST_BROADCAST else plan, F.col("source").eqNullSafe(F.col("p_source")) & (F.col("size") == F.col("p_size")))
+    return at.select("doc_id", "source", "size", F.col("p_source_size").alias("source_size"), F.col("p_target").alias("target"), _copies("mark", "p_").alias("copies"))
+
+
+def mixed(docs: DataFrame, weights: tuple = WEIGHTS, total: float = TOTAL, seed: int = 17) -> DataFrame:
+    """The rows of documents (doc_id, text, source, ..) as often as the mix takes each; texts aren't shuffled while the plan is small."""
+    sized, sized_at = written(_sized(docs.select("doc_id", "source", "text"), seed, "size", "mark").select("source", "size", "mark"), "sizes")
+    plan = planned(sized, weights, total, seed)
+    remove(docs.sparkSession, sized_at)
+    size, mark, copy = unused(docs.columns, "_size", "_mark", "_copy")
+    stem = "_p"
+    while any(c.lower().startswith(stem) for c in docs.columns):
+        stem += "p"
+    plan = plan.withColumnsRenamed({c: f"{stem}_{c}" for c in plan.columns})
+    rows = _sized(docs, seed, size, mark).join(F.broadcast(plan) if plan.count() <= MOST_BROADCAST else plan, F.col("source").eqNullSafe(F.col(f"{stem}_source")) & (F.col(size) == F.col(f"{stem}_size")))
+    taken = rows.withColumn(copy, _copies(mark, f"{stem}_").cast("int")).where(F.col(copy) > 0)
+    return taken.withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(copy)))).select(*docs.columns)
 
 
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

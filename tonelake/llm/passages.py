@@ -1,20 +1,25 @@
 """Substring dedup: paragraphs, and passages inside them, that repeat across documents.
 
-Paragraphs of MIN_WORDS words and more are single lines, and lines joined as ``_joined`` says. They are compared by MinHash banding tuned for high recall, exact Jaccard of
-5-word shingles and components, as documents are in ``neardup``, once per distinct paragraph. A passage pasted into the
-middle of a line shares too little of that line, so each text, line ends ignored, is also searched for windows of
-MIN_WORDS words that another document holds word for word, in two steps. First, of every window the least hash of its
-GRAM-word grams (the rightmost of equal ones) is an anchor: equal windows have equal anchors, so a window can only recur
-if its anchor does. Then all windows that pass are compared by the 64-bit hash of their words. Both steps miss nothing:
-every verbatim passage of MIN_WORDS words and more is found, from its first to its last equal word; shorter ones are
-left alone. Windows in a row join into runs. A run that lies inside a paragraph's span of the same fate adds nothing and is left out.
+Paragraphs of ``min_words`` words and more are single lines, and lines joined as ``_joined`` says. They are compared by
+MinHash banding tuned for high recall, exact Jaccard of 5-word shingles of the whole paragraphs and star components, as
+documents are in ``neardup``. Components that several documents hold decide what is removed.
+
+A passage pasted into the middle of a longer paragraph shares too little of that paragraph, so each text, line ends
+ignored, is also searched for passages of ``min_words`` that another document holds word for word, in two steps. First,
+of every stretch of ``min_words`` words the least hash of its grams of half as many (the rightmost of equal ones) is an
+anchor: equal stretches have equal anchors, so one can only recur if its anchor does. In what these anchors leave, windows
+of four fifths of ``min_words`` are chosen by the same rule, so that each verbatim passage of ``min_words`` holds one whole,
+and compared by a 64-bit hash of their words. A window comes with the words on either side of it, so that a passage is
+followed to its first and last word in common with the first or the last document that holds the window. What then
+has fewer than ``min_words`` words is left alone. Overlapping windows of the same fate join into runs. A run that lies
+inside a paragraph's span of the same fate adds nothing and is left out, as is a kept one inside a removed one.
 
 A component (of paragraphs, or of equal windows) counts if several documents hold it. Its occurrence in the smallest
 doc_id stays, the others are removed. Spans give code points, the end excluded. A kept run may overlap a removed one,
 since another passage can begin inside a passage that a smaller id holds.
 
-Null and empty texts have no spans; null ids are left out; rows that repeat an id count as one document.
-An empty table gives an empty result.
+Null and empty texts have no spans; null ids are left out; rows that repeat an id count as one document. Very long texts
+are searched whole. An empty table gives an empty result. ``repeats`` ignores other columns, ``without_repeats`` keeps them.
 """
 
 from __future__ import annotations
@@ -25,22 +30,20 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tonelake.llm import neardup
 from tonelake.llm import shingles as sh
-from tonelake.llm.common import counted, in_arrow, remove, table, tidy, written
+from tonelake.llm.common import WORD, counted, in_arrow, remove, table, tidy, unused, written
 
 MIN_WORDS = 50
 #: Bands of rows for paragraphs: a pair of likeness 0.75 shares no band once in 700 pairs, one of 0.9 once in 6 million.
 BANDS, ROWS = 12, 3
-#: Words of a gram. Consecutive anchors are at most MIN_WORDS - GRAM + 1 words apart.
-GRAM = 25
 #: What ends a sentence at the end of a line, with closing quotes and brackets behind it.
 _SENTENCE_END = re.compile("(?:[.!?:;]|…|。|！|？)(?:[\"')\\]]|”|’|»)*$".encode())
-#: Rows of spans that may be broadcast.
-MOST_BROADCAST = 500_000
+#: Rows of spans that may be broadcast: 8 MB or so.
+MOST_BROADCAST = 200_000
 
 
 def word_spans(text: bytes) -> tuple[np.ndarray, np.ndarray]:
@@ -66,20 +69,36 @@ def _powers(base: np.uint64, n: int) -> np.ndarray:
     return _many_powers(base, max(4096, 1 << n.bit_length()))[:n]
 
 
-def _grams(sums: np.ndarray, n: int) -> np.ndarray:
-    """The hash of each run of ``n`` words, from the running sums of the words' hashes."""
-    many = max(0, len(sums) - n)
-    return sh.mixed((sums[n:] - sums[:many]) * _powers(_INVERSE, many) + np.uint64(n)).view(np.int64)
-
-
-def _sums(h: np.ndarray) -> np.ndarray:
-    return np.concatenate([[np.uint64(0)], np.cumsum(h * _powers(_BASE, len(h)))])
-
-
-def anchors(grams: np.ndarray) -> np.ndarray:
-    """For each window of MIN_WORDS words the place of its least gram, of equal ones the rightmost."""
-    width, have = MIN_WORDS - GRAM + 1, 1
-    least, at = grams, np.arange(len(grams))
+class Words:
+    """The words of several texts in a row: places, hashes and documents."""
+
+    def __init__(self, texts: list[bytes | None]) -> None:
+        whole = [t or b"" for t in texts]
+        self.text = b"\n".join([*whole, b""])
+        self.starts, self.ends = word_spans(self.text)
+        self.hashes = sh.word_hashes(sh.words(self.text))
+        sizes = np.array([len(t) + 1 for t in whole], np.int64)
+        self.at = np.cumsum(sizes) - sizes  # where each text begins
+        self.doc = np.searchsorted(self.at, self.starts, side="right") - 1
+        self.first = np.searchsorted(self.doc, np.arange(len(texts)))  # each text's first word
+        self.upto = np.searchsorted(self.doc, np.arange(len(texts)), side="right")
+        self.sums = np.concatenate([[np.uint64(0)], np.cumsum(self.hashes * _powers(_BASE, len(self.hashes)))])
+
+    def grams(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """The hash of each run of ``n`` words, and whether it lies in one text."""
+        many = max(0, len(self.sums) - n)
+        whole = self.doc[:many] == self.doc[n - 1 : n - 1 + many]
+        return sh.mixed((self.sums[n:] - self.sums[:many]) * _powers(_INVERSE, many) + np.uint64(n)).view(np.int64), whole
+
+    def points(self, places: np.ndarray, docs: np.ndarray) -> np.ndarray:
+        """Byte places as code points of their texts."""
+        before = np.concatenate([[0], np.cumsum((np.frombuffer(self.text, np.uint8) & 0xC0) != 0x80)])
+        return before[places] - before[self.at[docs]]
+
+
+def leasts(values: np.ndarray, width: int) -> np.ndarray:
+    """For each window of ``width`` values the place of the least, of equal ones the rightmost."""
+    least, at, have = values, np.arange(len(values)), 1
     while have < width and len(least):
         step = min(have, width - have)
         n = max(0, len(least) - step)
@@ -89,138 +108,234 @@ def anchors(grams: np.ndarray) -> np.ndarray:
     return at
 
 
-def _joined(text: bytes, ends: np.ndarray, line: np.ndarray, turn: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """First words and ends of the paragraphs of several lines.
+def _joined(w: Words, turn: np.ndarray, gap: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """First words and ends of the paragraphs of several lines, which begin at the words ``turn``, ``gap`` lines further on.
 
-    Lines under MIN_WORDS words in a row are one where the text has blank lines, which then part paragraphs, or where
+    Lines under ``least`` words in a row are one where the text has blank lines, which then part paragraphs, or where
     a line ends inside a sentence. Longer lines stand for themselves.
     """
-    breaks = turn[1:-1]
-    blank = line[breaks] - line[breaks - 1] > 1
-    long = turn[1:] - turn[:-1] >= MIN_WORDS
-    apart = blank | long[1:] | long[:-1]
+    breaks, gap = turn[1:-1], gap[1:]
+    other = w.doc[breaks] != w.doc[breaks - 1]
+    blank = (gap > 1) & ~other
+    long = turn[1:] - turn[:-1] >= least
+    apart = blank | other | long[1:] | long[:-1]
     edge = np.concatenate([[0], breaks[apart], turn[-1:]])
-    wrapped = np.zeros(len(line) + 1, bool)
-    if blank.any():
-        wrapped[breaks[~apart]] = True
-    else:
-        inner = breaks[~apart]
-        wrapped[inner] = [not _SENTENCE_END.search(text[max(0, i - 32) : i]) for i in ends[inner - 1].tolist()]
+    inner = breaks[~apart]
+    spaced = np.zeros(len(w.at), bool)
+    spaced[w.doc[breaks[blank]]] = True
+    wrapped = np.zeros(len(w.starts) + 1, bool)
+    loose = spaced[w.doc[inner]]
+    wrapped[inner[loose]] = True
+    inner = inner[~loose]
+    wrapped[inner] = [not _SENTENCE_END.search(w.text[max(0, i - 32) : i]) for i in w.ends[inner - 1].tolist()]
     some = np.add.reduceat(wrapped, edge[:-1]) > 0
-    own = some & (edge[1:] - edge[:-1] >= MIN_WORDS)
+    own = some & (edge[1:] - edge[:-1] >= least)
     return edge[:-1][own], edge[1:][own]
 
 
-_UNITS = "id long, kind int, n_words int, start long, stop long, key long, text string, anchors array<long>"
+def paragraphs(w: Words, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """First words and ends of the paragraphs of ``least`` words and more, in order."""
+    if not len(w.starts):
+        return np.empty(0, np.int64), np.empty(0, np.int64)
+    line = np.searchsorted(np.flatnonzero(np.frombuffer(w.text, np.uint8) == 10), w.starts)
+    turn = np.concatenate([[0], np.flatnonzero(np.diff(line)) + 1, [len(line)]])
+    gap = np.diff(line[turn[:-1]], prepend=0)
+    own = turn[1:] - turn[:-1] >= least
+    a, b = (np.concatenate(x) for x in zip((turn[:-1][own], turn[1:][own]), _joined(w, turn, gap, least)))
+    order = np.argsort(a)
+    return a[order], b[order]
 
 
-def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The distinct anchors of each text (kind 0) and its long paragraphs (kind 1): words, code points, hash of their words, text."""
-    for batch in batches:
-        out: list[list[np.ndarray]] = [[] for _ in range(6)]
-        said: list[pa.Array] = []
-        keys_of: list[np.ndarray] = []
-        for id_, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist()):
-            text = text or b""
-            starts, ends = word_spans(text)
-            if len(starts) < MIN_WORDS:
-                continue
-            sums = _sums(sh.word_hashes(sh.words(text)))
-            before = _points(text)
-            grams = _grams(sums, GRAM)
-            found = np.unique(grams[np.unique(anchors(grams))])
-            line = np.searchsorted(np.flatnonzero(np.frombuffer(text, np.uint8) == 10), starts)
-            turn = np.concatenate([[0], np.flatnonzero(np.diff(line)) + 1, [len(starts)]])
-            own = turn[1:] - turn[:-1] >= MIN_WORDS
-            a, b = (np.concatenate(x) for x in zip((turn[:-1][own], turn[1:][own]), _joined(text, ends, line, turn)))
-            keys = sh.mixed((sums[b] - sums[a]) * _powers(_INVERSE, len(sums))[a] + (b - a).astype(np.uint64)).view(np.int64)
-            kind = np.concatenate([[0], np.ones(len(a), np.int64)])
-            for c, v in zip(out, (np.full(len(kind), id_), kind, *(np.concatenate([[0], v]) for v in (b - a, before[starts[a]], before[ends[b - 1]], keys)))):
-                c.append(v)
-            said.append(pa.array([None, *(text[i:j] for i, j in zip(starts[a].tolist(), ends[b - 1].tolist()))], pa.binary()))
-            keys_of += [found, *[found[:0]] * len(a)]
-        types = [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
-        cols = [pa.array(np.concatenate(c) if c else [], t) for c, t in zip(out, types)]
-        texts = pa.concat_arrays(said).cast(pa.string()) if said else pa.array([], pa.string())
-        lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, keys_of)]), pa.int32()), pa.array(np.concatenate([*keys_of, np.empty(0, np.int64)]), pa.int64()))
-        yield pa.RecordBatch.from_arrays([*cols, texts, lists], names=["id", "kind", "n_words", "start", "stop", "key", "text", "anchors"])
-
-
-def _points(text: bytes) -> np.ndarray:
-    """Code points before each byte."""
-    return np.concatenate([[0], np.cumsum((np.frombuffer(text, np.uint8) & 0xC0) != 0x80)])
-
-
-def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of (id, text, keys) the windows whose anchor is among the keys: first word, code points, hash of the words."""
-    for batch in batches:
-        out: list[list[np.ndarray]] = [[] for _ in range(5)]
-        for id_, text, keys in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist(), batch.column(2)):
-            starts, ends = word_spans(text)
-            sums = _sums(sh.word_hashes(sh.words(text)))
-            grams = _grams(sums, GRAM)
-            good = np.flatnonzero(np.isin(grams[anchors(grams)], keys.values.to_numpy()))
-            before = _points(text)
-            for c, v in zip(out, (np.full(len(good), id_), good, before[starts[good]], before[ends[good + MIN_WORDS - 1]], _grams(sums, MIN_WORDS)[good])):
-                c.append(v)
-        types = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64()]
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c) if c else [], t) for c, t in zip(out, types)], names=["id", "at", "start", "stop", "key"])
+_UNITS = f"doc long, h long, anchors array<long>, start long, stop long, n_words long, {sh.SIGNATURE}"
 
 
-def _shared(of: DataFrame, by: str) -> DataFrame:
-    """Groups that several documents hold, with their smallest id."""
-    return of.groupBy(by).agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first != last").drop("last")
+def _lists(of: np.ndarray, values: np.ndarray, n: int) -> pa.ListArray:
+    """Values as lists of the ``n`` rows that they belong to, in ascending order of rows."""
+    return pa.ListArray.from_arrays(pa.array(np.searchsorted(of, np.arange(n + 1)), pa.int32()), pa.array(values))
 
 
-def repeats(docs: DataFrame) -> DataFrame:
-    """(doc_id, kind, start, stop, n_words, component_id, kept): spans of (id, text) that several documents hold.
+def cut(docs: DataFrame, least: int) -> DataFrame:
+    """A row for each text with its distinct anchors, and one for each paragraph with its signature."""
+    gram = least // 2
 
-    ``component_id`` is the smallest doc_id that holds the paragraph's component or a window of the run.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            w = Words(batch.column(2).cast(pa.binary()).to_pylist())
+            grams, whole = w.grams(gram)
+            _, inside = w.grams(least)
+            at = np.unique(leasts(grams, least - gram + 1)[: len(inside)][inside])
+            both = np.unique(np.rec.fromarrays([w.doc[at], grams[at]]))
+            some = np.unique(both["f0"])
+            n, m = len(some), 0
+            a, b = paragraphs(w, least)
+            values = sh.shingles(w.hashes) if len(a) else np.empty(0, np.uint64)
+            sets = [np.unique(values[i : j - sh.SHINGLE + 1]) for i, j in zip(a.tolist(), b.tolist())]
+            signs = sh.signature(np.concatenate([*sets, np.empty(0, np.uint64)]), np.array([len(x) for x in sets], np.int64), BANDS, ROWS)
+            m, of = len(a), w.doc[a]
+            ids, h = (batch.column(c).to_numpy(zero_copy_only=False) for c in (0, 1))
+            anchors = _lists(np.searchsorted(some, both["f0"]), both["f1"], n)
+            first = [pa.array(ids[some]), pa.array(h[some]), anchors, *[pa.nulls(n, pa.int64())] * 8, pa.nulls(n, pa.list_(pa.int64()))]
+            places = [pa.array(x, pa.int64()) for x in (w.points(w.starts[a], of), w.points(w.ends[b - 1], of), b - a)]
+            then = [pa.array(ids[of]), pa.array(h[of]), pa.nulls(m, pa.list_(pa.int64())), *places, *signs]
+            names = ["doc", "h", "anchors", "start", "stop", "n_words", "n", "k1", "k2", "s1", "s2", "bands"]
+            for cols in (first, then):
+                yield pa.RecordBatch.from_arrays(cols, names=names)
+
+    return in_arrow(docs.select("id", "h", "text"), run, _UNITS)
+
+
+def windows(docs: DataFrame, least: int) -> DataFrame:
+    """Of (id, h, text, keys) the chosen windows near an anchor among the keys: first word, hash, words on either side."""
+    gram, window = least // 2, least * 4 // 5
+    side = least - window
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            w = Words(batch.column(2).cast(pa.binary()).to_pylist())
+            grams, _ = w.grams(gram)
+            _, inside = w.grams(least)
+            near = inside & np.isin(grams[leasts(grams, least - gram + 1)[: len(inside)]], batch.column(3).flatten().to_numpy())
+            keys, whole = w.grams(window)
+            chosen = np.zeros(len(keys) + 1, bool)
+            chosen[np.unique(leasts(keys, side + 1)[: len(near)][near])] = True
+            at = np.flatnonzero(chosen)
+            # a word is marked by 16 bits of its hash, what lies outside the text by 0
+            marks = np.concatenate([np.zeros(side, np.uint16), np.maximum(w.hashes >> np.uint64(48), np.uint64(1)).astype(np.uint16), np.zeros(side, np.uint16)])
+            of = np.concatenate([np.full(side, -1), w.doc, np.full(side, -1)])
+            doc = w.doc[at]
+            sides = []
+            for k in (0, side + window):  # marks are shifted by ``side``
+                here = at[:, None] + k + np.arange(side)
+                sides.append(pa.FixedSizeBinaryArray.from_buffers(pa.binary(2 * side), len(at), [None, pa.py_buffer(np.ascontiguousarray(np.where(of[here] == doc[:, None], marks[here], 0).astype(np.uint16)))]).cast(pa.binary()))
+            ids, h = (batch.column(c).to_numpy(zero_copy_only=False)[doc] for c in (0, 1))
+            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(h), pa.array(at - w.first[doc], pa.int64()), pa.array(keys[at]), *sides], names=["id", "h", "at", "key", "left", "right"])
+
+    return in_arrow(docs.select("id", "h", "text", "keys"), run, "id long, h long, at long, key long, left binary, right binary")
+
+
+def followed(pairs: DataFrame, least: int) -> DataFrame:
+    """(id, h, at, first, kept, before, after): how many words on either side a window has in common with others.
+
+    Others are the first document that holds the window and the last; ``pairs`` has the words of all three.
     """
-    docs = docs.where("id IS NOT NULL").select("id", "text")
+    side = least - least * 4 // 5
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            def marks(c: str) -> np.ndarray:
+                return np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint16).reshape(len(batch), side)
+
+            out, kept = [], batch.column("kept").to_numpy(zero_copy_only=False)
+            last = batch.column("last").to_numpy() == batch.column("id").to_numpy()
+            for s in ("left", "right"):
+                own = marks(s)
+                common = []
+                for of, self_ in (("first", kept), ("last", last)):
+                    same = (own == marks(f"{of}_{s}")) & (own > 0) & ~self_[:, None]
+                    same = same[:, ::-1] if s == "left" else same
+                    common.append(np.logical_and.accumulate(same, axis=1).sum(axis=1))
+                out.append(pa.array(np.maximum(*common), pa.int32()))
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("id", "h", "at", "first", "kept")), *out], names=["id", "h", "at", "first", "kept", "before", "after"])
+
+    return in_arrow(pairs, run, "id long, h long, at long, first long, kept boolean, before int, after int")
+
+
+def _runs(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
+    """Of (id, h, text, found) the runs that overlapping windows make, in code points."""
+    window = least * 4 // 5
+    for batch in batches:
+        w = Words(batch.column(2).cast(pa.binary()).to_pylist())
+        rows: list[tuple] = []
+        of = batch.column(3)
+        at, first, kept, before, after = (of.flatten().field(i).to_numpy(zero_copy_only=False) for i in range(5))
+        doc = np.repeat(np.arange(len(batch)), np.diff(of.offsets.to_numpy()))
+        start, stop = at - before, at + window + after
+        order = np.lexsort((start, kept, doc))
+        for i in order.tolist():
+            d, k, a, b, f = int(doc[i]), bool(kept[i]), int(start[i]), int(stop[i]), int(first[i])
+            if rows and rows[-1][:2] == (d, k) and a < rows[-1][3]:
+                _, _, x, y, g = rows[-1]
+                rows[-1] = (d, k, x, max(y, b), min(f, g))
+            else:
+                rows.append((d, k, a, b, f))
+        rows = [r for r in rows if r[3] - r[2] >= least]
+        gone: dict[int, list[tuple[int, int]]] = {}
+        for r in rows:
+            if not r[1]:
+                gone.setdefault(r[0], []).append(r[2:4])
+        rows = [r for r in rows if not r[1] or not any(x <= r[2] and r[3] <= y for x, y in gone.get(r[0], []))]
+        d, k, a, b, f = (np.array(c, t) for c, t in zip(zip(*rows) if rows else [()] * 5, (int, bool, int, int, int)))
+        ids, h = (batch.column(c).to_numpy(zero_copy_only=False)[d] for c in (0, 1))
+        places = w.points(w.starts[w.first[d] + a], d), w.points(w.ends[w.first[d] + b - 1], d)
+        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(h, pa.int64()), *(pa.array(x, pa.int64()) for x in (*places, b - a, f)), pa.array(k)], names=["doc_id", "h", "start", "stop", "n_words", "component_id", "kept"])
+
+
+def _runs_of(docs: DataFrame, units: DataFrame, least: int) -> tuple[DataFrame, str]:
+    """The verbatim passages, a table; also its path."""
     spark = docs.sparkSession
-    cut, _ = written(in_arrow(docs, _cut, _UNITS), "units")
-    blocks = cut.where("kind = 0").select("id", F.explode("anchors").alias("key"))
-    again, again_at = written(_shared(blocks, "key").select("key"), "again")
-    keys = blocks.join(again, "key").groupBy("id").agg(F.collect_set("key").alias("keys"))
-    windows, windows_at = written(in_arrow(docs.join(keys, "id").select("id", "text", "keys"), _windows, "id long, at int, start int, stop int, key long"), "windows")
-    remove(spark, again_at)
+    anchors = units.where("anchors IS NOT NULL").select("doc", "h", F.explode("anchors").alias("key"))
+    again = anchors.groupBy("key").agg(F.min("doc").alias("a"), F.max("doc").alias("b")).where("a != b").select("key")
+    keys = anchors.join(again, "key").groupBy(F.col("doc").alias("id"), "h").agg(F.collect_set("key").alias("keys"))
+    made, made_at = written(windows(docs.join(keys, ["id", "h"]).dropDuplicates(["id", "h"]), least), "windows")
     tidy(spark)
-    first, first_at = written(_shared(windows, "key"), "first")
-    mine = F.col("first") == F.col("id")
-    windows = windows.join(first, "key").select("id", "at", "start", "stop", "first", mine.alias("kept"))
-    # windows in a row have the same difference of place and rank; rows of one id may repeat a place
-    rank = F.dense_rank().over(Window.partitionBy("id", "kept").orderBy("at"))
-    runs = windows.withColumn("_run", F.col("at") - rank).groupBy("id", "kept", "_run").agg(*(f("at").alias(n) for f, n in ((F.min, "_a"), (F.max, "_b"))), F.min("start").alias("start"), F.max("stop").alias("stop"), F.min("first").alias("component_id"))
-    runs = runs.withColumn("n_words", F.col("_b") - F.col("_a") + MIN_WORDS)
-    runs, _ = written(runs.select(F.col("id").alias("doc_id"), F.lit("run").alias("kind"), *(F.col(c).cast("long").alias(c) for c in ("start", "stop", "n_words")), "component_id", "kept"), "runs")
-    remove(spark, windows_at, first_at)
+    holder = F.struct("id", "at", "left", "right")
+    ends = made.groupBy("key").agg(F.min(holder).alias("a"), F.max(holder).alias("b")).where("a.id != b.id")
+    pairs = made.join(ends, "key").select("id", "h", "at", "left", "right", F.col("a.id").alias("first"), F.col("b.id").alias("last"), (F.col("id") == F.col("a.id")).alias("kept"), *[F.col(f"{x}.{s}").alias(f"{of}_{s}") for x, of in (("a", "first"), ("b", "last")) for s in ("left", "right")])
+    found, found_at = written(followed(pairs, least).groupBy("id", "h").agg(F.collect_list(F.struct("at", "first", "kept", "before", "after")).alias("found")), "found")
+    remove(spark, made_at)
+    runs = in_arrow(docs.join(found, ["id", "h"]).dropDuplicates(["id", "h"]).select("id", "h", "text", "found"), functools.partial(_runs, least=least), "doc_id long, h long, start long, stop long, n_words long, component_id long, kept boolean")
+    runs, runs_at = written(runs, "runs")
+    remove(spark, found_at)
     tidy(spark)
+    return runs, runs_at
+
+
+def repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+    """(doc_id, h, kind, start, stop, n_words, component_id, kept): spans of (id, text) that several documents hold.
+
+    ``component_id`` is the smallest doc_id that holds the paragraph's component or a window of the run, ``h`` a hash of
+    the text. The result is a table in the shared folder.
+    """
+    docs = docs.where("id IS NOT NULL").select("id", F.xxhash64("text").alias("h"), "text")
+    spark = docs.sparkSession
+    units, units_at = written(cut(docs, min_words).withColumn("id", F.monotonically_increasing_id()), "units")
+    runs, runs_at = _runs_of(docs, units, min_words)
+
+    told = units.where("anchors IS NULL").drop("anchors")
+
+    def texts_of(keys: DataFrame) -> DataFrame:
+        at = told.join(keys, ["id", "h"], "left_semi").select(F.col("id").alias("_id"), F.col("doc").alias("id"), "h", "start", "stop")
+        part = F.substring("text", F.col("start").cast("int") + 1, (F.col("stop") - F.col("start")).cast("int"))
+        return docs.join(at, ["id", "h"]).select(F.col("_id").alias("id"), "h", part.alias("text")).dropDuplicates(["id", "h"])
+
+    named = neardup.linked(told, texts_of, keep=("doc", "start", "stop", "n_words"))
+    held = named.groupBy("component").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).where("first != last").drop("last")
+    lines = named.join(held, "component").select(F.col("doc").alias("doc_id"), "h", "start", "stop", "n_words", F.col("first").alias("component_id"), (F.col("first") == F.col("doc")).alias("kept")).distinct()
+    lines, lines_at = written(lines, "paragraphs")
+    wide = lines.select(*[F.col(c).alias(f"_{c}") for c in ("doc_id", "h", "kept", "start", "stop")])
+    inside = (F.col("start") >= F.col("_start")) & (F.col("stop") <= F.col("_stop"))
+    for c in ("doc_id", "h", "kept"):
+        inside &= F.col(c) == F.col(f"_{c}")
+    out = runs.join(wide, inside, "left_anti").withColumn("kind", F.lit("run")).unionByName(lines.withColumn("kind", F.lit("paragraph")))
+    out, _ = written(out.select("doc_id", "h", "kind", "start", "stop", "n_words", "component_id", "kept"), "spans")
+    remove(spark, units_at, runs_at, lines_at)
+    tidy(spark)
+    return out
+
 
-    lines = cut.where("kind = 1").select("id", "start", "stop", "n_words", "key")
-    told = cut.where("kind = 1").select(F.col("key").alias("id"), "text")
-    groups, _ = written(neardup.grouped(told, BANDS, ROWS).select(F.col("id").alias("key"), F.col("component").alias("group")).distinct(), "groups")
-    named = lines.join(groups, "key")
-    held, _ = written(_shared(named, "group"), "held")
-    lines = named.join(held, "group").select(F.col("id").alias("doc_id"), F.lit("paragraph").alias("kind"), "start", "stop", F.col("n_words").cast("long").alias("n_words"), F.col("first").alias("component_id"), (F.col("first") == F.col("id")).alias("kept"))
-    told = lines.select(F.col("doc_id").alias("_id"), F.col("kept").alias("_kept"), F.col("start").alias("_from"), F.col("stop").alias("_to"))
-    inside = (F.col("doc_id") == F.col("_id")) & (F.col("kept") == F.col("_kept")) & (F.col("start") >= F.col("_from")) & (F.col("stop") <= F.col("_to"))
-    return runs.join(told, inside, "left_anti").unionByName(lines)
-
-
-def without_repeats(docs: DataFrame) -> DataFrame:
-    """All columns of documents (doc_id, text, ..) with the spans that aren't kept cut out; texts left empty go."""
-    found, _, seen = counted(repeats(docs.select(F.col("doc_id").alias("id"), "text")).where("NOT kept"), "spans")
-    spans = found.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("start", "stop"))).alias("_spans"))
-    few = seen["n"] <= MOST_BROADCAST
-    df = docs.join(F.broadcast(spans) if few else spans, "doc_id", "left")
-    schema = docs.schema
+def without_repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+    """All columns of documents (doc_id, text, ..) with the spans that aren't kept cut out; texts without a word go."""
+    id_, h_, spans_ = unused(docs.columns, "_id", "_h", "_spans")
+    found = repeats(docs.select(F.col("doc_id").alias("id"), "text"), min_words).where("NOT kept")
+    found, _, seen = counted(found.groupBy(F.col("doc_id").alias(id_), F.col("h").alias(h_)).agg(F.array_sort(F.collect_list(F.struct("start", "stop"))).alias(spans_)), "cuts", spans=F.sum(F.size(spans_)))
+    few = seen["n"] <= MOST_BROADCAST and (seen["spans"] or 0) <= MOST_BROADCAST
+    df = docs.join(F.broadcast(found) if few else found, (F.col("doc_id") == F.col(id_)) & (F.xxhash64("text") == F.col(h_)), "left")
     names = docs.columns
 
     def cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = []
-            for text, gone in zip(batch.column("text").to_pylist(), batch.column("_spans").to_pylist()):
+            for text, gone in zip(batch.column("text").to_pylist(), batch.column(len(names)).to_pylist()):
                 if gone and text:
                     parts, at = [], 0
                     for span in gone:
@@ -228,11 +343,11 @@ def without_repeats(docs: DataFrame) -> DataFrame:
                         at = max(at, span["stop"])
                     text = "".join([*parts, text[at:]])
                 texts.append(text)
-            cols = [pa.array(texts, pa.string()) if n == "text" else batch.column(n) for n in names]
+            cols = [pa.array(texts, pa.string()) if n == "text" else batch.column(i) for i, n in enumerate(names)]
             yield pa.RecordBatch.from_arrays(cols, names=names)
 
-    return in_arrow(df.select(*names, "_spans"), cut_out, schema).where(F.trim(F.coalesce("text", F.lit(""))) != "")
+    return in_arrow(df.select(*[docs[c] for c in names], spans_), cut_out, docs.schema).where(F.col("text").rlike(WORD))
 
 
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return repeats(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text"))
+    return repeats(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")).drop("h")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 
 SHINGLE = 5
@@ -121,6 +122,25 @@ def minima_of(values: np.ndarray, sizes: np.ndarray, n: int = HASHES) -> np.ndar
     return out
 
 
+def signature(values: np.ndarray, sizes: np.ndarray, n_bands: int, rows: int) -> list[pa.Array]:
+    """Of several sets in a row: size, 128-bit hash of the set, signature bits (two longs each) and band hashes."""
+    some = sizes > 0
+    keys, marks = np.zeros((2, len(sizes)), np.uint64), np.zeros((len(sizes), 2), np.int64)
+    found = np.empty((0, n_bands), np.int64)
+    if some.any():
+        starts = (np.cumsum(sizes) - sizes)[some]
+        keys[0, some] = np.add.reduceat(mixed(values), starts)
+        keys[1, some] = np.bitwise_xor.reduceat(mixed(values + np.uint64(1)), starts)
+        least = minima_of(values, sizes[some], n_bands * rows)
+        marks[some], found = bits(least), bands(least, rows)
+    lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(some) * n_bands]), pa.int32()), pa.array(found.ravel(), pa.int64()))
+    return [*(pa.array(x, pa.int64()) for x in (sizes, keys[0].view(np.int64), keys[1].view(np.int64), marks[:, 0].copy(), marks[:, 1].copy())), lists]
+
+
+#: What ``signature`` gives, as columns.
+SIGNATURE = "n long, k1 long, k2 long, s1 long, s2 long, bands array<long>"
+
+
 def likeness(a: np.ndarray, b: np.ndarray) -> tuple[int, int]:
     """Sizes of the intersection and of the union of two sorted sets."""
     both = len(np.intersect1d(a, b, assume_unique=True))

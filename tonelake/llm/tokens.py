@@ -2,8 +2,9 @@
 
 The tokenizer named in the contracts (word_bpe_49k) drops white space and never joins what it parts, so a text's ids are
 those of its chunks in turn. It parts letter runs from all else, lower-cases, maps bytes to letters and merges; a chunk of
-plain letters therefore goes to its merges alone. Another tokenizer must part text likewise. Each worker keeps the
-ids of chunks it has met, in two generations of bounded size.
+plain letters therefore goes to its merges alone. A text that holds a special token, in whatever case, goes to the library
+whole, and so does each text of a tokenizer that fails PROBES. Each worker keeps the ids of chunks it has met, in two
+generations of bounded size.
 """
 
 from __future__ import annotations
@@ -23,8 +24,10 @@ from tonelake.llm.common import in_arrow
 
 #: Chunks in a generation, of which there are two: 160 bytes each or so, in every worker.
 KEPT = 200_000
-#: Below this character, letters are composed and have one simple lower case.
+#: Below this character, letters are composed and have one simple lower case, so that a mark after them stays apart.
 FIRST_BEYOND = "\u0130"
+#: Texts that a tokenizer must part as this module does for its chunks to be taken one by one.
+PROBES = ["Plain words, and others.  Two spaces\tand\nlines\r\n", "ÀÉ straße. É, 12a,b. don't (x) a-b http://a.b/c?d", " leading, trailing ", "İ. ΣΑΣ, クラ 漢字。 a1 ¼ ª"]
 
 # The byte-level alphabet by its rule: printable bytes stand for themselves, the others follow from U+0100 on, in order.
 _PRINTABLE = {*range(33, 127), *range(161, 173), *range(174, 256)}
@@ -47,6 +50,16 @@ class Encoder(dict):
         super().__init__()
         self.of, self.last, self.kept = Tokenizer.from_file(path), {}, kept
         self.merge = self.of.model.tokenize
+        self.special = [t.content.lower().encode() for t in self.of.get_added_tokens_decoder().values()]
+        self.by_chunk = True
+        try:
+            self.by_chunk = all(self.ids(t.encode()) == self.whole(t.encode()) for t in PROBES)
+        except Exception:  # noqa: BLE001 - a model without such merges
+            self.by_chunk = False
+        self.clear()
+
+    def whole(self, text: bytes) -> bytes:
+        return array("I", self.of.encode(text.decode(), add_special_tokens=False).ids).tobytes()
 
     def __missing__(self, chunk: bytes) -> bytes:
         if len(self) >= self.kept:
@@ -59,18 +72,19 @@ class Encoder(dict):
                 if not plain.isascii():
                     plain = plain.lower().encode().decode("latin-1").translate(_BYTE_LEVEL)
                 ids = array("I", [t.id for t in self.merge(plain)]).tobytes()
-            elif chunk[-1:] in (b".", b",") and plain[:-1].isalpha():  # a letter run and a mark are apart
+            elif chunk[-1:] in (b".", b",") and plain[:-1].isalpha() and max(plain) < FIRST_BEYOND:  # a letter run and a mark are apart
                 ids = self[chunk[:-1]] + self[chunk[-1:]]
             else:
-                ids = array("I", self.of.encode(plain, add_special_tokens=False).ids).tobytes()
+                ids = self.whole(chunk)
         self[chunk] = ids
         return ids
 
     def ids(self, text: bytes | None) -> bytes:
         text = text or b""
-        if b"<|" not in text:  # the tokenizer lower-cases all but its special tokens
-            text = text.lower()
-        return b"".join(map(self.__getitem__, text.split()))
+        lower = text.lower()
+        if not self.by_chunk or any(t in lower for t in self.special):
+            return self.whole(text)
+        return b"".join(map(self.__getitem__, lower.split()))
 
 
 @functools.lru_cache(2)

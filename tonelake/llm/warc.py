@@ -19,6 +19,7 @@ import base64
 import gzip
 import hashlib
 import json
+import re
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -58,19 +59,31 @@ def record(page_id: int | None, url: str | None, payload: bytes, refers_to: int
 
 
 def fields(head: bytes) -> dict[str, str]:
-    lines = head.decode().split("\r\n")[1:]
-    return {k.lower(): v for k, _, v in (x.partition(": ") for x in lines if x)}
+    """Header fields by lower-case name; a line that begins with white space goes on with the one before."""
+    lines = re.sub(r"\r\n[ \t]+", " ", head.decode()).split("\r\n")[1:]
+    return {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines if x)}
 
 
 def inflated(file) -> Iterator[bytes]:
-    """The plain bytes of a gzip stream of one or more members, in parts."""
-    d, data = zlib.decompressobj(31), b""
+    """The plain bytes of a gzip stream of one or more members, in parts of READ bytes at most."""
+    d, data, open_ = zlib.decompressobj(31), b"", False
     while data or (data := file.read(READ)):
-        yield d.decompress(data)
-        data = d.unused_data
+        if not open_ and not data.strip(b"\0"):  # zeros may follow the last member
+            data = b""
+            continue
+        part = d.decompress(data, READ)
+        open_ = True
+        if part:
+            yield part
+        data = d.unconsumed_tail
         if d.eof:
-            d = zlib.decompressobj(31)
-    if d.unconsumed_tail:
+            data, d, open_ = d.unused_data, zlib.decompressobj(31), False
+        elif not data and len(part) == READ:  # more may wait inside
+            while part := d.decompress(b"", READ):
+                yield part
+            if d.eof:
+                data, d, open_ = d.unused_data, zlib.decompressobj(31), False
+    if open_:
         raise ValueError("a gzip stream breaks off")
 
 
