@@ -38,7 +38,7 @@ LINK = 75
 #: Of 128 signature bits, as many may differ; a pair of likeness 0.75 differs in 16 on average, deviation 3.7; with fewer hashes and more bits of each, in 14, deviation 4.7.
 MOST_BITS = 37
 #: Members of a bucket up to which what is left of it is compared by a join, beyond in blocks of DOWN by ACROSS signatures.
-HOT, DOWN, ACROSS = 32, 512, 4096
+HOT, DOWN, ACROSS = 32, 256, 1024
 #: Shingles of the rows of a block of sets, four times as many of its columns, and how many are compared at a time.
 SHINGLES, COLUMNS = 1 << 16, 4096
 #: Rows whose keys of 16 bytes may be broadcast: 4 MB.
@@ -70,20 +70,32 @@ def _check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
 
-def checked(pairs: DataFrame, n: int, texts_of: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """Of ``n`` pairs (a, ha, b, hb) those whose whole texts link. Only texts that some pair names are shuffled."""
+#: Finds the texts (id, h, text) of keys (id, h), one each; the number is how many keys there are at most.
+Texts = Callable[[DataFrame, int], DataFrame]
+
+
+def checked(pairs: DataFrame, n: int, texts_of: Texts) -> tuple[DataFrame, str, int]:
+    """Of ``n`` pairs (a, ha, b, hb) those whose whole texts link: a table (a, b), its path and rows. Only texts that some pair names are shuffled."""
+    spark = pairs.sparkSession
     ids = pairs.select(F.col("a").alias("id"), F.col("ha").alias("h")).union(pairs.select("b", "hb")).distinct()
-    t = texts_of(F.broadcast(ids) if n <= MOST_BROADCAST else ids).select("id", "h", F.encode("text", "UTF-8").alias("text"))
+    t, t_at = written(texts_of(ids, 2 * n).select("id", "h", F.encode("text", "UTF-8").alias("text")), "texts")
     both = pairs
     for x in "ab":
         both = both.join(t.select(F.col("id").alias(x), F.col("h").alias(f"h{x}"), F.col("text").alias(f"text_{x}")), [x, f"h{x}"])
-    return in_arrow(both.select("a", "b", "hb", "text_a", "text_b"), _check, "a long, b long")
+    made, at, seen = counted(in_arrow(both.select("a", "b", "hb", "text_a", "text_b"), _check, "a long, b long"), "linked")
+    remove(spark, t_at)
+    return made, at, seen["n"]
+
+
+def few(df: DataFrame, n: int) -> DataFrame:
+    """Broadcast where the counted rows, of some 16 bytes each, are few."""
+    return F.broadcast(df) if n <= MOST_BROADCAST else df
 
 
-def texts_by_id(docs: DataFrame) -> Callable[[DataFrame], DataFrame]:
-    """Finds the texts (id, h, text) of keys (id, h) in (id, text)."""
+def texts_by_id(docs: DataFrame) -> Texts:
+    """Finds texts in (id, text)."""
     hashed = docs.select("id", F.xxhash64("text").alias("h"), "text")
-    return lambda keys: hashed.join(keys, ["id", "h"], "left_semi").dropDuplicates(["id", "h"])
+    return lambda keys, n: hashed.join(few(keys, n), ["id", "h"], "left_semi").dropDuplicates(["id", "h"])
 
 
 def _alike(x: str, y: str) -> Column:
@@ -111,7 +123,7 @@ def grouped(docs: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     return linked(all_, texts_by_id(docs))
 
 
-def linked(all_: DataFrame, texts_of: Callable[[DataFrame], DataFrame], keep: tuple[str, ...] = ()) -> DataFrame:
+def linked(all_: DataFrame, texts_of: Texts, keep: tuple[str, ...] = ()) -> DataFrame:
     """(id, h, n, component, ..) for each row of a written table of ``signed`` columns, with the columns ``keep``.
 
     ``texts_of`` finds the texts (id, h, text) of keys (id, h).
@@ -130,9 +142,8 @@ def linked(all_: DataFrame, texts_of: Callable[[DataFrame], DataFrame], keep: tu
 
     def link(pairs: DataFrame, n: int) -> bool:
         """Checks at most ``n`` pairs; adds what links to ``links`` and says whether any did."""
-        made, at, seen = counted(checked(pairs.select("a", "ha", "b", "hb"), n, texts_of), "linked")
-        links.append((made, at, seen["n"]))
-        return seen["n"] > 0
+        links.append(checked(pairs.select("a", "ha", "b", "hb"), n, texts_of))
+        return links[-1][2] > 0
 
     def grown(found_at: str | None) -> tuple[DataFrame, str]:
         """The components of all links so far."""
@@ -173,13 +184,13 @@ def _open(members: DataFrame, found: DataFrame, nodes: DataFrame) -> DataFrame:
     return placed.join(shape.select("bucket", "main", "most"), "bucket").join(nodes, "id")
 
 
-def _left(few: DataFrame) -> DataFrame:
+def _left(small: DataFrame) -> DataFrame:
     """Pairs (a, ha, b, hb) left to check: in one bucket, of different components, alike by signature.
 
     Of each bucket, the members outside its largest component meet all others; that component's own members don't
     meet each other.
     """
-    x, y = few.where("c != main").alias("x"), few.alias("y")
+    x, y = small.where("c != main").alias("x"), small.alias("y")
     once = (F.col("y.c") == F.col("y.main")) | (F.col("x.c") < F.col("y.c"))
     pairs = x.join(y, (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.c") != F.col("y.c")) & once & _alike("x", "y"))
     return pairs.select(F.col("x.id").alias("a"), F.col("x.h").alias("ha"), F.col("y.id").alias("b"), F.col("y.h").alias("hb")).distinct()
@@ -259,7 +270,7 @@ def _with_sets(texts: DataFrame) -> DataFrame:
     return in_arrow(texts.select("id", "h", "text"), run, "id long, h long, values binary")
 
 
-def _hot_links(members: DataFrame, found: DataFrame, ids: DataFrame, texts_of: Callable[[DataFrame], DataFrame]) -> tuple[DataFrame, str, int]:
+def _hot_links(members: DataFrame, found: DataFrame, ids: DataFrame, texts_of: Texts) -> tuple[DataFrame, str, int]:
     """Links (a, b) still missing among the members of large buckets: exact, and without a row per pair.
 
     Each bucket is compared by signature, in blocks of DOWN by ACROSS at most, of which only a link to the smallest id of
@@ -275,9 +286,8 @@ def _hot_links(members: DataFrame, found: DataFrame, ids: DataFrame, texts_of: C
     sizes = placed.groupBy("family", "c").agg(F.sum("n").alias("n"))
     shape = sizes.groupBy("family").agg(F.max_by("c", F.struct("n", "c")).alias("main"), F.sum("n").alias("all"), F.max("n").alias("most"), F.count("*").alias("parts")).where("parts > 1")
     shape, shape_at, shapes = counted(shape.select("family", "main", F.ceil(F.col("all") / (4 * SHINGLES)).alias("n_across"), F.ceil((F.col("all") - F.col("most")) / SHINGLES).alias("n_down")), "shape")
-    open_ = placed.join(F.broadcast(shape) if shapes["n"] <= MOST_BROADCAST else shape, "family")
-    keys = open_.select("id", "h").distinct()
-    sets, sets_at = written(_with_sets(texts_of(F.broadcast(keys) if seen["n"] <= MOST_BROADCAST else keys)), "sets")
+    open_ = placed.join(few(shape, shapes["n"]), "family")
+    sets, sets_at = written(_with_sets(texts_of(open_.select("id", "h").distinct(), seen["n"])), "sets")
     blocks = _dealt(open_, F.col("c") != F.col("main"), F.col("n_down"), F.col("n_across"), ["family", "id", "h", "c"])
     made, at, seen = counted(blocks.join(sets, ["id", "h"]).groupBy("family", "down", "across").applyInArrow(_block, "a long, b long"), "linked")
     remove(spark, kin_at, families_at, placed_at, shape_at, sets_at)
@@ -292,7 +302,6 @@ def deduplicated(docs: DataFrame) -> DataFrame:
     """
     spark = docs.sparkSession
     twice, twice_at, seen = counted(docs.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id"), "twice")
-    few = lambda df, n: F.broadcast(df) if n <= MOST_BROADCAST else df
     if seen["n"]:
         n_, of_ = unused(docs.columns, "_n", "_of")
         again = few(twice.select(F.col("doc_id").alias(of_)), seen["n"])

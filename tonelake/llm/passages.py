@@ -276,16 +276,17 @@ def _runs_of(docs: DataFrame, units: DataFrame, least: int) -> tuple[DataFrame,
     anchors = units.where("anchors IS NOT NULL").select("doc", "h", F.explode("anchors").alias("key"))
     again = anchors.groupBy("key").agg(F.min("doc").alias("a"), F.max("doc").alias("b")).where("a != b").select("key")
     keys = anchors.join(again, "key").groupBy(F.col("doc").alias("id"), "h").agg(F.collect_set("key").alias("keys"))
-    made, made_at = written(windows(docs.join(keys, ["id", "h"]).dropDuplicates(["id", "h"]), least), "windows")
+    near, near_at = written(docs.join(keys, ["id", "h"]).select("id", "h", "text", "keys"), "near")
     tidy(spark)
+    made, made_at = written(windows(near, least), "windows")
     holder = F.struct("id", "at", "left", "right")
-    ends = made.groupBy("key").agg(F.min(holder).alias("a"), F.max(holder).alias("b")).where("a.id != b.id")
+    ends = made.groupBy("key").agg(F.min(holder).alias("a"), F.max(holder).alias("b")).where("a.id != b.id").repartition("key")  # so that Spark can split what many documents hold
     pairs = made.join(ends, "key").select("id", "h", "at", "left", "right", F.col("a.id").alias("first"), F.col("b.id").alias("last"), (F.col("id") == F.col("a.id")).alias("kept"), *[F.col(f"{x}.{s}").alias(f"{of}_{s}") for x, of in (("a", "first"), ("b", "last")) for s in ("left", "right")])
-    found, found_at = written(followed(pairs, least).groupBy("id", "h").agg(F.collect_list(F.struct("at", "first", "kept", "before", "after")).alias("found")), "found")
+    found, found_at = written(followed(pairs, least).groupBy("id", "h").agg(F.collect_set(F.struct("at", "first", "kept", "before", "after")).alias("found")), "found")
     remove(spark, made_at)
-    runs = in_arrow(docs.join(found, ["id", "h"]).dropDuplicates(["id", "h"]).select("id", "h", "text", "found"), functools.partial(_runs, least=least), "doc_id long, h long, start long, stop long, n_words long, component_id long, kept boolean")
-    runs, runs_at = written(runs, "runs")
-    remove(spark, found_at)
+    runs = in_arrow(near.join(found, ["id", "h"]).select("id", "h", "text", "found"), functools.partial(_runs, least=least), "doc_id long, h long, start long, stop long, n_words long, component_id long, kept boolean")
+    runs, runs_at = written(runs.distinct(), "runs")
+    remove(spark, near_at, found_at)
     tidy(spark)
     return runs, runs_at
 
@@ -303,8 +304,9 @@ def repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
 
     told = units.where("anchors IS NULL").drop("anchors")
 
-    def texts_of(keys: DataFrame) -> DataFrame:
-        at = told.join(keys, ["id", "h"], "left_semi").select(F.col("id").alias("_id"), F.col("doc").alias("id"), "h", "start", "stop")
+    def texts_of(keys: DataFrame, n: int) -> DataFrame:
+        keys = neardup.few(keys, n)
+        at = neardup.few(told.join(keys, ["id", "h"], "left_semi").select(F.col("id").alias("_id"), F.col("doc").alias("id"), "h", "start", "stop"), n)
         part = F.substring("text", F.col("start").cast("int") + 1, (F.col("stop") - F.col("start")).cast("int"))
         return docs.join(at, ["id", "h"]).select(F.col("_id").alias("id"), "h", part.alias("text")).dropDuplicates(["id", "h"])
 
