@@ -5,12 +5,14 @@ import gzip
 import hashlib
 import io
 import random
+import re
 import struct
 import zipfile
 import zlib
 
 import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from tonelake.llm import components, fingerprints, langid, media, mixing, neardup, packing, passages, shingles, tokenfiles, tokens, urlrules, warc
@@ -135,31 +137,99 @@ def test_components(spark, seed, few, monkeypatch):
     assert {r.id: r.component for r in got.collect()} == want
 
 
+def spark_hash(*values, seed=42):
+    """Spark's xxhash64 of strings and longs in turn."""
+    h = seed
+    for v in values:
+        h = xxhash.xxh64(v.encode() if isinstance(v, str) else struct.pack("<q", v), seed=h).intdigest()
+        h -= (h >> 63) << 64
+        h %= 1 << 64
+    return h - ((h >> 63) << 64)
+
+
+def tokens_of(text):
+    out, cut = [], set("aeiou0123456789" + "".join(c for c in map(chr, range(33, 127)) if not c.isalnum()))
+    for word in re.findall(r"[^\x20\x09-\x0D]+", text.lower()):
+        if len(word) <= 16:
+            out.append(word)
+            continue
+        piece = ""
+        for c in word:
+            piece += c
+            if c in cut or ord(c) > 127:
+                out.append(piece)
+                piece = ""
+        out += [piece] * bool(piece)
+    return out
+
+
+def sketch_of(text):
+    """The fingerprint's anchors by brute force: each k-mer's inner s-mers are compared."""
+    k, s = fingerprints.K, fingerprints.S
+    h = [spark_hash(t) for t in tokens_of(text or "")]
+    places = {}
+    for i in range(len(h) - k + 1):
+        inner = [spark_hash(*h[i + d : i + d + s]) for d in range(k - s + 1)]
+        if min(inner) in (inner[0], inner[-1]):
+            places.setdefault(spark_hash(*inner[::s]), i)
+    if h and not places:
+        places = {spark_hash(*h): 0}
+    return sorted(places.items())[: fingerprints.KEEP]
+
+
+def likeness_of(a, b):
+    if not a or not b:
+        return float(not a and not b)
+    both = sorted({x for x, _ in a} | {x for x, _ in b})[: fingerprints.KEEP]
+    at, to = dict(a), dict(b)
+    met = sorted((at[x], to[x] - at[x]) for x in both if x in at and x in to)
+    near = lambda i, j: 0 <= j < len(met) and abs(met[i][1] - met[j][1]) <= fingerprints.SLACK
+    return sum(len(met) == 1 or near(i, i - 1) or near(i, i + 1) for i in range(len(met))) / len(both)
+
+
 def edited(rows):
-    """Edited texts by row, next ones in descending (id, text)."""
-    rows = sorted(((i, t or "") for i, t, *_ in rows), key=lambda r: (r[0] is not None, r[0] or 0, r[1]), reverse=True)
+    """All columns of the query by brute force; ties and nulls in descending hash of the text."""
+    rows = sorted(((i, t or "") for i, t, *_ in rows), key=lambda r: (r[0] is not None, r[0] or 0, spark_hash(r[1])), reverse=True)
+    written = lambda sketch: "".join(f"{h % (1 << 64):016x}{p:08x}" for h, p in sketch)
     out = []
     for k, (i, t) in enumerate(rows):
         n, nxt = len(t) // 3, rows[(k + 1) % len(rows)][1]
-        out.append((i, len(t), hashlib.sha256((t[: len(t) - n] + nxt[:n]).encode()).hexdigest()))
+        new = t[: len(t) - n] + nxt[:n]
+        a, b, c = sketch_of(t), sketch_of(new), sketch_of(nxt)
+        out.append((i, len(t), hashlib.sha256(new.encode()).hexdigest(), written(a), written(b), likeness_of(a, b), likeness_of(a, c)))
     return out
 
 
-def test_fingerprints(spark, docs, empty):
-    key = lambda r: (r[0] is None, r[0] or 0, r[1], r[2])
+@pytest.mark.parametrize("run_bytes", [1 << 28, 5000])
+def test_fingerprints_brute_force(spark, docs, empty, run_bytes, monkeypatch):
+    monkeypatch.setattr(fingerprints, "RUN_BYTES", run_bytes)
+    key = lambda r: (r[0] is None, r[0] or 0, *r[1:])
     rows = fingerprints.fingerprint_edits(docs).collect()
-    assert sorted(((r.doc_id, r.n_chars, r.edited_sha256) for r in rows), key=key) == sorted(edited(corpus()), key=key)
-    by = {}
-    for r in rows:
-        by.setdefault(r.doc_id, r)
-        assert 0 <= r.near_edited <= 1 and 0 <= r.near_next <= 1
+    assert sorted(map(tuple, rows), key=key) == sorted(edited(corpus()), key=key)
+    by = {r.doc_id: r for r in rows}
     assert by[3000].fingerprint == by[3001].fingerprint == by[3002].fingerprint == "" and by[3003].fingerprint == by[3004].fingerprint != ""
-    long = [r for r in rows if r.n_chars > 300]
-    assert np.mean([r.near_edited for r in long if r.doc_id != 3005]) > 0.3 > 0.1 > np.mean([r.near_next for r in long if (r.doc_id or 0) < 1000])
     assert fingerprints.fingerprint_edits(empty).count() == 0
     assert "Python" not in fingerprints.fingerprint_edits(docs)._jdf.queryExecution().toString()
 
 
+def test_next_of_many_equal_ids(spark):
+    rng = random.Random(8)
+    rows = [(None if i % 3 else i, f"text {rng.random()}") for i in range(400)]
+    got = fingerprints.fingerprint_edits(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    assert sorted((str(r.doc_id), r.edited_sha256) for r in got) == sorted((str(r[0]), r[2]) for r in edited(rows))
+
+
+def test_a_change_in_a_text_without_spaces_stays_local(spark):
+    rng = random.Random(6)
+    chinese = "".join(chr(rng.randrange(0x4E00, 0x9000)) for _ in range(4000))
+    code = "".join(rng.choice("abcdefghijklmnopqrstuvwxyzABCDEFGH0123456789+/") for _ in range(4000))
+    rows = [(i, t) for i, t in enumerate([chinese, "新" + chinese, chinese[:900] + "新" + chinese[900:], code, "q" + code])]
+    sketches = fingerprints.with_sketches(spark.createDataFrame(rows, "doc_id long, text string"), {"text": "sketch"}).collect()
+    by = {r.doc_id: [(x["hash"], x["place"]) for x in r.sketch] for r in sketches}
+    assert all(len(s) == fingerprints.KEEP for s in by.values())
+    assert likeness_of(by[0], by[1]) > 0.9 and likeness_of(by[0], by[2]) > 0.9 and likeness_of(by[3], by[4]) > 0.9 and likeness_of(by[0], by[3]) == 0
+
+
 def test_syncmer_rule_and_positions(spark):
     rng = random.Random(5)
     passage = words(rng, 60)

@@ -56,22 +56,6 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def cut_points(df: DataFrame, key: str, n: int) -> list[int]:
-    """At most n - 1 values of a long column that part its rows into n runs of about the same size."""
-    if n < 2:
-        return []
-    found = df.agg(F.percentile_approx(key, [i / n for i in range(1, n)], 10_000).alias("cuts")).first()["cuts"]
-    return sorted(set(found or []))
-
-
-def bucket_of(key: str, cuts: list[int]) -> Column:
-    """The run of a key: how many cut points lie below it."""
-    if not cuts:
-        return F.lit(0)
-    below = F.filter(F.array(*[F.lit(c).cast("long") for c in cuts]), lambda c: c < F.col(key))
-    return F.coalesce(F.size(below), F.lit(0))
-
-
 #: Rows and bytes of a batch that a function gets at a time, one row at least.
 BATCH_ROWS, BATCH_BYTES = 128, 16 << 20
 
