@@ -9,10 +9,10 @@ ignored, is also searched for passages of ``min_words`` that another document ho
 of every stretch of ``min_words`` words the least hash of its grams of half as many (the rightmost of equal ones) is an
 anchor: equal stretches have equal anchors, so one can only recur if its anchor does. In what these anchors leave, windows
 of four fifths of ``min_words`` are chosen by the same rule, so that each verbatim passage of ``min_words`` holds one whole,
-and compared by a 64-bit hash of their words. A window comes with the words on either side of it, so that a passage is
-followed to its first and last word in common with the first or the last document that holds the window. What then
-has fewer than ``min_words`` words is left alone. Overlapping windows of the same fate join into runs. A run that lies
-inside a paragraph's span of the same fate adds nothing and is left out, as is a kept one inside a removed one.
+and compared by a 64-bit hash of their words. Overlapping windows of the same fate join into runs. Each end of a run is then
+followed to the last word in common with the first document that holds the window there (of the first itself: with
+the last that does). What has fewer than ``min_words`` words after that is left alone. A run that lies inside a
+paragraph's span of the same fate adds nothing and is left out, as is a kept one inside a removed one.
 
 A component (of paragraphs, or of equal windows) counts if several documents hold it. Its occurrence in the smallest
 doc_id stays, the others are removed. Spans give code points, the end excluded. A kept run may overlap a removed one,
@@ -184,111 +184,116 @@ def cut(docs: DataFrame, least: int) -> DataFrame:
     return in_arrow(docs.select("id", "h", "text"), run, _UNITS)
 
 
-def windows(docs: DataFrame, least: int) -> DataFrame:
-    """Of (id, h, text, keys) the chosen windows near an anchor among the keys: first word, hash, words on either side."""
-    gram, window = least // 2, least * 4 // 5
-    side = least - window
+def _side(least: int) -> int:
+    """By how many words the chosen windows are shorter than ``least``; consecutive ones are no more than one word further apart."""
+    return max(2, least // 5)
+
+
+def windows(near: DataFrame, least: int) -> DataFrame:
+    """Of (row, doc, text, keys) the chosen windows near an anchor among the keys: first word and hash."""
+    gram, side = least // 2, _side(least)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             w = Words(batch.column(2).cast(pa.binary()).to_pylist())
             grams, _ = w.grams(gram)
             _, inside = w.grams(least)
-            near = inside & np.isin(grams[leasts(grams, least - gram + 1)[: len(inside)]], batch.column(3).flatten().to_numpy())
-            keys, whole = w.grams(window)
-            chosen = np.zeros(len(keys) + 1, bool)
-            chosen[np.unique(leasts(keys, side + 1)[: len(near)][near])] = True
-            at = np.flatnonzero(chosen)
-            # a word is marked by 16 bits of its hash, what lies outside the text by 0
-            marks = np.concatenate([np.zeros(side, np.uint16), np.maximum(w.hashes >> np.uint64(48), np.uint64(1)).astype(np.uint16), np.zeros(side, np.uint16)])
-            of = np.concatenate([np.full(side, -1), w.doc, np.full(side, -1)])
-            doc = w.doc[at]
-            sides = []
-            for k in (0, side + window):  # marks are shifted by ``side``
-                here = at[:, None] + k + np.arange(side)
-                sides.append(pa.FixedSizeBinaryArray.from_buffers(pa.binary(2 * side), len(at), [None, pa.py_buffer(np.ascontiguousarray(np.where(of[here] == doc[:, None], marks[here], 0).astype(np.uint16)))]).cast(pa.binary()))
-            ids, h = (batch.column(c).to_numpy(zero_copy_only=False)[doc] for c in (0, 1))
-            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(h), pa.array(at - w.first[doc], pa.int64()), pa.array(keys[at]), *sides], names=["id", "h", "at", "key", "left", "right"])
-
-    return in_arrow(docs.select("id", "h", "text", "keys"), run, "id long, h long, at long, key long, left binary, right binary")
-
-
-def followed(pairs: DataFrame, least: int) -> DataFrame:
-    """(id, h, at, first, kept, before, after): how many words on either side a window has in common with others.
-
-    Others are the first document that holds the window and the last; ``pairs`` has the words of all three.
-    """
-    side = least - least * 4 // 5
+            of = inside & np.isin(grams[leasts(grams, least - gram + 1)[: len(inside)]], batch.column(3).flatten().to_numpy())
+            keys, _ = w.grams(least - side)
+            at = np.unique(leasts(keys, side + 1)[: len(of)][of])
+            row, doc = (batch.column(c).to_numpy()[w.doc[at]] for c in (0, 1))
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (row, doc, at - w.first[w.doc[at]], keys[at])], names=["row", "doc", "at", "key"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            def marks(c: str) -> np.ndarray:
-                return np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint16).reshape(len(batch), side)
-
-            out, kept = [], batch.column("kept").to_numpy(zero_copy_only=False)
-            last = batch.column("last").to_numpy() == batch.column("id").to_numpy()
-            for s in ("left", "right"):
-                own = marks(s)
-                common = []
-                for of, self_ in (("first", kept), ("last", last)):
-                    same = (own == marks(f"{of}_{s}")) & (own > 0) & ~self_[:, None]
-                    same = same[:, ::-1] if s == "left" else same
-                    common.append(np.logical_and.accumulate(same, axis=1).sum(axis=1))
-                out.append(pa.array(np.maximum(*common), pa.int32()))
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("id", "h", "at", "first", "kept")), *out], names=["id", "h", "at", "first", "kept", "before", "after"])
-
-    return in_arrow(pairs, run, "id long, h long, at long, first long, kept boolean, before int, after int")
-
-
-def _runs(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
-    """Of (id, h, text, found) the runs that overlapping windows make, in code points."""
-    window = least * 4 // 5
+    return in_arrow(near.select("row", "doc", "text", "keys"), run, "row long, doc long, at long, key long")
+
+
+def _merged(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
+    """Of (row, doc, found) the runs that overlapping windows of one fate make, in words, and where their ends lie in another holder."""
+    for batch in batches:
+        of = batch.column(2)
+        at, first, kept, other, place = (of.flatten().field(i).to_numpy(zero_copy_only=False) for i in range(5))
+        n = np.repeat(np.arange(len(batch)), np.diff(of.offsets.to_numpy()))
+        order = np.lexsort((place, other, at, kept, n))
+        at, first, kept, other, place, n = (x[order] for x in (at, first, kept, other, place, n))
+        new = np.ones(len(at), bool)
+        new[1:] = (n[1:] != n[:-1]) | (kept[1:] != kept[:-1]) | (at[1:] >= at[:-1] + window)
+        i = np.flatnonzero(new)
+        j = np.concatenate([i[1:], [len(at)]])[: len(i)] - 1
+        least = np.minimum.reduceat(first, i) if len(i) else first[:0]
+        row, doc = (batch.column(c).to_numpy()[n[i]] for c in (0, 1))
+        cols = [row, doc, at[i], at[j] + window, other[i], place[i], other[j], place[j] + window, least]
+        yield pa.RecordBatch.from_arrays([*(pa.array(x, pa.int64()) for x in cols), pa.array(kept[i].astype(bool))], names=["row", "doc", "a", "b", "row_a", "at_a", "row_b", "at_b", "component_id", "kept"])
+
+
+def _around(batches: Iterator[pa.RecordBatch], side: int) -> Iterator[pa.RecordBatch]:
+    """Of (row, text, places) the hashes of ``side`` words before and from each place (0 outside the text), and where they start and end in code points."""
+    for batch in batches:
+        w = Words(batch.column(1).cast(pa.binary()).to_pylist())
+        places = batch.column(2)
+        n = np.repeat(np.arange(len(batch)), np.diff(places.offsets.to_numpy()))
+        at = places.flatten().to_numpy() + w.first[n]
+        before, after = at[:, None] + np.arange(-side, 0), at[:, None] + np.arange(side)
+        lists, last = [], max(0, len(w.starts) - 1)
+        for words in (before, after):
+            known = (words >= w.first[n][:, None]) & (words < w.upto[n][:, None])
+            lists.append(np.where(known, (w.hashes | np.uint64(1))[np.clip(words, 0, last)].view(np.int64), 0))
+        for words, edge in ((np.concatenate([before, at[:, None]], axis=1), w.starts), (np.concatenate([at[:, None] - 1, after], axis=1), w.ends)):
+            words = np.clip(words, 0, last)
+            lists.append(w.points(edge[words.ravel()], np.repeat(n, side + 1)).reshape(words.shape))
+        cols = [pa.ListArray.from_arrays(pa.array(np.arange(len(at) + 1) * x.shape[1], pa.int32()), pa.array(x.ravel(), pa.int64())) for x in lists]
+        yield pa.RecordBatch.from_arrays([pa.array(batch.column(0).to_numpy()[n]), places.flatten(), *cols], names=["row", "place", "before", "after", "starts", "ends"])
+
+
+def _extended(batches: Iterator[pa.RecordBatch], side: int) -> Iterator[pa.RecordBatch]:
+    """Follows runs at both ends as far as the words of the other holder are the same."""
     for batch in batches:
-        w = Words(batch.column(2).cast(pa.binary()).to_pylist())
-        rows: list[tuple] = []
-        of = batch.column(3)
-        at, first, kept, before, after = (of.flatten().field(i).to_numpy(zero_copy_only=False) for i in range(5))
-        doc = np.repeat(np.arange(len(batch)), np.diff(of.offsets.to_numpy()))
-        start, stop = at - before, at + window + after
-        order = np.lexsort((start, kept, doc))
-        for i in order.tolist():
-            d, k, a, b, f = int(doc[i]), bool(kept[i]), int(start[i]), int(stop[i]), int(first[i])
-            if rows and rows[-1][:2] == (d, k) and a < rows[-1][3]:
-                _, _, x, y, g = rows[-1]
-                rows[-1] = (d, k, x, max(y, b), min(f, g))
-            else:
-                rows.append((d, k, a, b, f))
-        rows = [r for r in rows if r[3] - r[2] >= least]
-        gone: dict[int, list[tuple[int, int]]] = {}
-        for r in rows:
-            if not r[1]:
-                gone.setdefault(r[0], []).append(r[2:4])
-        rows = [r for r in rows if not r[1] or not any(x <= r[2] and r[3] <= y for x, y in gone.get(r[0], []))]
-        d, k, a, b, f = (np.array(c, t) for c, t in zip(zip(*rows) if rows else [()] * 5, (int, bool, int, int, int)))
-        ids, h = (batch.column(c).to_numpy(zero_copy_only=False)[d] for c in (0, 1))
-        places = w.points(w.starts[w.first[d] + a], d), w.points(w.ends[w.first[d] + b - 1], d)
-        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(h, pa.int64()), *(pa.array(x, pa.int64()) for x in (*places, b - a, f)), pa.array(k)], names=["doc_id", "h", "start", "stop", "n_words", "component_id", "kept"])
+        def part(c: str, n: int) -> np.ndarray:
+            return batch.column(c).flatten().to_numpy().reshape(len(batch), n)
+
+        far = []
+        for own, other, turn in (("before", "other_before", -1), ("after", "other_after", 1)):
+            x = part(own, side)
+            same = (x == part(other, side)) & (x != 0)
+            far.append(np.logical_and.accumulate(same[:, ::turn], axis=1).sum(axis=1))
+        each = np.arange(len(batch))
+        start, stop = part("starts", side + 1)[each, side - far[0]], part("ends", side + 1)[each, far[1]]
+        n = batch.column("b").to_numpy() - batch.column("a").to_numpy() + far[0] + far[1]
+        yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("doc"), *(pa.array(x, pa.int64()) for x in (start, stop, n)), batch.column("component_id"), batch.column("kept")], names=["row", "doc_id", "start", "stop", "n_words", "component_id", "kept"])
 
 
 def _runs_of(docs: DataFrame, units: DataFrame, least: int) -> tuple[DataFrame, str]:
     """The verbatim passages, a table; also its path."""
-    spark = docs.sparkSession
+    spark, side = docs.sparkSession, _side(least)
+    window = least - side
     anchors = units.where("anchors IS NOT NULL").select("doc", "h", F.explode("anchors").alias("key"))
     again = anchors.groupBy("key").agg(F.min("doc").alias("a"), F.max("doc").alias("b")).where("a != b").select("key")
     keys = anchors.join(again, "key").groupBy(F.col("doc").alias("id"), "h").agg(F.collect_set("key").alias("keys"))
-    near, near_at = written(docs.join(keys, ["id", "h"]).select("id", "h", "text", "keys"), "near")
+    near, near_at = written(docs.join(keys, ["id", "h"]).select(F.monotonically_increasing_id().alias("row"), F.col("id").alias("doc"), "h", "text", "keys"), "near")
     tidy(spark)
     made, made_at = written(windows(near, least), "windows")
-    holder = F.struct("id", "at", "left", "right")
-    ends = made.groupBy("key").agg(F.min(holder).alias("a"), F.max(holder).alias("b")).where("a.id != b.id").repartition("key")  # so that Spark can split what many documents hold
-    pairs = made.join(ends, "key").select("id", "h", "at", "left", "right", F.col("a.id").alias("first"), F.col("b.id").alias("last"), (F.col("id") == F.col("a.id")).alias("kept"), *[F.col(f"{x}.{s}").alias(f"{of}_{s}") for x, of in (("a", "first"), ("b", "last")) for s in ("left", "right")])
-    found, found_at = written(followed(pairs, least).groupBy("id", "h").agg(F.collect_set(F.struct("at", "first", "kept", "before", "after")).alias("found")), "found")
-    remove(spark, made_at)
-    runs = in_arrow(near.join(found, ["id", "h"]).select("id", "h", "text", "found"), functools.partial(_runs, least=least), "doc_id long, h long, start long, stop long, n_words long, component_id long, kept boolean")
-    runs, runs_at = written(runs.distinct(), "runs")
-    remove(spark, near_at, found_at)
+    holder = F.struct("doc", "row", "at")
+    ends = made.groupBy("key").agg(F.min(holder).alias("x"), F.max(holder).alias("y")).where("x.doc != y.doc")
+    ends, ends_at = written(ends, "holders")  # a table, so that Spark deals it anew and can split what many documents hold
+    kept = F.col("doc") == F.col("x.doc")
+    other = F.when(kept, F.col("y")).otherwise(F.col("x"))
+    pairs = made.join(ends, "key").select("row", "doc", F.struct("at", F.col("x.doc").alias("first"), kept.alias("kept"), other["row"].alias("other"), other["at"].alias("place")).alias("f"))
+    runs = in_arrow(pairs.groupBy("row", "doc").agg(F.collect_set("f").alias("found")), functools.partial(_merged, window=window), "row long, doc long, a long, b long, row_a long, at_a long, row_b long, at_b long, component_id long, kept boolean")
+    runs, runs_at = written(runs, "runs")
+    remove(spark, made_at, ends_at)
     tidy(spark)
-    return runs, runs_at
+    asked = [runs.select(F.col(r).alias("row"), F.col(c).alias("place")) for r, c in (("row", "a"), ("row", "b"), ("row_a", "at_a"), ("row_b", "at_b"))]
+    asked = functools.reduce(DataFrame.union, asked).groupBy("row").agg(F.collect_set("place").alias("places"))
+    told = in_arrow(near.join(asked, "row").select("row", "text", "places"), functools.partial(_around, side=side), "row long, place long, before array<long>, after array<long>, starts array<long>, ends array<long>")
+    told, told_at = written(told, "ends")
+    full = runs
+    for r, c, names in (("row", "a", {"before": "before", "starts": "starts"}), ("row", "b", {"after": "after", "ends": "ends"}), ("row_a", "at_a", {"before": "other_before"}), ("row_b", "at_b", {"after": "other_after"})):
+        full = full.join(told.select(F.col("row").alias(r), F.col("place").alias(c), *[F.col(k).alias(v) for k, v in names.items()]), [r, c])
+    full = in_arrow(full, functools.partial(_extended, side=side), "row long, doc_id long, start long, stop long, n_words long, component_id long, kept boolean")
+    full, full_at = written(full.where(F.col("n_words") >= least).join(near.select("row", "h"), "row").drop("row").distinct(), "passages")
+    remove(spark, near_at, runs_at, told_at)
+    gone = full.where("NOT kept").select(*[F.col(c).alias(f"_{c}") for c in ("doc_id", "h", "start", "stop")])
+    inside = F.col("kept") & (F.col("doc_id") == F.col("_doc_id")) & (F.col("h") == F.col("_h")) & (F.col("start") >= F.col("_start")) & (F.col("stop") <= F.col("_stop"))
+    return full.join(gone, inside, "left_anti"), full_at
 
 
 def repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
