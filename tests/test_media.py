@@ -178,3 +178,11 @@ def test_hls_over_http(spark):
         assert web.web_file(spark, f"{root}/raw/2.aac").first().content == b"raw bytes"
     finally:
         s.shutdown()
+
+
+def test_flac_header_inside_a_frame(spark):
+    fake = fixtures.flac_frame(1, [5] * 40, [5] * 40, "verbatim", 1)
+    x = [int.from_bytes(fake[i : i + 2], "big", signed=True) for i in range(0, 40, 2)] + [7] * 20  # its header stands among the samples
+    frames = [fixtures.flac_frame(k, own, own, "verbatim", 1) for k, own in enumerate((x, [9] * 40, x))]
+    got = decoders.flac_pcm(table(spark, {"f": fixtures.flac(frames, 120, [])})).orderBy("frame_no").collect()
+    assert [r.left >> 16 for r in got] == x + [9] * 40 + x

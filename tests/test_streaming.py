@@ -79,3 +79,10 @@ def test_stalls(spark, tmp_path, lost):
     finally:
         q.stop()
     assert [r.event for r in rows[:3]] == ["slow stream", "reconnect", "slow stream"]
+
+
+def test_windows_go_on_past_a_lost_frame(spark, tmp_path):
+    schema = "stream_id string, frame_no long, left int, right int"
+    rows = [("a", i, i << 23, 0) for i in range(80) if i != 11]
+    got = run(spark, tmp_path, "gap_stream", [rows[:30], rows[30:60], [*rows[60:], ("a", 11, 0, 0)]], schema, lambda s: stateful.vu_windows(s, 8, Envelope(200, 30, 1), patience=3))
+    assert sorted(r.window_no for r in got) == [0, *range(2, 10)]

@@ -203,6 +203,22 @@ for _b in range(256):
     _CRC8.append(_b)
 
 
+#: CRC-16 with polynomial 0x8005, likewise.
+_CRC16 = []
+for _b in range(256):
+    _b <<= 8
+    for _ in range(8):
+        _b = (_b << 1 ^ 0x8005 if _b & 0x8000 else _b << 1) & 0xFFFF
+    _CRC16.append(_b)
+
+
+def crc16_of(data: bytes) -> int:
+    crc = 0
+    for x in data:
+        crc = (crc << 8 & 0xFFFF) ^ _CRC16[crc >> 8 ^ x]
+    return crc
+
+
 def crc8(data: Column) -> Column:
     """CRC-8 of bytes, as frame headers carry it."""
     steps = F.array(*[F.lit(x) for x in _CRC8])

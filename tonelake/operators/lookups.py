@@ -28,23 +28,32 @@ PLAYLISTS = ("PLS", "M3U", "ASX", "M3U8")
 EXTENSIONS = {"mp3": "MP3", "m4a": "M4A", "aac": "AAC", "wav": "WAV", "flac": "FLAC", "opus": "OGG", "ogg": "OGG", "oga": "OGG"}
 
 # Labels of tag frames, of versions 2.2 and then 2.3 and 2.4.
-TAGS = """CNT Play counter|COM Comments|CRA Audio encryption|CRM Encrypted meta frame|ETC Event timing codes|EQU Equalization|IPL Involved people list
-PIC Attached picture|SLT Synchronized lyric/text|TAL Album/Movie/Show title|TBP BPM (Beats Per Minute)|TCM Composer|TCO Content type|TCR Copyright message
-TDA Date|TDY Playlist delay|TEN Encoded by|TFT File type|TIM Time|TKE Initial key|TLA Language(s)|TLE Length|TMT Media type|TOA Original artist(s)/performer(s)
-TOF Original filename|TOL Original Lyricist(s)/text writer(s)|TOR Original release year|TOT Original album/Movie/Show title
-TP1 Lead artist(s)/Lead performer(s)/Soloist(s)/Performing group|TP2 Band/Orchestra/Accompaniment|TP3 Conductor/Performer refinement
-TP4 Interpreted, remixed, or otherwise modified by|TPA Part of a set|TPB Publisher|TRC ISRC (International Standard Recording Code)|TRD Recording dates
-TRK Track number/Position in set|TSI Size|TSS Software/hardware and settings used for encoding|TT1 Content group description
-TT2 Title/Songname/Content description|TT3 Subtitle/Description refinement|TXT Lyricist/text writer|TXX User defined text information frame|TYE Year
-UFI Unique file identifier|ULT Unsychronized lyric/text transcription|WAF Official audio file webpage|WAR Official artist/performer webpage
-WAS Official audio source webpage|WCM Commercial information|WCP Copyright/Legal information|WPB Publishers official webpage|WXX User defined URL link frame
-COMM Comment|OWNE Ownership|PRIV Private|SYLT SynLyrics|TALB Album|TBPM BeatsPerMinute|TCAT PodcastCategory|TCMP Compilation|TCOM Composer|TCON ContentType
-TCOP Copyright|TDAT Date|TDES PodcastDescription|TDOR Original Release Year|TDRC Publication date|TDRL ReleaseTime|TENC Encoded by|TGID PodcastID|TIME Time
-TIT1 Grouping|TIT2 Title|TIT3 Subtitle|TLAN Language|TLEN Length (ms)|TMED Media|TOAL OriginalAlbum|TOPE OriginalArtist|TOLY OriginalLyricist
-TORY OriginalReleaseYear|TPE1 Artist|TPE2 Band|TPE3 Conductor|TPE4 InterpretedBy|TPOS PartOfSet|TPUB Publisher|TRCK Track|TRSN InternetRadioStationName
-TSSE SettingsForEncoding|TRDA RecordingDates|TSO2 AlbumArtistSortOrder|TSOA AlbumSortOrder|TSOP PerformerSortOrder|TSOC ComposerSortOrder|TSOT TitleSortOrder
-TXXX UserDefinedText|TYER Year|USER TermsOfUse|USLT Lyrics|WCOM Commercial URL|WFED Podcast URL|WOAF File URL|WOAR OfficialArtistWebpage|WOAS Source URL
-WORS InternetRadioStationURL|WXXX User defined URL link frame|XDOR OriginalReleaseTime"""
+TAGS = {
+    "CNT": "Play counter", "COM": "Comments", "CRA": "Audio encryption", "CRM": "Encrypted meta frame", "ETC": "Event timing codes",
+    "EQU": "Equalization", "IPL": "Involved people list", "PIC": "Attached picture", "SLT": "Synchronized lyric/text",
+    "TAL": "Album/Movie/Show title", "TBP": "BPM (Beats Per Minute)", "TCM": "Composer", "TCO": "Content type", "TCR": "Copyright message",
+    "TDA": "Date", "TDY": "Playlist delay", "TEN": "Encoded by", "TFT": "File type", "TIM": "Time", "TKE": "Initial key", "TLA": "Language(s)",
+    "TLE": "Length", "TMT": "Media type", "TOA": "Original artist(s)/performer(s)", "TOF": "Original filename",
+    "TOL": "Original Lyricist(s)/text writer(s)", "TOR": "Original release year", "TOT": "Original album/Movie/Show title",
+    "TP1": "Lead artist(s)/Lead performer(s)/Soloist(s)/Performing group", "TP2": "Band/Orchestra/Accompaniment",
+    "TP3": "Conductor/Performer refinement", "TP4": "Interpreted, remixed, or otherwise modified by", "TPA": "Part of a set", "TPB": "Publisher",
+    "TRC": "ISRC (International Standard Recording Code)", "TRD": "Recording dates", "TRK": "Track number/Position in set", "TSI": "Size",
+    "TSS": "Software/hardware and settings used for encoding", "TT1": "Content group description", "TT2": "Title/Songname/Content description",
+    "TT3": "Subtitle/Description refinement", "TXT": "Lyricist/text writer", "TXX": "User defined text information frame", "TYE": "Year",
+    "UFI": "Unique file identifier", "ULT": "Unsychronized lyric/text transcription", "WAF": "Official audio file webpage",
+    "WAR": "Official artist/performer webpage", "WAS": "Official audio source webpage", "WCM": "Commercial information",
+    "WCP": "Copyright/Legal information", "WPB": "Publishers official webpage", "WXX": "User defined URL link frame", "COMM": "Comment",
+    "OWNE": "Ownership", "PRIV": "Private", "SYLT": "SynLyrics", "TALB": "Album", "TBPM": "BeatsPerMinute", "TCAT": "PodcastCategory",
+    "TCMP": "Compilation", "TCOM": "Composer", "TCON": "ContentType", "TCOP": "Copyright", "TDAT": "Date", "TDES": "PodcastDescription",
+    "TDOR": "Original Release Year", "TDRC": "Publication date", "TDRL": "ReleaseTime", "TENC": "Encoded by", "TGID": "PodcastID", "TIME": "Time",
+    "TIT1": "Grouping", "TIT2": "Title", "TIT3": "Subtitle", "TLAN": "Language", "TLEN": "Length (ms)", "TMED": "Media", "TOAL": "OriginalAlbum",
+    "TOPE": "OriginalArtist", "TOLY": "OriginalLyricist", "TORY": "OriginalReleaseYear", "TPE1": "Artist", "TPE2": "Band", "TPE3": "Conductor",
+    "TPE4": "InterpretedBy", "TPOS": "PartOfSet", "TPUB": "Publisher", "TRCK": "Track", "TRSN": "InternetRadioStationName",
+    "TSSE": "SettingsForEncoding", "TRDA": "RecordingDates", "TSO2": "AlbumArtistSortOrder", "TSOA": "AlbumSortOrder", "TSOP": "PerformerSortOrder",
+    "TSOC": "ComposerSortOrder", "TSOT": "TitleSortOrder", "TXXX": "UserDefinedText", "TYER": "Year", "USER": "TermsOfUse", "USLT": "Lyrics",
+    "WCOM": "Commercial URL", "WFED": "Podcast URL", "WOAF": "File URL", "WOAR": "OfficialArtistWebpage", "WOAS": "Source URL",
+    "WORS": "InternetRadioStationURL", "WXXX": "User defined URL link frame", "XDOR": "OriginalReleaseTime",
+}
 
 # Labels of iTunes atoms.
 ATOMS = {
@@ -59,7 +68,7 @@ def mime_types(spark: SparkSession) -> DataFrame:
 
 
 def tag_labels(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([tuple(x.split(" ", 1)) for line in TAGS.split("\n") for x in line.split("|")], "tag string, label string")
+    return spark.createDataFrame(list(TAGS.items()), "tag string, label string")
 
 
 def atom_labels(spark: SparkSession) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import struct
 
-from tonelake.functions.text import _CRC8
+from tonelake.functions.text import _CRC8, crc16_of
 
 
 def wav(samples: list[tuple[int, ...]], bits: int, rate: int = 8000, extra: bytes = b"") -> bytes:
@@ -71,7 +71,8 @@ def flac_frame(number: int, left: list[int], right: list[int], kind: str, code:
     w = BitWriter()
     for x, more in pair:
         flac_subframe(w, x, kind, width + more)
-    return head + bytes([crc]) + w.bytes() + b"\0\0"
+    whole = head + bytes([crc]) + w.bytes()
+    return whole + crc16_of(whole).to_bytes(2, "big")
 
 
 def vorbis_comment(pairs: list[str]) -> bytes:

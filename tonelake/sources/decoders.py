@@ -1,8 +1,8 @@
 """Decoding to PCM rows. WAV is native (``files.wav_samples``); FLAC is decoded frame by frame.
 
-FLAC frames are found by their checked headers, so a file's frames spread over tasks; frames are cut out as rows before
-any is decoded. Samples come left-justified in 32 bits, mono on both channels. Frames that fail are left out, as a
-decoder that goes on at the next sync word would.
+FLAC frames are found by their checked headers, numbers and checksums, so a file's frames spread over tasks; frames are cut
+out as rows before any is decoded. Samples come left-justified in 32 bits, mono on both channels. Frames that fail are
+left out, as a decoder that goes on at the next frame would.
 """
 
 from __future__ import annotations
@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tonelake.functions.text import _CRC8
+from tonelake.functions.text import _CRC8, crc16_of
 from tonelake.session import ready
 from tonelake.sources import containers
 
@@ -59,16 +59,33 @@ def frame_header(b: bytes, at: int) -> tuple[int, int, int, int, int, int] | Non
 
 
 def flac_frames(b: bytes) -> Iterator[tuple[int, int, bytes]]:
-    """(offset, number, bytes) of the frames after the metadata; each lasts to the next checked header."""
+    """(offset, number, bytes) of the sound frames after the metadata.
+
+    A frame lasts to the header whose number follows on and before which the frame's CRC-16 agrees, the last one to the
+    end; what looks like a header inside a frame is neither. A frame for which there is no such end is left out.
+    """
     at = max((o + n for _, o, n in containers.flac_blocks(b)), default=0)
-    places: list[tuple[int, int]] = []
+    found: list[tuple[int, int, int]] = []  # place, number, number of the frame after it
     while (at := b.find(b"\xff", at)) >= 0:
         h = frame_header(b, at)
         if h:
-            places.append((at, h[1]))
-        at += h[0] if h else 1
-    for (at, number), (end, _) in zip(places, [*places[1:], (len(b), 0)]):
-        yield at, number, b[at:end]
+            found.append((at, h[1], h[1] + (h[2] if b[at + 1] & 1 else 1)))
+        at += 1
+    by_number: dict[int, list[int]] = {}
+    for i, (_, number, _) in enumerate(found):
+        by_number.setdefault(number, []).append(i)
+    i = 0
+    while i < len(found):
+        at, number, after = found[i]
+        later = [j for j in by_number.get(after, []) if j > i]
+        end = next((j for j in [*later, len(found)] if _sound(b, at, found[j][0] if j < len(found) else len(b))), None)
+        if end is not None:
+            yield at, number, b[at : found[end][0] if end < len(found) else len(b)]
+        i = i + 1 if end is None else end
+
+
+def _sound(b: bytes, at: int, end: int) -> bool:
+    return end - at > 2 and crc16_of(b[at : end - 2]) == int.from_bytes(b[end - 2 : end], "big")
 
 
 class Bits:

@@ -28,13 +28,17 @@ def fetch(url: str, first: int, last: int | None, retries: int, timeout: float)
         ask = Request(url, headers={"Range": f"bytes={at}-{'' if last is None else last}", "Icy-MetaData": "1"})
         try:
             with urlopen(ask, timeout=timeout) as r:  # noqa: S310
+                said = r.headers.get("Content-Length")
+                end = None if said is None else int(said) + (0 if r.status == 200 else at)
                 if r.status == 200:  # the whole, ranges aren't known here
                     r.read(at)
                 while data := r.read(PIECE if last is None else min(PIECE, last + 1 - at)):
                     yield at, data
                     at += len(data)
-                if last is None or at > last or r.status == 200:
+                if (end is None and last is None) or (last is not None and at > last) or (end is not None and at >= end):
                     return
+                if left <= 0:
+                    raise OSError(f"{url} ends at byte {at} of {end if last is None else last + 1}")
         except HTTPError as e:
             if e.code == 416:
                 return
@@ -44,8 +48,6 @@ def fetch(url: str, first: int, last: int | None, retries: int, timeout: float)
             if left <= 0:
                 raise
         left -= 1
-        if left < 0:
-            return
 
 
 def extent(url: str, timeout: float) -> tuple[int | None, bool]:

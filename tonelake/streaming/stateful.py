@@ -28,10 +28,11 @@ def _load(state: GroupState, start: dict) -> dict:
     return json.loads(state.get[0]) if state.exists else start
 
 
-def vu_windows(pcm: DataFrame, frames: int | None = None, e: Envelope | None = None) -> DataFrame:
+def vu_windows(pcm: DataFrame, frames: int | None = None, e: Envelope | None = None, patience: int = 64) -> DataFrame:
     """(stream_id, window_no, left_mean, right_mean, left_max, right_max, display) of whole windows, in order.
 
-    As in batch; ``display`` is the envelope of the left mean.
+    As in batch, which leaves windows with lost frames out: so does this once a window ``patience`` further on is
+    whole, and what comes later for one left out is ignored; state is bounded. ``display`` is the envelope of the left mean.
     """
     ready(pcm.sparkSession)
     n, shape = frames or Settings().window, e or Settings().vu_bars
@@ -45,10 +46,20 @@ def vu_windows(pcm: DataFrame, frames: int | None = None, e: Envelope | None = N
                 part[side] = (part[side].astype("int64").abs() // (1 << 23)).clip(upper=255)
             sums = part.groupby(part["frame_no"] // n).agg(n=("frame_no", "size"), l=("left", "sum"), r=("right", "sum"), lm=("left", "max"), rm=("right", "max"))
             for w, row in zip(sums.index.tolist(), sums.to_numpy().tolist()):
+                if w < s["next"]:
+                    continue
                 old = s["open"].get(str(w), [0, 0, 0, 0, 0])
                 s["open"][str(w)] = [old[0] + row[0], old[1] + row[1], old[2] + row[2], max(old[3], row[3]), max(old[4], row[4])]
         out = []
-        while (own := s["open"].get(str(s["next"]))) and own[0] >= n:
+        whole = max((int(w) for w, own in s["open"].items() if own[0] >= n), default=-1)
+        while s["next"] <= whole:
+            own = s["open"].get(str(s["next"]), [0])
+            if own[0] < n:
+                if whole < s["next"] + patience:
+                    break
+                s["open"].pop(str(s["next"]), None)
+                s["next"] += 1
+                continue
             del s["open"][str(s["next"])]
             left = own[1] // n
             if left > s["display"]:
