@@ -77,6 +77,11 @@ def moved(position: Column, seconds: Column, bitrate: Column, start: Column, end
     return F.when(to <= end, to)
 
 
+def aligned(position: Column, start: int, block: int) -> Column:
+    """A position within data, moved back to the start of its block, from the file's beginning."""
+    return position - position % block + start
+
+
 def next_frame(frames: DataFrame, targets: DataFrame) -> DataFrame:
     """(stream_id, target, offset): the first frame of (stream_id, offset) at or past each (stream_id, target).
 

@@ -9,7 +9,7 @@ from tonelake.plans import fixtures, playback
 from tonelake.plans.bindings import ONE_SQL, many_streams, one_stream
 from tonelake.plans.settings import Settings
 from tonelake.plans.signal_queries import GAIN_SQL
-from tonelake.sources import containers, decoders, files
+from tonelake.sources import containers, decoders, dispatch, files
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -234,11 +234,10 @@ def m4a_seek(spark, d):
     return running.sample_offset(sizes.withColumn("target", F.lit(25)))
 
 
-@query("B19_header_dispatch", "SELECT * FROM (VALUES ('16', 'WAV', 44100), ('f', 'FLAC', 44100), ('m', 'M4A', 44100)) v(path, codec, rate)")
+@query("B19_header_dispatch", "SELECT * FROM (VALUES ('16', 'WAV', 44100), ('f', 'FLAC', 44100), ('m', 'M4A', 44100), ('v', 'VORBIS', 44100), ('3', 'MP3', NULL), ('x', NULL, NULL)) v(path, codec, rate)")
 def header_dispatch(spark, d):
-    wavs = files.wav_info(_files(spark, {"16": _wavs()["16"]})).select("path", F.lit("WAV").alias("codec"), F.col("sample_rate").cast("bigint").alias("rate"))
-    flacs = containers.flac_stream_info(_files(spark, _flac())).select("path", F.lit("FLAC").alias("codec"), F.col("sample_rate").cast("bigint").alias("rate"))
-    return wavs.unionByName(flacs).unionByName(containers.m4a_info(_files(spark, {"m": fixtures.m4a()})).select("path", F.lit("M4A").alias("codec"), F.col("timescale").alias("rate")))
+    items = {"16": _wavs()["16"], "m": fixtures.m4a(), "v": _vorbis()["v"], "3": fixtures.mp3(2), "x": b"none of these"} | _flac()
+    return dispatch.stream_headers(_files(spark, items))
 
 
 @query("A16_frame_sizes", "SELECT * FROM (VALUES ('MP3', 18000), ('FLAC', 65535), ('WAV', 4096)) v(codec, bytes)")
@@ -305,17 +304,16 @@ def volume_curve(spark, d):
     return playback.play(one_stream(spark, d), 44_100, Settings(volume=21, volume_steps=42), curve=lambda t: t * 60.0 - 60.0).samples.select("frame_no", F.col("left").alias("l"))
 
 
-@query("L3_vu_events", "SELECT 1 AS n, 14 AS e, 'VU' AS s WHERE FALSE")
+@query("L3_vu_events", "SELECT user_id::VARCHAR AS stream_id, unnest(range(count(*) // 8)) AS seq, 14 AS e, 'VU' AS s FROM events GROUP BY user_id")
 def vu_events(spark, d):
     from tonelake.operators import meters
 
-    rows = playback.vu_events(meters.vu_windows(many_streams(spark, d), 4096))
-    return rows.select(F.lit(1).alias("n"), "e", "s")
+    return playback.vu_events(meters.vu_windows(many_streams(spark, d), 8)).select("stream_id", "seq", "e", "s")
 
 
 @query("J4_wav_alignment", "SELECT range AS target, (range // 4) * 4 + 44 AS at FROM range(64)")
 def wav_alignment(spark, d):
-    return spark.range(64).select(F.col("id").alias("target"), (F.expr("id div 4") * 4 + 44).alias("at"))
+    return spark.range(64).select(F.col("id").alias("target"), running.aligned(F.col("id"), 44, 4).alias("at"))
 
 
 @query("A17_play_order", "SELECT * FROM (VALUES ('d/c.mp3', 1), ('d/b.mp3', 2), ('d/a.mp3', 3), ('e/z.wav', 1)) v(path, play_no)")

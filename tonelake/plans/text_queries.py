@@ -273,7 +273,7 @@ def json_escape(spark, d):
 
 
 MIME_ROWS = [(m, k) for k, of in lookups.MIME.items() for m in of]
-TAG_ROWS = [tuple(x.split(" ", 1)) for line in lookups.TAGS.split("\n") for x in line.split("|")]
+TAG_ROWS = list(lookups.TAGS.items())
 CONTENT = [(i, m) for i, m in enumerate(["Audio/MPEG; charset=x", "audio/mpegurl", "application/json", "video/mp2t", "text/html", "image/png", " audio/ogg "])]
 
 
