@@ -133,7 +133,9 @@ def linked(all_: DataFrame, texts_of: Texts, keep: tuple[str, ...] = ()) -> Data
     nodes, nodes_at = written(all_.where("n > 0 AND id IS NOT NULL").groupBy("k1", "k2").agg(F.min(whole).alias("m")).select("k1", "k2", "m.*"), "nodes")
     flat = nodes.select("id", F.explode("bands").alias("bucket"))
     shared = flat.groupBy("bucket").agg(F.min("id").alias("first"), F.count("*").alias("size")).where("size > 1")
+    shared, shared_at = written(shared, "shared")  # a table, so that Spark deals it anew and can split a large bucket
     members, members_at = written(flat.join(shared, "bucket"), "buckets")
+    remove(spark, shared_at)
     tidy(spark)
     ids = nodes.select("id", "h", "n", "s1", "s2")
     stars = members.where("id != first").groupBy(F.col("id").alias("a"), F.col("first").alias("b")).agg(F.count("*").alias("shared"))

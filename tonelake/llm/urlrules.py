@@ -10,7 +10,7 @@ Up to MOST_LITERAL rules the index is a literal in the plan and nothing is shuff
 joined with the index, broadcast up to MOST_BROADCAST rules and shuffled otherwise.
 
 A null URL, or one without '://', has empty host and path, fits no rule and gets the default. Repeated rows each get
-their verdict. Other columns are kept; an empty table or an empty rule list is fine.
+their verdict. Other columns are kept, but for those named host, path, rule or verdict; an empty table or an empty rule list is fine.
 """
 
 from __future__ import annotations
@@ -22,7 +22,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tonelake.llm.common import table
+from tonelake.llm.common import table, unused
 
 MOST_LITERAL = 2000
 MOST_BROADCAST = 200_000
@@ -78,7 +78,8 @@ def keyed(subjects: DataFrame, rules: Sequence[Rule]) -> dict[str, list[int]]:
 
 def judged(df: DataFrame, rules: Sequence[Rule], default: str = "allow", url: str = "url") -> DataFrame:
     """Adds host, path, rule and verdict."""
-    df = df.withColumns({"host": host(url), "path": path(url)})
+    df = df.drop(*[c for c in ("rule", "verdict") if c != url]).withColumns({"host": host(url), "path": path(url)})
+    tokens_, subject_, rules_, first_ = unused(df.columns, "_tokens", "_subject", "_rules", "_first")
     subject = F.concat("host", "path")
     tokens = F.array_distinct(F.split(subject, _SEPARATOR))
     if not rules:
@@ -89,20 +90,21 @@ def judged(df: DataFrame, rules: Sequence[Rule], default: str = "allow", url: st
         by = F.create_map(*[x for t, of in index.items() if t for x in (F.lit(t), F.array(*map(F.lit, of)))]) if set(index) - {""} else None
         always = F.array(*map(F.lit, index.get("", []))).cast("array<int>")
         none = F.array().cast("array<int>")
-        got = F.flatten(F.transform("_tokens", lambda t: F.coalesce(by[t], none))) if by is not None else none
-        df = df.withColumns({"_tokens": tokens, "_subject": subject}).withColumn("_rules", F.array_sort(F.array_distinct(F.concat(got, always))))
+        got = F.flatten(F.transform(tokens_, lambda t: F.coalesce(by[t], none))) if by is not None else none
+        df = df.withColumns({tokens_: tokens, subject_: subject}).withColumn(rules_, F.array_sort(F.array_distinct(F.concat(got, always))))
         patterns = F.array(*[F.lit(r.pattern) for r in ranked])
-        fits = F.filter("_rules", lambda i: F.rlike(F.col("_subject"), patterns[i]))
-        df = df.withColumn("_first", F.coalesce(F.get(fits, 0), F.lit(-1))).drop("_tokens", "_subject", "_rules")
-        names = {c: F.get(F.array(*[F.lit(getattr(r, c)) for r in ranked]), F.col("_first")) for c in ("text", "verdict")}
-        return df.withColumns({"rule": names["text"], "verdict": F.coalesce(names["verdict"], F.lit(default))}).drop("_first")
-    at = df.sparkSession.createDataFrame([(t, i, ranked[i].pattern, ranked[i].text, ranked[i].verdict) for t, of in index.items() for i in of], "t string, i int, pattern string, rule string, _verdict string")
+        fits = F.filter(rules_, lambda i: F.rlike(F.col(subject_), patterns[i]))
+        df = df.withColumn(first_, F.coalesce(F.get(fits, 0), F.lit(-1))).drop(tokens_, subject_, rules_)
+        names = {c: F.get(F.array(*[F.lit(getattr(r, c)) for r in ranked]), F.col(first_)) for c in ("text", "verdict")}
+        return df.withColumns({"rule": names["text"], "verdict": F.coalesce(names["verdict"], F.lit(default))}).drop(first_)
+    at = df.sparkSession.createDataFrame([(t, i, ranked[i].pattern, ranked[i].text, ranked[i].verdict) for t, of in index.items() for i in of], "t string, i int, pattern string, rule string, found string")
     at = F.broadcast(at) if len(ranked) <= MOST_BROADCAST else at
     urls = df.select("host", "path").distinct()
     found = urls.withColumn("t", F.explode(F.array_distinct(F.concat(tokens, F.array(F.lit("")))))).join(at, "t").where(F.expr("rlike(concat(host, path), pattern)"))
-    first = found.groupBy("host", "path").agg(F.min("i").alias("i"))
-    names = at.select("i", "rule", "_verdict")
-    return df.join(first, ["host", "path"], "left").join(names, "i", "left").withColumn("verdict", F.coalesce("_verdict", F.lit(default))).select(*df.columns, "rule", "verdict")
+    h_, p_, text_, verdict_ = unused([*df.columns, "rule", "verdict"], "_host", "_path", "_text", "_found")
+    first = found.groupBy(F.col("host").alias(h_), F.col("path").alias(p_)).agg(F.min(F.struct("i", "rule", "found")).alias("m")).select(h_, p_, F.col("m.rule").alias(text_), F.col("m.found").alias(verdict_))
+    judged_ = df.join(first, (F.col("host") == F.col(h_)) & (F.col("path") == F.col(p_)), "left")
+    return judged_.select(*df.columns, F.col(text_).alias("rule"), F.coalesce(F.col(verdict_), F.lit(default)).alias("verdict"))
 
 
 def op7_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
