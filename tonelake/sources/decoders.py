@@ -165,8 +165,8 @@ def subframe(r: Bits, size: int, width: int) -> np.ndarray:
     return x << wasted
 
 
-def decode_frame(b: bytes, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """Left and right of one frame, left-justified; ``width`` serves where the frame leaves it to the stream."""
+def _channels(b: bytes, width: int) -> tuple[list[np.ndarray], int, int, int]:
+    """The channels of a frame as stored, its channel code and sample width, and how many bytes it takes up to its CRC-16."""
     h = frame_header(b, 0)
     if not h:
         raise ValueError("no frame")
@@ -174,7 +174,21 @@ def decode_frame(b: bytes, width: int) -> tuple[np.ndarray, np.ndarray]:
     width = own or width
     r = Bits(b[head:])
     wide = {8: (0, 1), 9: (1, 0), 10: (0, 1)}.get(code, (0,) * (code + 1))
-    ch = [subframe(r, size, width + extra) for extra in wide]
+    return [subframe(r, size, width + extra) for extra in wide], code, width, head + -(-r.at // 8)
+
+
+def frame_length(b: bytes, width: int) -> int:
+    """The bytes of the sound frame that ``b`` begins with, its CRC-16 included; 0 if there is none."""
+    try:
+        n = _channels(b, width)[3] + 2
+    except (ValueError, IndexError):
+        return 0
+    return n if n <= len(b) and _sound(b, 0, n) else 0
+
+
+def decode_frame(b: bytes, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Left and right of one frame, left-justified; ``width`` serves where the frame leaves it to the stream."""
+    ch, code, width, _ = _channels(b, width)
     left, right = ch[0], ch[min(1, len(ch) - 1)]
     if code == 8:
         right = left - right
