@@ -1,16 +1,21 @@
 """Cases of single faults: token ids of all letters, streams that break off, columns with clashing names, repeated ids."""
 
+import hashlib
 import io
 import struct
 import sys
+import time
 import unicodedata
+import zipfile
 import zlib
 
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tonelake.llm import mixing, neardup, passages, tokens, urlrules, warc
+from tonelake.llm import media, mixing, neardup, passages, tokens, urlrules, warc
+from tonelake.llm.common import fresh_path
+from tonelake.plans import fixtures
 
 
 def ids_of(text):
@@ -81,3 +86,41 @@ def test_session_settings_stay(spark):
     before = spark.conf.get(key)
     mixing.mixed(spark.createDataFrame([(1, "a b", "s")], "doc_id long, text string, source string")).count()
     assert spark.conf.get(key) == before
+
+
+def test_media_ends(spark):
+    wav = media.to_wav(b"\x80" * 9)
+    frames = [fixtures.flac_frame(k, [k] * 30, [-k] * 30, "verbatim", 1) for k in range(3)]
+    flac = fixtures.flac(frames, 90, ["TITLE=x"])
+    assert media.found(flac + wav) == [(0, len(flac), "audio/flac"), (len(flac), len(wav), "audio/wav")]
+    assert media.found(b"fLaC\x00\x00\x00\x22") == []
+    body = b"%PDF-1.4\n1 0 obj\nendobj\n"
+    once = body + b"xref\n0 1\ntrailer\nstartxref\n" + str(len(body)).encode() + b"\n%%EOF"
+    more = once + b"\n2 0 obj\nendobj\nxref\n0 1\ntrailer\nstartxref\n" + str(len(once) + 16).encode() + b"\n%%EOF"
+    assert more[len(once) + 16 :].startswith(b"xref"), more[len(once) + 16 :]
+    assert media.found(more + b" tail")[0] == (0, len(more), "application/pdf") and media.found(body + b"startxref 9999 %%EOF") == []
+    zipped = io.BytesIO()
+    with zipfile.ZipFile(zipped, "w") as z:
+        z.writestr("a", b"bb")
+        z.writestr("c", b"d" * 100)
+    assert media.found(zipped.getvalue() + b"..") == [(0, len(zipped.getvalue()), "application/zip")]
+    began = time.perf_counter()
+    assert media.found(b"PK\x03\x04" * 40_000) == [] and media.found(b"%PDF-" * 40_000) == [] and time.perf_counter() - began < 20
+
+
+def test_media_columns_by_brute_force(spark):
+    texts = {1: "abc", 2: None, 3: "x" * 64, 4: "é" * 100, 5: "RIFF in a text %PDF- PK\x03\x04"}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    path = fresh_path(spark, "media-test")
+    docs.write.parquet(f"{path}/documents.parquet")
+    for r in media.op9_media_columns(spark, path).collect():
+        raw = (texts[r.doc_id] or "").encode()
+        want = media.padded(raw)
+        stored = media.to_wav(want)
+        assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(raw), len(want), hashlib.sha256(want).hexdigest(), zlib.crc32(want[-64:]))
+        assert (r.media_bytes, r.media_sha256) == (len(stored), hashlib.sha256(stored).hexdigest())
+        x = [v - 128 for v in want]
+        mean = sum(x) / len(x)
+        dev = (sum((v - mean) ** 2 for v in x) / len(x)) ** 0.5
+        cross = sum((a >= 0) != (b >= 0) for a, b in zip(x, x[1:]))
+        assert r.feature.strip() == f"audio/wav/u8 mean={mean:.3f} dev={dev:.3f} peak={max(map(abs, x))} cross={cross} carved=".strip()

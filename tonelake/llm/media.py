@@ -5,13 +5,14 @@ format then confirms structure and length from that place on: chunk sizes, check
 start corrects the declared type; what it confirms elsewhere is carved as embedded media (offset, length, type), not
 looked for again inside what it spans. A magic that fails its validator is dropped.
 
-A null value gives nulls and no carvings; an empty one has no type. Repeated values give equal results. Other columns
-are kept.
+A null value gives nulls and no carvings; an empty one has no type. Repeated values give equal results. Very long values are
+read whole, one batch of few bytes at a time. An empty table gives an empty result. Other columns are kept.
 """
 
 from __future__ import annotations
 
 import functools
+import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -23,9 +24,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tonelake.llm.common import in_arrow, table, written
+from tonelake.sources import decoders
 
 RATE = 8000
 UNIT = 64
+#: Bytes of a FLAC frame at most.
+MOST_FRAME = 1 << 21
 
 
 def padded(payload: bytes) -> bytes:
@@ -116,17 +120,46 @@ def _jpeg(b: bytes, at: int) -> int:
     return 0
 
 
+_PDF_END = re.compile(rb"startxref\s+(\d+)\s+%%EOF")
+
+
 def _pdf(b: bytes, at: int) -> int:
-    end = b.find(b"%%EOF", at)
-    return end + 5 - at if end > 0 and b.find(b"startxref", at, end) > 0 else 0
+    """To the last end marker, before any other PDF, whose cross-references lie where it says: updated files have several."""
+    after = b.find(b"%PDF-", at + 5)
+    stop, end = after if after > 0 else len(b), 0
+    for m in _PDF_END.finditer(b, at, stop):
+        place = at + int(m[1]) if len(m[1]) < 12 else stop
+        if place < m.start() and (b[place : place + 4] == b"xref" or re.match(rb"\d+\s+\d+\s+obj", b[place : place + 40])):
+            end = m.end()
+    return end - at if end else 0
 
 
 def _zip(b: bytes, at: int) -> int:
-    end = b.find(b"PK\x05\x06", at)
-    if end < 0 or end + 22 > len(b):
+    """To the end record whose directory lies where it says, counted from here; the search stays within the entry chain."""
+    p = at
+    while b[p : p + 4] == b"PK\x03\x04" and p + 30 <= len(b):
+        flags, (size, name, extra) = b[p + 6], struct.unpack("<I4xHH", b[p + 18 : p + 30])
+        p += 30 + name + extra + size
+        if flags & 8:  # sizes follow the data: the next signature ends the entry
+            p = _next_entry(b, p)
+    if b[p : p + 4] not in (b"PK\x01\x02", b"PK\x05\x06"):
+        return 0
+    start = p
+    while b[p : p + 4] == b"PK\x01\x02" and p + 46 <= len(b):
+        p += 46 + sum(struct.unpack("<HHH", b[p + 28 : p + 34]))
+    if b[p : p + 4] != b"PK\x05\x06" or p + 22 > len(b):
         return 0
-    size, start = struct.unpack("<II", b[end + 12 : end + 20])
-    return end + 22 + int.from_bytes(b[end + 20 : end + 22], "little") - at if at + start + size == end else 0
+    size, offset, comment = struct.unpack("<IIH", b[p + 12 : p + 22])
+    return p + 22 + comment - at if offset == start - at and size == p - start and p + 22 + comment <= len(b) else 0
+
+
+def _next_entry(b: bytes, at: int) -> int:
+    m = _ZIP_NEXT.search(b, at)
+    return m.end() - 4 if m else len(b)
+
+
+#: A data descriptor and the record after it.
+_ZIP_NEXT = re.compile(rb"PK\x07\x08.{12}PK(?:\x03\x04|\x01\x02)", re.S)
 
 
 def _gzip(b: bytes, at: int) -> int:
@@ -142,15 +175,27 @@ def _gzip(b: bytes, at: int) -> int:
 
 
 def _flac(b: bytes, at: int) -> int:
-    return len(b) - at if b[at + 4 : at + 8] in (b"\x00\x00\x00\x22", b"\x80\x00\x00\x22") and at + 42 <= len(b) else 0
+    """Metadata blocks, then frames one after the other, each decoded to find its end and checked by its CRC-16."""
+    if b[at + 4 : at + 8] not in (b"\x00\x00\x00\x22", b"\x80\x00\x00\x22") or at + 42 > len(b):
+        return 0
+    bits = (int.from_bytes(b[at + 20 : at + 22], "big") >> 4 & 31) + 1
+    p, last = at + 4, False
+    while not last and p + 4 <= len(b):
+        last, p = bool(b[p] & 0x80), p + 4 + int.from_bytes(b[p + 1 : p + 4], "big")
+    if not last or p > len(b):
+        return 0
+    while n := decoders.frame_length(b[p : p + MOST_FRAME], bits):
+        p += n
+    return p - at
 
 
 def _ogg(b: bytes, at: int) -> int:
+    """Pages, each with its checksum, to the last one of the stream."""
     p = at
     while b[p : p + 5] == b"OggS\x00" and p + 27 <= len(b):
         n = b[p + 26]
         size = 27 + n + sum(b[p + 27 : p + 27 + n])
-        if p + size > len(b):
+        if p + size > len(b) or _ogg_crc(b[p : p + 22] + bytes(4) + b[p + 26 : p + size]) != int.from_bytes(b[p + 22 : p + 26], "little"):
             return 0
         last, p = b[p + 5] & 4, p + size
         if last:
@@ -158,6 +203,27 @@ def _ogg(b: bytes, at: int) -> int:
     return 0
 
 
+def _ogg_table() -> list[int]:
+    """CRC-32 with polynomial 0x04C11DB7, highest bit first, by its rule."""
+    table = []
+    for i in range(256):
+        r = i << 24
+        for _ in range(8):
+            r = (r << 1 ^ 0x04C11DB7 if r & 0x80000000 else r << 1) & 0xFFFFFFFF
+        table.append(r)
+    return table
+
+
+_OGG = _ogg_table()
+
+
+def _ogg_crc(data: bytes) -> int:
+    crc = 0
+    for x in data:
+        crc = (crc << 8 & 0xFFFFFFFF) ^ _OGG[crc >> 24 ^ x]
+    return crc
+
+
 def _midi(b: bytes, at: int) -> int:
     if b[at + 4 : at + 8] != b"\x00\x00\x00\x06":
         return 0
