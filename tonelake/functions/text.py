@@ -167,7 +167,10 @@ def url_encode(s: Column, spaces_only: bool = False) -> Column:
     """Percent encoding of all but ASCII letters and digits, or of spaces alone."""
     if spaces_only:
         return F.replace(s, F.lit(" "), F.lit("%20"))
-    return _each(s, r"[A-Za-z0-9]+|[^A-Za-z0-9]+", lambda t: F.when(F.regexp_like(t, F.lit("^[A-Za-z0-9]")), t).otherwise(F.regexp_replace(F.hex(F.encode(t, "UTF-8")), "(..)", r"%$1")))
+    form = F.url_encode(s)  # of ASCII it leaves letters, digits and four marks, and a space is a plus
+    for c, code in (("+", "%20"), (".", "%2E"), ("-", "%2D"), ("*", "%2A"), ("_", "%5F")):
+        form = F.replace(form, F.lit(c), F.lit(code))
+    return form
 
 
 def url_decode(s: Column) -> Column:

@@ -145,14 +145,49 @@ def cubic(spark, d):
     return resample.catmull_rom(pcm, 48_000).select("frame_no", F.col("left").alias("l"))
 
 
-@query("D8_equalizer")
+def _filtered_sql(n: int, x: str) -> str:
+    """CTEs u{n}, y{n}: a section of the table ``sec`` over (stream_id, frame_no, x) rows, in direct form, a frame of all streams a step."""
+    return f"""u{n} AS MATERIALIZED (SELECT stream_id, frame_no, a1, a2, b0 * x + b1 * lag(x, 1, 0) OVER w + b2 * lag(x, 2, 0) OVER w AS u FROM ({x}), sec WHERE i = {n} WINDOW w AS (PARTITION BY stream_id ORDER BY frame_no)),
+    y{n} AS (SELECT stream_id, frame_no, u AS x, 0::DOUBLE AS past FROM u{n} WHERE frame_no = 0
+        UNION ALL SELECT n.stream_id, n.frame_no, n.u - n.a1 * p.x - n.a2 * p.past, p.x FROM y{n} p JOIN u{n} n ON n.stream_id = p.stream_id AND n.frame_no = p.frame_no + 1)"""
+
+
+def _held_sql(y: str) -> str:
+    """Samples cut toward zero, held within 32 bits, of which the upper 24."""
+    held = "floor(trunc(greatest(least(x, 2147483647), -2147483648)) / 256)::INTEGER"
+    return f'SELECT stream_id, frame_no, {held} AS "left", {held} AS "right" FROM {y}'
+
+
+def _upper(pcm):
+    """The upper 24 of 32 bits: the lowest depend on the order in which a filter's products are rounded."""
+    return pcm.select("stream_id", "frame_no", *[F.shiftright(c, 8).alias(c) for c in ("left", "right")])
+
+
+TONE = Settings(tone_db=(6.0, -3.0, 4.0))
+SECTIONS_SQL = f"""bands AS (SELECT i, kind, 2 * pi() * freq / 44100 AS w, pow(10, db / 40) AS a FROM (VALUES (0, 'low', {TONE.freq_low_hz}, {TONE.tone_db[0]}::DOUBLE), (1, 'peak', {TONE.freq_peak_hz}, {TONE.tone_db[1]}), (2, 'high', {TONE.freq_high_hz}, {TONE.tone_db[2]})) v(i, kind, freq, db)),
+    parts AS (SELECT *, cos(w) AS c, sin(w) / (2 * {TONE.slope}) AS alpha, 2 * sqrt(a) * sin(w) / (2 * {TONE.slope}) AS s FROM bands),
+    raw AS (SELECT i, a * (a + 1 - (a - 1) * c + s) AS n0, 2 * a * (a - 1 - (a + 1) * c) AS n1, a * (a + 1 - (a - 1) * c - s) AS n2, a + 1 + (a - 1) * c + s AS d0, -2 * (a - 1 + (a + 1) * c) AS d1, a + 1 + (a - 1) * c - s AS d2 FROM parts WHERE kind = 'low'
+        UNION ALL SELECT i, 1 + alpha * a, -2 * c, 1 - alpha * a, 1 + alpha / a, -2 * c, 1 - alpha / a FROM parts WHERE kind = 'peak'
+        UNION ALL SELECT i, a * (a + 1 + (a - 1) * c + s), -2 * a * (a - 1 + (a + 1) * c), a * (a + 1 + (a - 1) * c - s), a + 1 - (a - 1) * c + s, 2 * (a - 1 - (a + 1) * c), a + 1 - (a - 1) * c - s FROM parts WHERE kind = 'high'),
+    sec AS (SELECT i, n0 / d0 AS b0, n1 / d0 AS b1, n2 / d0 AS b2, d1 / d0 AS a1, d2 / d0 AS a2 FROM raw)"""
+
+
+@query(
+    "D8_equalizer",
+    f"""WITH RECURSIVE {MANY_SQL}, {SECTIONS_SQL}, {_filtered_sql(0, f"SELECT stream_id, frame_no, l * pow(10, -{max(TONE.tone_db)} / 20) AS x FROM pcm")},
+    {_filtered_sql(1, "SELECT stream_id, frame_no, x FROM y0")}, {_filtered_sql(2, "SELECT stream_id, frame_no, x FROM y1")} {_held_sql("y2")}""",
+)
 def equalized(spark, d):
-    return equalizer.equalized(many_streams(spark, d), 44_100, Settings(tone_db=(6.0, -3.0, 4.0)))
+    return _upper(equalizer.equalized(many_streams(spark, d), 44_100, TONE))
+
 
+LOW_PASS_SQL = """ang AS (SELECT 2 * pi() * 0.45 AS w), sec AS (SELECT 0 AS i, (1 - cos(w)) / 2 / (1 + sin(w) / sqrt(2)) AS b0, (1 - cos(w)) / (1 + sin(w) / sqrt(2)) AS b1, (1 - cos(w)) / 2 / (1 + sin(w) / sqrt(2)) AS b2,
+    -2 * cos(w) / (1 + sin(w) / sqrt(2)) AS a1, (1 - sin(w) / sqrt(2)) / (1 + sin(w) / sqrt(2)) AS a2 FROM ang)"""
 
-@query("D10_low_pass")
+
+@query("D10_low_pass", f"WITH RECURSIVE {MANY_SQL}, {LOW_PASS_SQL}, {_filtered_sql(0, 'SELECT stream_id, frame_no, l::DOUBLE AS x FROM pcm')} {_held_sql('y0')}")
 def low_pass(spark, d):
-    return resample.smoothed(many_streams(spark, d), 44_100)
+    return _upper(resample.smoothed(many_streams(spark, d), 44_100))
 
 
 RATED_SQL = """rated AS (SELECT *, sum(bytes_in) OVER w AS sum_bytes, sum(samples_out) OVER w AS sum_samples FROM blocks WINDOW w AS (PARTITION BY stream_id ORDER BY block_no ROWS UNBOUNDED PRECEDING)),
@@ -336,7 +371,13 @@ def bins_to_bands(spark, d):
     return bins.join(F.broadcast(spectrum.bands(spark)), F.col("bin").between(F.col("first_bin"), F.col("last_bin")), "left").select("bin", "band")
 
 
-@query("F6_band_levels")
+FRAMES_SQL = f"""hann AS (SELECT range AS pos, 0.5 * (1 - cos(2 * pi() * range / 511)) AS h FROM range(512)), kept AS (SELECT 8 * range + 7 AS fft_no FROM range((SELECT count(*) FROM events) // 4096 + 1)),
+    x AS (SELECT stream_id, fft_no, pos, ((floor(l / 131072.0) + floor(r / 131072.0)) * h) AS x FROM kept, hann, pcm WHERE frame_no = fft_no * 256 + pos AND fft_no IN (SELECT fft_no FROM kept k, pcm WHERE frame_no // 256 - k.fft_no BETWEEN 0 AND 1 GROUP BY fft_no HAVING count(*) = 512)),
+    pw AS (SELECT stream_id, fft_no, bin, pow(sum(x * cos(2 * pi() * (pos * bin % 512) / 512)), 2) + pow(sum(x * sin(2 * pi() * (pos * bin % 512) / 512)), 2) AS power FROM x, (SELECT range AS bin FROM range(257)) GROUP BY stream_id, fft_no, bin),
+    en AS (SELECT stream_id, fft_no, band, 10 * log10(sum(power) * any_value(w) / count(*) + 1) AS db FROM pw JOIN (VALUES {", ".join(f"({i}, {a}, {b}, {w})" for i, (a, b, w) in enumerate(spectrum.BANDS))}) v(band, a, z, w) ON bin BETWEEN a AND z GROUP BY stream_id, fft_no, band)"""
+
+
+@query("F6_band_levels", f"WITH {ONE_SQL}, {FRAMES_SQL} SELECT stream_id, fft_no, band::INTEGER AS band, floor((greatest(least(db, 120), 90) - 90) / 30 * 255 + 0.5)::INTEGER AS level FROM en")
 def band_levels(spark, d):
     return spectrum.band_levels(one_stream(spark, d))
 

@@ -125,10 +125,10 @@ def trim_min(spark, d):
     return table(spark, d, "events").select("event_id", text.trim(F.concat(F.lit("  "), "event_type", F.lit(" "))).alias("t"), F.least(F.col("event_id"), F.col("user_id"), F.lit(77)).alias("least3"))
 
 
-@query("I26_math", "SELECT event_id, round(20 * log10(value), 6) AS db, round(pow(10, value / 1000), 6) AS p, event_id >> 3 AS s FROM events WHERE value > 0")
+@query("I26_math", "SELECT event_id, CASE WHEN value > 0 THEN round(20 * log10(CASE WHEN value > 0 THEN value END), 6) END AS db, round(pow(10, value / 1000), 6) AS p, event_id >> 3 AS s FROM events")
 def math(spark, d):
     v = F.col("value")
-    return table(spark, d, "events").where("value > 0").select("event_id", F.round(20 * F.log10(v), 6).alias("db"), F.round(F.pow(F.lit(10.0), v / 1000), 6).alias("p"), F.shiftright("event_id", 3).alias("s"))
+    return table(spark, d, "events").select("event_id", F.round(20 * F.log10(F.when(v > 0, v)), 6).alias("db"), F.round(F.pow(F.lit(10.0), v / 1000), 6).alias("p"), F.shiftright("event_id", 3).alias("s"))
 
 
 @query("I27_fifo", "SELECT user_id, event_id, lag(event_id, 2, 0) OVER (PARTITION BY user_id ORDER BY event_id) AS popped FROM events")

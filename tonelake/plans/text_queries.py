@@ -64,11 +64,14 @@ def index_of(spark, d):
     return pages(spark, d).select("page_id", *[c.cast("bigint").alias(n) for n, c in cols.items()])
 
 
-@query("I4_bytes_index_of", "SELECT page_id, CASE WHEN instr(hex(encode(url)), '3A2F2F') = 0 THEN -1 ELSE (instr(hex(encode(url)), '3A2F2F') - 1) // 2 END AS at, strlen(url) - 1 - CASE WHEN instr(reverse(url), '/') = 0 THEN strlen(url) ELSE instr(reverse(url), '/') - 1 END AS last FROM pages WHERE instr(hex(encode(url)), '3A2F2F') % 2 = 1")
+@query(
+    "I4_bytes_index_of",
+    """SELECT page_id, CASE WHEN contains(url, '://') THEN strlen(split_part(url, '://', 1)) ELSE -1 END AS at, CASE WHEN contains(url, '/') THEN strlen(url) - 1 - strlen(split_part(url, '/', -1)) ELSE -1 END AS last FROM pages WHERE url IS NOT NULL
+    UNION ALL SELECT page_id, NULL, NULL FROM pages WHERE url IS NULL""",
+)
 def bytes_index_of(spark, d):
     b = F.encode("url", "UTF-8")
-    found = pages(spark, d).select("page_id", text.bytes_index_of(b, b"://").cast("bigint").alias("at"), text.bytes_index_of(b, b"/", True).cast("bigint").alias("last"))
-    return found.where("at >= 0")
+    return pages(spark, d).select("page_id", text.bytes_index_of(b, b"://").cast("bigint").alias("at"), text.bytes_index_of(b, b"/", True).cast("bigint").alias("last"))
 
 
 @query(
@@ -118,11 +121,10 @@ def endianness(spark, d):
     return table(spark, d, "events").select("event_id", text.big_endian(F.substring(b, 2, 3)).alias("big"), text.little_endian(F.substring(b, 2, 3)).alias("little"), text.syncsafe(b).alias("safe"))
 
 
-@query("I10_latin_to_utf8", "SELECT doc_id, text AS utf, text AS latin, TRUE AS valid FROM documents WHERE NOT regexp_matches(text, '[^\\x00-\\xff]')")
+@query("I10_latin_to_utf8", "SELECT doc_id, text AS utf, regexp_replace(text, '[^\\x00-\\xff]', '?', 'g') AS latin, TRUE AS valid FROM documents")
 def latin_to_utf8(spark, d):
-    own = docs(spark, d).where(~F.regexp_like("text", F.lit(r"[^\x00-\xff]")))
-    latin = F.encode("text", "ISO-8859-1")
-    return own.select("doc_id", text.latin_to_utf8(F.encode("text", "UTF-8")).alias("utf"), text.latin_to_utf8(latin).alias("latin"), F.is_valid_utf8("text").alias("valid"))
+    latin = F.encode(F.regexp_replace("text", r"[^\x00-\xff]", "?"), "ISO-8859-1")
+    return docs(spark, d).select("doc_id", text.latin_to_utf8(F.encode("text", "UTF-8")).alias("utf"), text.latin_to_utf8(latin).alias("latin"), F.is_valid_utf8("text").alias("valid"))
 
 
 @query("I12_utf16", "SELECT doc_id, text AS little, text AS big, text AS marked FROM documents")
