@@ -8,7 +8,8 @@ from tonelake.llm.neardup import op3_minhash_neardup
 from tonelake.llm.packing import op2_best_fit_packing
 from tonelake.llm.passages import op5_substring_dedup
 from tonelake.llm.tokenfiles import op8_token_files
-from tonelake.llm import urlrules, warc
+from tonelake.llm.whitening import op12_embedding_whitening
+from tonelake.llm import resampling, urlrules, warc
 
 QUERIES = {
     "op1_fingerprints": op1_fingerprints,
@@ -21,6 +22,8 @@ QUERIES = {
     "op8_token_files": op8_token_files,
     "op9_media_columns": op9_media_columns,
     "op10_mixing": op10_mixing,
+    "op11_importance_resampling": resampling.op11_importance_resampling,
+    "op12_embedding_whitening": op12_embedding_whitening,
 }
 
-ORACLE_SQL: dict[str, str] = {"op4_warc": warc.ORACLE, "op7_url_filters": urlrules.ORACLE}
+ORACLE_SQL: dict[str, str] = {"op4_warc": warc.ORACLE, "op7_url_filters": urlrules.ORACLE, "op11_importance_resampling": resampling.ORACLE}
