@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tonelake.functions import signal
+from tonelake.operators.scan import scanned
 from tonelake.plans.settings import Envelope, Settings
-from tonelake.session import ready
+
+#: Windows of a stream that a task goes through at a time.
+CHUNK = 1 << 12
 
 
 def vu_windows(pcm: DataFrame, frames: int | None = None) -> DataFrame:
@@ -47,33 +49,68 @@ def envelope(values: Column, e: Envelope, cap: int | None = None) -> Column:
     return F.aggregate(values, start, step, lambda a: a["out"])
 
 
-def enveloped(windows: DataFrame, value: str, e: Envelope, cap: int | None = None, keys: tuple[str, ...] = ("stream_id",), order: str = "window_no", out: str = "display") -> DataFrame:
+def _step(x: int, display: int, hold: int, e: Envelope, cap: int | None) -> tuple[int, int]:
+    if x > display:
+        return min(display + e.attack, x if cap is None else cap), e.hold
+    if hold == 0:
+        return display - min(display - x, e.release), 0
+    return display, hold - 1
+
+
+def _all_states(values: list[int], e: Envelope, cap: int | None, most: int) -> np.ndarray:
+    """Where the values lead from each display 0 to ``most`` and hold 0 to ``e.hold``: rows of display and hold.
+
+    States soon coincide; from when few are left each goes its own way.
+    """
+    display, hold = (m.ravel() for m in np.meshgrid(np.arange(most + 1), np.arange(e.hold + 1), indexing="ij"))
+    of = np.arange(len(display))
+    for i in range(0, len(values), 16):
+        if len(display) <= 8:
+            ends = []
+            for d, h in zip(display.tolist(), hold.tolist()):
+                for x in values[i:]:
+                    d, h = _step(x, d, h, e, cap)
+                ends.append((d, h))
+            return np.array(ends, np.int32)[of]
+        for x in values[i : i + 16]:
+            up, raised = x > display, np.minimum(display + e.attack, x if cap is None else cap)
+            fallen = display - np.where(hold == 0, np.minimum(display - x, e.release), 0)
+            display, hold = np.where(up, raised, fallen), np.where(up, e.hold, np.maximum(hold - 1, 0))
+        both, at = np.unique(display * (e.hold + 1) + hold, return_inverse=True)
+        display, hold, of = both // (e.hold + 1), both % (e.hold + 1), at[of]
+    return np.stack([display, hold], axis=1).astype(np.int32)[of]
+
+
+def enveloped(
+    windows: DataFrame, value: str, e: Envelope, cap: int | None = None, keys: tuple[str, ...] = ("stream_id",), order: str = "window_no", out: str = "display", most: int = 255, chunk: int = CHUNK,
+) -> DataFrame:
     """(keys, order, value, out): the envelope over each stream's windows in order.
 
-    Windows (never samples) are hashed by stream and sorted; a display and its hold are carried from row to row, so time
-    grows with the windows and a task holds a batch.
+    Values, and ``cap``, lie within 0 to ``most``; others raise. A chunk of windows (never samples) maps every display and
+    hold before it to those after it, a table of (most + 1) * (e.hold + 1) states; tables are composed along the stream and
+    the chunks of one stream run in as many tasks as there are: see ``scan``.
     """
-    rows = windows.select(*keys, order, F.col(value).cast("int").alias(value)).repartition(*keys).sortWithinPartitions(*keys, order)
-    ready(windows.sparkSession)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, display, hold = None, 0, 0
-        for batch in batches:
-            shown = []
-            for own in zip(*(batch.column(k).to_pylist() for k in keys), batch.column(value).to_pylist()):
-                if own[:-1] != last:
-                    last, display, hold = own[:-1], 0, 0
-                x = own[-1]
-                if x > display:
-                    display, hold = min(display + e.attack, x if cap is None else cap), e.hold
-                elif hold == 0:
-                    display -= min(display - x, e.release)
-                else:
-                    hold -= 1
-                shown.append(display)
-            yield batch.append_column(out, pa.array(shown, pa.int32()))
-
-    return rows.mapInArrow(run, T.StructType([*rows.schema.fields, T.StructField(out, T.IntegerType())]))
+
+    def held(table: pa.Table) -> list[int]:
+        values = table.column(value).to_pylist()
+        if values and not 0 <= min(values) <= max(values) <= most or (cap or 0) > most:
+            raise ValueError(f"levels must lie within 0 to {most}")
+        return values
+
+    def advance(state: bytes | None, summary: bytes) -> bytes:
+        display, hold = np.frombuffer(state, np.int32).tolist() if state else (0, 0)
+        return np.frombuffer(summary, np.int32).reshape(-1, 2)[display * (e.hold + 1) + hold].tobytes()
+
+    def run(table: pa.Table, start: bytes | None) -> list[pa.Array]:
+        display, hold = np.frombuffer(start, np.int32).tolist() if start else (0, 0)
+        shown = []
+        for x in held(table):
+            display, hold = _step(x, display, hold, e, cap)
+            shown.append(display)
+        return [pa.array(shown, pa.int32())]
+
+    rows = windows.select(*keys, order, F.col(value).cast("int").alias(value))
+    return scanned(rows, keys, order, chunk, lambda table: _all_states(held(table), e, cap, most).tobytes(), advance, run, T.StructType([T.StructField(out, T.IntegerType())]))
 
 
 def with_fade_out(windows: DataFrame, value: str, e: Envelope, order: str = "window_no", keys: tuple[str, ...] = ("stream_id",)) -> DataFrame:

@@ -1,24 +1,25 @@
-"""Filters whose every output depends on the one before: one pass per stream, streams in parallel.
+"""Filters whose every output depends on the one before, over chunks of a stream in parallel.
 
-Frames are hashed by stream, sorted within partitions, and run through in Arrow batches with the filter's
-state carried along, so that a task holds a batch at a time and not a whole stream. Within a batch, blocks of frames are
-filtered by matrix products; only the state goes from block to block in turn.
+A filter's state moves affinely, so a chunk's effect on any state is known without the frames before it: see ``scan``. Within a
+chunk, blocks of frames are filtered by matrix products; only the state goes from block to block in turn.
 """
 
 from __future__ import annotations
 
 import functools
-from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from tonelake.session import ready
+from tonelake.operators.scan import scanned
 
 #: Frames that one matrix product filters together.
 BLOCK = 64
+#: Frames of a stream that a task filters at a time.
+CHUNK = 1 << 16
 
 
 @functools.lru_cache(64)
@@ -53,28 +54,47 @@ def biquad(x: np.ndarray, c: tuple[float, float, float, float, float], z: np.nda
     return y
 
 
-def per_stream(pcm: DataFrame, sections: list[tuple], pre_gain: float) -> DataFrame:
+def _cascade(x: np.ndarray, sections: list[tuple], z: np.ndarray) -> np.ndarray:
+    """Frames by channels through all sections; ``z`` (sections by 2 by channels) is read and updated."""
+    for c, state in zip(sections, z):
+        x = biquad(x, c, state)
+    return x
+
+
+def transition(sections: list[tuple], n: int) -> np.ndarray:
+    """What ``n`` frames of silence make of a cascade's state (2 numbers a section): a matrix."""
+    size = 2 * len(sections)
+    unit = np.eye(size).reshape(len(sections), 2, size).copy()
+    _cascade(np.zeros((1, size)), sections, unit)
+    return np.linalg.matrix_power(unit.reshape(size, size), n)
+
+
+def per_stream(pcm: DataFrame, sections: list[tuple], pre_gain: float, chunk: int = CHUNK) -> DataFrame:
     """(stream_id, frame_no, left, right) through a cascade of sections, held within 32 bits.
 
-    Rows are range-free: hashed by stream and sorted within partitions, then read in batches.
+    A chunk of frames maps the cascade's state affinely: its summary is the state that it ends in from silence and its
+    number of frames, whose transition matrix says what becomes of any other state.
     """
-    ready(pcm.sparkSession)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        stream, z = object(), None
-        for batch in batches:
-            ids = batch.column(0).to_numpy(zero_copy_only=False)
-            x = np.stack([batch.column(c).to_numpy() for c in (2, 3)], axis=1) * float(pre_gain)
-            edges = [0, *(np.flatnonzero(ids[1:] != ids[:-1]) + 1), len(ids)]
-            for a, b in zip(edges, edges[1:]):
-                if a == b:
-                    continue
-                if ids[a] != stream:
-                    stream, z = ids[a], np.zeros((len(sections), 2, 2))
-                for c, state in zip(sections, z):
-                    x[a:b] = biquad(x[a:b], c, state)
-            out = np.clip(x, -(2.0**31), 2.0**31 - 1).astype(np.int64).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out[:, 0].copy()), pa.array(out[:, 1].copy())], names=["stream_id", "frame_no", "left", "right"])
-
-    rows = pcm.select(F.col("stream_id").cast("string").alias("stream_id"), F.col("frame_no").cast("long").alias("frame_no"), "left", "right").repartition("stream_id").sortWithinPartitions("stream_id", "frame_no")
-    return rows.mapInArrow(run, "stream_id string, frame_no long, left int, right int")
+    size = 2 * len(sections)
+
+    def samples(table: pa.Table) -> np.ndarray:
+        return np.stack([table.column(c).to_numpy() for c in ("left", "right")], axis=1) * float(pre_gain)
+
+    def summarise(table: pa.Table) -> bytes:
+        z = np.zeros((len(sections), 2, 2))
+        _cascade(samples(table), sections, z)
+        return np.array([len(table), *z.ravel()]).tobytes()
+
+    def advance(state: bytes | None, summary: bytes) -> bytes:
+        n, *end = np.frombuffer(summary)
+        end = np.array(end).reshape(size, 2)
+        return (end if state is None else end + transition(sections, int(n)) @ np.frombuffer(state).reshape(size, 2)).tobytes()
+
+    def run(table: pa.Table, start: bytes | None) -> list[pa.Array]:
+        z = np.zeros((len(sections), 2, 2)) if start is None else np.frombuffer(start).reshape(len(sections), 2, 2).copy()
+        out = np.clip(_cascade(samples(table), sections, z), -(2.0**31), 2.0**31 - 1).astype(np.int64).astype(np.int32)
+        return [pa.array(out[:, 0].copy()), pa.array(out[:, 1].copy())]
+
+    rows = pcm.select(F.col("stream_id").cast("string").alias("stream_id"), F.col("frame_no").cast("long").alias("frame_no"), "left", "right")
+    out = scanned(rows, ("stream_id",), "frame_no", chunk, summarise, advance, run, T.StructType.fromDDL("out_left int, out_right int"))
+    return out.select("stream_id", "frame_no", F.col("out_left").alias("left"), F.col("out_right").alias("right"))
