@@ -7,6 +7,7 @@ batches and does the rest: labels, sums, joins. Fields at fixed places are read
 from __future__ import annotations
 
 import struct
+import zlib
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -251,6 +252,16 @@ def flac_pictures(files: DataFrame) -> DataFrame:
     return df.select("path", F.decode(F.substring("content", (o + 9).cast("int"), m.cast("int")), "ISO-8859-1").alias("mime"), (o + 32 + m + d).alias("pos"), be(c, o + 28 + m + d, 4).alias("len"))
 
 
+#: Each byte with its bits in reverse.
+_MIRRORED = bytes(int(f"{i:08b}"[::-1], 2) for i in range(256))
+
+
+def page_crc(page: bytes) -> int:
+    """An Ogg page's CRC-32, highest bit first and from zero: the usual one is its mirror image, so both ends are mirrored."""
+    mirrored = zlib.crc32(page.translate(_MIRRORED), 0xFFFFFFFF) ^ 0xFFFFFFFF
+    return int(f"{mirrored:032b}"[::-1], 2)
+
+
 def ogg(b: bytes) -> Iterator[tuple[int, int, int, int, bytes]]:
     """(page number, serial, flags, granule, packet): packets in turn, those that go on over pages joined.
 

@@ -78,13 +78,13 @@ def flac_frames(b: bytes) -> Iterator[tuple[int, int, bytes]]:
     while i < len(found):
         at, number, after = found[i]
         later = [j for j in by_number.get(after, []) if j > i]
-        end = next((j for j in [*later, len(found)] if _sound(b, at, found[j][0] if j < len(found) else len(b))), None)
+        end = next((j for j in [*later, len(found)] if sound(b, at, found[j][0] if j < len(found) else len(b))), None)
         if end is not None:
             yield at, number, b[at : found[end][0] if end < len(found) else len(b)]
         i = i + 1 if end is None else end
 
 
-def _sound(b: bytes, at: int, end: int) -> bool:
+def sound(b: bytes, at: int, end: int) -> bool:
     return end - at > 2 and crc16_of(b[at : end - 2]) == int.from_bytes(b[end - 2 : end], "big")
 
 
@@ -183,7 +183,7 @@ def frame_length(b: bytes, width: int) -> int:
         n = _channels(b, width)[3] + 2
     except (ValueError, IndexError):
         return 0
-    return n if n <= len(b) and _sound(b, 0, n) else 0
+    return n if n <= len(b) and sound(b, 0, n) else 0
 
 
 def decode_frame(b: bytes, width: int) -> tuple[np.ndarray, np.ndarray]:
