@@ -11,6 +11,7 @@ read whole, one batch of few bytes at a time. An empty table gives an empty resu
 
 from __future__ import annotations
 
+import bisect
 import functools
 import re
 import struct
@@ -24,12 +25,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tonelake.llm.common import in_arrow, table, written
-from tonelake.sources import decoders
+from tonelake.sources import containers, decoders
 
 RATE = 8000
 UNIT = 64
-#: Bytes of a FLAC frame at most.
-MOST_FRAME = 1 << 21
 
 
 def padded(payload: bytes) -> bytes:
@@ -134,32 +133,42 @@ def _pdf(b: bytes, at: int) -> int:
     return end - at if end else 0
 
 
-def _zip(b: bytes, at: int) -> int:
-    """To the end record whose directory lies where it says, counted from here; the search stays within the entry chain."""
-    p = at
-    while b[p : p + 4] == b"PK\x03\x04" and p + 30 <= len(b):
-        flags, (size, name, extra) = b[p + 6], struct.unpack("<I4xHH", b[p + 18 : p + 30])
-        p += 30 + name + extra + size
+def _zip(b: bytes, at: int, chains: dict) -> int:
+    """To the end record whose directory lies where it says, counted from here; the search stays within the entry chain.
+
+    ``chains`` remembers where entries and directories of this value lead, so that no stretch is walked twice.
+    """
+    start, walked = at, []
+    while start not in chains and b[start : start + 4] == b"PK\x03\x04" and start + 30 <= len(b):
+        walked.append(start)
+        flags, (size, name, extra) = b[start + 6], struct.unpack("<I4xHH", b[start + 18 : start + 30])
+        start += 30 + name + extra + size
         if flags & 8:  # sizes follow the data: the next signature ends the entry
-            p = _next_entry(b, p)
-    if b[p : p + 4] not in (b"PK\x01\x02", b"PK\x05\x06"):
+            start = _next_entry(b, start, chains)
+    start = chains.get(start, start)
+    chains.update(dict.fromkeys(walked, start))
+    if b[start : start + 4] not in (b"PK\x01\x02", b"PK\x05\x06"):
         return 0
-    start = p
+    p = chains.get(("directory", start), start)
     while b[p : p + 4] == b"PK\x01\x02" and p + 46 <= len(b):
         p += 46 + sum(struct.unpack("<HHH", b[p + 28 : p + 34]))
+    chains["directory", start] = p
     if b[p : p + 4] != b"PK\x05\x06" or p + 22 > len(b):
         return 0
     size, offset, comment = struct.unpack("<IIH", b[p + 12 : p + 22])
     return p + 22 + comment - at if offset == start - at and size == p - start and p + 22 + comment <= len(b) else 0
 
 
-def _next_entry(b: bytes, at: int) -> int:
-    m = _ZIP_NEXT.search(b, at)
-    return m.end() - 4 if m else len(b)
+def _next_entry(b: bytes, at: int, chains: dict) -> int:
+    """The first record that follows a data descriptor from ``at`` on; all of them are looked for once."""
+    if "next" not in chains:
+        chains["next"] = [m.start() for m in _ZIP_NEXT.finditer(b)]
+    i = bisect.bisect_left(chains["next"], at)
+    return chains["next"][i] + 16 if i < len(chains["next"]) else len(b)
 
 
 #: A data descriptor and the record after it.
-_ZIP_NEXT = re.compile(rb"PK\x07\x08.{12}PK(?:\x03\x04|\x01\x02)", re.S)
+_ZIP_NEXT = re.compile(rb"(?=PK\x07\x08.{12}PK(?:\x03\x04|\x01\x02))", re.S)
 
 
 def _gzip(b: bytes, at: int) -> int:
@@ -175,7 +184,7 @@ def _gzip(b: bytes, at: int) -> int:
 
 
 def _flac(b: bytes, at: int) -> int:
-    """Metadata blocks, then frames one after the other, each decoded to find its end and checked by its CRC-16."""
+    """Metadata blocks, then at least one frame, each decoded to find its end and checked by its CRC-16."""
     if b[at + 4 : at + 8] not in (b"\x00\x00\x00\x22", b"\x80\x00\x00\x22") or at + 42 > len(b):
         return 0
     bits = (int.from_bytes(b[at + 20 : at + 22], "big") >> 4 & 31) + 1
@@ -184,44 +193,32 @@ def _flac(b: bytes, at: int) -> int:
         last, p = bool(b[p] & 0x80), p + 4 + int.from_bytes(b[p + 1 : p + 4], "big")
     if not last or p > len(b):
         return 0
-    while n := decoders.frame_length(b[p : p + MOST_FRAME], bits):
+    start = p
+    while head := decoders.frame_header(b, p):
+        most = head[0] + 2 + 5 * (head[2] + 8) * (2 if head[4] > 7 else head[4] + 1)  # samples take 33 bits at most
+        if not (n := decoders.frame_length(b[p : p + most], bits)):
+            break
         p += n
-    return p - at
+    return p - at if p > start else 0
 
 
 def _ogg(b: bytes, at: int) -> int:
-    """Pages, each with its checksum, to the last one of the stream."""
+    """Pages, each with its checksum: to the last one of the stream, or as far as they are sound where it breaks off.
+
+    Inside other bytes a stream begins with a page marked as its first.
+    """
     p = at
+    if at and not (at + 5 < len(b) and b[at + 5] & 2):
+        return 0
     while b[p : p + 5] == b"OggS\x00" and p + 27 <= len(b):
         n = b[p + 26]
         size = 27 + n + sum(b[p + 27 : p + 27 + n])
-        if p + size > len(b) or _ogg_crc(b[p : p + 22] + bytes(4) + b[p + 26 : p + size]) != int.from_bytes(b[p + 22 : p + 26], "little"):
-            return 0
+        if p + size > len(b) or containers.page_crc(b[p : p + 22] + bytes(4) + b[p + 26 : p + size]) != int.from_bytes(b[p + 22 : p + 26], "little"):
+            break
         last, p = b[p + 5] & 4, p + size
         if last:
-            return p - at
-    return 0
-
-
-def _ogg_table() -> list[int]:
-    """CRC-32 with polynomial 0x04C11DB7, highest bit first, by its rule."""
-    table = []
-    for i in range(256):
-        r = i << 24
-        for _ in range(8):
-            r = (r << 1 ^ 0x04C11DB7 if r & 0x80000000 else r << 1) & 0xFFFFFFFF
-        table.append(r)
-    return table
-
-
-_OGG = _ogg_table()
-
-
-def _ogg_crc(data: bytes) -> int:
-    crc = 0
-    for x in data:
-        crc = (crc << 8 & 0xFFFFFFFF) ^ _OGG[crc >> 24 ^ x]
-    return crc
+            break
+    return p - at
 
 
 def _midi(b: bytes, at: int) -> int:
@@ -270,11 +267,11 @@ def _automaton():
 
 def found(b: bytes) -> list[tuple[int, int, str]]:
     """(offset, length, type) of a sound item at the start, and of the outermost ones within or after it."""
-    out, free = [], 1
+    out, free, chains = [], 1, {}
     for end, i in _automaton().iter(b.decode("latin-1")):
         magic, kind, check = FORMATS[i]
         at = end - len(magic) + 1
-        if (at == 0 or at >= free) and (n := check(b, at)):
+        if (at == 0 or at >= free) and (n := check(b, at, chains) if check is _zip else check(b, at)):
             out.append((at, n, kind[b[at + 8 : at + 12]] if isinstance(kind, dict) else kind))
             free = at + n if at else 1  # the item at the start is looked into, embedded ones are not
     return out
