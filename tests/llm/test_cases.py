@@ -16,6 +16,7 @@ import corpus_pipeline
 from tonelake.llm import media, mixing, neardup, passages, tokens, urlrules, warc
 from tonelake.llm.common import fresh_path
 from tonelake.plans import fixtures
+from tonelake.sources import containers
 
 
 def ids_of(text):
@@ -124,3 +125,65 @@ def test_media_columns_by_brute_force(spark):
         dev = (sum((v - mean) ** 2 for v in x) / len(x)) ** 0.5
         cross = sum((a >= 0) != (b >= 0) for a, b in zip(x, x[1:]))
         assert r.feature.strip() == f"audio/wav/u8 mean={mean:.3f} dev={dev:.3f} peak={max(map(abs, x))} cross={cross} carved=".strip()
+
+
+def layouts(docs):
+    return [docs.coalesce(1), docs.repartition(3), docs.repartition(7, "doc_id"), docs.repartition(7)]
+
+
+def test_mix_of_equal_rows_is_exact_in_any_layout(spark):
+    rows = [(1, "a b c", "s", 3)] * 2000 + [(i, "x " * (i % 5 + 1), "t", 1) for i in range(200)] + [(500, "x x", None, k % 3) for k in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, extra int")
+    seen = []
+    for d in layouts(docs):
+        got = mixing.decided(d).withColumn("taken", F.col("size") * F.col("copies"))
+        sums = {r.source: (r.target, r.taken) for r in got.groupBy("source").agg(F.first("target").alias("target"), F.sum("taken").alias("taken")).collect()}
+        assert got.count() == len(rows) and all(t - 3 <= taken <= t + 1 for t, taken in sums.values()), sums
+        seen.append(sorted(map(tuple, got.select("doc_id", "size", "source", "copies").collect()), key=repr))
+        out = sorted(map(tuple, mixing.mixed(d).collect()), key=repr)
+        assert sum(len(r[1].split()) for r in out) == sum(t for _, t in sums.values())
+        seen.append(out)
+    assert all(s == seen[i % 2] for i, s in enumerate(seen))
+
+
+def test_mix_fits_what_can_be_fit():
+    import numpy as np
+
+    for lengths, have, budget, best in (([2, 4, 6], [10**5, 10**5, 10**5], 123_457, 123_456), ([10**7, 3 * 10**7], [40, 40], 10**9 + 5, 10**9), ([7], [3], 20, 14), ([5, 9], [1, 1], 13, 9)):
+        take = mixing.fitted(np.array(lengths), np.array(have), budget)
+        assert int((take * lengths).sum()) == best and (take <= have).all() and (take >= 0).all()
+
+
+def broken_ogg(n, flags=0):
+    first, page = (bytearray(fixtures.ogg_page(1, f, 5, [bytes(200)])) for f in (2, flags))
+    for p in (first, page):
+        p[22:26] = containers.page_crc(bytes(p)).to_bytes(4, "little")
+    return bytes(first) + bytes(page) * (n // len(page) - 1)
+
+
+def entries_without_directory(n):
+    entry = b"PK\x03\x04" + bytes([20, 0, 8, 0, 0, 0]) + bytes(8) + struct.pack("<IIHH", 0, 0, 1, 0) + b"a" + b"data" * 5 + b"PK\x07\x08" + bytes(12)
+    return entry * (n // len(entry))
+
+
+@pytest.mark.parametrize("of", [broken_ogg, lambda n: broken_ogg(n, 2), entries_without_directory, lambda n: b"PK\x03\x04" + bytes([20, 0, 8]) * (n // 3), lambda n: b"PK\x03\x04\x14\0\x08\0" * (n // 8)])
+def test_validators_are_linear(of):
+    times = []
+    for n in (2 << 20, 4 << 20):
+        began = time.perf_counter()
+        media.found(of(n))
+        times.append(time.perf_counter() - began)
+    assert times[1] < 4 and times[1] < 4 * times[0] + 0.2, times
+
+
+def test_broken_ogg_and_nested_zip():
+    ogg = broken_ogg(4000)
+    assert media.found(ogg + b"tail") == [(0, len(ogg), "audio/ogg")] and media.found(b"x" + ogg[:-5]) == [(1, len(ogg) * 16 // 17, "audio/ogg")]
+    zipped = io.BytesIO()
+    with zipfile.ZipFile(zipped, "w") as z:
+        z.writestr("a", b"bb")
+        z.writestr("b", b"cc" * 50)
+    whole, fake = zipped.getvalue(), b"PK\x03\x04" + bytes(14) + struct.pack("<IIHH", 0, 0, 0, 0)
+    assert media.found(fake + whole) == [(len(fake), len(whole), "application/zip")]
+    header = fixtures.flac([], 0, ["A=b"])
+    assert media.found(header) == []

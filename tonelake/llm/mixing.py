@@ -9,7 +9,8 @@ length are taken follows a seeded hash of doc_id and text, so reruns agree.
 
 A document is taken 0, 1 or 2 times. Texts without a word, null included, have size 0 and are taken 0 times. Null is a
 source of its own, the last. Rows that repeat count each; where a length's quota ends among rows with equal id and text,
-about the right share of these is taken. An empty table gives an empty result. Other columns are kept, whatever their names.
+exactly as many of these are taken as are left of it, whatever their layout: such rows are counted by all their columns, and
+come out again as often as they were counted. An empty table gives an empty result. Other columns are kept, whatever their names.
 
 A length that very many documents of a source share is split by hash into parts of about PART, whose counts decide in
 which part the quota ends; only there hashes are ranked. One row per source reaches the driver.
@@ -31,12 +32,12 @@ WEIGHTS = (5.0, 2.0, 1.0)
 TOTAL = 1.5
 MOST_COPIES = 2
 PART = 1000
+#: Rows that repeat and come out again at a time.
+REPEATS = 1 << 16
 #: Lengths of a source (rows of the plan) that may be broadcast: about 100 bytes each.
 MOST_BROADCAST = 100_000
 #: Lengths that the dynamic programme may change at first.
 FEW = 4
-#: Its table gets no larger than this many sums once some choice keeps within the budget.
-MOST_SUMS = 2**24
 
 
 def shared_out(sizes: list[int], weights: list[float], total: float, most: float = MOST_COPIES) -> list[float]:
@@ -89,6 +90,7 @@ def fitted(lengths: np.ndarray, have: np.ndarray, budget: int, start: float = 0.
     upto = [0, *((c * budget + handed) // whole for c in np.cumsum(n).tolist())]
     take = np.diff(np.array(upto, np.int64))
     few, each = FEW, 1
+    out_of_reach = budget % int(np.gcd.reduce(size[n > 0]))  # every sum is a multiple of it
     while True:
         at = np.unique(np.linspace(0, len(size) - 1, few).round().astype(np.int64))
         back, more = np.minimum(take[at], each), np.minimum(n[at] - take[at], each)
@@ -96,7 +98,7 @@ def fitted(lengths: np.ndarray, have: np.ndarray, budget: int, start: float = 0.
         whole_pool = len(at) == len(size) and each >= int(n.max())
         if rest >= 0:
             changed = _knapsack(size[at][::-1], (back + more)[::-1], rest)[::-1]
-            if int((changed * size[at]).sum()) == rest or whole_pool or rest > MOST_SUMS:
+            if int((changed * size[at]).sum()) == rest - out_of_reach or whole_pool:
                 break
         few, each = few * 2, each + (few >= len(size)) * each
     take[at] += changed - back
@@ -122,11 +124,12 @@ def _sized(docs: DataFrame, seed: int, size: str, mark: str) -> DataFrame:
     return docs.withColumns({size: words, mark: F.xxhash64(F.lit(seed), "doc_id", F.xxhash64("text"))})
 
 
-def planned(sized: DataFrame, weights: tuple, total: float, seed: int) -> DataFrame:
-    """(source, size, n, source_size, target, full, last_part, last, share) of (source, size, mark), a row per length of a source.
+def planned(sized: DataFrame, weights: tuple, total: float, seed: int) -> tuple[DataFrame, bool]:
+    """(source, size, n, source_size, target, full, last_part, last, tied, same) of (source, size, mark), a row per length of a
+    source; and whether there are lengths whose quota ends among rows of one mark.
 
     Of the rows of a length those are taken once more than ``full`` whose part is below ``last_part`` or whose mark in that
-    part is below ``last``, and of those with that very mark (rows that repeat) a share.
+    part is below ``last``, and of the ``same`` with that very mark (rows that repeat) ``tied``.
     """
     spark = ready(sized.sparkSession)
     by_length, _ = written(sized.groupBy("source", "size").agg(F.count("*").alias("n")), "lengths")
@@ -145,11 +148,12 @@ def planned(sized: DataFrame, weights: tuple, total: float, seed: int) -> DataFr
     cells = _joined(at.drop("quota", "n"), parts, seen["n"], key).groupBy(*key, "quota", "before", "mark").agg(F.count("*").alias("in"))
     upto = F.col("before") + F.sum("in").over(Window.partitionBy(*key).orderBy("mark"))
     cells = cells.withColumn("upto", upto).where("upto >= quota AND upto - in < quota")
-    last = cells.select("source", "size", F.col("part").alias("last_part"), F.col("mark").alias("last"), ((F.col("quota") - F.col("upto") + F.col("in")) / F.col("in")).alias("share"))
+    last = cells.select("source", "size", F.col("part").alias("last_part"), F.col("mark").alias("last"), (F.col("quota") - F.col("upto") + F.col("in")).alias("tied"), F.col("in").alias("same"))
     named = last.withColumnsRenamed({"source": "p_source", "size": "p_size"})
     plan = plan.join(named, F.col("source").eqNullSafe(F.col("p_source")) & (F.col("size") == F.col("p_size")), "left").drop("p_source", "p_size")
     plan = plan.withColumn("full", F.col("full") + ((F.col("quota") == F.col("n")) & (F.col("n") > 0) & (F.col("size") > 0)).cast("long"))
-    return written(plan.drop("quota"), "mix")[0]
+    table_, _, seen = counted(plan.drop("quota"), "mix", unsure=F.count_if(F.col("tied") < F.col("same")))
+    return table_, seen["unsure"] > 0
 
 
 def _part(mark: str = "mark", n: str = "n") -> Column:
@@ -163,27 +167,48 @@ def _joined(rows: DataFrame, plan: DataFrame, n: int, key: list[str]) -> DataFra
     return rows.join(F.broadcast(named) if n <= MOST_BROADCAST else named, on).drop(*[f"p_{k}" for k in key])
 
 
-def _copies(mark: str, plan: str) -> Column:
-    """How often a row is taken, by the plan's columns, whose names begin with ``plan``."""
+def _at_mark(mark: str, plan: str) -> tuple[Column, Column]:
+    """Whether a row lies before the mark at which its length's quota ends, and whether it has that very mark."""
     part, last_part, last = _part(mark, f"{plan}n"), F.col(f"{plan}last_part"), F.col(f"{plan}last")
-    tie = (F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(1 << 30)) < F.col(f"{plan}share") * (1 << 30)) | (F.col(f"{plan}share") >= 1)
-    more = (part < last_part) | ((part == last_part) & ((F.col(mark) < last) | ((F.col(mark) == last) & tie)))
-    return F.when(F.col(f"{plan}size") > 0, F.col(f"{plan}full") + F.coalesce(more, F.lit(False)).cast("long")).otherwise(0)
+    before = (part < last_part) | ((part == last_part) & (F.col(mark) < last))
+    return F.coalesce(before, F.lit(False)), F.coalesce((part == last_part) & (F.col(mark) == last), F.lit(False))
+
+
+def _counted(rows: DataFrame, mark: str, plan: str, copies: str, unsure: bool) -> DataFrame:
+    """Adds ``copies``, how often each row is taken, by the plan's columns, whose names begin with ``plan``.
+
+    Rows that repeat at the mark where a quota ends are folded into one with their number before they are shuffled; so many
+    of them as the quota leaves get the copy more, in the order of a hash of all columns.
+    """
+    before, at = _at_mark(mark, plan)
+    open_ = at & (F.col(f"{plan}tied") < F.col(f"{plan}same"))
+    more = F.col(f"{plan}full") + (before | (at & ~open_)).cast("long")
+    sure = (rows.where(~open_) if unsure else rows).withColumn(copies, F.when(F.col(f"{plan}size") > 0, more).otherwise(0))
+    if not unsure:
+        return sure
+    times, upto, given, part = unused([*rows.columns, copies], "_times", "_upto", "_given", "_part")
+    one = rows.where(open_).groupBy(*rows.columns).agg(F.count("*").alias(times))
+    order = Window.partitionBy(f"{plan}source", f"{plan}size", mark).orderBy(F.xxhash64(*rows.columns)).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    one = one.withColumn(upto, F.sum(times).over(order)).withColumn(given, F.greatest(F.lit(0), F.least(F.col(times), F.col(f"{plan}tied") - F.col(upto) + F.col(times))))
+    halves = F.array(*[F.struct((F.col(f"{plan}full") + k).alias("c"), n.alias("n")) for k, n in ((1, F.col(given)), (0, F.col(times) - F.col(given)))])
+    one = one.withColumn(part, F.explode(halves)).where(F.col(part)["n"] > 0).withColumn(copies, F.col(part)["c"])
+    again = one.withColumn(times, F.explode(F.expr(f"sequence(1L, `{part}`.n, {REPEATS}L)"))).withColumn(times, F.explode(F.expr(f"sequence(`{times}`, least(`{times}` + {REPEATS - 1}, `{part}`.n))")))
+    return sure.unionByName(again.select(*rows.columns, copies))
 
 
 def decided(docs: DataFrame, weights: tuple = WEIGHTS, total: float = TOTAL, seed: int = 17) -> DataFrame:
     """(doc_id, source, size, source_size, target, copies) for each row of (doc_id, text, source)."""
     sized, _ = written(_sized(docs.select("doc_id", "source", "text"), seed, "size", "mark").drop("text"), "sizes")
-    plan = planned(sized, weights, total, seed)
+    plan, unsure = planned(sized, weights, total, seed)
     plan = plan.withColumnsRenamed({c: f"p_{c}" for c in plan.columns})
     at = sized.join(F.broadcast(plan) if plan.count() <= MOST_BROADCAST else plan, F.col("source").eqNullSafe(F.col("p_source")) & (F.col("size") == F.col("p_size")))
-    return at.select("doc_id", "source", "size", F.col("p_source_size").alias("source_size"), F.col("p_target").alias("target"), _copies("mark", "p_").alias("copies"))
+    return _counted(at, "mark", "p_", "copies", unsure).select("doc_id", "source", "size", F.col("p_source_size").alias("source_size"), F.col("p_target").alias("target"), "copies")
 
 
 def mixed(docs: DataFrame, weights: tuple = WEIGHTS, total: float = TOTAL, seed: int = 17) -> DataFrame:
     """The rows of documents (doc_id, text, source, ..) as often as the mix takes each; texts aren't shuffled while the plan is small."""
     sized, sized_at = written(_sized(docs.select("doc_id", "source", "text"), seed, "size", "mark").select("source", "size", "mark"), "sizes")
-    plan = planned(sized, weights, total, seed)
+    plan, unsure = planned(sized, weights, total, seed)
     remove(docs.sparkSession, sized_at)
     size, mark, copy = unused(docs.columns, "_size", "_mark", "_copy")
     stem = "_p"
@@ -191,8 +216,8 @@ def mixed(docs: DataFrame, weights: tuple = WEIGHTS, total: float = TOTAL, seed:
         stem += "p"
     plan = plan.withColumnsRenamed({c: f"{stem}_{c}" for c in plan.columns})
     rows = _sized(docs, seed, size, mark).join(F.broadcast(plan) if plan.count() <= MOST_BROADCAST else plan, F.col("source").eqNullSafe(F.col(f"{stem}_source")) & (F.col(size) == F.col(f"{stem}_size")))
-    taken = rows.withColumn(copy, _copies(mark, f"{stem}_").cast("int")).where(F.col(copy) > 0)
-    return taken.withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(copy)))).select(*docs.columns)
+    taken = _counted(rows, mark, f"{stem}_", copy, unsure).where(F.col(copy) > 0)
+    return taken.withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(copy).cast("int")))).select(*docs.columns)
 
 
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
