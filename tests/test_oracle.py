@@ -40,6 +40,12 @@ def test_oracle(spark, sf_dir, duck, name):
     same(catalog.QUERIES[name](spark, sf_dir), duck.sql(catalog.ORACLE_SQL[name]))
 
 
+@pytest.mark.parametrize("name", sorted(catalog.FIXTURES))
+def test_fixtures(spark, sf_dir, duck, name):
+    query, sql = catalog.FIXTURES[name]
+    same(query(spark, sf_dir), duck.sql(sql))
+
+
 @pytest.mark.parametrize("name", sorted(set(catalog.QUERIES) - set(catalog.ORACLE_SQL)))
 def test_runs(spark, sf_dir, name):
     assert catalog.QUERIES[name](spark, sf_dir).columns

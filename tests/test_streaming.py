@@ -86,3 +86,82 @@ def test_windows_go_on_past_a_lost_frame(spark, tmp_path):
     rows = [("a", i, i << 23, 0) for i in range(80) if i != 11]
     got = run(spark, tmp_path, "gap_stream", [rows[:30], rows[30:60], [*rows[60:], ("a", 11, 0, 0)]], schema, lambda s: stateful.vu_windows(s, 8, Envelope(200, 30, 1), patience=3))
     assert sorted(r.window_no for r in got) == [0, *range(2, 10)]
+
+
+def lossy(lost, n=8, windows=3000, start=0):
+    """Sums of windows of n frames, in order, without the lost frames, and the largest state on the way."""
+    import json
+
+    s, out, most = {"open": {}, "next": 0, "display": 0, "hold": 0}, [], 0
+    for w in range(start, start + windows):
+        frames = n - sum((w * n + i) in lost for i in range(n)) if not callable(lost) else n - lost(w)
+        if frames:
+            out += stateful.add_windows(s, [(w, [frames, 5 * frames, 0, 5, 0])], n, 16, Envelope(200, 30, 1))
+        most = max(most, len(json.dumps(s)))
+    return out, most, s
+
+
+def test_state_is_bounded_whatever_is_lost():
+    whole, size, s = lossy(lambda w: 0)
+    assert [r[0] for r in whole] == list(range(3000)) and size < 200
+    none, size, s = lossy(lambda w: 1)  # a frame of every window
+    assert none == [] and len(s["open"]) <= 16 and size < 16 * 60
+    some, size, s = lossy(lambda w: w % 3 == 0)
+    assert [r[0] for r in some][:1900] == [w for w in range(3000) if w % 3][:1900] and len(s["open"]) <= 17 and size < 17 * 60
+    gone, size, s = lossy(lambda w: 8 if 100 <= w < 2500 else 0)  # a long silence, then the stream goes on
+    assert [r[0] for r in gone] == [*range(100), *range(2500, 3000)]
+    late, _, _ = lossy(lambda w: 0, start=10**12)
+    assert [r[0] for r in late][:2900] == list(range(10**12, 10**12 + 2900))
+
+
+def test_early_pieces_are_bounded():
+    s = {"at": 0, "rest": "", "early": {}}
+    assert stateful.arrived(s, [(5, b"fgh"), (3, b"def")], 100) == (b"", False)
+    rest, lost = stateful.arrived(s, [(0, b"abc"), (0, b"ab")], 100)
+    assert (rest, lost, s["at"], s["early"]) == (b"abcdefgh", False, 8, {})
+    s["rest"] = ""
+    for k in range(200):
+        rest, lost = stateful.arrived(s, [(100 + 50 * k, bytes(50))], 1000)
+        if lost:
+            break
+    assert lost and k == 20 and s["at"] == 100 + 50 * 21 and not s["early"]
+
+
+def test_titles_stop_at_a_loss_and_begin_anew(spark, tmp_path):
+    body = fixtures.icy(10, [b"a" * 10] * 3, [b"StreamTitle='one';", b"", b"StreamTitle='two';"])
+    batches = [[("s", 0, bytearray(body[:20]))], [("s", 25 + 30 * k, bytearray(30)) for k in range(4)], [("s", 0, bytearray(body))]]
+    got = run(spark, tmp_path, "icy_lost", batches, "stream_id string, offset long, data binary", lambda s: stateful.icy_titles(s, 10, 100))
+    assert sorted(r.meta for r in got) == ["StreamTitle='one';", "StreamTitle='two';"]
+
+
+def test_transport_stream_cut_anywhere_equals_batch(spark, tmp_path):
+    import random
+
+    from tonelake.sources import files
+
+    rng = random.Random(9)
+    bodies = {"a": fixtures.transport_stream([rng.randbytes(rng.randint(1, 160)) for _ in range(40)]), "b": fixtures.transport_stream([b"x" * 170, b"y"])}
+    packets = [bodies["a"][i : i + 188] for i in range(0, len(bodies["a"]), 188)]
+    bodies["late tables"] = b"".join([packets[3], *packets[:3], *packets[4:]])  # audio before its program is told
+    pieces = []
+    for name, b in bodies.items():
+        cuts = sorted({0, len(b), *(rng.randrange(len(b)) for _ in range(25))})
+        pieces += [(name, x, bytearray(b[x:y])) for x, y in zip(cuts, cuts[1:])]
+    rng.shuffle(pieces)
+    batches = [pieces[k::4] for k in range(4)]
+    got = run(spark, tmp_path, "ts_stream", batches, "stream_id string, offset long, data binary", stateful.ts_audio)
+    whole = spark.createDataFrame([(k, bytearray(v)) for k, v in bodies.items()], "stream_id string, content binary")
+    want = files.ts_audio(files.ts_packets(whole)).select("stream_id", "packet_no", "pid", "data").collect()
+    plain = lambda rows: sorted((r.stream_id, r.packet_no, r.pid, bytes(r.data)) for r in rows)
+    assert plain(got) == plain(want) and len(got) == 40 + 2 + 40
+
+
+def test_transport_stream_goes_on_after_a_loss():
+    b = fixtures.transport_stream([bytes([k]) * 100 for k in range(30)])
+    ts, out = stateful.Transport(stateful.Transport.new()), []
+    for x in range(0, len(b), 500):
+        if x != 2500:
+            rest, _ = stateful.arrived(ts.s, [(x, b[x : x + 500])], 600)
+            out += ts.packets(rest)
+    lost = {(2500 + k) // 188 for k in range(500)}
+    assert [no for no, _, _ in out] == [n for n in range(3, 33) if n not in lost]

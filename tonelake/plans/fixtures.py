@@ -123,15 +123,17 @@ def atom(name: bytes, body: bytes) -> bytes:
     return struct.pack(">I", 8 + len(body)) + name + body
 
 
-def m4a() -> bytes:
-    def data(kind: int, v: bytes) -> bytes:
+def m4a(name: str = "Tón", track: int = 3, cover: bytes = b"\x89PNGxx", length: int = 441_000, data: int = 100) -> bytes:
+    """One AAC track of four samples, with a title, a track number of nine, and a cover."""
+
+    def item(kind: int, v: bytes) -> bytes:
         return atom(b"data", struct.pack(">II", kind, 0) + v)
 
     entry = atom(b"mp4a", bytes(28) + atom(b"esds", bytes(12)))
     stbl = atom(b"stbl", atom(b"stsd", bytes(4) + struct.pack(">I", 1) + entry) + atom(b"stsz", bytes(4) + struct.pack(">II", 0, 4) + struct.pack(">IIII", 10, 20, 30, 40)))
-    mdia = atom(b"mdia", atom(b"mdhd", bytes(12) + struct.pack(">II", 44_100, 441_000) + bytes(4)) + atom(b"minf", stbl))
-    ilst = atom(b"ilst", atom(b"\xa9nam", data(1, "Tón".encode())) + atom(b"trkn", data(0, b"\0\0\0\x03\0\x09\0\0")) + atom(b"covr", data(14, b"\x89PNGxx")))
-    return atom(b"ftyp", b"M4A \0\0\0\0") + atom(b"moov", atom(b"trak", mdia) + atom(b"udta", atom(b"meta", bytes(4) + ilst))) + atom(b"mdat", bytes(100))
+    mdia = atom(b"mdia", atom(b"mdhd", bytes(12) + struct.pack(">II", 44_100, length) + bytes(4)) + atom(b"minf", stbl))
+    ilst = atom(b"ilst", atom(b"\xa9nam", item(1, name.encode())) + atom(b"trkn", item(0, struct.pack(">HHHH", 0, track, 9, 0))) + atom(b"covr", item(14, cover)))
+    return atom(b"ftyp", b"M4A \0\0\0\0") + atom(b"moov", atom(b"trak", mdia) + atom(b"udta", atom(b"meta", bytes(4) + ilst))) + atom(b"mdat", bytes(data))
 
 
 def ts_packet(pid: int, start: bool, payload: bytes) -> bytes:

@@ -107,7 +107,7 @@ def id3v1(files: DataFrame) -> DataFrame:
     c, n = F.col("content"), F.octet_length("content")
 
     def field(start: Column, size: int) -> Column:
-        return F.trim(F.regexp_replace(text.latin_to_utf8(at(c, start, size)), r"\x00.*", ""))
+        return F.trim(F.regexp_replace(text.latin_to_utf8(at(c, start, size)), r"(?s)\x00.*", ""))
 
     small = {"title": (3, 30), "artist": (33, 30), "album": (63, 30), "year": (93, 4), "comment": (97, 30)}
     large = {"title+": (4, 60), "artist+": (64, 60), "album+": (124, 60), "genre+": (185, 30)}

@@ -1,7 +1,8 @@
 """Stateful streaming: count windows, envelopes, resumable framing, fresh segments and stalls.
 
-State is kept per stream and holds little: sums of open windows, a remainder of bytes, a time. Frames may come in any
-order, also across batches: a window's sums don't depend on it, and displays wait for the window that is next.
+State is kept per stream and holds little, whatever is lost: sums of a bounded number of open windows, a remainder of bytes
+and a bounded number of early ones, a time. Frames may come in any order, also across batches: a window's sums don't
+depend on it, and displays wait for the window that is next.
 """
 
 from __future__ import annotations
@@ -17,6 +18,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from tonelake.plans.settings import Envelope, Settings
 from tonelake.session import ready
 from tonelake.sources.containers import icy
+from tonelake.sources.files import AUDIO_TYPES
 
 if TYPE_CHECKING:
     import pandas as pd
@@ -28,11 +30,45 @@ def _load(state: GroupState, start: dict) -> dict:
     return json.loads(state.get[0]) if state.exists else start
 
 
+def add_windows(s: dict, sums: list[tuple[int, list[int]]], n: int, patience: int, e: Envelope) -> list[tuple]:
+    """Adds (window, [frames, sums and maxima of both sides]) to the state and takes out what is settled, in order.
+
+    A window is settled when it is whole and none before it is awaited, or when one ``patience`` further on has been seen,
+    whole or not: then it comes out if it is whole, and is left out for good if it isn't. So no more than ``patience``
+    windows are open, whatever is lost.
+    """
+    for w, row in sums:
+        if w >= s["next"]:
+            old = s["open"].get(str(w), [0, 0, 0, 0, 0])
+            s["open"][str(w)] = [old[0] + row[0], old[1] + row[1], old[2] + row[2], max(old[3], row[3]), max(old[4], row[4])]
+    out, order = [], sorted(map(int, s["open"]))
+    seen = order[-1] if order else -1
+    for w in order:
+        own = s["open"][str(w)]
+        late = w <= seen - patience
+        if not late and (own[0] < n or w > s["next"] and s["next"] > seen - patience):
+            break
+        del s["open"][str(w)]
+        s["next"] = w + 1
+        if own[0] < n:
+            continue
+        left = own[1] // n
+        if left > s["display"]:
+            s["display"], s["hold"] = min(s["display"] + e.attack, 255), e.hold
+        elif s["hold"] == 0:
+            s["display"] -= min(s["display"] - left, e.release)
+        else:
+            s["hold"] -= 1
+        out.append((w, left, own[2] // n, own[3], own[4], s["display"]))
+    s["next"] = max(s["next"], seen - patience + 1)
+    return out
+
+
 def vu_windows(pcm: DataFrame, frames: int | None = None, e: Envelope | None = None, patience: int = 64) -> DataFrame:
     """(stream_id, window_no, left_mean, right_mean, left_max, right_max, display) of whole windows, in order.
 
     As in batch, which leaves windows with lost frames out: so does this once a window ``patience`` further on is
-    whole, and what comes later for one left out is ignored; state is bounded. ``display`` is the envelope of the left mean.
+    seen, and what comes later for one left out is ignored; state is bounded. ``display`` is the envelope of the left mean.
     """
     ready(pcm.sparkSession)
     n, shape = frames or Settings().window, e or Settings().vu_bars
@@ -40,36 +76,13 @@ def vu_windows(pcm: DataFrame, frames: int | None = None, e: Envelope | None = N
     def run(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         import pandas as pd
 
-        s = _load(state, {"open": {}, "next": 0, "display": 0, "hold": 0})
+        s, came = _load(state, {"open": {}, "next": 0, "display": 0, "hold": 0}), []
         for part in parts:
             for side in ("left", "right"):
                 part[side] = (part[side].astype("int64").abs() // (1 << 23)).clip(upper=255)
             sums = part.groupby(part["frame_no"] // n).agg(n=("frame_no", "size"), l=("left", "sum"), r=("right", "sum"), lm=("left", "max"), rm=("right", "max"))
-            for w, row in zip(sums.index.tolist(), sums.to_numpy().tolist()):
-                if w < s["next"]:
-                    continue
-                old = s["open"].get(str(w), [0, 0, 0, 0, 0])
-                s["open"][str(w)] = [old[0] + row[0], old[1] + row[1], old[2] + row[2], max(old[3], row[3]), max(old[4], row[4])]
-        out = []
-        whole = max((int(w) for w, own in s["open"].items() if own[0] >= n), default=-1)
-        while s["next"] <= whole:
-            own = s["open"].get(str(s["next"]), [0])
-            if own[0] < n:
-                if whole < s["next"] + patience:
-                    break
-                s["open"].pop(str(s["next"]), None)
-                s["next"] += 1
-                continue
-            del s["open"][str(s["next"])]
-            left = own[1] // n
-            if left > s["display"]:
-                s["display"], s["hold"] = min(s["display"] + shape.attack, 255), shape.hold
-            elif s["hold"] == 0:
-                s["display"] -= min(s["display"] - left, shape.release)
-            else:
-                s["hold"] -= 1
-            out.append((key[0], s["next"], left, own[2] // n, own[3], own[4], s["display"]))
-            s["next"] += 1
+            came += zip(sums.index.tolist(), sums.to_numpy().tolist())  # a trigger may hold a window's frames in several parts
+        out = [(key[0], *row) for row in add_windows(s, came, n, patience, shape)]
         state.update((json.dumps(s),))
         yield pd.DataFrame(out, columns=["stream_id", "window_no", "left_mean", "right_mean", "left_max", "right_max", "display"])
 
@@ -77,39 +90,154 @@ def vu_windows(pcm: DataFrame, frames: int | None = None, e: Envelope | None = N
     return pcm.groupBy("stream_id").applyInPandasWithState(run, schema, JSON, "append", GroupStateTimeout.NoTimeout)
 
 
-def icy_titles(pieces: DataFrame, metaint: int) -> DataFrame:
+#: Bytes that pieces may be ahead of what is missing before it counts as lost.
+AHEAD = 1 << 20
+
+
+def arrived(s: dict, pieces: list[tuple[int, bytes]], ahead: int = AHEAD) -> tuple[bytes, bool]:
+    """What is at hand in a row, from the place s["at"] less its length on, and whether bytes before it were given up.
+
+    Pieces come in any order and may repeat or overlap. Those too early wait, ``ahead`` bytes of them at most; beyond, what
+    is missing is lost and the first of them is next.
+    """
+    for offset, data in pieces:
+        held = base64.b64encode(data).decode()
+        if offset + len(data) > s["at"] and len(held) > len(s["early"].get(str(offset), "")):
+            s["early"][str(offset)] = held
+    rest, lost = base64.b64decode(s["rest"]), False
+    while s["early"]:
+        first = min(map(int, s["early"]))
+        if first > s["at"]:
+            if sum(len(v) // 4 * 3 - v.count("=") for v in s["early"].values()) <= ahead:
+                break
+            rest, lost, s["at"] = b"", True, first
+        data = base64.b64decode(s["early"].pop(str(first)))[s["at"] - first :]
+        rest, s["at"] = rest + data, s["at"] + len(data)
+    return rest, lost
+
+
+def _pieces(parts: Iterator[pd.DataFrame]) -> list[tuple[int, bytes]]:
+    return [(o, bytes(d)) for part in parts for o, d in zip(part["offset"].tolist(), part["data"].tolist()) if d is not None]
+
+
+def icy_titles(pieces: DataFrame, metaint: int, ahead: int = AHEAD) -> DataFrame:
     """(stream_id, audio_pos, meta) of (stream_id, offset, data) arriving piecewise: a parser that resumes.
 
-    What is left of a batch, up to a whole block, is kept as state; so are pieces that came too early.
+    What is left of a batch, up to a whole block, is kept as state; so are pieces that came too early, ``ahead`` bytes at most.
+    Where a block begins is told by the one before, so after a loss nothing more comes until the stream begins anew at 0.
     """
     ready(pieces.sparkSession)
+    start = {"at": 0, "played": 0, "rest": "", "early": {}}
 
     def run(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         import pandas as pd
 
-        s = _load(state, {"at": 0, "played": 0, "rest": "", "early": {}})
-        for part in parts:
-            for offset, data in zip(part["offset"].tolist(), part["data"].tolist()):
-                s["early"][str(offset)] = base64.b64encode(data).decode()
-        rest = base64.b64decode(s["rest"])
-        while (more := s["early"].pop(str(s["at"]), None)) is not None:
-            data = base64.b64decode(more)
-            rest, s["at"] = rest + data, s["at"] + len(data)
-        out, used = [], 0
-        while len(rest) > used + metaint and len(rest) >= used + metaint + 1 + rest[used + metaint] * 16:
-            end = used + metaint + 1 + rest[used + metaint] * 16
-            for _, audio, meta in icy(metaint)(rest[used:end]):
-                s["played"] += len(audio)
-                if meta:
-                    out.append((key[0], s["played"], meta.decode("utf-8", "replace")))
-            used = end
-        s["rest"] = base64.b64encode(rest[used:]).decode()
+        s, came, out = _load(state, dict(start, early={})), _pieces(parts), []
+        if s.get("lost") and any(o == 0 for o, _ in came):
+            s = dict(start, early={})
+        if not s.get("lost"):
+            rest, lost = arrived(s, came, ahead)
+            used = 0
+            while not lost and len(rest) > used + metaint and len(rest) >= used + metaint + 1 + rest[used + metaint] * 16:
+                end = used + metaint + 1 + rest[used + metaint] * 16
+                for _, audio, meta in icy(metaint)(rest[used:end]):
+                    s["played"] += len(audio)
+                    if meta:
+                        out.append((key[0], s["played"], meta.decode("utf-8", "replace")))
+                used = end
+            s["rest"] = base64.b64encode(rest[used:]).decode()
+            s = {"lost": True} if lost else s
         state.update((json.dumps(s),))
         yield pd.DataFrame(out, columns=["stream_id", "audio_pos", "meta"])
 
     return pieces.groupBy("stream_id").applyInPandasWithState(run, "stream_id string, audio_pos long, meta string", JSON, "append", GroupStateTimeout.NoTimeout)
 
 
+#: Packets of unknown programs that wait for the first program map.
+UNTOLD = 4096
+
+
+class Transport:
+    """The state of an MPEG-TS stream: what programs and audio streams are known, and packets that came before."""
+
+    def __init__(self, s: dict) -> None:
+        self.s = s
+
+    @staticmethod
+    def new() -> dict:
+        return {"at": 0, "rest": "", "early": {}, "maps": [], "pids": [], "untold": []}
+
+    def packets(self, rest: bytes) -> list[tuple[int, int, bytes]]:
+        """(packet number, pid, audio) of the packets at hand; what is left goes back to the state."""
+        first, out = self.s["at"] - len(rest), []
+        used = -first % 188
+        while used + 188 <= len(rest):
+            if (p := rest[used : used + 188])[0] == 0x47:
+                out += self._packet((first + used) // 188, p)
+            used += 188
+        self.s["rest"] = base64.b64encode(rest[min(used, len(rest)) :] if used <= len(rest) else b"").decode()
+        return out
+
+    def _packet(self, no: int, p: bytes) -> list[tuple[int, int, bytes]]:
+        pid, start = int.from_bytes(p[1:3], "big") & 0x1FFF, bool(p[1] & 0x40)
+        if not p[3] & 0x10:
+            return []
+        body = p[5 + p[4] if p[3] & 0x20 else 4 :]
+        if pid == 0 and start:
+            self.s["maps"] = sorted({*self.s["maps"], *self._programs(body)})
+        elif pid in self.s["maps"] and start:
+            self.s["pids"] = sorted({*self.s["pids"], *self._audio(body)})
+            told, self.s["untold"] = self.s["untold"], []
+            return [row for n, k, first, b in told if k in self.s["pids"] for row in [(n, k, self._data(base64.b64decode(b), first))]]
+        elif pid in self.s["pids"]:
+            return [(no, pid, self._data(body, start))]
+        elif not self.s["pids"]:
+            self.s["untold"] = [*self.s["untold"], [no, pid, start, base64.b64encode(body).decode()]][-UNTOLD:]
+        return []
+
+    @staticmethod
+    def _programs(body: bytes) -> list[int]:
+        t = body[1 + body[0] :]
+        n = (int.from_bytes(t[1:3], "big") & 0xFFF) - 9
+        return [int.from_bytes(t[i + 2 : i + 4], "big") & 0x1FFF for i in range(8, 8 + n // 4 * 4, 4) if int.from_bytes(t[i : i + 2], "big")]
+
+    @staticmethod
+    def _audio(body: bytes) -> list[int]:
+        t = body[1 + body[0] :]
+        if t[:1] != b"\x02":
+            return []
+        end, at, out = (int.from_bytes(t[1:3], "big") & 0xFFF) - 1, 12 + (int.from_bytes(t[10:12], "big") & 0xFFF), []
+        while at + 5 <= min(end, len(t)):
+            if t[at] in AUDIO_TYPES:
+                out.append(int.from_bytes(t[at + 1 : at + 3], "big") & 0x1FFF)
+            at += 5 + (int.from_bytes(t[at + 3 : at + 5], "big") & 0xFFF)
+        return out
+
+    @staticmethod
+    def _data(body: bytes, start: bool) -> bytes:
+        return body[9 + body[8] :] if start and body[:3] == b"\0\0\x01" and len(body) > 8 else body
+
+
+def ts_audio(pieces: DataFrame, ahead: int = AHEAD) -> DataFrame:
+    """(stream_id, packet_no, pid, data) of (stream_id, offset, data) arriving piecewise, cut anywhere: as ``files.ts_audio``.
+
+    State per stream: a part of a packet, the programs and audio streams told so far, and up to ``UNTOLD`` packets from before the
+    first program map. After a loss it goes on with the next packet, whose place follows from its offset.
+    """
+    ready(pieces.sparkSession)
+
+    def run(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        import pandas as pd
+
+        ts = Transport(_load(state, Transport.new()))
+        rest, _ = arrived(ts.s, _pieces(parts), ahead)
+        out = [(key[0], *row) for row in ts.packets(rest)]
+        state.update((json.dumps(ts.s),))
+        yield pd.DataFrame(out, columns=["stream_id", "packet_no", "pid", "data"])
+
+    return pieces.groupBy("stream_id").applyInPandasWithState(run, "stream_id string, packet_no int, pid int, data binary", JSON, "append", GroupStateTimeout.NoTimeout)
+
+
 def fresh_segments(segments: DataFrame) -> DataFrame:
     """(playlist_id, fetch_no, line_no, url): of each fetch of a playlist, the segments after the one played last."""
     ready(segments.sparkSession)
