@@ -35,14 +35,14 @@ from tonelake.sources import containers, decoders
 SPLIT = 16 << 20
 #: Frames in a row of WAV samples, and headers that must agree where an MP3 or ADTS split begins.
 BLOCK, AGREE = 4096, 4
-#: Bytes read at a time beyond a range's end, and the furthest place of a WAV file's samples.
-MORE, MOST = 1 << 18, 64 << 20
+#: Bytes read at a time, and beyond a range's end; the furthest place of a WAV file's samples.
+STEP, MORE, MOST = 1 << 16, 1 << 16, 64 << 20
 HEAD = 1 << 16
 NAMES = {"wav": "wav", "flac": "flac", "mp3": "mp3", "aac": "adts", "adts": "adts", "ogg": "ogg", "oga": "ogg", "opus": "ogg", "ts": "ts"}
 
 
 class Window:
-    """Bytes of a file from a place on, read as far as they are asked for."""
+    """Bytes of a file from a place on, read as far as they are asked for: a range in all, in steps."""
 
     def __init__(self, file, first: int, size: int) -> None:
         self.file, self.first, self.size = file, first, size
@@ -51,7 +51,8 @@ class Window:
     def upto(self, end: int) -> bytes:
         """What there is from ``first`` to ``end``, ends of the file permitting."""
         have = self.first + len(self.data)
-        if (end := min(end, self.size)) > have:
+        if min(end, self.size) > have:
+            end = min(max(end, have + min(len(self.data), MORE << 6)), self.size)  # by as much again, so that bytes are seldom copied
             self.file.seek(have)
             self.data += self.file.read(end - have)
         return self.data
@@ -124,8 +125,11 @@ def ogg(file, size: int, first: int, stop: int) -> Iterator[tuple[int, bytes]]:
     w = Window(file, first, size)
     at = first
     while at < stop:
-        b = w.upto(max(stop, at) + MORE)
+        b = w.upto(min(max(stop, at), at + STEP) + MORE)
         i = b.find(b"OggS\x00", at - first)
+        if i < 0 and not w.whole and first + len(b) - 4 < stop:
+            at = first + len(b) - 4
+            continue
         if i < 0 or first + i >= stop:
             return
         n = b[i + 26] if i + 27 <= len(b) else 0
@@ -144,10 +148,17 @@ def flac(file, size: int, first: int, stop: int) -> Iterator[tuple[int, bytes]]:
     first = max(first, info)
     w, at = Window(file, first, size), first
     while at < stop:
-        b = w.upto(stop + MORE)
+        b = w.upto(min(stop, at + STEP) + MORE)
         i = b.find(b"\xff", at - first)
+        if i < 0 and not w.whole and first + len(b) < stop:
+            at = first + len(b)
+            continue
         if i < 0 or first + i >= stop:
             return
+        if i + 32 > len(b) and not w.whole:
+            at = first + i
+            w.upto(first + len(b) + MORE)
+            continue
         h = decoders.frame_header(b, i)
         end = _flac_end(w, i, h) if h else 0
         if end:
@@ -194,7 +205,7 @@ def _headed(size_of: Callable[[bytes, int], int], alike: Callable[[bytes, int],
         before = max(0, first - HEAD)  # in step from a little earlier, as one pass would be
         w, at, synced = Window(file, before, size), 0, False
         while before + at < stop:
-            b = w.upto(stop + MORE)
+            b = w.upto(min(stop, before + at + STEP) + MORE)
             n = size_of(b, at)
             if n and (synced or _agree(b, at, w.whole)):
                 if at + n > len(b):
@@ -205,8 +216,9 @@ def _headed(size_of: Callable[[bytes, int], int], alike: Callable[[bytes, int],
                 at += n
             else:
                 synced, at = False, b.find(b"\xff", at + 1)
-                if at < 0:
+                if at < 0 and w.whole:
                     return
+                at = len(b) if at < 0 else at
 
     def _agree(b: bytes, at: int, whole: bool) -> bool:
         """Alike headers follow each other from here, or up to the end of the file, junk behind it aside."""
