@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from tonelake.functions import signal, text
 from tonelake.operators import equalizer, lookups, running, spectrum, titles
-from tonelake.plans.bindings import table
+from tonelake.plans.bindings import sample, table
 from tonelake.plans.settings import EVENTS, Settings
 from tonelake.plans.signal_queries import ALL_BANDS_SQL, LEVEL_SQL, _db_sql
 from tonelake.plans.text_queries import BASE, CONTENT, values
@@ -363,3 +363,32 @@ def checked_settings(spark, d):
             continue
     e = table(spark, d, "events").withColumn("ok", (F.col("event_id") % 40).isin(admitted))
     return e.groupBy("user_id").agg(F.count("*").alias("events"), F.count_if("ok").alias("admitted"))
+
+
+@query(
+    "H4_bounded_queue",
+    """WITH RECURSIVE t AS (SELECT user_id, event_id // 20 AS tick, count(*) AS a FROM events GROUP BY ALL), g AS (SELECT u.user_id, k.range AS tick, coalesce(a, 0) AS a FROM (SELECT DISTINCT user_id FROM events) u
+    CROSS JOIN range(coalesce((SELECT max(event_id) // 20 + 1 FROM events), 0)) k LEFT JOIN t ON t.user_id = u.user_id AND t.tick = k.range),
+    q AS (SELECT user_id, -1::BIGINT AS tick, 0::BIGINT AS a, 0::BIGINT AS taken, 0::BIGINT AS dropped, 0::BIGINT AS drained, 0::BIGINT AS waiting FROM (SELECT DISTINCT user_id FROM events)
+    UNION ALL SELECT g.user_id, g.tick, g.a, least(g.a, 3 - waiting), g.a - least(g.a, 3 - waiting), least(1, waiting + least(g.a, 3 - waiting)), waiting + least(g.a, 3 - waiting) - least(1, waiting + least(g.a, 3 - waiting))
+    FROM q JOIN g ON g.user_id = q.user_id AND g.tick = q.tick + 1) SELECT user_id::VARCHAR AS stream_id, tick, a AS arrivals, taken, dropped, drained, waiting FROM q WHERE tick >= 0""",
+)
+def bounded_queue(spark, d):
+    """Events of a user in ticks of 20, a queue of three and one drained a tick; all ticks count, also those without an event."""
+    from tonelake.operators import queueing
+
+    e = table(spark, d, "events").select(F.col("user_id").cast("string").alias("stream_id"), F.expr("event_id div 20").alias("tick"))
+    top = (e.agg(F.max("tick")).first()[0] or 0) + 1
+    every = e.select("stream_id").distinct().withColumn("tick", F.explode(F.expr(f"sequence(0L, {top - 1}L)"))).withColumn("n", F.lit(0))
+    ticks = e.withColumn("n", F.lit(1)).unionByName(every).groupBy("stream_id", "tick").agg(F.sum("n").alias("arrivals"))
+    return queueing.queued(ticks, 3, 1)
+
+
+@query("E7_profile", "SELECT 'VU windows' AS name, 3 AS runs, count(*) AS rows, TRUE AS told FROM (SELECT event_id // 64 FROM events GROUP BY 1 HAVING count(*) = 64)")
+def profile(spark, d):
+    """Three runs of the level meter; the times themselves are only checked for sense."""
+    from tonelake.operators import meters
+    from tonelake.plans.profile import profiled
+
+    pcm = table(spark, d, "events").select(F.lit("e").alias("stream_id"), F.col("event_id").alias("frame_no"), sample().alias("left"), sample().alias("right"))
+    return profiled("VU windows", meters.vu_windows(pcm, 64), 3).select("name", "runs", "rows", F.expr("mean_us > 0 AND mean_us <= max_us").alias("told"))

@@ -7,6 +7,8 @@ left out, as a decoder that goes on at the next frame would.
 
 from __future__ import annotations
 
+import functools
+import operator
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,8 +24,6 @@ from tonelake.sources import containers
 SIZES = {1: 192, **{c: 576 << c - 2 for c in range(2, 6)}, **{c: 256 << c - 8 for c in range(8, 16)}}
 RATES = {1: 88_200, 2: 176_400, 3: 192_000, 4: 8000, 5: 16_000, 6: 22_050, 7: 24_000, 8: 32_000, 9: 44_100, 10: 48_000, 11: 96_000}
 WIDTHS = {1: 8, 2: 12, 4: 16, 5: 20, 6: 24, 7: 32}
-#: Coefficients of the fixed predictors, newest sample first.
-FIXED = [[], [1], [2, -1], [3, -3, 1], [4, -6, 4, -1]]
 
 
 def frame_header(b: bytes, at: int) -> tuple[int, int, int, int, int, int] | None:
@@ -58,8 +58,8 @@ def frame_header(b: bytes, at: int) -> tuple[int, int, int, int, int, int] | Non
     return (p + 1 - at, number, size, rate, ch, WIDTHS.get(ss, 0)) if p < len(b) and crc == b[p] else None
 
 
-def flac_frames(b: bytes) -> Iterator[tuple[int, int, bytes]]:
-    """(offset, number, bytes) of the sound frames after the metadata.
+def flac_frames(b: bytes) -> Iterator[tuple[int, int, int, bytes]]:
+    """(offset, number, samples, bytes) of the sound frames after the metadata.
 
     A frame lasts to the header whose number follows on and before which the frame's CRC-16 agrees, the last one to the
     end; what looks like a header inside a frame is neither. A frame for which there is no such end is left out.
@@ -80,7 +80,7 @@ def flac_frames(b: bytes) -> Iterator[tuple[int, int, bytes]]:
         later = [j for j in by_number.get(after, []) if j > i]
         end = next((j for j in [*later, len(found)] if sound(b, at, found[j][0] if j < len(found) else len(b))), None)
         if end is not None:
-            yield at, number, b[at : found[end][0] if end < len(found) else len(b)]
+            yield at, number, frame_header(b, at)[2], b[at : found[end][0] if end < len(found) else len(b)]
         i = i + 1 if end is None else end
 
 
@@ -93,9 +93,14 @@ class Bits:
 
     def __init__(self, b: bytes) -> None:
         self.bits = np.unpackbits(np.frombuffer(b, np.uint8))
-        self.ones = np.flatnonzero(self.bits)
         self.at = 0
 
+    @functools.cached_property
+    def next_one(self) -> list[int]:
+        """Of each place the first 1 from there on; one beyond the end where there is none."""
+        n = len(self.bits)
+        return np.minimum.accumulate(np.where(self.bits == 1, np.arange(n), n)[::-1])[::-1].tolist()
+
     def u(self, n: int) -> int:
         if self.at + n > len(self.bits):
             raise IndexError
@@ -110,35 +115,51 @@ class Bits:
         return v - (1 << n) if n and v >> n - 1 else v
 
     def unary(self) -> int:
-        i = np.searchsorted(self.ones, self.at)
-        n = int(self.ones[i]) - self.at
+        n = self.next_one[self.at] - self.at
         self.at += n + 1
         return n
 
     def fixed(self, count: int, n: int) -> np.ndarray:
         """``count`` signed values of ``n`` bits."""
+        if self.at + count * n > len(self.bits):
+            raise IndexError
         part = self.bits[self.at : self.at + count * n].reshape(count, n).astype(np.int64)
         self.at += count * n
         v = part @ (1 << np.arange(n - 1, -1, -1, dtype=np.int64))
         return np.where(part[:, 0] == 1, v - (1 << n), v)
 
+    def rice(self, count: int, k: int) -> np.ndarray:
+        """``count`` signed values: zeros up to a 1, then ``k`` bits. Where codes end is followed in turn, the rest is done at once."""
+        first, ends, p, after = self.at, [], self.at, self.next_one
+        for _ in range(count):
+            p = after[p]
+            ends.append(p)
+            p += 1 + k
+        if p > len(self.bits):
+            raise IndexError
+        self.at, ones = p, np.array(ends, np.int64)
+        starts = np.concatenate([[first], ones[:-1] + 1 + k])[:count]
+        low = self.bits[ones[:, None] + np.arange(1, k + 1)].astype(np.int64) @ (1 << np.arange(k - 1, -1, -1, dtype=np.int64)) if k else 0
+        v = ones - starts << k | low
+        return v >> 1 ^ -(v & 1)
 
-def residuals(r: Bits, size: int, order: int) -> list[int]:
+
+def residuals(r: Bits, size: int, order: int) -> np.ndarray:
     """Rice-coded differences, by partitions; escaped partitions are plain."""
     wide = 5 if r.u(2) == 1 else 4
     parts = 1 << r.u(4)
-    out: list[int] = []
+    out: list[np.ndarray] = []
     for i in range(parts):
         n = size // parts - (order if i == 0 else 0)
+        if n < 0:
+            raise ValueError("a partition shorter than the warm-up")
         k = r.u(wide)
         if k == (1 << wide) - 1:
             w = r.u(5)
-            out += r.fixed(n, w).tolist() if w else [0] * n
+            out.append(r.fixed(n, w) if w else np.zeros(n, np.int64))
         else:
-            for _ in range(n):
-                v = r.unary() << k | r.u(k)
-                out.append(v >> 1 ^ -(v & 1))
-    return out
+            out.append(r.rice(n, k))
+    return np.concatenate(out)
 
 
 def subframe(r: Bits, size: int, width: int) -> np.ndarray:
@@ -153,15 +174,18 @@ def subframe(r: Bits, size: int, width: int) -> np.ndarray:
         x = r.fixed(size, width)
     else:
         order = kind & 7 if kind & 0x38 == 8 else (kind & 31) + 1
-        y = r.fixed(order, width).tolist() if order else []
+        start = r.fixed(order, width) if order else np.zeros(0, np.int64)
         if kind & 0x20:
             bits, shift = r.u(4) + 1, r.s(5)
-            c = r.fixed(order, bits).tolist()
-        else:
-            c, shift = FIXED[order], 0
-        for d in residuals(r, size, order):
-            y.append(d + (sum(a * b for a, b in zip(c, y[: -order - 1 : -1])) >> shift))
-        x = np.array(y, np.int64)
+            c, y = r.fixed(order, bits).tolist(), start.tolist()
+            for d in residuals(r, size, order).tolist():
+                y.append(d + (sum(map(operator.mul, c, y[: -order - 1 : -1])) >> shift))
+            x = np.array(y, np.int64)
+        else:  # a fixed predictor's differences are summed as often as its order
+            x = residuals(r, size, order)
+            for j in range(order - 1, -1, -1):
+                x = np.diff(start, j)[-1] + np.cumsum(x)
+            x = np.concatenate([start, x])
     return x << wasted
 
 
@@ -201,28 +225,28 @@ def decode_frame(b: bytes, width: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def flac_pcm(files: DataFrame) -> DataFrame:
-    """(stream_id, frame_no, left, right) of native FLAC files."""
+    """(stream_id, frame_no, left, right) of native FLAC files, decoded once: the sizes of frames are in their headers.
+
+    A frame begins where the sound ones before it end. One that is sound but can't be decoded leaves a gap.
+    """
     spark = ready(files.sparkSession)
-    info = containers.flac_stream_info(files).select("path", "bits", "block_max")
-    frames = containers.parsed(files, flac_frames, "offset bigint, number bigint, frame binary")
-    frames = frames.join(info, "path").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "path", "offset")
+    info = containers.flac_stream_info(files).select("path", "bits")
+    frames = containers.parsed(files, flac_frames, "offset bigint, number bigint, n bigint, frame binary")
+    before = Window.partitionBy("path").orderBy("offset").rowsBetween(Window.unboundedPreceding, -1)
+    starts = frames.select("path", "offset", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))  # no bytes are sorted
+    frames = frames.select("path", "offset", "frame").join(info, "path").join(starts, ["path", "offset"]).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "path", "offset")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for path, offset, b, bits in zip(*(batch.column(c).to_pylist() for c in ("path", "offset", "frame", "bits"))):
+            for path, start, b, bits in zip(*(batch.column(c).to_pylist() for c in ("path", "start", "frame", "bits"))):
                 try:
                     left, right = decode_frame(b, bits)
                 except (ValueError, IndexError):
                     continue
-                n = len(left)
-                yield pa.RecordBatch.from_arrays([pa.array([path] * n), pa.array([offset] * n, pa.int64()), pa.array(range(n), pa.int32()), pa.array(left.astype(np.int32)), pa.array(right.astype(np.int32))], names=["path", "offset", "i", "left", "right"])
+                numbers = np.arange(start, start + len(left), dtype=np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array([path] * len(left)), pa.array(numbers), pa.array(left.astype(np.int32)), pa.array(right.astype(np.int32))], names=["stream_id", "frame_no", "left", "right"])
 
-    rows = frames.mapInArrow(run, "path string, offset long, i int, left int, right int")
-    # a frame begins where those before it end: sizes per frame are summed, not samples ranked
-    sizes = rows.groupBy("path", "offset").agg(F.count("*").alias("n"))
-    before = Window.partitionBy("path").orderBy("offset").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sizes.withColumn("start", F.coalesce(F.sum("n").over(before), F.lit(0))).drop("n")
-    return rows.join(starts, ["path", "offset"]).select(F.col("path").alias("stream_id"), (F.col("start") + F.col("i")).alias("frame_no"), "left", "right")
+    return frames.mapInArrow(run, "stream_id string, frame_no long, left int, right int")
 
 
 def max_frame_size(codec):

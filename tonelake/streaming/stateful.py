@@ -13,6 +13,7 @@ from collections.abc import Iterator
 from typing import TYPE_CHECKING
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tonelake.plans.settings import Envelope, Settings
@@ -280,3 +281,60 @@ def stalls(arrivals: DataFrame, after_ms: int = 2000, lost: int = 5) -> DataFram
         yield pd.DataFrame(out, columns=["stream_id", "event", "count"])
 
     return arrivals.groupBy("stream_id").applyInPandasWithState(run, "stream_id string, event string, count int", JSON, "append", GroupStateTimeout.ProcessingTimeTimeout)
+
+
+def event_queue(events: DataFrame, limit: int = 1000, drain: int = 100, every_ms: int | None = None) -> DataFrame:
+    """(stream_id, seq, e, s, dropped) of (stream_id, seq, e, s): a bounded queue per stream, drained ``drain`` a trigger.
+
+    Events join in the order of ``seq``; once ``limit`` wait the newest are dropped, and ``dropped`` says how many were up
+    to the event's own turn to leave. State is the waiting events, ``limit`` at most. With ``every_ms`` the queue is drained on without arrivals.
+    """
+    ready(events.sparkSession)
+
+    def run(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        import pandas as pd
+
+        s = _load(state, {"waiting": [], "dropped": 0})
+        came = sorted((list(r) for part in parts for r in part[["seq", "e", "s"]].itertuples(index=False)), key=lambda r: r[0])
+        room = limit - len(s["waiting"])
+        s["waiting"] += [[int(n), None if pd.isna(e) else int(e), t] for n, e, t in came[:room]]
+        s["dropped"] += max(0, len(came) - room)
+        out, s["waiting"] = s["waiting"][:drain], s["waiting"][drain:]
+        state.update((json.dumps(s),))
+        if every_ms and s["waiting"]:
+            state.setTimeoutDuration(every_ms)
+        yield pd.DataFrame([(key[0], *r, s["dropped"]) for r in out], columns=["stream_id", "seq", "e", "s", "dropped"])
+
+    timeout = GroupStateTimeout.ProcessingTimeTimeout if every_ms else GroupStateTimeout.NoTimeout
+    return events.groupBy("stream_id").applyInPandasWithState(run, "stream_id string, seq long, e int, s string, dropped long", JSON, "append", timeout)
+
+
+def lyrics_due(positions: DataFrame, lines: DataFrame) -> DataFrame:
+    """(stream_id, line_no, ts_ms, text, block_no) of (stream_id, block_no, time_ms, seek): each line with the first block whose
+    time is strictly past the line's, as in batch, whatever the triggers.
+
+    ``lines`` (stream_id, line_no, ts_ms, text) is a table: a song's lines are few and joined as one array. State is the
+    number of lines shown and the last block seen. A position with ``seek`` moves back, or on, to the last line at or before
+    it, from which lines are due again. Positions come in the order of block_no within a stream, across triggers.
+    """
+    ready(positions.sparkSession)
+    of = lines.groupBy("stream_id").agg(F.array_sort(F.collect_list(F.struct(F.col("ts_ms").cast("long").alias("ts_ms"), F.col("line_no").cast("int").alias("line_no"), "text"))).alias("lines"))
+    rows = positions.select("stream_id", F.col("block_no").cast("long").alias("block_no"), F.col("time_ms").cast("long").alias("time_ms"), F.col("seek").cast("boolean").alias("seek")).join(of, "stream_id")
+
+    def run(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        import pandas as pd
+
+        s, out = _load(state, {"next": 0}), []
+        came = [r for part in parts for r in part.itertuples(index=False)]
+        for r in sorted(came, key=lambda r: r.block_no):
+            song = r.lines
+            if r.seek:
+                s["next"] = max(0, sum(x["ts_ms"] <= r.time_ms for x in song) - 1)
+            while s["next"] < len(song) and song[s["next"]]["ts_ms"] < r.time_ms:
+                x = song[s["next"]]
+                out.append((key[0], x["line_no"], x["ts_ms"], x["text"], r.block_no))
+                s["next"] += 1
+        state.update((json.dumps(s),))
+        yield pd.DataFrame(out, columns=["stream_id", "line_no", "ts_ms", "text", "block_no"])
+
+    return rows.groupBy("stream_id").applyInPandasWithState(run, "stream_id string, line_no int, ts_ms long, text string, block_no long", JSON, "append", GroupStateTimeout.NoTimeout)
