@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 from collections.abc import Callable, Iterable, Iterator
 
@@ -69,10 +70,26 @@ def sliced(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield batch.slice(i, step)
 
 
+def _give_back() -> None:
+    """Returns what a task freed to the system: workers are reused, and would hold their largest task's memory for the next."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not glibc
+        pass
+
+
 def in_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
     """mapInArrow whose function gets small slices; Spark bounds the batches themselves by rows and bytes."""
     ready(df.sparkSession)
-    return df.mapInArrow(lambda batches: fn(sliced(batches)), schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from fn(sliced(batches))
+        finally:
+            _give_back()
+
+    return df.mapInArrow(run, schema)
 
 
 def unused(columns: Iterable[str], *names: str) -> list[str]:
