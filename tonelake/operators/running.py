@@ -14,7 +14,8 @@ def running_sums(rows: DataFrame, sums: dict[str, str], order: str, key: str = "
     """Adds for each (name: column) the sum up to and including the row, in ``order`` (a number) within ``key``.
 
     A stream is cut into chunks by that number. Chunks are summed, their sums added up (a row per chunk), and each chunk
-    goes on from what came before it, so a long stream spreads over tasks. The rows are shuffled once.
+    goes on from what came before it, so a long stream spreads over tasks. The rows are read twice, for the sums of chunks
+    (which shrink before they are shuffled) and for themselves, and shuffled once.
     """
     rows = rows.withColumn("_chunk", F.expr(f"{order} div {chunk or CHUNK}"))
     before = Window.partitionBy(key).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
