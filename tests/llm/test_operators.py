@@ -148,7 +148,7 @@ def spark_hash(*values, seed=42):
 
 
 def tokens_of(text):
-    out, cut = [], set("aeiou0123456789" + "".join(c for c in map(chr, range(33, 127)) if not c.isalnum()))
+    out, cut = [], set("bdfhjlnprtvxz0123456789" + "".join(c for c in map(chr, range(33, 127)) if not c.isalnum()))
     for word in re.findall(r"[^\x20\x09-\x0D]+", text.lower()):
         if len(word) <= 16:
             out.append(word)
@@ -156,7 +156,7 @@ def tokens_of(text):
         piece = ""
         for c in word:
             piece += c
-            if c in cut or ord(c) > 127:
+            if c in cut or ord(c) > 127 or len(piece) == 32:
                 out.append(piece)
                 piece = ""
         out += [piece] * bool(piece)
@@ -223,11 +223,13 @@ def test_a_change_in_a_text_without_spaces_stays_local(spark):
     rng = random.Random(6)
     chinese = "".join(chr(rng.randrange(0x4E00, 0x9000)) for _ in range(4000))
     code = "".join(rng.choice("abcdefghijklmnopqrstuvwxyzABCDEFGH0123456789+/") for _ in range(4000))
-    rows = [(i, t) for i, t in enumerate([chinese, "新" + chinese, chinese[:900] + "新" + chinese[900:], code, "q" + code])]
+    consonants = "".join(rng.choice("bcdfghjklmnpqrstvwxyz") for _ in range(4000))
+    rows = [(i, t) for i, t in enumerate([chinese, "新" + chinese, chinese[:900] + "新" + chinese[900:], code, "q" + code, consonants, "q" + consonants, "b" + consonants[:2000] + "m" + consonants[2000:]])]
     sketches = fingerprints.with_sketches(spark.createDataFrame(rows, "doc_id long, text string"), {"text": "sketch"}).collect()
     by = {r.doc_id: [(x["hash"], x["place"]) for x in r.sketch] for r in sketches}
     assert all(len(s) == fingerprints.KEEP for s in by.values())
     assert likeness_of(by[0], by[1]) > 0.9 and likeness_of(by[0], by[2]) > 0.9 and likeness_of(by[3], by[4]) > 0.9 and likeness_of(by[0], by[3]) == 0
+    assert likeness_of(by[5], by[6]) > 0.9 and likeness_of(by[5], by[7]) > 0.9 and likeness_of(by[3], by[5]) < 0.1
 
 
 def test_syncmer_rule_and_positions(spark):

@@ -1,8 +1,9 @@
 """Document fingerprints from closed syncmers, in DataFrame functions alone.
 
 The alphabet is tokens of the lower-cased text. A word of up to 16 code points is one. A longer run without white space is
-cut where its content says: after each vowel, digit, mark and character beyond ASCII, so that Chinese, Japanese or Thai
-go by character, and a change shifts no cut but its own. An s-mer is ``S`` tokens in a row, a k-mer ``K``. A k-mer is
+cut where its content says: after each digit, mark, character beyond ASCII and letter of even code, half of them, so that
+Chinese, Japanese or Thai go by character, and a change shifts no cut but its own; 32 of the other letters in a row are
+one token too, so that one letter repeated goes by 32. An s-mer is ``S`` tokens in a row, a k-mer ``K``. A k-mer is
 a closed syncmer, an anchor, when the smallest hash of its inner s-mers is that of its first or last one. Whether it is
 depends on its own tokens only, so that a copied passage keeps its anchors wherever it lands.
 
@@ -27,8 +28,8 @@ from tonelake.llm.common import partitions, table
 
 K, S, KEEP, SLACK = 6, 2, 64, 16
 _SPACE = r"\x20\x09-\x0D"
-_CUT = r"aeiou0-9!-/:-@\[-`{-~\x{80}-\x{10FFFF}"
-TOKEN = rf"(?<![^{_SPACE}])[^{_SPACE}]{{1,16}}(?![^{_SPACE}])|[^{_SPACE}{_CUT}]*[{_CUT}]|[^{_SPACE}{_CUT}]+"
+_CUT = "".join(c for c in map(chr, range(ord("a"), ord("z") + 1)) if ord(c) % 2 == 0) + r"0-9!-/:-@\[-`{-~\x{80}-\x{10FFFF}"
+TOKEN = rf"(?<![^{_SPACE}])[^{_SPACE}]{{1,16}}(?![^{_SPACE}])|[^{_SPACE}{_CUT}]{{0,31}}[{_CUT}]|[^{_SPACE}{_CUT}]{{1,32}}"
 LEAST = -(2**63)
 #: Bytes of text in a run of documents, of which there are eight to a partition at least.
 RUN_BYTES = 256 << 20
