@@ -28,6 +28,31 @@ def test_queue_by_chunks_equals_the_model(spark, limit, drain):
     assert [(r.taken, r.dropped, r.drained, r.waiting) for r in got] == [x for s in "ab" for x in model(arrivals[s], limit, drain)]
 
 
+@pytest.mark.parametrize("limit, drain, chunk", [(10, 3, 40), (1, 1, 7), (1000, 0, 5000), (7, 20, None), (50, 1, None)])
+def test_queue_over_ticks_without_rows_equals_the_model(spark, limit, drain, chunk):
+    rng = random.Random(limit)
+    last = 9000  # gaps beyond a block of ticks as well
+    arrivals = {s: {rng.randrange(span): rng.choice([1, 2, 5, 30]) for _ in range(80)} for s, span in (("a", 200), ("b", 9001), ("c", 4100))} | {"d": {}}
+    rows = [(s, t, a) for s, of in arrivals.items() for t, a in of.items()] + [("d", None, 1), ("d", -3, 1), ("d", last + 1, 1), ("a", 5, None)]
+    made = queueing.queued_throughout(spark.createDataFrame(rows, "stream_id string, tick long, arrivals int").repartition(3), last, limit, drain, chunk)
+    got = made.orderBy("stream_id", "tick").collect()
+    full = {s: [of.get(t, 0) for t in range(last + 1)] for s, of in arrivals.items()}
+    assert [(r.stream_id, r.tick, r.arrivals) for r in got] == [(s, t, a) for s, of in full.items() for t, a in enumerate(of)]
+    assert [(r.taken, r.dropped, r.drained, r.waiting) for r in got] == [x for of in full.values() for x in model(of, limit, drain)]
+
+
+def test_bounded_queue_makes_no_row_of_a_tick_before_the_queue_has_run(spark, sf_dir):
+    """Python and its shuffles get a row per event and stream; ticks between are added behind them."""
+    from tonelake.plans import catalog
+
+    shape = catalog.QUERIES["H4_bounded_queue"](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate" in shape and shape.rindex("Generate") < shape.index("CoGroup")
+
+
+def test_queue_without_ticks(spark):
+    assert queueing.queued_throughout(spark.createDataFrame([("a", None, None)], "stream_id string, tick long, arrivals int"), -1).count() == 0
+
+
 def test_queue_over_triggers(spark, tmp_path):
     batches = [[("s", i, 13, f"e{i}") for i in range(7)], [("s", i, 13, f"e{i}") for i in range(7, 8)], [("s", i, None, None) for i in range(8, 20)], [("t", 0, 1, "x")]]
     got = run_stream(spark, tmp_path, "queue", batches, "stream_id string, seq long, e int, s string", lambda s: stateful.event_queue(s, 5, 2))
