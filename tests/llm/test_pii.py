@@ -129,3 +129,12 @@ def test_empty_and_repeated(spark):
         spark.createDataFrame(of, "doc_id long, text string").write.parquet(f"{path}/documents.parquet")
         got = pii.op13_pii(spark, path).collect()
         assert sorted((str(r.doc_id), r.spans) for r in got) == sorted((str(i), text_of(base(t))) for i, t in of)
+
+
+def test_rare_combinations_count_in_fit_and_thresholds(spark):
+    """100 held-out proposals, each of features of its own, beside 60,000 combinations that are more frequent."""
+    features = {n: F.lit(0) for n in pii.FEATURES} | {"digits": (F.col("id") % 300).cast("int"), "long": F.floor(F.col("id") / 300).cast("int")}
+    rows = spark.range(60_100).withColumn("_held", F.col("id") >= 60_000).withColumn("y", F.lit(1)).withColumn("kind", F.lit(2))
+    proposal = F.struct(F.struct(F.lit(0).alias("start"), F.lit(5).alias("stop"), "kind", *[v.alias(n) for n, v in features.items()], "y").alias("c"), F.lit(True).alias("free"))
+    cands = rows.select("_held", F.when(F.col("_held"), F.array(proposal)).otherwise(F.array_repeat(proposal, 2)).alias("_loose"))
+    assert set(pii.fit(cands).least) == {2}

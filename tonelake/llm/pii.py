@@ -8,7 +8,7 @@ What a validator says of a proposal is its label: Luhn's check for cards; a plus
 zeros at its start, for phones; parts up to 255 and no word for a version before it for IPs; a known end of the domain for
 addresses. The trees don't see the validators, only format (digits, groups, separators, first digit, last group, length) and
 context (characters on either side, words before), so they learn which formats and contexts hold what validates. Proposals
-of all documents are counted by features and label; the ``fit_rows`` most frequent combinations are what trees are fit on:
+of all documents are counted by features and label, and trees are fit on all of these combinations, however rare:
 boosting by the logistic loss on histograms, a job per level of a tree, in whole numbers so that reruns agree. Each kind's
 threshold is the lowest one at which held-out proposals (a fifth of the documents) reach ``precision``; a kind with
 fewer than ``LEAST_HELD`` of them has none. Proposals from the threshold on that overlap no base span are added.
@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from tonelake.llm.common import table, unused, written
 
 KINDS = ("email", "ip", "card", "phone")
-FIT_ROWS, ROUNDS, DEPTH, RATE, PRECISION, LEAST_HELD = 50_000, 8, 3, 0.6, 0.95, 20
+ROUNDS, DEPTH, RATE, PRECISION, LEAST_HELD = 8, 3, 0.6, 0.95, 20
 #: Matches whose running sum is taken anew.
 BLOCK = 64
 _LOCAL, _LABEL = "[A-Za-z0-9._%+-]", "[A-Za-z0-9-]"
@@ -238,10 +238,10 @@ def _tree(rows: DataFrame, model: Model) -> tuple[dict, dict]:
     return splits, values
 
 
-def fit(cands: DataFrame, fit_rows: int = FIT_ROWS, precision: float = PRECISION) -> Model:
+def fit(cands: DataFrame, precision: float = PRECISION) -> Model:
     """Trees and thresholds from a written table of candidates."""
     one = cands.select("_held", F.explode("_loose").alias("l")).select("_held", *[F.col(f"l.c.{n}").alias(n) for n in (*NAMES, "y")])
-    combined = one.groupBy("_held", *NAMES, "y").agg(F.count("*").alias("w")).orderBy(F.desc("w"), "_held", *NAMES, "y").limit(fit_rows)
+    combined = one.groupBy("_held", *NAMES, "y").agg(F.count("*").alias("w"))
     rows, _ = written(combined, "proposals")
     model = Model([], {})
     for _ in range(ROUNDS):
