@@ -186,3 +186,22 @@ def test_flac_header_inside_a_frame(spark):
     frames = [fixtures.flac_frame(k, own, own, "verbatim", 1) for k, own in enumerate((x, [9] * 40, x))]
     got = decoders.flac_pcm(table(spark, {"f": fixtures.flac(frames, 120, [])})).orderBy("frame_no").collect()
     assert [r.left >> 16 for r in got] == x + [9] * 40 + x
+
+
+def test_parsers_hold_few_files_at_a_time(spark):
+    """Rows of the first files come out before the last of an Arrow batch is looked at, and files are made in small batches."""
+    from tonelake.plans.table_media import built
+
+    made = built(spark.range(0, 1000, 1, 1).selectExpr("CAST(id AS STRING) AS path", "id"), lambda k: bytes(k % 7))
+    sizes = made.mapInArrow(sized, "n long").collect()
+    assert max(r.n for r in sizes) <= 128 and sum(r.n for r in sizes) == 1000
+    whole = spark.range(0, 1000, 1, 1).selectExpr("CAST(id AS STRING) AS path", "CAST('x' AS BINARY) AS content")
+    rows = containers.parsed(whole, lambda b: iter([(1,)]), "n int").mapInArrow(sized, "n long").collect()
+    assert max(r.n for r in rows) <= 128 and sum(r.n for r in rows) == 1000
+
+
+def sized(batches):
+    import pyarrow as pa
+
+    for batch in batches:
+        yield pa.RecordBatch.from_pydict({"n": pa.array([len(batch)], pa.int64())})

@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-import ctypes
 import gc
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Iterable
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-from tonelake.session import fresh_path, ready, shared_dir
+from tonelake.session import fresh_path, in_arrow, shared_dir  # noqa: F401
 
 #: What separates words: space and the ASCII controls tab, line feed, vertical tab, form feed, carriage return.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -57,41 +55,6 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-#: Rows and bytes of a batch that a function gets at a time, one row at least.
-BATCH_ROWS, BATCH_BYTES = 128, 16 << 20
-
-
-def sliced(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The batches in slices of few rows and bytes, since texts can be very long."""
-    for batch in batches:
-        size = batch.nbytes / max(1, len(batch))
-        step = max(1, min(BATCH_ROWS, int(BATCH_BYTES / max(1.0, size))))
-        for i in range(0, len(batch), step):
-            yield batch.slice(i, step)
-
-
-def _give_back() -> None:
-    """Returns what a task freed to the system: workers are reused, and would hold their largest task's memory for the next."""
-    pa.default_memory_pool().release_unused()
-    try:
-        ctypes.CDLL(None).malloc_trim(0)
-    except (AttributeError, OSError):  # not glibc
-        pass
-
-
-def in_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
-    """mapInArrow whose function gets small slices; Spark bounds the batches themselves by rows and bytes."""
-    ready(df.sparkSession)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        try:
-            yield from fn(sliced(batches))
-        finally:
-            _give_back()
-
-    return df.mapInArrow(run, schema)
-
-
 def unused(columns: Iterable[str], *names: str) -> list[str]:
     """The names, lengthened where a column already has one; Spark's names ignore case."""
     taken, out = {c.lower() for c in columns}, []

@@ -16,7 +16,7 @@ from tonelake.operators import running
 from tonelake.plans import fixtures
 from tonelake.plans.bindings import sample, table
 from tonelake.plans.stream_queries import from_rows, from_table, run
-from tonelake.session import ready
+from tonelake.session import in_arrow
 from tonelake.sources import containers, decoders, dispatch, files, web
 from tonelake.streaming import stateful
 
@@ -34,7 +34,6 @@ def query(name: str, sql: str):
 
 def built(rows: DataFrame, build: Callable[..., bytes], key: str = "path") -> DataFrame:
     """(key, content): a file per row, written by ``build`` of the row's other columns."""
-    ready(rows.sparkSession)
     names = [c for c in rows.columns if c != key]
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -42,7 +41,7 @@ def built(rows: DataFrame, build: Callable[..., bytes], key: str = "path") -> Da
             made = [build(*v) for v in zip(*(batch.column(n).to_pylist() for n in names))]
             yield pa.RecordBatch.from_arrays([batch.column(key), pa.array(made, pa.binary())], [key, "content"])
 
-    return rows.mapInArrow(write, f"{key} string, content binary")
+    return in_arrow(rows, write, f"{key} string, content binary")
 
 
 def customers(spark: SparkSession, d: str, build: Callable[[int, str, str], bytes], key: str = "path") -> DataFrame:

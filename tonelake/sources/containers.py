@@ -17,12 +17,11 @@ from pyspark.sql import types as T
 
 from tonelake.functions import text
 from tonelake.operators import lookups
-from tonelake.session import ready
+from tonelake.session import in_arrow
 
 
 def parsed(files: DataFrame, parse: Callable[[bytes], Iterator[tuple]], schema: str, key: str = "path") -> DataFrame:
     """(key, rows of ``parse``) of (key, content); a file that breaks off gives the rows up to there."""
-    ready(files.sparkSession)
     own = T.StructType.fromDDL(schema)
     out = T.StructType([files.schema[key], *own.fields])
     arrow = pa.schema([(f.name, _arrow(f.dataType)) for f in out.fields])
@@ -42,7 +41,7 @@ def parsed(files: DataFrame, parse: Callable[[bytes], Iterator[tuple]], schema:
             if rows:
                 yield _batch(rows, arrow)
 
-    return files.select(key, "content").mapInArrow(run, out)
+    return in_arrow(files.select(key, "content"), run, out)
 
 
 def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
