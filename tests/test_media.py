@@ -189,19 +189,31 @@ def test_flac_header_inside_a_frame(spark):
 
 
 def test_parsers_hold_few_files_at_a_time(spark):
-    """Rows of the first files come out before the last of an Arrow batch is looked at, and files are made in small batches."""
+    """A batch of 1,000 files is made and parsed in slices."""
+    import pyarrow as pa
+
     from tonelake.plans.table_media import built
 
-    made = built(spark.range(0, 1000, 1, 1).selectExpr("CAST(id AS STRING) AS path", "id"), lambda k: bytes(k % 7))
-    sizes = made.mapInArrow(sized, "n long").collect()
-    assert max(r.n for r in sizes) <= 128 and sum(r.n for r in sizes) == 1000
-    whole = spark.range(0, 1000, 1, 1).selectExpr("CAST(id AS STRING) AS path", "CAST('x' AS BINARY) AS content")
-    rows = containers.parsed(whole, lambda b: iter([(1,)]), "n int").mapInArrow(sized, "n long").collect()
-    assert max(r.n for r in rows) <= 128 and sum(r.n for r in rows) == 1000
+    class Caught:  # gives the function itself
+        sparkSession, columns, schema = spark, ["path", "k"], spark.createDataFrame([], "path string, k long").schema
 
+        def select(self, *_):
+            return self
+
+        def mapInArrow(self, run, schema):
+            return run
+
+    keys = pa.array([str(i) for i in range(1000)])
+    made = list(built(Caught(), lambda k: bytes(k % 7))(iter([pa.RecordBatch.from_arrays([keys, pa.array(range(1000))], ["path", "k"])])))
+    rows = list(containers.parsed(Caught(), lambda b: iter([(1,)]), "n int")(iter([pa.RecordBatch.from_arrays([keys, pa.array([b"x"] * 1000)], ["path", "content"])])))
+    for of in (made, rows):
+        assert max(map(len, of)) <= 128 and sum(map(len, of)) == 1000
 
-def sized(batches):
-    import pyarrow as pa
 
-    for batch in batches:
-        yield pa.RecordBatch.from_pydict({"n": pa.array([len(batch)], pa.int64())})
+@pytest.mark.parametrize("read", [containers.m4a_info, containers.m4a_tags, containers.m4a_sample_sizes, containers.mp3_info])
+def test_whole_files_are_neither_shuffled_nor_joined(spark, read):
+    """Each file is read once, and what leaves a parser is small; without sample sizes there are no samples."""
+    made = table(spark, {"m": fixtures.m4a(), "p": fixtures.mp3(3), "cut": fixtures.m4a()[:40]})
+    plan = read(made)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInArrow") == 1 and "content" not in plan.split("MapInArrow")[0]
+    assert read(made).count() > 0

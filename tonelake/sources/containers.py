@@ -6,6 +6,7 @@ batches and does the rest: labels, sums, joins. Fields at fixed places are read
 
 from __future__ import annotations
 
+import re
 import struct
 import zlib
 from collections.abc import Callable, Iterator
@@ -335,29 +336,46 @@ def m4a_atoms(files: DataFrame) -> DataFrame:
     return parsed(files, atoms, "atom_path string, atom string, offset bigint, size bigint")
 
 
+def m4a_heads(b: bytes) -> Iterator[tuple[bytes | None, str | None, int | None, int | None]]:
+    """(what the media header begins with, codec, offset and size of the data) of a file that has an atom."""
+    seen, media, codecs, data, sizes = False, [], [], [], []
+    try:
+        for where, name, at, n in atoms(b):
+            seen = True
+            if name == "mdhd":
+                media.append(at)
+            elif name == "mdat":
+                data, sizes = [min([at, *data])], [min([n, *sizes])]
+            if re.search("/stsd/[^/]+$", where):
+                codecs.append(name)
+    except (IndexError, struct.error):
+        pass
+    if seen:
+        yield b[min(media) : min(media) + 32] if media else None, min(codecs, default=None), min(data, default=None), min(sizes, default=None)
+
+
 def m4a_info(files: DataFrame) -> DataFrame:
     """(path, timescale, duration, codec, valid, data_start, data_size): valid if the sample description is AAC."""
     from tonelake.sources.files import be
 
-    rows = m4a_atoms(files)
+    df = parsed(files, m4a_heads, "m binary, codec string, data_start bigint, data_size bigint")
+    wide = be(F.col("m"), 0, 1) == 1
+    scale = F.when(wide, be(F.col("m"), 20, 4)).otherwise(be(F.col("m"), 12, 4))
+    length = F.when(wide, be(F.col("m"), 25, 7)).otherwise(be(F.col("m"), 16, 4))
+    return df.select("path", scale.alias("timescale"), F.try_divide(length, scale).alias("duration"), "codec", (F.col("codec") == "mp4a").alias("valid"), "data_start", "data_size")
 
-    def first(name: str, col: str) -> Column:
-        return F.min(F.when(F.col("atom") == name, F.col(col)))
 
-    entry = F.when(F.regexp_like("atom_path", F.lit("/stsd/[^/]+$")), F.col("atom"))
-    at = rows.groupBy("path").agg(first("mdhd", "offset").alias("m"), F.min(entry).alias("codec"), first("mdat", "offset").alias("data_start"), first("mdat", "size").alias("data_size"))
-    df = files.join(at, "path")
-    c, wide = F.col("content"), be(F.col("content"), F.col("m"), 1) == 1
-    scale = F.when(wide, be(c, F.col("m") + 20, 4)).otherwise(be(c, F.col("m") + 12, 4))
-    length = F.when(wide, be(c, F.col("m") + 25, 7)).otherwise(be(c, F.col("m") + 16, 4))
-    return df.select("path", scale.alias("timescale"), F.try_divide(length, scale).alias("duration"), "codec", (F.col("codec") == "mp4a").alias("valid"), "data_start", "data_size")
+def m4a_values(b: bytes) -> Iterator[tuple[str, bytes, bytes]]:
+    """(atom, head, value) of iTunes metadata without pictures."""
+    for where, _, at, n in atoms(b):
+        m = re.search("/ilst/([^/]+)/data$", where)
+        if m and m[1] != "covr":
+            yield m[1], b[at : at + 8], b[at + 8 : at + max(n, 8)]
 
 
 def m4a_tags(files: DataFrame) -> DataFrame:
     """(path, atom, label, value) of iTunes metadata; numbers of tracks, disks and flags as text; pictures are left to ``m4a_cover``."""
-    rows = m4a_atoms(files)
-    data = rows.where(F.regexp_like("atom_path", F.lit("/ilst/[^/]+/data$"))).withColumn("atom", F.regexp_extract("atom_path", "/ilst/([^/]+)/data$", 1)).where("atom != 'covr'")
-    body = files.join(data, "path").select("path", "atom", F.expr("substring(content, CAST(offset AS INT) + 1, 8)").alias("h"), F.expr("substring(content, CAST(offset AS INT) + 9, CAST(size AS INT) - 8)").alias("v"))
+    body = parsed(files, m4a_values, "atom string, h binary, v binary")
     kind = text.big_endian(F.substring("h", 2, 3))
     number = F.when(F.col("atom").isin("trkn", "disk"), F.concat(text.big_endian(F.substring("v", 3, 2)).cast("string"), F.lit("/"), text.big_endian(F.substring("v", 5, 2)).cast("string"))).otherwise(text.big_endian(F.substring("v", 1, 4)).cast("string"))
     shown = body.select("path", "atom", F.when(kind == 1, F.decode("v", "UTF-8")).otherwise(number).alias("value"))
@@ -370,16 +388,18 @@ def m4a_cover(files: DataFrame) -> DataFrame:
     return rows.groupBy("path").agg(F.min(F.struct("offset", "size")).alias("m")).select("path", (F.col("m.offset") + 8).alias("pos"), (F.col("m.size") - 8).alias("len"))
 
 
+def m4a_sizes(b: bytes) -> Iterator[tuple[int, int]]:
+    """(sample_no, size) of the sample-size table."""
+    for _, name, at, _ in atoms(b):
+        if name == "stsz":
+            same, n = _u(b, at + 4, 4), _u(b, at + 8, 4)
+            for i in range(n):
+                yield i, same or _u(b, at + 12 + i * 4, 4)
+
+
 def m4a_sample_sizes(files: DataFrame) -> DataFrame:
     """(stream_id, sample_no, size) of the sample-size table."""
-    from tonelake.sources.files import be
-
-    at = m4a_atoms(files).where("atom = 'stsz'").select("path", "offset")
-    df = files.join(at, "path")
-    o = F.col("offset")
-    same, n = be(F.col("content"), o + 4, 4), be(F.col("content"), o + 8, 4)
-    rows = df.select("path", "content", "offset", same.alias("same"), F.explode(F.sequence(F.lit(0).cast("bigint"), n - 1)).alias("sample_no"))
-    return rows.select(F.col("path").alias("stream_id"), "sample_no", F.when(F.col("same") > 0, F.col("same")).otherwise(be(F.col("content"), F.col("offset") + 12 + F.col("sample_no") * 4, 4)).alias("size"))
+    return parsed(files, m4a_sizes, "sample_no bigint, size bigint").withColumnRenamed("path", "stream_id")
 
 
 # MPEG audio bit rates in kb/s (layer III, MPEG-1 and then 2) and sample rates of MPEG-1.
@@ -421,16 +441,25 @@ def mp3_frame_rows(files: DataFrame) -> DataFrame:
     return parsed(files, mp3_frames, "offset bigint, size int, sample_rate int, bitrate int, samples int")
 
 
+def mp3_sums(b: bytes) -> Iterator[tuple[int, int, int, int, int, bytes]]:
+    """(frames, bytes, samples, highest rate, most samples of a frame, what the first frame begins with) of a file that has frames."""
+    n = size = samples = rate = per = first = 0
+    for at, own, r, _, s in mp3_frames(b):
+        first = at if n == 0 else first
+        n, size, samples, rate, per = n + 1, size + own, samples + s, max(rate, r), max(per, s)
+    if n:
+        yield n, size, samples, rate, per, b[first : first + 80]
+
+
 def mp3_info(files: DataFrame) -> DataFrame:
     """(path, frames, sample_rate, duration, bitrate): from a Xing or Info header's frame count, else by summing frames."""
     from tonelake.sources.files import be
 
-    rows = mp3_frame_rows(files)
-    sums = rows.groupBy("path").agg(F.count("*").alias("frames"), F.sum("size").alias("bytes"), F.sum("samples").alias("samples"), F.min("offset").alias("first"), F.max("sample_rate").alias("sample_rate"), F.max("samples").alias("per"))
-    head = F.decode(F.expr("substring(content, CAST(first AS INT) + 1, 64)"), "ISO-8859-1")
-    df = files.join(sums, "path").withColumn("_x", F.greatest(text.index_of(head, "Xing"), text.index_of(head, "Info")))
-    flagged = (F.col("_x") >= 0) & (be(F.col("content"), F.col("first") + F.col("_x") + 4, 4).bitwiseAND(F.lit(1)) == 1)
-    told = F.when(flagged, be(F.col("content"), F.col("first") + F.col("_x") + 8, 4))
+    df = parsed(files, mp3_sums, "frames bigint, bytes bigint, samples bigint, sample_rate int, per int, head binary")
+    head = F.decode(F.substring("head", 1, 64), "ISO-8859-1")
+    df = df.withColumn("_x", F.greatest(text.index_of(head, "Xing"), text.index_of(head, "Info")))
+    flagged = (F.col("_x") >= 0) & (be(F.col("head"), F.col("_x") + 4, 4).bitwiseAND(F.lit(1)) == 1)
+    told = F.when(flagged, be(F.col("head"), F.col("_x") + 8, 4))
     df = df.withColumn("duration", F.coalesce(told * F.col("per"), F.col("samples")) / F.col("sample_rate"))
     return df.select("path", F.coalesce(told, F.col("frames")).alias("frames"), "sample_rate", "duration", F.expr("bytes * 8 * sample_rate div samples").alias("bitrate"))
 
