@@ -3,6 +3,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 from tests_support import run_stream  # noqa: I001
 from tonelake.operators import lyrics, queueing
 from tonelake.plans import profile
@@ -108,3 +109,32 @@ def test_profile_of_triggers(spark, tmp_path):
         spark.streams.removeListener(listener)
     own = [line for line in listener.lines if line[0] == "profiled_stream"]
     assert [line[1:3] for line in own] == [(2, 2), (2, 2)] and all(0 < line[3] <= line[4] for line in own)
+
+
+def test_entities_in_one_pass(spark):
+    from tonelake.functions import text
+
+    cases = {"&amp;lt;": "&lt;", "&amp;#65;": "&#65;", "&#38;amp;": "&amp;", "&l&#116;;": "&lt;", "&a&#109;p;": "&amp;", "&#65;&lt;&#0;&#55296;&#12345678;": "A<&#0;&#55296;&#12345678;", "&&gt;&#322;&#128512;": "&>ł😀", "": "", "x": "x"}
+    rows = spark.createDataFrame(list(cases.items()), "s string, want string")
+    assert [r.got for r in rows.select(text.html_to_utf8(F.col("s")).alias("got")).collect()] == list(cases.values())
+
+
+def test_entities_are_cheap(spark):
+    """In one task 60,000 texts with entities take a fraction of the 30 seconds and more that an array of pieces for each took."""
+    import time
+
+    from tonelake.functions import text
+
+    s = F.concat(F.lit("&lt;b&gt;"), F.col("id").cast("string"), F.lit("&lt;/b&gt; &amp; &#65; &nope; &"))
+    began = time.perf_counter()
+    spark.range(0, 60_000, 1, 1).select(text.html_to_utf8(s).alias("s")).write.format("noop").mode("overwrite").save()
+    assert time.perf_counter() - began < 15
+
+
+def test_titles_resolve_entities_once(spark):
+    from tonelake.operators import titles
+
+    meta = spark.createDataFrame([("a", 0, "StreamTitle='&lt;x';"), ("a", 1, None), ("a", 2, "StreamTitle='&lt;x';"), ("a", 3, "StreamTitle='y';")], "stream_id string, seq int, meta string")
+    found = titles.stream_titles(meta)
+    assert [(r.seq, r.title) for r in found.orderBy("seq").collect()] == [(0, "<x"), (3, "y")]
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("&euro;") <= 4

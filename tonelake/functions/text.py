@@ -134,15 +134,27 @@ def _each(s: Column, pattern: str, change) -> Column:
 
 
 def html_to_utf8(s: Column) -> Column:
-    """Named and decimal entities replaced in one pass, so that ``&amp;lt;`` gives ``&lt;``; unknown ones stay."""
-    names = F.create_map(*[F.lit(x) for name, c in ENTITIES for x in (f"&{name};", c)])
-    number = r"^&#(\d{1,7});$"
-
-    def change(t: Column) -> Column:
-        n = F.regexp_extract(t, number, 1).try_cast("int")
-        return F.coalesce(names[t], F.when((n > 0) & (n < 0x110000) & ~n.between(0xD800, 0xDFFF), character(F.coalesce(n, F.lit(65)))), t)
-
-    return _each(s, r"&#\d+;|&[a-zA-Z]+;|[^&]+|&", change)
+    """Named and decimal entities replaced in one pass, so that ``&amp;lt;`` gives ``&lt;``; unknown ones stay.
+
+    The text is cut before decimal ones. In what is between, names are replaced in turn: ``&amp;`` last, since only its
+    character could begin another.
+    """
+
+    def named(t: Column) -> Column:
+        for name, c in [*ENTITIES[1:], ENTITIES[0]]:
+            t = F.replace(t, F.lit(f"&{name};"), F.lit(c))
+        return t
+
+    def decimal(t: Column) -> Column:
+        end = F.locate(";", t)
+        n = F.substring(t, F.lit(3), end - 3).cast("int")
+        good = (n > 0) & (n < 0x110000) & ~n.between(0xD800, 0xDFFF)
+        c = F.when(n < 128, F.char(n)).otherwise(character(F.when(good, n).otherwise(65)))
+        return F.when(good, F.concat(c, named(F.substring(t, end + 1, F.char_length(t))))).otherwise(named(t))
+
+    begins = r"&#[0-9]{1,7};"
+    parts = F.transform(F.split(s, f"(?={begins})"), lambda t: F.when(F.regexp_like(t, F.lit(f"^{begins}")), decimal(t)).otherwise(named(t)))
+    return F.when(~F.contains(s, F.lit("&")), s).when(F.regexp_like(s, F.lit(begins)), F.array_join(parts, "")).otherwise(named(s))
 
 
 def unicode_to_utf8(s: Column) -> Column:

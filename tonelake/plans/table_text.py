@@ -328,7 +328,8 @@ def html_cases(spark, d):
     """Entities by name and decimal number; hexadecimal ones, unknown names and a bare sign stay."""
     code = (F.col("p_partkey") % 26 + 65).cast("int")
     number = F.when(F.col("p_partkey") % 2 == 0, F.concat(F.lit("&#"), code.cast("string"), F.lit(";"))).otherwise(F.concat(F.lit("&#x"), F.hex(code), F.lit(";")))
-    return table(spark, d, "part").select("p_partkey", text.html_to_utf8(F.concat(F.lit("&lt;b&gt;"), "p_name", F.lit("&lt;/b&gt; &amp; "), number, F.lit(" &nope; &"))).alias("plain"))
+    part = table(spark, d, "part").select("p_partkey", "p_name").repartition("p_partkey")
+    return part.select("p_partkey", text.html_to_utf8(F.concat(F.lit("&lt;b&gt;"), "p_name", F.lit("&lt;/b&gt; &amp; "), number, F.lit(" &nope; &"))).alias("plain"))
 
 
 @query("J4_wav_alignment", "SELECT event_id, event_id // (2 * (1 + event_id % 4)) * (2 * (1 + event_id % 4)) + 44 AS at FROM events")
