@@ -14,7 +14,11 @@ def _joined(title: Column, artist: Column) -> Column:
 
 def title(meta: Column) -> Column:
     """The title that a piece of metadata shows: quoted stream title, radio XML, grouping tag or playlist line; else null."""
-    m = text.html_to_utf8(meta)
+    return _title(text.html_to_utf8(meta))
+
+
+def _title(m: Column) -> Column:
+    """``title`` of metadata whose entities are resolved."""
 
     def within(a: str, b: str) -> Column:
         return F.regexp_extract(m, f"(?s){a}(.*?){b}", 1)
@@ -48,11 +52,17 @@ def json_result(t: Column) -> Column:
 
 
 def changes(rows: DataFrame, value: str, keys: tuple[str, ...] = ("stream_id",), order: str = "seq") -> DataFrame:
-    """Rows whose value is set and differs from the one before it in the stream."""
-    w = Window.partitionBy(*keys).orderBy(order)
-    return rows.where(F.col(value).isNotNull()).withColumn("_before", F.lag(value).over(w)).where(~F.col("_before").eqNullSafe(F.col(value))).drop("_before")
+    """Rows whose value is set and differs from the one before it in the stream.
+
+    Rows without a value are left out behind the window: before it, that filter would work each value out once more.
+    """
+    w = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    before = rows.withColumn("_before", F.last(value, ignorenulls=True).over(w))
+    return before.where(F.col(value).isNotNull() & ~F.col("_before").eqNullSafe(F.col(value))).drop("_before")
 
 
 def stream_titles(meta: DataFrame) -> DataFrame:
-    """(stream_id, seq, title): title changes of (stream_id, seq, meta)."""
-    return changes(meta.select("stream_id", "seq", title(F.col("meta")).alias("title")), "title").select("stream_id", "seq", json_result(F.col("title")).alias("title")).where("title IS NOT NULL")
+    """(stream_id, seq, title): title changes of (stream_id, seq, meta). Rows are dealt by stream first, so that titles are found in many tasks."""
+    plain = meta.select("stream_id", "seq", "meta").repartition("stream_id").select("stream_id", "seq", text.html_to_utf8(F.col("meta")).alias("_m"))
+    titled = plain.select("stream_id", "seq", _title(F.col("_m")).alias("title"))
+    return changes(titled, "title").select("stream_id", "seq", json_result(F.col("title")).alias("title")).where("title IS NOT NULL")
