@@ -165,3 +165,10 @@ def test_transport_stream_goes_on_after_a_loss():
             out += ts.packets(rest)
     lost = {(2500 + k) // 188 for k in range(500)}
     assert [no for no, _, _ in out] == [n for n in range(3, 33) if n not in lost]
+
+
+def test_a_state_gets_windows_and_not_frames(spark):
+    rows = spark.range(0, 64_000, 1, 3).selectExpr("'s' AS stream_id", "(id * 7919) % 64000 AS frame_no", "CAST(-(id % 256) AS INT) * 8388608 AS left", "CAST(2147483647 AS INT) AS right")
+    sums = stateful.window_sums(rows, 64)
+    assert sums.count() == 1000
+    assert tuple(sums.selectExpr("sum(n)", "sum(l)", "max(lm)", "min(rm)").first()) == (64_000, 250 * 255 * 128, 255, 255)

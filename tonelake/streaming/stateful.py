@@ -12,7 +12,8 @@ import json
 from collections.abc import Iterator
 from typing import TYPE_CHECKING
 
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -71,24 +72,58 @@ def vu_windows(pcm: DataFrame, frames: int | None = None, e: Envelope | None = N
     As in batch, which leaves windows with lost frames out: so does this once a window ``patience`` further on is
     seen, and what comes later for one left out is ignored; state is bounded. ``display`` is the envelope of the left mean.
     """
-    ready(pcm.sparkSession)
     n, shape = frames or Settings().window, e or Settings().vu_bars
 
     def run(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         import pandas as pd
 
-        s, came = _load(state, {"open": {}, "next": 0, "display": 0, "hold": 0}), []
-        for part in parts:
-            for side in ("left", "right"):
-                part[side] = (part[side].astype("int64").abs() // (1 << 23)).clip(upper=255)
-            sums = part.groupby(part["frame_no"] // n).agg(n=("frame_no", "size"), l=("left", "sum"), r=("right", "sum"), lm=("left", "max"), rm=("right", "max"))
-            came += zip(sums.index.tolist(), sums.to_numpy().tolist())  # a trigger may hold a window's frames in several parts
-        out = [(key[0], *row) for row in add_windows(s, came, n, patience, shape)]
+        s = _load(state, {"open": {}, "next": 0, "display": 0, "hold": 0})
+        came = pd.concat(list(parts)).groupby("window_no").agg({"n": "sum", "l": "sum", "r": "sum", "lm": "max", "rm": "max"})  # in order of windows
+        for i in range(0, len(came), AT_ONCE):
+            own = came.iloc[i : i + AT_ONCE]
+            out = [(key[0], *row) for row in add_windows(s, list(zip(own.index.tolist(), own.to_numpy().tolist())), n, patience, shape)]
+            yield pd.DataFrame(out, columns=["stream_id", "window_no", "left_mean", "right_mean", "left_max", "right_max", "display"])
         state.update((json.dumps(s),))
-        yield pd.DataFrame(out, columns=["stream_id", "window_no", "left_mean", "right_mean", "left_max", "right_max", "display"])
 
     schema = "stream_id string, window_no long, left_mean int, right_mean int, left_max int, right_max int, display int"
-    return pcm.groupBy("stream_id").applyInPandasWithState(run, schema, JSON, "append", GroupStateTimeout.NoTimeout)
+    return window_sums(pcm, n).groupBy("stream_id").applyInPandasWithState(run, schema, JSON, "append", GroupStateTimeout.NoTimeout)
+
+
+#: Windows that are added to a state at a time, and sums that a task holds before it gives them out.
+AT_ONCE = 4096
+
+
+def window_sums(pcm: DataFrame, n: int) -> DataFrame:
+    """(stream_id, window_no, n, l, r, lm, rm): frames, sums and maxima of both sides' levels, a row or several per window.
+
+    Frames are dealt by stream and window, so what goes to a stream's state is a row per window, not its frames.
+    """
+    ready(pcm.sparkSession)
+
+    def level(side: str) -> Column:
+        return F.least(F.shiftright(F.abs(F.col(side).cast("long")), 23), F.lit(255)).cast("long")
+
+    rows = pcm.where("frame_no IS NOT NULL").select("stream_id", F.expr(f"CAST((frame_no - pmod(frame_no, {n})) div {n} AS BIGINT)").alias("window_no"), F.lit(1).cast("long").alias("n"), level("left").alias("l"), level("right").alias("r"))
+    rows = rows.withColumns({"lm": F.col("l"), "rm": F.col("r")})
+    names = rows.columns
+    how = list(zip(names[2:], ("sum", "sum", "sum", "max", "max")))
+
+    def summed(tables: list[pa.Table]) -> pa.Table:
+        found = pa.concat_tables(tables).group_by(names[:2]).aggregate(how)
+        return pa.table([*(found.column(k) for k in names[:2]), *(found.column(f"{c}_{f}") for c, f in how)], names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.Table] = []
+        for batch in batches:
+            held.append(summed([pa.Table.from_batches([batch])]))
+            if sum(map(len, held)) > AT_ONCE:
+                held = [summed(held)]
+                if len(held[0]) > AT_ONCE:
+                    yield from held.pop().to_batches()
+        if held:
+            yield from summed(held).to_batches()
+
+    return rows.repartition("stream_id", "window_no").mapInArrow(run, rows.schema)
 
 
 #: Bytes that pieces may be ahead of what is missing before it counts as lost.
