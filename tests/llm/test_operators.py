@@ -11,12 +11,13 @@ import zipfile
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
 
 from tonelake.llm import components, fingerprints, langid, media, mixing, neardup, packing, passages, shingles, tokenfiles, tokens, urlrules, warc
-from tonelake.llm.common import fresh_path
+from tonelake.llm.common import fresh_path, written
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -385,6 +386,55 @@ def test_packing(spark, docs, empty):
     assert packing.packed_documents(empty).count() == 0
 
 
+def test_packing_keeps_ids_in_the_worker(spark, docs, monkeypatch):
+    cuts, written = [], packing.written
+
+    def spy(df, name):
+        cuts.append((df.columns, df._jdf.queryExecution().optimizedPlan().toString()))
+        return written(df, name)
+
+    monkeypatch.setattr(packing, "written", spy)
+    bare = packing.packed_documents(docs, most_tokens=128, keep_ids=False).collect()
+    whole = packing.packed_documents(docs, most_tokens=128).collect()
+    assert "ids" not in cuts[0][0] and "Generate" not in cuts[0][1] and "ids" in cuts[1][0]  # ids don't pass through the JVM only to be cut there
+    of = lambda rows: sorted((r.doc_id is not None, r.doc_id or 0, r.piece, r.start, r.length, r.ids_crc32) for r in rows)
+    assert of(bare) == of(whole)
+
+
+def test_pieces_of_long_texts(spark):
+    texts = [(1, "ka lo mi " * 2000), (2, None), (3, ""), (4, "ka")]
+    ids = {i: [*ids_of(t), 7] for i, t in texts}
+    rows = tokens.with_pieces(spark.createDataFrame(texts, "doc_id long, text string").coalesce(1), tokens.default_path(), 7, 100).collect()
+    want = [(i, k // 100, k, len(own[k : k + 100]), struct.pack(f"<{len(own[k : k + 100])}I", *own[k : k + 100])) for i, own in ids.items() for k in range(0, len(own), 100)]
+    assert [(r.doc_id, r.piece, r.start, r.length, bytes(r.ids)) for r in rows] == want and all(r.ids_crc32 == zlib.crc32(r.ids) for r in rows)
+
+
+def test_tables_are_written_by_small_batches(spark):
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.nbytes]), pa.array([b.num_rows])], names=["size", "n"])
+
+    rows = spark.range(0, 60, 1, 1).select(F.expr("repeat('x', 1 << 20)").alias("text"))
+    seen = written(rows.mapInArrow(sizes, "size long, n long"), "sizes")[0].collect()
+    assert sum(r.n for r in seen) == 60 and max(r.size for r in seen) < 8 << 20 and key not in spark.conf.getAll
+    spark.conf.set(key, str(16 << 20))
+    try:
+        seen = written(rows.mapInArrow(sizes, "size long, n long"), "sizes")[0].collect()
+        assert max(r.size for r in seen) > 12 << 20 and spark.conf.get(key) == str(16 << 20)  # a session's own setting holds
+    finally:
+        spark.conf.unset(key)
+
+
+def test_packing_query_keeps_no_more_chunks_than_others(monkeypatch):
+    asked = {}
+    monkeypatch.setattr(packing, "table", lambda *a: None)
+    monkeypatch.setattr(packing, "packed_documents", lambda docs, **kw: asked.update(kw))
+    packing.op2_best_fit_packing(None, "")
+    assert asked.get("kept", tokens.KEPT) <= tokens.KEPT
+
+
 @pytest.mark.parametrize("rule", ["norm", "dot"])
 def test_best_fit_keeps_every_capacity(rule):
     rng = np.random.default_rng(4)

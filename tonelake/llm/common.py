@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
 import gc
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
@@ -18,11 +19,30 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@contextlib.contextmanager
+def small_batches(spark: SparkSession, most: int = 4 << 20) -> Iterator[None]:
+    """What is written inside hands its texts to Python in batches of about ``most`` bytes; then the session is as it was.
+
+    Spark's default, 64 MB, lies in an executor twice for each task: in the worker, and as a buffer that grows by doubling.
+    A session that has a setting of its own keeps it.
+    """
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if key in spark.conf.getAll:
+        yield
+        return
+    spark.conf.set(key, str(most))
+    try:
+        yield
+    finally:
+        spark.conf.unset(key)
+
+
 def written(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     """``df`` as a table in the shared folder, read again: cuts lineage, and survives lost executors."""
     spark = df.sparkSession
     path = fresh_path(spark, name)
-    df.write.parquet(path)
+    with small_batches(spark):
+        df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path), path
 
 

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tonelake.llm.common import table, written
-from tonelake.llm.tokens import KEPT, default_path, pieces, with_ids
+from tonelake.llm.tokens import KEPT, default_path, with_pieces
 from tonelake.session import ready
 
 GROUP = 20_000
@@ -85,10 +85,9 @@ def packed(cut: DataFrame, most_tokens: int = MOST_TOKENS, most_docs: int | None
 def packed_documents(docs: DataFrame, tokenizer: str | None = None, end_id: int = 1, most_tokens: int = MOST_TOKENS, keep_ids: bool = True, kept: int = KEPT, **limits) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32, [ids,] sequence_id, offset) of (doc_id, text)."""
     docs = docs.select("doc_id", "text")
-    cut = pieces(with_ids(docs, tokenizer or default_path(), end_id, kept=kept), most_tokens, ["doc_id"]).withColumn("ids_crc32", F.crc32("ids"))
-    cut, _ = written(cut if keep_ids else cut.drop("ids"), "pieces")
+    cut, _ = written(with_pieces(docs, tokenizer or default_path(), end_id, most_tokens, keep_ids, kept=kept), "pieces")
     return packed(cut, most_tokens, **limits)
 
 
 def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packed_documents(table(spark, sf_dir, "documents"), keep_ids=False, kept=500_000)
+    return packed_documents(table(spark, sf_dir, "documents"), keep_ids=False)

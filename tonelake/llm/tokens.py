@@ -12,15 +12,16 @@ from __future__ import annotations
 import functools
 import os
 import struct
+import zlib
 from array import array
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tonelake.llm.common import in_arrow
+from tonelake.session import BATCH_BYTES
 
 #: Chunks in a generation, of which there are two: 160 bytes each or so, in every worker.
 KEPT = 200_000
@@ -106,10 +107,37 @@ def with_ids(df: DataFrame, path: str, end_id: int, text: str = "text", out: str
     return in_arrow(df, encode, schema)
 
 
-def pieces(df: DataFrame, most: int, keep: list[str]) -> DataFrame:
-    """Cuts each row's ids every ``most`` ids: piece from 0, start, length and ids of the piece, besides ``keep``."""
-    n = (F.octet_length("ids") / 4).cast("int")
-    df = df.withColumn("_n", n).withColumn("piece", F.explode(F.sequence(F.lit(0), F.greatest(F.ceil(F.col("_n") / most).cast("int") - 1, F.lit(0)))))
-    start = (F.col("piece") * most).cast("int")
-    df = df.withColumn("start", start).withColumn("length", F.least(F.lit(most), F.col("_n") - F.col("start")))
-    return df.select(*keep, "piece", F.col("start").cast("long").alias("start"), F.col("length").cast("long").alias("length"), F.expr("substring(ids, start * 4 + 1, length * 4)").alias("ids"))
+def with_pieces(df: DataFrame, path: str, end_id: int, most: int, keep_ids: bool = True, text: str = "text", kept: int = KEPT) -> DataFrame:
+    """Cuts the ids of a text (null: none) and then ``end_id`` every ``most`` ids: a row for each piece, from 0, in place of the text.
+
+    Adds piece, start, length, ids_crc32 and, if kept, the ids, as ``with_ids``; others never leave the worker that made them.
+    """
+    end = struct.pack("<I", end_id)
+    others = [f for f in df.schema.fields if f.name != text]
+    names = ["piece", "start", "length", "ids_crc32"] + ["ids"] * keep_ids
+    kinds = [T.IntegerType(), T.LongType(), T.LongType(), T.LongType(), T.BinaryType()]
+    schema = T.StructType([*others, *map(T.StructField, names, kinds)])
+    types = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()][: len(names)]
+
+    def made(batch: pa.RecordBatch, rows: list[tuple]) -> pa.RecordBatch:
+        at, *found = zip(*rows)
+        columns = batch.select([f.name for f in others]).take(pa.array(at, pa.int64())).columns
+        return pa.RecordBatch.from_arrays([*columns, *map(pa.array, found, types)], names=[*(f.name for f in others), *names])
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of = encoder(path, kept)
+        for batch in batches:
+            rows, size = [], 0
+            for at, t in enumerate(batch.column(text).cast(pa.binary()).to_pylist()):
+                ids = memoryview(of.ids(t) + end)
+                for piece, start in enumerate(range(0, len(ids), 4 * most)):
+                    part = ids[start : start + 4 * most]
+                    rows.append((at, piece, start // 4, len(part) // 4, zlib.crc32(part), *[bytes(part)] * keep_ids))
+                    size += len(part) * keep_ids
+                    if size >= BATCH_BYTES:
+                        yield made(batch, rows)
+                        rows, size = [], 0
+            if rows:
+                yield made(batch, rows)
+
+    return in_arrow(df, cut, schema)
