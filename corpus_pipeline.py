@@ -13,10 +13,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from tonelake.llm import langid, mixing, neardup, packing, passages
-from tonelake.llm.common import table, unused, written
+from tonelake.llm.common import shrink, table, unused, written
 
 #: The tokenizer, the packing and the seeded choices are beyond SQL; tests compare with a brute-force version.
 ORACLE_SQL = None
+#: Chunks of text whose ids packing keeps in a worker, twice: fewer than alone, since the stages before leave executors large.
+KEPT = 50_000
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -39,7 +41,8 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return packing.packed_documents(docs, keep_ids=False)
+    shrink(spark)
+    return packing.packed_documents(docs, keep_ids=False, kept=KEPT)
 
 
 STAGES = [("language ID", language_id), ("near-dedup", near_dedup), ("substring dedup", substring_dedup), ("mixing", mix), ("packing", pack)]

@@ -16,6 +16,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from tonelake.llm import components, fingerprints, langid, media, mixing, neardup, packing, passages, shingles, tokenfiles, tokens, urlrules, warc
 from tonelake.llm.common import fresh_path, written
 
@@ -435,6 +436,17 @@ def test_packing_query_keeps_no_more_chunks_than_others(monkeypatch):
     assert asked.get("kept", tokens.KEPT) <= tokens.KEPT
 
 
+def test_pipeline_packs_with_few_chunks_after_executors_shrink(spark, docs, monkeypatch):
+    asked, shrink = [], corpus_pipeline.shrink
+    packed = packing.packed_documents
+    monkeypatch.setattr(corpus_pipeline, "shrink", lambda s: asked.append("shrink") or shrink(s))
+    monkeypatch.setattr(packing, "packed_documents", lambda d, **kw: asked.append(kw["kept"]) or packed(d, **kw))
+    few = corpus_pipeline.pack(spark, docs, "").collect()
+    assert asked[0] == "shrink" and asked[1] <= 50_000
+    of = lambda rows: sorted((r.doc_id is not None, r.doc_id or 0, r.piece, r.start, r.length, r.ids_crc32) for r in rows)
+    assert of(few) == of(packed(docs, keep_ids=False).collect())
+
+
 @pytest.mark.parametrize("rule", ["norm", "dot"])
 def test_best_fit_keeps_every_capacity(rule):
     rng = np.random.default_rng(4)

@@ -66,6 +66,13 @@ def tidy(spark: SparkSession) -> None:
     spark._jvm.System.gc()
 
 
+def shrink(spark: SparkSession) -> None:
+    """Executors collect their garbage at once, so that heap which earlier steps filled returns to the system before Python
+    workers need it. Spark deals the tasks, so an executor that is busy may get none; no result depends on it."""
+    n = spark.sparkContext.defaultParallelism
+    spark.range(0, n, 1, n).select(F.expr("reflect('java.lang.System', 'gc')")).write.format("noop").mode("overwrite").save()
+
+
 def chars(text: Column | str) -> Column:
     """Code points of a text; null counts as empty."""
     return F.char_length(F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit(""))).cast("long")
