@@ -11,7 +11,7 @@ anchor: equal stretches have equal anchors, so one can only recur if its anchor
 of four fifths of ``min_words`` are chosen by the same rule, so that each verbatim passage of ``min_words`` holds one whole,
 and compared by a 64-bit hash of their words. Overlapping windows of the same fate join into runs. Each end of a run is then
 followed to the last word in common with the first document that holds the window there (of the first itself: with
-the last that does). What has fewer than ``min_words`` words after that is left alone. A run that lies inside a
+the last that does), from the first or the last place where that one has the window, whichever leads further. What has fewer than ``min_words`` words after that is left alone. A run that lies inside a
 paragraph's span of the same fate adds nothing and is left out, as is a kept one inside a removed one.
 
 A component (of paragraphs, or of equal windows) counts if several documents hold it. Its occurrence in the smallest
@@ -76,7 +76,7 @@ class Words:
         whole = [t or b"" for t in texts]
         self.text = b"\n".join([*whole, b""])
         self.starts, self.ends = word_spans(self.text)
-        self.hashes = sh.word_hashes(sh.words(self.text))
+        self.hashes = sh.hashes_at(self.text.lower(), self.starts, self.ends)
         sizes = np.array([len(t) + 1 for t in whole], np.int64)
         self.at = np.cumsum(sizes) - sizes  # where each text begins
         self.doc = np.searchsorted(self.at, self.starts, side="right") - 1
@@ -84,11 +84,15 @@ class Words:
         self.upto = np.searchsorted(self.doc, np.arange(len(texts)), side="right")
         self.sums = np.concatenate([[np.uint64(0)], np.cumsum(self.hashes * _powers(_BASE, len(self.hashes)))])
 
-    def grams(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        """The hash of each run of ``n`` words, and whether it lies in one text."""
+    def whole(self, n: int) -> np.ndarray:
+        """Whether each run of ``n`` words lies in one text."""
         many = max(0, len(self.sums) - n)
-        whole = self.doc[:many] == self.doc[n - 1 : n - 1 + many]
-        return sh.mixed((self.sums[n:] - self.sums[:many]) * _powers(_INVERSE, many) + np.uint64(n)).view(np.int64), whole
+        return self.doc[:many] == self.doc[n - 1 : n - 1 + many]
+
+    def grams(self, n: int) -> np.ndarray:
+        """The hash of each run of ``n`` words."""
+        many = max(0, len(self.sums) - n)
+        return sh.mixed((self.sums[n:] - self.sums[:many]) * _powers(_INVERSE, many) + np.uint64(n)).view(np.int64)
 
     def points(self, places: np.ndarray, docs: np.ndarray) -> np.ndarray:
         """Byte places as code points of their texts."""
@@ -149,9 +153,10 @@ def paragraphs(w: Words, least: int) -> tuple[np.ndarray, np.ndarray]:
 _UNITS = f"doc long, h long, anchors array<long>, start long, stop long, n_words long, {sh.SIGNATURE}"
 
 
-def _lists(of: np.ndarray, values: np.ndarray, n: int) -> pa.ListArray:
-    """Values as lists of the ``n`` rows that they belong to, in ascending order of rows."""
-    return pa.ListArray.from_arrays(pa.array(np.searchsorted(of, np.arange(n + 1)), pa.int32()), pa.array(values))
+def _chosen(values: np.ndarray, width: int, of: np.ndarray) -> np.ndarray:
+    """The places, in order, of the leasts of those windows that ``of`` marks."""
+    at = leasts(values, width)[: len(of)][of]  # never falls, so equal ones lie in a row
+    return at[np.diff(at, prepend=-1) != 0]
 
 
 def cut(docs: DataFrame, least: int) -> DataFrame:
@@ -161,19 +166,18 @@ def cut(docs: DataFrame, least: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             w = Words(batch.column(2).cast(pa.binary()).to_pylist())
-            grams, whole = w.grams(gram)
-            _, inside = w.grams(least)
-            at = np.unique(leasts(grams, least - gram + 1)[: len(inside)][inside])
-            both = np.unique(np.rec.fromarrays([w.doc[at], grams[at]]))
-            some = np.unique(both["f0"])
-            n, m = len(some), 0
+            grams, inside = w.grams(gram), w.whole(least)
+            at = _chosen(grams, least - gram + 1, inside)
+            ends = np.searchsorted(w.doc[at], np.arange(len(batch) + 1))
+            keys, sizes = sh.distinct_parts(grams[at], ends[:-1], ends[1:])
+            some = np.flatnonzero(sizes)
+            n = len(some)
             a, b = paragraphs(w, least)
             values = sh.shingles(w.hashes) if len(a) else np.empty(0, np.uint64)
-            sets = [np.unique(values[i : j - sh.SHINGLE + 1]) for i, j in zip(a.tolist(), b.tolist())]
-            signs = sh.signature(np.concatenate([*sets, np.empty(0, np.uint64)]), np.array([len(x) for x in sets], np.int64), BANDS, ROWS)
+            signs = sh.signature(*sh.distinct_parts(values, a, b - sh.SHINGLE + 1), BANDS, ROWS)
             m, of = len(a), w.doc[a]
             ids, h = (batch.column(c).to_numpy(zero_copy_only=False) for c in (0, 1))
-            anchors = _lists(np.searchsorted(some, both["f0"]), both["f1"], n)
+            anchors = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes[some])]), pa.int32()), pa.array(keys))
             first = [pa.array(ids[some]), pa.array(h[some]), anchors, *[pa.nulls(n, pa.int64())] * 8, pa.nulls(n, pa.list_(pa.int64()))]
             places = [pa.array(x, pa.int64()) for x in (w.points(w.starts[a], of), w.points(w.ends[b - 1], of), b - a)]
             then = [pa.array(ids[of]), pa.array(h[of]), pa.nulls(m, pa.list_(pa.int64())), *places, *signs]
@@ -190,39 +194,62 @@ def _side(least: int) -> int:
 
 
 def windows(near: DataFrame, least: int) -> DataFrame:
-    """Of (row, doc, text, keys) the chosen windows near an anchor among the keys: first word and hash."""
+    """Of (row, doc, text, keys) the chosen windows near an anchor among the keys: first word, hash, and where the text has the hash first and last."""
     gram, side = least // 2, _side(least)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             w = Words(batch.column(2).cast(pa.binary()).to_pylist())
-            grams, _ = w.grams(gram)
-            _, inside = w.grams(least)
-            of = inside & np.isin(grams[leasts(grams, least - gram + 1)[: len(inside)]], batch.column(3).flatten().to_numpy())
-            keys, _ = w.grams(least - side)
-            at = np.unique(leasts(keys, side + 1)[: len(of)][of])
-            row, doc = (batch.column(c).to_numpy()[w.doc[at]] for c in (0, 1))
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (row, doc, at - w.first[w.doc[at]], keys[at])], names=["row", "doc", "at", "key"])
-
-    return in_arrow(near.select("row", "doc", "text", "keys"), run, "row long, doc long, at long, key long")
+            grams, of = w.grams(gram), w.whole(least)
+            at = leasts(grams, least - gram + 1)[: len(of)]
+            wanted = np.zeros(len(grams), bool)
+            tried = _chosen(grams, least - gram + 1, of)
+            wanted[tried[np.isin(grams[tried], batch.column(3).flatten().to_numpy())]] = True
+            of &= wanted[at]
+            keys = w.grams(least - side)
+            at = _chosen(keys, side + 1, of)
+            n, key = w.doc[at], keys[at]
+            row, doc = (batch.column(c).to_numpy()[n] for c in (0, 1))
+            at -= w.first[n]
+            cols = [row, doc, at, key, *_ends_of(n, key, at)]
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in cols], names=["row", "doc", "at", "key", "low", "high"])
+
+    return in_arrow(near.select("row", "doc", "text", "keys"), run, "row long, doc long, at long, key long, low long, high long")
+
+
+def _ends_of(n: np.ndarray, key: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each place, which ascend in each row ``n``, the first and the last one of the same row and key."""
+    order = np.lexsort((key, n))
+    new = np.ones(len(at) + 1, bool)
+    new[1:-1] = (np.diff(n[order]) != 0) | (np.diff(key[order]) != 0)
+    low, high, group = np.empty_like(at), np.empty_like(at), np.cumsum(new[:-1]) - 1
+    low[order], high[order] = at[order[new[:-1]]][group], at[order[new[1:]]][group]
+    return low, high
 
 
 def _merged(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
-    """Of (row, doc, found) the runs that overlapping windows of one fate make, in words, and where their ends lie in another holder."""
+    """Of (row, doc, found) the runs that overlapping windows of one fate make, in words, and where their ends lie in another holder.
+
+    A holder may have a window several times, as in words that repeat with a period; a run then has a row with the first of
+    the places and one with the last.
+    """
     for batch in batches:
         of = batch.column(2)
-        at, first, kept, other, place = (of.flatten().field(i).to_numpy(zero_copy_only=False) for i in range(5))
+        at, first, kept, other, low, high = (of.flatten().field(i).to_numpy(zero_copy_only=False) for i in range(6))
         n = np.repeat(np.arange(len(batch)), np.diff(of.offsets.to_numpy()))
-        order = np.lexsort((place, other, at, kept, n))
-        at, first, kept, other, place, n = (x[order] for x in (at, first, kept, other, place, n))
+        order = np.lexsort((at, kept, n))
+        at, first, kept, other, low, high, n = (x[order] for x in (at, first, kept, other, low, high, n))
         new = np.ones(len(at), bool)
         new[1:] = (n[1:] != n[:-1]) | (kept[1:] != kept[:-1]) | (at[1:] >= at[:-1] + window)
         i = np.flatnonzero(new)
         j = np.concatenate([i[1:], [len(at)]])[: len(i)] - 1
         least = np.minimum.reduceat(first, i) if len(i) else first[:0]
-        row, doc = (batch.column(c).to_numpy()[n[i]] for c in (0, 1))
-        cols = [row, doc, at[i], at[j] + window, other[i], place[i], other[j], place[j] + window, least]
-        yield pa.RecordBatch.from_arrays([*(pa.array(x, pa.int64()) for x in cols), pa.array(kept[i].astype(bool))], names=["row", "doc", "a", "b", "row_a", "at_a", "row_b", "at_b", "component_id", "kept"])
+        again = np.flatnonzero((low[i] != high[i]) | (low[j] != high[j]))
+        for place, some in ((low, slice(None)), (high, again)):
+            x, y = i[some], j[some]
+            row, doc = (batch.column(c).to_numpy()[n[x]] for c in (0, 1))
+            cols = [row, doc, at[x], at[y] + window, other[x], place[x], other[y], place[y] + window, least[some]]
+            yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in cols), pa.array(kept[x].astype(bool))], names=["row", "doc", "a", "b", "row_a", "at_a", "row_b", "at_b", "component_id", "kept"])
 
 
 def _around(batches: Iterator[pa.RecordBatch], side: int) -> Iterator[pa.RecordBatch]:
@@ -257,8 +284,9 @@ def _extended(batches: Iterator[pa.RecordBatch], side: int) -> Iterator[pa.Recor
             far.append(np.logical_and.accumulate(same[:, ::turn], axis=1).sum(axis=1))
         each = np.arange(len(batch))
         start, stop = part("starts", side + 1)[each, side - far[0]], part("ends", side + 1)[each, far[1]]
-        n = batch.column("b").to_numpy() - batch.column("a").to_numpy() + far[0] + far[1]
-        yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("doc"), *(pa.array(x, pa.int64()) for x in (start, stop, n)), batch.column("component_id"), batch.column("kept")], names=["row", "doc_id", "start", "stop", "n_words", "component_id", "kept"])
+        first, end = batch.column("a").to_numpy() - far[0], batch.column("b").to_numpy() + far[1]
+        own = ["row", "doc", "a", "b", "component_id", "kept"]
+        yield pa.RecordBatch.from_arrays([*map(batch.column, own), *(pa.array(x, pa.int64()) for x in (start, stop, first, end))], names=[*own, "start", "stop", "first", "end"])
 
 
 def _runs_of(docs: DataFrame, units: DataFrame, least: int) -> tuple[DataFrame, str]:
@@ -271,13 +299,13 @@ def _runs_of(docs: DataFrame, units: DataFrame, least: int) -> tuple[DataFrame,
     near, near_at = written(docs.join(keys, ["id", "h"]).select(F.monotonically_increasing_id().alias("row"), F.col("id").alias("doc"), "h", "text", "keys"), "near")
     tidy(spark)
     made, made_at = written(windows(near, least), "windows")
-    holder = F.struct("doc", "row", "at")
+    holder = F.struct("doc", "row", "low", "high")
     ends = made.groupBy("key").agg(F.min(holder).alias("x"), F.max(holder).alias("y")).where("x.doc != y.doc")
     ends, ends_at = written(ends, "holders")  # a table, so that Spark deals it anew and can split what many documents hold
     kept = F.col("doc") == F.col("x.doc")
     other = F.when(kept, F.col("y")).otherwise(F.col("x"))
-    pairs = made.join(ends, "key").select("row", "doc", F.struct("at", F.col("x.doc").alias("first"), kept.alias("kept"), other["row"].alias("other"), other["at"].alias("place")).alias("f"))
-    runs = in_arrow(pairs.groupBy("row", "doc").agg(F.collect_set("f").alias("found")), functools.partial(_merged, window=window), "row long, doc long, a long, b long, row_a long, at_a long, row_b long, at_b long, component_id long, kept boolean")
+    pairs = made.join(ends, "key").select("row", "doc", F.struct("at", F.col("x.doc").alias("first"), kept.alias("kept"), other["row"].alias("other"), other["low"].alias("low"), other["high"].alias("high")).alias("f"))
+    runs = in_arrow(pairs.groupBy("row", "doc").agg(F.collect_list("f").alias("found")), functools.partial(_merged, window=window), "row long, doc long, a long, b long, row_a long, at_a long, row_b long, at_b long, component_id long, kept boolean")
     runs, runs_at = written(runs, "runs")
     remove(spark, made_at, ends_at)
     tidy(spark)
@@ -288,8 +316,9 @@ def _runs_of(docs: DataFrame, units: DataFrame, least: int) -> tuple[DataFrame,
     full = runs
     for r, c, names in (("row", "a", {"before": "before", "starts": "starts"}), ("row", "b", {"after": "after", "ends": "ends"}), ("row_a", "at_a", {"before": "other_before"}), ("row_b", "at_b", {"after": "other_after"})):
         full = full.join(told.select(F.col("row").alias(r), F.col("place").alias(c), *[F.col(k).alias(v) for k, v in names.items()]), [r, c])
-    full = in_arrow(full, functools.partial(_extended, side=side), "row long, doc_id long, start long, stop long, n_words long, component_id long, kept boolean")
-    full, full_at = written(full.where(F.col("n_words") >= least).join(near.select("row", "h"), "row").drop("row").distinct(), "passages")
+    full = in_arrow(full, functools.partial(_extended, side=side), "row long, doc long, a long, b long, component_id long, kept boolean, start long, stop long, first long, end long")
+    full = full.groupBy("row", F.col("doc").alias("doc_id"), "a", "b", "component_id", "kept").agg(F.min("start").alias("start"), F.max("stop").alias("stop"), (F.max("end") - F.min("first")).alias("n_words"))
+    full, full_at = written(full.drop("a", "b").where(F.col("n_words") >= least).join(near.select("row", "h"), "row").drop("row").distinct(), "passages")
     remove(spark, near_at, runs_at, told_at)
     gone = full.where("NOT kept").select(*[F.col(c).alias(f"_{c}") for c in ("doc_id", "h", "start", "stop")])
     inside = F.col("kept") & (F.col("doc_id") == F.col("_doc_id")) & (F.col("h") == F.col("_h")) & (F.col("start") >= F.col("_start")) & (F.col("stop") <= F.col("_stop"))

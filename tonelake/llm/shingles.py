@@ -36,6 +36,28 @@ def word_hashes(found: list[bytes]) -> np.ndarray:
     return np.fromiter(map(_hashes.__getitem__, found), np.uint64, len(found))
 
 
+#: Bytes of a word up to which ``hashes_at`` takes it eight bytes at a time with all others.
+LONG_WORD = 64
+_MASKS = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+
+
+def hashes_at(text: bytes, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hashes of the words between places of a text, as they stand there; other ones than ``word_hashes`` gives."""
+    eight = np.ndarray(len(text) + 1, "<u8", text + bytes(8), strides=(1,))
+    left = ends - starts
+    h = mixed((eight[starts] & _MASKS[np.minimum(left, 8)]) ^ left.astype(np.uint64) * _ODD[3])
+    some = np.flatnonzero((left > 8) & (left <= LONG_WORD))
+    at, left_some = starts[some], left[some]
+    while len(some):
+        at, left_some = at + 8, left_some - 8
+        h[some] = mixed(h[some] * _ODD[1] ^ eight[at] & _MASKS[np.minimum(left_some, 8)])
+        more = left_some > 8
+        some, at, left_some = some[more], at[more], left_some[more]
+    for i in np.flatnonzero(left > LONG_WORD).tolist():
+        h[i] = xxhash.xxh3_64_intdigest(text[starts[i] : ends[i]])
+    return h
+
+
 def mixed(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
     x = (x ^ (x >> np.uint64(33))) * np.uint64(0xC4CEB9FE1A85EC53)
@@ -102,6 +124,21 @@ def sets_of(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate([*sets, values[:0]]), np.array([len(x) for x in sets])
 
 
+def distinct_parts(values: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The sets of values between places, each sorted, in a row, and the size of each."""
+    sizes = np.maximum(stops - starts, 0)
+    ends = np.cumsum(sizes)
+    out, new = np.empty(int(sizes.sum()), values.dtype), np.ones(int(sizes.sum()), bool)
+    for i, n, to in zip(starts.tolist(), sizes.tolist(), ends.tolist()):
+        part = out[to - n : to]
+        part[:] = values[i : i + n]
+        part.sort()
+    new[1:] = out[1:] != out[:-1]
+    new[(ends - sizes)[sizes > 0]] = True
+    before = np.concatenate([[0], np.cumsum(new)])
+    return out[new], before[ends] - before[ends - sizes]
+
+
 def minima_of(values: np.ndarray, sizes: np.ndarray, n: int = HASHES) -> np.ndarray:
     """Minima of several non-empty sets that lie in a row; PART values or one set are hashed at a time."""
     ends = np.cumsum(sizes)
