@@ -58,6 +58,23 @@ def hashes_at(text: bytes, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     return h
 
 
+def equal_at(text: bytes, starts: np.ndarray, ends: np.ndarray, others: np.ndarray) -> bool:
+    """Whether words of the same ``hashes_at``, and so those of up to eight bytes and one size, equal the ones that begin at other places."""
+    eight = np.ndarray(len(text) + 1, "<u8", text + bytes(8), strides=(1,))
+    left = ends - starts
+    for i in np.flatnonzero(left > LONG_WORD).tolist():
+        if text[starts[i] : ends[i]] != text[others[i] : others[i] + left[i]]:
+            return False
+    some = (left > 8) & (left <= LONG_WORD)
+    at, to, left = starts[some], others[some], left[some]
+    while len(at):
+        if ((eight[at] ^ eight[to]) & _MASKS[np.minimum(left, 8)]).any():
+            return False
+        more = left > 8
+        at, to, left = at[more] + 8, to[more] + 8, left[more] - 8
+    return True
+
+
 def mixed(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
     x = (x ^ (x >> np.uint64(33))) * np.uint64(0xC4CEB9FE1A85EC53)

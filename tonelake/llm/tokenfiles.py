@@ -46,8 +46,11 @@ def encode_block(values: np.ndarray) -> np.ndarray:
     bits = _LENGTHS[values] if values.max(initial=0) < len(_LENGTHS) else np.searchsorted(_POWERS, values, side="right")  # 61 stands for more than 60
     rest = np.arange(n, 0, -1)
     selector, taken = np.zeros(n, np.int64), np.ones(n, np.int64)
-    small = np.arange(n)
-    for s in range(15, 0, -1):  # the later, denser ones win
+    small, most = np.arange(n), 16
+    if bits.max(initial=0) <= 60:  # what takes every value fits everywhere, and wins over all that take larger ones
+        most = next(s for s in range(1, 16) if BITS[s] >= bits.max(initial=0))
+        selector[:], taken[:] = most, np.minimum(COUNTS[most], rest)
+    for s in range(most - 1, 0, -1):  # the later, denser ones win
         small = small[bits[small] <= BITS[s]]
         if not len(small):
             break
@@ -173,7 +176,6 @@ class Reader:
 
 def write_files(docs: DataFrame, folder: str, tokenizer: str, end_id: int, kept: int = KEPT) -> DataFrame:
     """Writes (doc_id, text) into files below ``folder``; returns (file, path, n_ids), numbered in order."""
-    end = end_id.to_bytes(4, "little")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first = next(batches, None)
@@ -185,8 +187,14 @@ def write_files(docs: DataFrame, folder: str, tokenizer: str, end_id: int, kept:
         with fs.open_output_stream(local, compression=None) as out:
             writer = Writer(out)
             for batch in itertools.chain([first], batches):
-                for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist()):
-                    writer.add(doc_id, np.frombuffer(of.ids(text) + end, "<u4").astype(np.uint64))
+                ids, sizes = of.all_ids(batch.column(1).cast(pa.binary()).to_pylist())
+                stops = np.cumsum(sizes + 1)
+                ended = np.full(len(ids) + len(sizes), end_id, np.uint64)
+                own = np.ones(len(ended), bool)
+                own[stops - 1] = False
+                ended[own] = ids
+                for doc_id, part in zip(batch.column(0).to_pylist(), np.split(ended, stops[:-1])):
+                    writer.add(doc_id, part)
             writer.close()
         yield pa.RecordBatch.from_arrays([pa.array([v]) for v in (number, path, writer.ids)], names=["file", "path", "n_ids"])
 
