@@ -50,6 +50,17 @@ def test_bounded_queue_makes_no_row_of_a_tick_before_the_queue_has_run(spark, sf
     assert "Generate" in shape and shape.rindex("Generate") < shape.index("CoGroup")
 
 
+def test_rows_of_all_ticks_take_little_disk_and_even_tasks(spark, tmp_path):
+    """Two bytes a row and more where every file holds all ticks: streams share stretches of ticks, which are named once."""
+    streams, last = 60, 30_000
+    rows = spark.createDataFrame([(f"s{i}", (i * 7919 + k * 104_729) % (last + 1), 2) for i in range(streams) for k in range(5)], "stream_id string, tick long, arrivals int")
+    queueing.queued_throughout(rows, last, 3, 1).write.parquet(str(tmp_path / "out"))
+    files = list((tmp_path / "out").glob("*.parquet"))
+    assert sum(f.stat().st_size for f in files) < 0.6 * streams * (last + 1)
+    counts = [r["count"] for r in spark.read.parquet(str(tmp_path / "out")).groupBy(F.input_file_name()).count().collect()]
+    assert sum(counts) == streams * (last + 1) and len(counts) == 4 and max(counts) < 1.5 * sum(counts) / 4
+
+
 def test_queue_without_ticks(spark):
     assert queueing.queued_throughout(spark.createDataFrame([("a", None, None)], "stream_id string, tick long, arrivals int"), -1).count() == 0
 
